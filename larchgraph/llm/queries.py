@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchgraph.llm import line_dedup, media, mixing, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
+from larchgraph.llm import line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
 from larchgraph.llm.common import table
 
 SHARDS = 40
@@ -35,6 +35,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = pairwise_quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -75,6 +79,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_url_filters": op2_url_filters,
     "op3_sharding": op3_sharding,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
