@@ -9,6 +9,7 @@ judged one by one, so repeated rows repeat their result; columns besides those n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -50,12 +51,23 @@ RULES = (
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")
 
 
-def _repeat_starts(grams: Column) -> Column:
-    """Starts of the 3-word windows found twice or more, in order, from (hash, start) pairs sorted
-    by hash, where a window stands beside its equals. `grams` is a column: a lambda that read an
-    expression would compute it again for every element."""
-    same = lambda x, j: F.coalesce(F.get(grams, j)["h"] == x["h"], F.lit(False))
-    return F.sort_array(F.transform(F.filter(grams, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for the row. A lambda that reads an expression from
+    outside computes it again for every element, also where the optimiser puts it there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(w: Column) -> Column:
+    """The hash of each 3-word window; none for fewer than 4 words, where none can repeat."""
+    some = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(w) >= 4, some).otherwise(F.array().cast("array<bigint>"))
+
+
+def _repeat_starts(pairs: Column) -> Column:
+    """Starts of the windows found twice or more, in order, from (hash, start) pairs sorted by
+    hash, where a window stands beside its equals."""
+    same = lambda x, j: F.coalesce(F.get(pairs, j)["h"] == x["h"], F.lit(False))
+    return F.sort_array(F.transform(F.filter(pairs, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
 
 
 def _covered(starts: Column) -> Column:
@@ -64,6 +76,16 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _repeat_words(w: Column) -> Column:
+    def of(g: Column) -> Column:
+        pairs = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        found = _let(pairs, lambda s: _let(_repeat_starts(s), _covered))
+        # most texts repeat no window: the cheap test on plain hashes spares them the sort of pairs
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(found)
+
+    return _let(_let(w, _windows), of)
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the columns of MEASURES added (an own column of such a name gives way)."""
     df = df.drop(*[c for c in df.columns if c in MEASURES or c.startswith("_qr_")])
@@ -72,14 +94,6 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "_qr_l", F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     )
     w, lines, n = F.col("_qr_w"), F.col("_qr_l"), F.size("_qr_w")
-    grams = F.when(n >= 4, F.transform(F.slice(w, 1, n - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_qr_g", grams)
-    g = F.col("_qr_g")
-    # most texts repeat no window: the cheap test on plain hashes spares them the sort of pairs
-    pairs = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = df.withColumn("_qr_g", F.when(F.size(F.array_distinct(g)) == F.size(g), none).otherwise(pairs))
-    df = df.withColumn("_qr_g", _repeat_starts(F.col("_qr_g")))
     long = lambda c: c.cast("long")
     return df.withColumns(
         {
@@ -87,13 +101,13 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": long(F.length(F.translate(body, SPACE, ""))),
             "n_symbols": long(F.length(body) - F.length(F.translate(body, SYMBOLS, ""))),
             "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
-            "n_repeat_words": _covered(F.col("_qr_g")),
+            "n_repeat_words": _repeat_words(w),
             "n_stop_words": long(F.size(F.filter(w, lambda x: ascii_lower(x).isin(*STOP_WORDS)))),
             "n_lines": long(F.size(lines)),
             "n_bullet_lines": long(F.size(F.filter(lines, lambda x: F.ltrim(x).substr(1, 1).isin("-", "*", "•")))),
             "n_ellipsis_lines": long(F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")))),
         }
-    ).drop("_qr_w", "_qr_l", "_qr_g")
+    ).drop("_qr_w", "_qr_l")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
