@@ -24,7 +24,7 @@ from larchgraph.llm.token_counts import by_bytes
 
 UNIT = 64
 #: Bytes of payload worked on at once.
-CHUNK = 3_000_000
+CHUNK = 750_000
 
 
 def padded(body: bytes) -> bytes:
