@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from larchgraph.plans import graph_queries
+
+_PARTS = (graph_queries,)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.Q.items()}
+ORACLES: dict[str, str] = {k: s for part in _PARTS for k, s in part.SQL.items()}
