@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larchgraph.functions.tables import stored
+
 EVIDENCE = 50
 
 
@@ -103,8 +105,7 @@ def completeness(facts: DataFrame) -> DataFrame:
 def checks(facts: DataFrame, policy: Policy, limit: int = EVIDENCE) -> DataFrame:
     """(id, status, n, evidence) of the nine checks. Evidence keeps the least `limit` keys: ranked
     inside each kind before they are gathered, so no row holds more."""
-    from pyspark.sql import Window
-
+    facts = stored(facts)  # read five times below
     spark, found = facts.sparkSession, evidence(facts, policy)
     counts = found.groupBy("what").agg(F.count("*").alias("n"))
     w = Window.partitionBy("what").orderBy("key")
