@@ -124,7 +124,7 @@ def keep_bitmaps(df: DataFrame, min_docs: int, min_chars: int = 1, keep: str = "
     @F.pandas_udf("binary")
     def bitmap(pos):
         def one(p):
-            bits = np.ones(int(max(p)) + 1, np.uint8)
+            bits = np.ones(int(max(p)) // 8 * 8 + 8, np.uint8)  # whole bytes: bits beyond the lines stay set
             bits[np.asarray(p)] = 0
             return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
 

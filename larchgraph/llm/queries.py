@@ -94,4 +94,46 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+_RULES = "(VALUES " + ", ".join(f"('{r.name}', '{r.verdict}', '{r.host}', '{r.path}')" for r in url_filter.RULES) + ") r(name, verdict, host, path)"
+
+#: Shingles are compared as text, links on whole sets, components by the closure of links.
+_NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS g FROM s), rare AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
+c AS (SELECT doc_id, g FROM e JOIN rare USING (g)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y)
+SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id, n.doc_id = min(r.y) AS kept FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n.n"""
+
+_LINES = f"""WITH l AS (SELECT doc_id, line, pos, trim({_LOWER.format("line")}, {_WS}) AS k FROM (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT l.*, f.k IS NOT NULL AS gone FROM l LEFT JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+_QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, {_WS})) > 0) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2]) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE k > 1) GROUP BY 1),
+m AS (SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')) AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+ coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)}], {_LOWER.format("x")}))) AS n_stop_words, len(l) AS n_lines,
+ len(list_filter(l, lambda x: ltrim(x, ' ')[1] IN ('-', '*', '•'))) AS n_bullet_lines, len(list_filter(l, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS n_ellipsis_lines FROM d LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {quality_rules.rules_sql()} AS kept FROM m"""
+
+_MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+a AS (SELECT *, 2.0 * n AS cap, 1.5 * sum(n) OVER () AS total FROM s),
+b AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM a),
+t AS (SELECT source, n, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM b WHERE cap / w >= level), 1e300) * w) AS target FROM b),
+c AS (SELECT d.*, t.n, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o) - size AS BIGINT) AS start FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, n AS source_size, CAST(target AS DOUBLE) AS target, CAST(floor(target / greatest(n, 1)) * size + greatest(0, least(size, round(target - floor(target / greatest(n, 1)) * n) - start)) AS BIGINT) AS taken FROM c"""
+
+ORACLES: dict[str, str] = {
+    "op4_minhash_near_dedup": _NEAR,
+    "op7_mixing": _MIX,
+    "op9_line_dedup": _LINES,
+    "op10_quality_rules": _QUALITY,
+}
