@@ -23,7 +23,7 @@ from larchgraph.llm.common import ascii_lower, stored
 
 DEPTH = 4
 #: A segment is generalised where its parent has over MANY distinct segments and it has under FEW of the pages.
-MANY, FEW = 20, 0.02
+MANY, FEW = 20, 0.05
 #: Branches merge where their shares are within Z standard errors; purity is smoothed with STRENGTH pseudo-pages at PRIOR.
 Z, STRENGTH, PRIOR, PURITY = 2.0, 4.0, 0.5, 0.8
 
