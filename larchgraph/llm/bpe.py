@@ -16,7 +16,7 @@ import pyarrow as pa
 
 NONE = np.int32(2**31 - 1)
 #: Remembered pieces; beyond it memory is cleared, which costs time and changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_chars() -> list[str]:

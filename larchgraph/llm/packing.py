@@ -27,18 +27,28 @@ WINDOW, END = 2048, 1
 #: Documents for each packing group.
 GROUP = 20_000
 _state: dict[str, bpe.Pieces] = {}
+_library: dict = {}
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 PIECE = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+def _by_library(path: str, chunks: list[str]) -> list[list[int]]:
+    """The library's ids. It is large in memory and seldom needed, so it is loaded late and once."""
+    if not chunks:
+        return []
+    if path not in _library:
+        from tokenizers import Tokenizer
+
+        _library[path] = Tokenizer.from_file(path)
+    return [e.ids for e in _library[path].encode_batch(chunks, add_special_tokens=False)]
+
+
 def _splitter(path: str):
     import json
 
     import regex
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
@@ -57,8 +67,7 @@ def _splitter(path: str):
             found = find(s.lower())
             tokens += [x.encode() for x in found]
             owner += [k] * len(found)
-        coded = library.encode_batch([new[k].decode() for k in odd], add_special_tokens=False)
-        return tokens, owner, dict(zip(odd, [e.ids for e in coded], strict=True))
+        return tokens, owner, dict(zip(odd, _by_library(path, [new[k].decode() for k in odd]), strict=True))
 
     return split
 

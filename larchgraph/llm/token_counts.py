@@ -22,7 +22,7 @@ from larchgraph.llm import bpe
 
 SPECIAL = b"<|endoftext|>"
 #: Bytes of text worked on at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _state: dict[str, bpe.Pieces] = {}
 
 
