@@ -9,7 +9,6 @@ merging one pair at a time gives. Repeated pieces of text are merged once and re
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +169,13 @@ class Pieces:
         self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, per])
 
 
+def forget(state: dict[str, Pieces]) -> None:
+    """Clears what pieces remember, at a task's end: Python workers outlive their tasks."""
+    for pieces in state.values():
+        pieces.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array end to end, and len + 1 offsets; null is empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -183,8 +189,3 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def pieces_of(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary array over bytes that lie end to end."""
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-@lru_cache(4)
-def merger(path: str) -> Merger:
-    return Merger(path)

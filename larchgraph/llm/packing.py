@@ -112,6 +112,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
                     [part.column("key").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole))],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+        bpe.forget(_state)
 
     return df.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(run, PIECE.format(kind))
 

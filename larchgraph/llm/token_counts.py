@@ -96,6 +96,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, key: str = "doc_id"
                 n = count(part.column("text"), path)
                 size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("key"), size, pa.array(n), pa.array(n > limit)], ["key", "n_bytes", "n_tokens", "over_limit"])
+        bpe.forget(_state)
 
     kind = df.schema[key].dataType.simpleString()
     return (
