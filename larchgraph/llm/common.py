@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from larchgraph.functions.tables import stored, table
+
+__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "partitions", "stored", "table", "words"]
+
 #: White space of the contracts: space and the control characters 9 to 13.
 SPACE = " \t\n\x0b\f\r"
-_own: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    A local session without that setting, as in tests, gets a temporary folder; a cluster gets an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return _own[0]
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as a table in the shared folder and read back.
-
-    Lineage ends there: a lost executor costs a read of the table, not a second run."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
