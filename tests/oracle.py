@@ -9,14 +9,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def rows(frame):
-    """Sorted rows of a pandas frame, columns by name, as plain strings."""
-    out = []
-    for r in frame[sorted(frame.columns)].itertuples(index=False):
-        out.append(tuple("null" if x is None or x != x else f"{float(x):.9g}" if isinstance(x, float) or hasattr(x, "dtype") else str(int(x)) if isinstance(x, bool) else str(x) for x in r))
-    return sorted(out)
-
-
 def expected(sql, sf_dir):
     import duckdb
 
