@@ -1,0 +1 @@
+"""Empty on purpose: the analyses are batch jobs, and have no watermarks, windows or state."""
