@@ -4,7 +4,8 @@ Each source has a target, the words that the mix takes from it, and a schedule:
 mix changes linearly over training, by `tilt` from start to end, and integrates to the target. A
 source's documents, in a fixed shuffled order and repeated where the target exceeds the source,
 lie on its cumulative demand; inverting the integrated schedule at a copy's middle gives the
-moment of training at which it is due, and the whole mix is range-sorted by that position.
+moment of training at which it is due, and the whole mix is range-sorted by that position. The
+words that a copy gives are the demand between the moments at which it begins and ends.
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last. Documents of
 size 0 are taken 0 times. Repeated rows are mixed as rows of their own. An empty table mixes to
@@ -16,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larchgraph.llm.common import SPACE
+from larchgraph.llm.common import SPACE, stored
 
 WEIGHTS = (5, 2, 1)
+#: By place in the weights' cycle; positive ones come early.
+TILTS = (0.5, 0.0, -0.5)
 SHARE, MOST = 1.5, 2.0
 #: Buckets of a source's shuffled order; prefix sums cross them through a small table.
 BUCKETS = 256
@@ -89,16 +92,48 @@ def _due(at: Column, target: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, x).otherwise(curved)
 
 
-def curriculum(mixed: DataFrame, tilts: tuple[float, ...] = (0.5, 0.0, -0.5)) -> DataFrame:
+def _demand(t: Column, target: Column, tilt: Column) -> Column:
+    """The words of a source that are due up to t, in whole words; _due inverts it."""
+    return F.round(target * (t + tilt * t * (1 - t))).cast("long")
+
+
+def _tilt(tilts: tuple[float, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in tilts]), (F.col("_schedule") % len(tilts) + 1).cast("int"))
+
+
+def curriculum(mixed: DataFrame, tilts: tuple[float, ...] = TILTS) -> DataFrame:
     """The training order of what mix() took: a row for each copy, with copy and position.
 
-    tilts: by place in the weights' cycle; positive ones come early. Copies are whole: the last
-    pass takes a document whose larger part lies before the target. Ends range-sorted by
-    position, ties by document and copy."""
+    Copies are whole: the last pass takes a document whose larger part lies before the target.
+    Ends range-sorted by position, ties by document and copy."""
     copies = F.when(F.col("size") > 0, F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.col("size"))).otherwise(0).cast("int")
     df = mixed.withColumn("_copies", copies).filter("_copies > 0")
     df = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    tilt = F.element_at(F.array(*[F.lit(t) for t in tilts]), (F.col("_schedule") % len(tilts) + 1).cast("int"))
     middle = F.col("copy") * F.col("source_size") + F.col("start") + F.col("size") / 2
-    df = df.withColumn("position", _due(middle, F.col("target"), tilt))
+    df = df.withColumn("position", _due(middle, F.col("target"), _tilt(tilts)))
     return df.drop("_copies").orderBy("position", "doc_id", "copy")
+
+
+def exact_curriculum(mixed: DataFrame, tilts: tuple[float, ...] = TILTS) -> DataFrame:
+    """Like curriculum(), to a word: the last copy of a source ends at the target, and `words` tells
+    what each copy gives. Documents of which nothing is due stay, last, with null copy and words."""
+    passes = F.ceil((F.round("target").cast("long") - F.col("start")) / F.greatest(F.col("source_size"), F.lit(1))).cast("int")
+    due = F.when((F.col("size") > 0) & (passes > 0), F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1))
+    df = mixed.drop("taken").withColumn("copy", F.explode_outer(due))
+    begin = F.col("copy") * F.col("source_size") + F.col("start")
+    moment = lambda at: _due(at, F.col("target"), _tilt(tilts))
+    upto = lambda at: _demand(moment(at), F.col("target"), _tilt(tilts))
+    df = df.withColumn("words", upto(begin + F.col("size")) - upto(begin))
+    df = df.withColumn("position", F.when(F.col("copy").isNotNull(), moment(begin + F.col("words") / 2)))
+    return df.orderBy(F.col("position").asc_nulls_last(), "doc_id", "copy")
+
+
+def dealt(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each row of mixed, in training order: taken is the sum of its copies in the exact
+    curriculum, which is written as it is sorted, and position the first of theirs."""
+    row = [key, "source", "start", "size", "source_size", "target"]
+    order = stored(exact_curriculum(mixed.select(*row, "_schedule")))
+    # rows with words differ in source or start
+    due = order.filter("copy is not null").groupBy(*row).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    rest = order.filter("copy is null").select(*row, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position"))
+    return due.unionByName(rest).orderBy(F.col("position").asc_nulls_last(), key)

@@ -31,7 +31,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs)
+    mixed = mixing.dealt(mixing.mix(docs))
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 

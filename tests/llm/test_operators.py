@@ -179,6 +179,37 @@ def test_curriculum_order(spark):
     assert mean("a") < mean("b")  # a's tilt is early
 
 
+def test_mixing_rows_come_from_the_curriculum(spark):
+    """op7's rows stand in training order, and every copy, cut ones too, lies on the cumulative demand."""
+    df = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text", "source")
+    plain = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    got = queries.op7_mixing(spark, SF).collect()
+    assert {r["doc_id"]: r["taken"] for r in got} == {i: r["taken"] for i, r in plain.items()}
+
+    def first(doc_id):
+        r = plain[doc_id]
+        if not r["taken"]:
+            return 2.0
+        tilt = mixing.TILTS[r["_schedule"]]
+        x = min(1.0, (r["start"] + min(r["size"], round(r["target"]) - r["start"]) / 2) / r["target"])
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            t = (lo + hi) / 2
+            lo, hi = (t, hi) if t + tilt * t * (1 - t) < x else (lo, t)
+        return lo
+
+    at = [first(r["doc_id"]) for r in got]
+    assert len(set(at)) > 50 and all(a <= b + 1e-9 for a, b in itertools.pairwise(at))
+
+
+def test_exact_curriculum_of_odd_rows(spark):
+    df = odd(spark).unionByName(docs(spark, ["", "", "two words", "two words"], [77, 77, 78, 78], ["s", "s", "t", "t"]))
+    mixed = mixing.mix(df)
+    cols = ("doc_id", "size", "source_size", "target", "taken")
+    assert collected(mixing.dealt(mixed), *cols) == collected(mixed, *cols)
+    assert mixing.dealt(mixing.mix(docs(spark, []))).count() == 0
+
+
 def sets_of(texts, width):
     out = []
     for t in texts:
