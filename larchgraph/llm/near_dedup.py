@@ -8,9 +8,10 @@
    at least SHALLOW values. Candidates thus grow with the classes, never with a group's square.
 3. Candidates whose whole signatures agree in at least ROUGH of the values join into regions. A
    region holds all classes that may be linked; in it, links are decided on full sets.
-4. A region of more than REGION classes is too much for one task. There the depth adapts: in each
-   tree, classes stay together down to the shallowest prefix that at most REGION of them share.
-   Links between such parts are found through the other trees.
+4. A region of more than REGION classes is too much for one task. It is cut into blocks by size of
+   set and hash, and every two blocks whose sets can be similar enough are compared by a task of
+   their own. So each pair of a region is decided at every size, at a cost that grows with the
+   square of a large region.
 5. Links join into components.
 
 A document's set: distinct `width`-word shingles of the lower-cased (A-Z) text; with fewer words,
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larchgraph.llm import bpe
@@ -36,7 +37,7 @@ from larchgraph.llm.token_counts import by_bytes
 
 WIDTH, PERCENT = 4, 80
 TREES, DEPTH, SHALLOW, NEAR, ROUGH = 16, 12, 3, 4, 0.55
-#: Classes, and shingles, of a region or part that one task decides.
+#: Classes, and shingles, of a region, or of two blocks of a larger one, that one task decides.
 REGION, REGION_SHINGLES = 4096, 3_000_000
 #: Bytes of text worked on at once, and classes of small regions that share a task.
 CHUNK, TOGETHER = 1_000_000, 4000
@@ -191,8 +192,9 @@ def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a == b).mean(1))
 
 
-def exact_links(h: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """The component (least index) of each set under links decided on the full sets.
+def exact_links(h: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """The component (least index) of each set under links decided on the full sets; with `side`,
+    under links between sets of side 0 and sets of side 1 alone.
 
     Bitmaps of element parities bound the symmetric difference from below; only pairs within the
     bound that no chain of links joins yet are compared in full."""
@@ -202,36 +204,30 @@ def exact_links(h: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     bits = np.zeros((m, 2048), np.uint8)
     np.add.at(bits, (doc, (h >> np.uint64(53)).astype(np.int64)), 1)
     maps = np.packbits(bits & 1, axis=1).view(np.uint64)
-    parent = np.arange(m)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    label = np.arange(m)
     order = np.argsort(n, kind="stable")
-    size, maps = n[order], maps[order]
-    for i in range(m - 1):
+    ours, theirs = (order, order) if side is None else (order[side[order] == 0], order[side[order] == 1])
+    size, others = n[theirs], maps[theirs]
+    for i, own in enumerate(ours.tolist()):
         # 100 * |smaller| >= percent * |larger| is needed
-        upto = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
-        if upto <= i + 1:
+        upto = int(np.searchsorted(size, 100 * n[own] // percent, "right"))
+        since = i + 1 if side is None else int(np.searchsorted(size, -(-percent * n[own] // 100), "left"))
+        if upto <= since:
             continue
-        apart = np.bitwise_count(maps[i + 1 : upto] ^ maps[i]).sum(1, dtype=np.int64)
+        apart = np.bitwise_count(others[since:upto] ^ maps[own]).sum(1, dtype=np.int64)
         # |x and y| = (|x| + |y| - apart) / 2: the link's bound in terms of `apart`
-        total = size[i + 1 : upto] + size[i]
+        total = size[since:upto] + n[own]
         near = np.flatnonzero(100 * (total - apart) >= percent * (total + apart))
-        own = order[i]
-        for j in near[np.argsort(apart[near], kind="stable")].tolist():
-            other = order[i + 1 + j]
-            ra, rb = root(own), root(other)
+        near = theirs[since + near[np.argsort(apart[near], kind="stable")]]
+        for other in near[label[near] != label[own]].tolist():
+            ra, rb = label[own], label[other]
             if ra == rb:
                 continue
             x, y = h[starts[own] : starts[own] + n[own]], h[starts[other] : starts[other] + n[other]]
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= percent * (len(x) + len(y) - common):
-                parent[max(ra, rb)] = min(ra, rb)
-    return np.array([root(i) for i in range(m)], np.int64)
+                label[label == max(ra, rb)] = min(ra, rb)
+    return label.astype(np.int64)
 
 
 def _decide(width: int, percent: int):
@@ -239,11 +235,11 @@ def _decide(width: int, percent: int):
         t = t.sort_by([("part", "ascending"), ("rep", "ascending")])
         h, n = shingles(t.column("text").combine_chunks(), width)
         ends = np.cumsum(n)
-        part = t.column("part").to_numpy()
+        part, side = t.column("part").to_numpy(), t.column("side").to_numpy()
         edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         low = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = exact_links(h[ends[a] - n[a] : ends[b - 1]], n[a:b], percent)
+            own = exact_links(h[ends[a] - n[a] : ends[b - 1]], n[a:b], percent, None if side[a] < 0 else side[a:b])
             low.append(own + a)
         low = np.concatenate(low)
         rows = np.flatnonzero(low != np.arange(len(low)))
@@ -253,26 +249,39 @@ def _decide(width: int, percent: int):
     return run
 
 
-def _parts(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, part, weight): what is decided together. Small regions are one part each; in large
-    ones each tree deals its classes by the shallowest prefix that few enough share."""
+def _parts(members: DataFrame, percent: int) -> DataFrame:
+    """(rep, part, side, alone): what is decided together. Small regions are one part each, of side
+    -1. In large ones a band holds the sets of similar size, so that links stay in a band or lead
+    to the next one; bands are cut into blocks by hash. A part is one block (side -1), or two of
+    a band or of neighbouring bands (sides 0 and 1); it is alone in its group."""
     size = members.groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     size = size.withColumn("large", (F.col("n") > REGION) | (F.col("s") > REGION_SHINGLES) & (F.col("n") > 2))
     members = stored(members.join(size.select("region", "large"), "region"))
-    small = members.filter("not large").select("rep", F.xxhash64("region").alias("part"))
+    small = members.filter("not large").select("rep", F.xxhash64("region").alias("part"), F.lit(-1).alias("side"), F.lit(False).alias("alone"))
     if not members.filter("large").limit(1).count():
         return small
-    large = members.filter("large").select("rep", "region", "n_shingles").join(classes.select("rep", "sig"), "rep")
-    keyed = large.select("rep", "region", "n_shingles", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    keyed = keyed.select("rep", "region", "n_shingles", "tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key"))
-    deep = keyed.withColumn("d", F.explode(F.sequence(F.lit(SHALLOW), F.lit(DEPTH))))
-    deep = deep.withColumn("part", F.xxhash64("region", "tree", "d", F.substring("key", F.lit(1), F.col("d") * 2)))
-    load = deep.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    fits = (F.col("n") <= REGION) & (F.col("s") <= REGION_SHINGLES)
-    chosen = deep.join(load, "part").filter(fits | (F.col("d") == DEPTH)).groupBy("rep", "tree").agg(F.min(F.struct("d", "part", "n", "s")).alias("x"))
-    # beyond the last value a part is split at random; its classes agree in all values of the key
-    shares = F.ceil(F.greatest(F.col("x.n") / REGION, F.col("x.s") / REGION_SHINGLES))
-    return small.unionByName(chosen.select("rep", F.xxhash64("x.part", F.pmod(F.xxhash64("rep", "tree"), shares)).alias("part")))
+    # a band is a little wider than the ratio of linked sizes: rounding cannot lead past the next one
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(max(100 / percent, 1.05) * 1.001)))
+    large = members.filter("large").select("rep", "region", "n_shingles", band.alias("band"))
+    load = large.groupBy("region", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    load = load.withColumn("blocks", F.ceil(2 * F.greatest(F.col("n") / REGION, F.col("s") / REGION_SHINGLES)).cast("int"))
+    ranked = Window.partitionBy("region").orderBy("band")  # as many rows as bands
+    beside = lambda by, at: F.when(at("band").over(ranked) == F.col("band") + by, at("blocks").over(ranked))
+    load = load.withColumn("above", F.coalesce(beside(1, F.lead), F.lit(0))).withColumn("below", F.coalesce(beside(-1, F.lag), F.lit(0)))
+    large = large.join(load.select("region", "band", "blocks", "above", "below"), ["region", "band"])
+    large = large.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda j: j < F.col(n))
+    i, b = F.col("i"), F.col("band")
+
+    def pair(low, x, high, y, side):
+        return F.struct(low.alias("low"), x.alias("x"), high.alias("high"), y.alias("y"), side.cast("int").alias("side"))
+
+    own = F.transform(upto("blocks"), lambda j: pair(b, F.least(i, j), b, F.greatest(i, j), F.when(i == j, -1).when(i < j, 0).otherwise(1)))
+    over = F.transform(upto("above"), lambda j: pair(b, i, b + 1, j, F.lit(0)))
+    under = F.transform(upto("below"), lambda j: pair(b - 1, j, b, i, F.lit(1)))
+    dealt = large.select("rep", "region", F.explode(F.concat(own, over, under)).alias("p"))
+    part = F.xxhash64("region", "p.low", "p.x", "p.high", "p.y")
+    return small.unionByName(dealt.select("rep", part.alias("part"), F.col("p.side").alias("side"), F.lit(True).alias("alone")))
 
 
 def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -283,9 +292,10 @@ def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, p
     rough = pairs.join(sig("a"), "a").join(sig("b"), "b").filter(F.pandas_udf(_agreement, "double")("sig_a", "sig_b") >= ROUGH).select("a", "b")
     regions = components(rough).withColumnsRenamed({"node": "rep", "component": "region"})
     members = regions.join(classes.select("rep", "n_shingles"), "rep")
-    parts = stored(_parts(members, classes))
-    n = parts.count()
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(max(partitions(spark), -(-n // TOGETHER)))))
+    parts = stored(_parts(members, percent))
+    n = parts.filter("not alone").count()
+    together = F.pmod(F.xxhash64("part"), F.lit(max(partitions(spark), -(-n // TOGETHER))))
+    parts = parts.withColumn("bucket", F.when(F.col("alone"), F.col("part")).otherwise(together)).drop("alone")
     # parts grow with the input: both sides are sorted and merged at every size, none is broadcast
     texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).hint("merge")
     jobs = parts.join(texts, "rep")

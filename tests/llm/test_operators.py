@@ -272,6 +272,46 @@ def test_near_duplicates_in_parts_of_a_large_region(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == components_of(sets_of(texts, 4), list(range(300)), 80)
 
 
+def isolated_pairs(n, pairs):
+    """A family of texts of mutual similarity about 0.7, with pairs of about 0.8 and no chain."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+
+    def own(words, changes, fresh):
+        out = list(words)
+        for at in rng.sample(range(0, 400, 4), changes):
+            out[at] = f"{fresh}x{at}"
+        return out
+
+    texts = [own(base, 17, f"a{k}") for k in range(n)]
+    for k in range(pairs):
+        texts.append(own(texts[k], 10, f"b{k}"))
+    return [" ".join(t) for t in texts]
+
+
+def test_isolated_pairs_in_a_large_region(spark, monkeypatch):
+    """No link is lost in a region above the limit, where no chain repairs it."""
+    monkeypatch.setattr(near_dedup, "REGION", 20)
+    texts = isolated_pairs(260, 130)
+    want = components_of(sets_of(texts, 4), list(range(len(texts))), 80)
+    assert max(Counter(want.values()).values()) == 2 and len(set(want.values())) == 260
+    got = near_dedup.near_duplicates(docs(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_links_between_bands_of_size(spark, monkeypatch, percent):
+    """Sets of many sizes, each nested in the next, around every border of 100 * small = percent * large."""
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    ids = list(range(1, 90))
+    members = spark.createDataFrame([(i, 0, i) for i in ids], "rep bigint, region bigint, n_shingles bigint")
+    met = defaultdict(list)
+    for r in near_dedup._parts(members, percent).collect():
+        met[r["part"]].append((r["rep"], r["side"]))
+    pairs = Counter(tuple(sorted((x, y))) for rows in met.values() for (x, a), (y, b) in itertools.combinations(rows, 2) if a == -1 or a != b)
+    assert all(pairs[x, y] == 1 for x, y in itertools.combinations(ids, 2) if 100 * x >= percent * y) and set(pairs.values()) == {1}
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark).union(docs(spark, ["same text here now"], [9]))).collect()
     by = defaultdict(set)
