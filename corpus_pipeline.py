@@ -23,8 +23,9 @@ LINE_DOCS, LINE_CHARS = 10, 1
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts good."""
-    model = pairwise_quality.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return pairwise_quality.scored(docs, model).filter("predicted = 1").select(*COLUMNS)
+    docs = stored(pairwise_quality.features(docs.select(*COLUMNS)))
+    model = pairwise_quality.learn(docs, table(spark, sf_dir, "labels"), measured=True)
+    return pairwise_quality.scored(docs, model, measured=True).filter("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

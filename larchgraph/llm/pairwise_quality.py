@@ -3,10 +3,11 @@
 Features are ratios of the whole text, computed by built-in functions. From labelled rows come
 preference pairs (a good and a bad document); a document's utility is linear in its features and
 the weights minimise the logistic loss of utility differences. The threshold is a score quantile:
-the utility below which the labelled sample's share of bad documents lies scores exactly CUT.
+the utility below which as many labelled rows lie as are bad scores exactly CUT.
 
-The fit uses at most SAMPLE labelled rows of each label, those with the least hash of doc_id, and
-PAIRS pairs of them; scoring covers every row. Rows held out (crc32 of doc_id, as text, divisible
+The weights' fit uses at most SAMPLE labelled rows of each label, those with the least hash of
+doc_id, and PAIRS pairs of them; the quantile is taken over all labelled rows that are not held
+out, and scoring covers every row. Rows held out (crc32 of doc_id, as text, divisible
 by FOLDS) are never learned from. Labels without both classes give weight 0: all scores are equal
 and predicted 1. Null and empty texts have features 0 and are scored like any other. Repeated
 rows repeat their score; extra columns pass through.
@@ -19,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.llm import quality_rules
-from larchgraph.llm.common import UPPER
+from larchgraph.llm.common import UPPER, stored
 
 SAMPLE, PAIRS, FOLDS, CUT, RIDGE = 2000, 60_000, 5, 0.3, 1e-3
+#: Bins of a histogram that narrows a quantile.
+BINS = 1000
 FEATURES = ("symbols", "upper", "shouts", "pipes", "digits", "repeats", "dup_lines", "stops", "word_length", "line_length", "few_words", "length")
 
 
@@ -54,7 +57,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """(weights, cut): Newton steps on the pairs' logistic loss, and the quantile's utility."""
+    """(weights, cut): Newton steps on the pairs' logistic loss, and the quantile of these rows' utility."""
     good, bad = x[y == 1], x[y == 0]
     if not len(good) or not len(bad):
         return np.zeros(x.shape[1]), 0.0
@@ -79,28 +82,66 @@ def _cut(utility: np.ndarray, y: np.ndarray) -> float:
     return float((ranked[k - 1] + ranked[min(k, len(ranked) - 1)]) / 2)
 
 
+def known_labels(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """(_key, _label) of the labelled rows that are not held out."""
+    return labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """At most 2 * sample labelled rows, none held out."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+    known = known_labels(labels, key, label)
     parts = [known.filter(F.col("_label") == v).orderBy(F.xxhash64("_key"), "_key").limit(sample) for v in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     return docs.join(F.broadcast(chosen), docs[key] == chosen["_key"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    rows = features(training_rows(docs.select(key, text), labels, key, label, sample), text).select("_key", "_label", "_features").orderBy("_key", "_label").collect()
+def _ranked(values: DataFrame, k: int) -> float:
+    """The k-th least (from 1) of the column `u`: histograms narrow on it until one value is left."""
+    lo, hi = values.agg(F.min("u"), F.max("u")).first()
+    while lo < hi:
+        inside = values.filter(F.col("u").between(lo, hi))
+        bin_ = F.least(F.floor((F.col("u") - lo) / ((hi - lo) / BINS)), F.lit(BINS - 1))
+        bins = inside.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).orderBy("bin").collect()
+        # ranks are counted from lo on: rows below it are gone from k
+        for b in bins:
+            if k <= b["n"]:
+                break
+            k -= b["n"]
+        lo, hi = b["lo"], b["hi"]
+    return lo
+
+
+def _utility(weights: np.ndarray, start: Column) -> Column:
+    for i, w in enumerate(weights.tolist()):
+        start = start + F.col("_features")[i] * F.lit(w)
+    return start
+
+
+def _whole_cut(measured: DataFrame, labels: DataFrame, weights: np.ndarray, key: str, label: str) -> float:
+    """_cut over all labelled rows that are not held out."""
+    known = known_labels(labels, key, label).hint("merge")
+    utilities = measured.select(F.col(key).alias("_key"), _utility(weights, F.lit(0.0)).alias("u"))
+    rows = stored(utilities.join(known, "_key").select("u", "_label"))
+    n, bad = rows.agg(F.count("*"), F.count_if(F.col("_label") == 0)).first()
+    return (_ranked(rows, bad) + _ranked(rows, min(bad + 1, n))) / 2
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, measured: bool = False) -> tuple[np.ndarray, float]:
+    """(weights, cut). measured: docs have `_features` already, as of features()."""
+    known = docs.select(key, "_features") if measured else stored(features(docs.select(key, text), text).select(key, "_features"))
+    rows = training_rows(known, labels, key, label, sample).select("_key", "_label", "_features").orderBy("_key", "_label").collect()
     if not rows:
         return np.zeros(len(FEATURES)), 0.0
-    return fit(np.array([r["_features"] for r in rows]), np.array([r["_label"] for r in rows]))
+    weights, cut = fit(np.array([r["_features"] for r in rows]), np.array([r["_label"] for r in rows]))
+    return (weights, _whole_cut(known, labels, weights, key, label)) if np.any(weights) else (weights, cut)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", cut: float = CUT) -> DataFrame:
-    """docs with score and predicted."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", cut: float = CUT, measured: bool = False) -> DataFrame:
+    """docs with score and predicted. measured: docs have `_features` already, as of features()."""
     weights, middle = model
-    utility = F.lit(-float(middle))
-    df = features(docs.drop("score", "predicted"), text)
-    for i, w in enumerate(weights.tolist()):
-        utility = utility + F.col("_features")[i] * F.lit(w)
+    df = docs.drop("score", "predicted")
+    df = df if measured else features(df, text)
+    utility = _utility(weights, F.lit(-float(middle)))
     lift = float(np.log(cut / (1 - cut))) if np.any(weights) else 0.0
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), utility + lift))))
     df = df.withColumn("score", score)

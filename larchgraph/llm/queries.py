@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larchgraph.llm import line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
-from larchgraph.llm.common import table
+from larchgraph.llm.common import stored, table
 
 SHARDS = 40
 
@@ -41,9 +41,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = pairwise_quality.learn(docs, table(spark, sf_dir, "labels"))
+    docs = stored(pairwise_quality.features(docs).select("doc_id", "_features"))
+    model = pairwise_quality.learn(docs, table(spark, sf_dir, "labels"), measured=True)
     held = pairwise_quality.held_out("doc_id").alias("held_out")
-    return pairwise_quality.scored(docs, model).select("doc_id", held, "score", "predicted")
+    return pairwise_quality.scored(docs, model, measured=True).select("doc_id", held, "score", "predicted")
 
 
 def tokenizer(name: str) -> str:
