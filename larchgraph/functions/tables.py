@@ -31,4 +31,14 @@ def stored(df: DataFrame) -> DataFrame:
     """df, written once as a table in the shared folder and read back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that stored() wrote. Only for those that nothing unwritten still reads."""
+    for t in tables:
+        if path := t.__dict__.pop("stored_at", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
