@@ -5,6 +5,10 @@ restart interval is a lane, and one step decodes one symbol in every lane. A DC-
 thumbnail has one pixel for each 8 x 8 block. Encoding writes grey images whose quantised
 coefficients are given, with restart intervals of a few blocks, so that decoding has many lanes.
 
+Both work on slices of whole restart intervals, so memory beside the images themselves and their
+coefficients does not grow with an image. A file with a scan for each component is read as far as
+the scan that holds the first component, the luminance.
+
 Not baseline, or damaged: the status says so and the image gives no pixels.
 """
 
@@ -18,6 +22,8 @@ import numpy as np
 
 #: Blocks in a restart interval, and blocks across, of what encode() writes.
 INTERVAL, ACROSS = 8, 64
+#: Blocks encoded at once, a multiple of INTERVAL, and bytes of scans decoded at once.
+SLICE_BLOCKS, SLICE_BYTES = 12_000, 1 << 20
 
 
 def canonical(counts: list[int], symbols: list[int]) -> list[tuple[int, int, int]]:
@@ -85,12 +91,32 @@ def encode(images: list[np.ndarray], comments: list[bytes]) -> list[bytes]:
 
     Blocks of zeros fill the last row of blocks."""
     heads = [_header(len(x), c) for x, c in zip(images, comments, strict=True)]
-    total = np.array([n for _, n in heads], np.int64)
+    out = [[head] for head, _ in heads]
+    todo: list[tuple[int, int, int]] = []  # image, first block, blocks: whole intervals but at an image's end
+    room = SLICE_BLOCKS
+    for i, (_, total) in enumerate(heads):
+        at = 0
+        while at < total:
+            n = min(total - at, room)
+            todo.append((i, at, n))
+            at, room = at + n, (room - n) // INTERVAL * INTERVAL
+            if not room:
+                _encode_slice(images, todo, out)
+                todo, room = [], SLICE_BLOCKS
+    if todo:
+        _encode_slice(images, todo, out)
+    return [b"".join(x) + b"\xff\xd9" for x in out]
+
+
+def _encode_slice(images: list[np.ndarray], todo: list[tuple[int, int, int]], out: list[list[bytes]]) -> None:
+    """Adds the coded intervals of a few parts of images to their images' bytes."""
+    total = np.array([n for _, _, n in todo], np.int64)
     coef = np.zeros((int(total.sum()), 64), np.int32)
     base = np.cumsum(total) - total
-    for x, b in zip(images, base.tolist(), strict=True):
-        coef[b : b + len(x)] = x
-    within = np.arange(len(coef)) - np.repeat(base, total)
+    for (i, at, n), b in zip(todo, base.tolist(), strict=True):
+        own = images[i][at : at + n]
+        coef[b : b + len(own)] = own
+    within = np.arange(len(coef)) - np.repeat(base - np.array([at for _, at, _ in todo]), total)
     opens = within % INTERVAL == 0
     diff = coef[:, 0].copy()
     diff[1:] -= np.where(opens[1:], 0, coef[:-1, 0])
@@ -122,7 +148,9 @@ def encode(images: list[np.ndarray], comments: list[bytes]) -> list[bytes]:
     at = np.cumsum(length.ravel()) - length.ravel() + np.repeat(byte0 * 8 - (np.cumsum(used) - used), np.diff(np.append(starts, len(coef))) * 65)
     stream = _packed(bits.ravel(), length.ravel(), at, int(room.sum()))
     stream[byte0 + room - 1] |= ((1 << (room * 8 - used)) - 1).astype(np.uint8)
-    return _assembled(stream, byte0, room, within[starts] // INTERVAL, np.repeat(np.arange(len(heads)), -(-total // INTERVAL)), [h for h, _ in heads])
+    parts = _assembled(stream, byte0, room, within[starts] // INTERVAL, np.searchsorted(starts, base))
+    for (i, _, _), part in zip(todo, parts, strict=True):
+        out[i].append(part)
 
 
 def _packed(bits: np.ndarray, length: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -140,8 +168,9 @@ def _packed(bits: np.ndarray, length: np.ndarray, at: np.ndarray, size: int) ->
     return out.astype(np.uint8)
 
 
-def _assembled(stream: np.ndarray, byte0: np.ndarray, room: np.ndarray, index: np.ndarray, image: np.ndarray, heads: list[bytes]) -> list[bytes]:
-    """Stuffs a 0 after each FF byte, puts restart markers between intervals, adds the headers."""
+def _assembled(stream: np.ndarray, byte0: np.ndarray, room: np.ndarray, index: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    """Stuffs a 0 after each FF byte and puts restart markers before all intervals of an image but
+    its first; cut before the intervals `firsts`. index: an interval's place in its image."""
     full = stream == 255
     extra = np.cumsum(full) - full
     marker = np.where(index > 0, 2, 0)
@@ -151,9 +180,8 @@ def _assembled(stream: np.ndarray, byte0: np.ndarray, room: np.ndarray, index: n
     body[place] = stream
     tags = np.flatnonzero(marker)
     body[place[byte0[tags]] - 2], body[place[byte0[tags]] - 1] = 255, 0xD0 + (index[tags] - 1) % 8
-    lanes = np.flatnonzero(index == 0)
-    edges = np.append(place[byte0[lanes]], len(body))
-    return [h + body[a:b].tobytes() + b"\xff\xd9" for h, a, b in zip(heads, edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    edges = np.append(place[byte0[firsts]] - marker[firsts], len(body)).tolist()
+    return [body[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 @dataclass
@@ -170,8 +198,20 @@ class Image:
     data: tuple[int, int] = (0, 0)
 
 
+def _scan_end(blob: bytes, at: int) -> int:
+    """Where the next marker stands that is no restart."""
+    while True:
+        at = blob.index(b"\xff", at)
+        if blob[at + 1] == 0 or 0xD0 <= blob[at + 1] <= 0xD7:
+            at += 2
+        elif blob[at + 1] == 0xFF:
+            at += 1
+        else:
+            return at
+
+
 def parse(blob: bytes) -> Image:
-    """Markers up to the first scan. Only sequential 8-bit Huffman images with one scan decode."""
+    """Markers up to the scan that holds the first component. Only sequential 8-bit Huffman images decode."""
     out, at = Image(), 2
     try:
         if blob[:2] != b"\xff\xd8":
@@ -201,6 +241,8 @@ def parse(blob: bytes) -> Image:
                 out.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
                 if depth != 8 or not out.width or not out.height:
                     return Image("not baseline")
+                if not n or any(not 1 <= x <= 4 for _, h, v, _ in out.parts for x in (h, v)):
+                    return Image("damaged")
             elif 0xC2 <= kind <= 0xCF and kind != 0xCC:
                 return Image("not baseline")
             elif kind == 0xDD:
@@ -209,10 +251,14 @@ def parse(blob: bytes) -> Image:
                 out.comment = bytes(body)
             elif kind == 0xDA:
                 out.scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
-                out.data = (at, len(blob))
-                if [x[0] for x in out.scan] != [x[0] for x in out.parts]:
-                    return Image("not baseline")  # a scan for each component
-                return out
+                ids = [x[0] for x in out.parts]
+                if not out.scan or not set(x[0] for x in out.scan) <= set(ids) or len(set(ids)) < len(ids):
+                    return Image("damaged")
+                if out.scan[0][0] == ids[0]:
+                    whole = len(out.scan) == len(ids)
+                    out.data = (at, len(blob) if whole else _scan_end(blob, at))
+                    return out if [x[0] for x in out.scan] == ids[: len(out.scan)] else Image("not baseline")
+                at = _scan_end(blob, at)  # another component's scan comes first
             elif kind == 0xD9:
                 return Image("damaged")
     except (IndexError, struct.error, ValueError):
@@ -235,16 +281,19 @@ def _lut(table: tuple) -> np.ndarray:
 
 
 def decode(blobs: list[bytes | None], whole: bool = False) -> list[tuple[Image, np.ndarray | None, np.ndarray | None]]:
-    """(image, thumbnail, coefficients) of each; coefficients, in zigzag order and scan order, only
-    where `whole` is set, else Huffman codes are read and AC values passed over."""
+    """(image, thumbnail, coefficients) of each; coefficients of the scan that holds the first
+    component, in zigzag order and scan order, only where `whole` is set, else Huffman codes are
+    read and AC values passed over."""
     images = [Image("null") if b is None else parse(b) for b in blobs]
     alike: dict[tuple, list[int]] = {}
     for i, im in enumerate(images):
         if im.status == "ok":
             try:
-                key = tuple((im.tables[d], im.tables[16 + a], h, v) for (_, d, a), (_, h, v, q) in zip(im.scan, im.parts, strict=True) if im.quant[q] is not None)
+                im.quant[im.parts[0][3]][0]
+                most = max(p[1] for p in im.parts), max(p[2] for p in im.parts)
+                key = (most, tuple((im.tables[d], im.tables[16 + a], h, v) for (_, d, a), (_, h, v, _) in zip(im.scan, im.parts, strict=False)))
                 alike.setdefault(key, []).append(i)
-            except KeyError:
+            except (KeyError, IndexError):
                 images[i] = Image("damaged")
     out: list = [(im, None, None) for im in images]
     for key, group in alike.items():
@@ -267,26 +316,23 @@ def _lanes(images: list[Image], blobs: list[bytes]) -> tuple[np.ndarray, np.ndar
     drop[at[follows == 0] + 1] = True
     restart = at[(follows >= 0xD0) & (follows <= 0xD7)]
     drop[restart] = drop[restart + 1] = True
-    kept = np.concatenate([[0], np.cumsum(~drop)])
     starts = np.concatenate([edges, restart + 2])
     owner = np.concatenate([np.arange(len(images)), np.searchsorted(edges, restart, "right") - 1])
     order = np.lexsort((starts, owner))
-    return data[~drop], owner[order], kept[starts[order]]
+    starts = starts[order]
+    return data[~drop], owner[order], starts - np.searchsorted(np.flatnonzero(drop), starts)
 
 
 def _decode_alike(key: tuple, images: list[Image], blobs: list[bytes], whole: bool) -> list:
+    """decode() of images with the same tables and sampling."""
+    (most_h, most_v), scan = key
     data, owner, first = _lanes(images, blobs)
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    win = np.zeros(len(data) + 8, np.uint64)
-    for j in range(8):
-        win |= padded[j : j + len(win)].astype(np.uint64) << np.uint64(56 - 8 * j)
-    single = len(key) == 1
-    pattern = [c for c, (_, _, h, v) in enumerate(key) for _ in range(1 if single else h * v)]
-    most_h, most_v = max(k[2] for k in key), max(k[3] for k in key)
+    single = len(scan) == 1
+    pattern = np.array([c for c, (_, _, h, v) in enumerate(scan) for _ in range(1 if single else h * v)], np.int64)
     mcus = []
     for im in images:
-        unit = (8, 8) if single else (8 * most_h, 8 * most_v)
-        mcus.append((-(-im.width // unit[0]), -(-im.height // unit[1])))
+        w, h = (im.width * scan[0][2], im.height * scan[0][3]) if single else (im.width, im.height)
+        mcus.append((-(-w // (8 * most_h)), -(-h // (8 * most_v))))
     n_mcu = np.array([a * b for a, b in mcus], np.int64)
     interval = np.array([im.interval for im in images], np.int64)
     interval = np.where(interval == 0, n_mcu, interval)
@@ -294,23 +340,48 @@ def _decode_alike(key: tuple, images: list[Image], blobs: list[bytes], whole: bo
     rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
     todo = np.clip(n_mcu[owner] - rank * interval[owner], 0, interval[owner]) * len(pattern)
     blocks = n_mcu * len(pattern)
+    # a block takes two bits at least; lanes that are missing leave blocks without data
+    bad = (np.bincount(owner, todo, len(images)) < blocks) | (4 * np.array([b - a for a, b in (im.data for im in images)]) < blocks)
+    blocks[bad] = 0
     base = np.cumsum(blocks) - blocks
+    todo[bad[owner]] = 0
     start = base[owner] + rank * interval[owner] * len(pattern)
-    width = 64 if whole else 1
-    out = np.zeros(int(blocks.sum()) * width, np.int32)
-    seen = np.bincount(owner, todo, len(images))
-    bad = seen < blocks
-    luts = np.concatenate([x for dc, ac, _, _ in key for x in (_lut(dc), _lut(ac))])
-    comp = np.array(pattern, np.int64)
+    out = np.zeros((int(blocks.sum()), 64 if whole else 1), np.int16 if whole else np.int32)
+    luts = np.concatenate([x for dc, ac, _, _ in scan for x in (_lut(dc), _lut(ac))])
+    stops = np.append(first[1:], len(data))
     lane = np.flatnonzero(todo > 0)
-    pos, blk, k = first[lane] * 8, np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
-    todo, start, own = todo[lane], start[lane], owner[lane]
-    pred = np.zeros((len(lane), len(key)), np.int64)
+    cuts = np.flatnonzero(np.diff(first[lane] // SLICE_BYTES, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts, len(lane)][1:], strict=True):
+        own = lane[a:b]
+        lo, hi = int(first[own[0]]), int(stops[own[-1]])
+        broken = _decode_lanes(data[lo:hi], first[own] - lo, todo[own], start[own], pattern, len(scan), luts, out)
+        bad[owner[own[broken]]] = True
+    result = []
+    for i, im in enumerate(images):
+        if bad[i]:
+            result.append((Image("damaged"), None, None))
+            continue
+        part = out[base[i] : base[i] + blocks[i]]
+        result.append((im, _thumbnail(im, key, part[:, 0].astype(np.int64), mcus[i]), part if whole else None))
+    return result
+
+
+def _decode_lanes(data: np.ndarray, first: np.ndarray, todo: np.ndarray, start: np.ndarray, pattern: np.ndarray, parts: int, luts: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Decodes lanes side by side, one symbol in each at a step, into `out` from block `start` on;
+    gives the lanes that are broken."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    win = np.zeros(len(data) + 8, np.uint64)
+    for j in range(8):
+        win |= padded[j : j + len(win)].astype(np.uint64) << np.uint64(56 - 8 * j)
+    whole = out.shape[1] == 64
+    bad = np.zeros(len(first), bool)
+    own, pos, blk, k = np.arange(len(first)), first * 8, np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    pred = np.zeros((len(first), parts), np.int64)
     end = len(data) * 8
     steps = 0
     one = np.uint64(1)
     while len(pos):
-        c = comp[blk % len(comp)] if len(comp) > 1 else 0
+        c = pattern[blk % len(pattern)] if parts > 1 else 0
         is_dc = k == 0
         w = win[np.minimum(pos, end) >> 3] << (pos & 7).astype(np.uint64)
         entry = luts[(2 * c + ~is_dc) * 65536 + (w >> np.uint64(48)).astype(np.int64)]
@@ -323,13 +394,13 @@ def _decode_alike(key: tuple, images: list[Image], blobs: list[bytes], whole: bo
         k = k + np.where(is_dc, 0, run)
         rows = np.flatnonzero(is_dc)
         if len(rows):
-            cc = c[rows] if len(comp) > 1 else 0
+            cc = c[rows] if parts > 1 else 0
             pred[rows, cc] += value[rows]
-            out[(start[rows] + blk[rows]) * width] = pred[rows, cc]
+            out[start[rows] + blk[rows], 0] = pred[rows, cc]
         broken = (n == 0) | (pos > end + 7) | (k > 63) & ~ends
         if whole:
             rows = np.flatnonzero(~is_dc & (size > 0) & ~broken)
-            out[(start[rows] + blk[rows]) * 64 + k[rows]] = value[rows]
+            out[start[rows] + blk[rows], k[rows]] = value[rows]
         k = np.where(ends, 64, k + 1)
         over = k >= 64
         blk, k = blk + over, np.where(over, 0, k)
@@ -338,31 +409,19 @@ def _decode_alike(key: tuple, images: list[Image], blobs: list[bytes], whole: bo
             todo = np.where(broken, 0, todo)
         steps += 1
         live = blk < todo
-        if steps % 32 == 0 or not live.any():
+        if not live.all():
             pos, blk, k, todo, start, own, pred = (x[live] for x in (pos, blk, k, todo, start, own, pred))
-        elif not live.all():
-            # finished lanes idle at a harmless place until they are taken out
-            blk = np.where(live, blk, np.maximum(todo - 1, 0))
-            idle = ~live
-            pos, blk, k, todo, start, own, pred = (x[~idle] for x in (pos, blk, k, todo, start, own, pred))
-    result = []
-    for i, im in enumerate(images):
-        if bad[i]:
-            result.append((Image("damaged"), None, None))
-            continue
-        part = out[base[i] * width : (base[i] + blocks[i]) * width].reshape(-1, width)
-        result.append((im, _thumbnail(im, key, part[:, 0], mcus[i], single), part if whole else None))
-    return result
+    return np.flatnonzero(bad)
 
 
-def _thumbnail(im: Image, key: tuple, dc: np.ndarray, mcus: tuple[int, int], single: bool) -> np.ndarray:
+def _thumbnail(im: Image, key: tuple, dc: np.ndarray, mcus: tuple[int, int]) -> np.ndarray:
+    (most_h, most_v), scan = key
     across, down = mcus
-    _, _, h, v = key[0]
-    h, v = (1, 1) if single else (h, v)
+    h, v = (1, 1) if len(scan) == 1 else scan[0][2:]
     per = len(dc) // (across * down)
     grid = dc.reshape(down, across, per)[:, :, : h * v].reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
     pixels = np.clip(np.rint(grid * int(im.quant[im.parts[0][3]][0]) / 8) + 128, 0, 255).astype(np.uint8)
-    return pixels[: -(-im.height // 8), : -(-im.width // 8)]
+    return pixels[: -(-im.height * scan[0][3] // (8 * most_v)), : -(-im.width * scan[0][2] // (8 * most_h))]
 
 
 def thumbnail_hash(pixels: np.ndarray) -> str:

@@ -6,7 +6,8 @@ one quantised coefficient under a quantiser of ones; `from_media` reads them bac
 comment says how many bytes it holds.
 
 Null media: status "null" and null columns. Damaged or non-baseline images: their status, no
-hash. A null or empty text is 64 zero bytes. Equal bytes give equal images.
+hash. A null or empty text is 64 zero bytes. Equal bytes give equal images. A long text is coded
+and decoded in slices: beside its bytes and coefficients it takes constant memory.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def padded(body: bytes) -> bytes:
 
 
 def to_media(payloads: list[bytes]) -> list[bytes]:
-    blocks = [np.frombuffer(p, np.int8).reshape(-1, UNIT).astype(np.int32) for p in payloads]
+    blocks = [np.frombuffer(p, np.int8).reshape(-1, UNIT) for p in payloads]
     return jpeg.encode(blocks, [b"bytes=%d" % len(p) for p in payloads])
 
 
