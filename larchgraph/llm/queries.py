@@ -21,11 +21,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    whole = table(spark, sf_dir, "documents")
+    docs = whole.select(
         "doc_id", sharding.sizes().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
     )
     placed = sharding.shards(docs, "doc_id", sharding.layout(SHARDS), sharding.layout(SHARDS + 1))
-    placed = sharding.numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot")
+    placed = sharding.numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot", whole.count())
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
