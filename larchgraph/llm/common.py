@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchgraph.functions.tables import stored, table
+from larchgraph.functions.tables import dropped, stored, table
 
-__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "partitions", "stored", "table", "words"]
+__all__ = ["LOWER", "SPACE", "UPPER", "ascii_lower", "dropped", "fresh", "partitions", "stored", "table", "words"]
 
 #: White space of the contracts: space and the control characters 9 to 13.
 SPACE = " \t\n\x0b\f\r"
@@ -26,3 +26,14 @@ def words(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has, so that no column of df is lost."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
