@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchgraph.llm.common import stored
+from larchgraph.llm.common import dropped, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = stored(small.filter("u <> v").distinct())
+        pairs, old = stored(small.filter("u <> v").distinct()), pairs
+        dropped(large, old)
         now = _mark(pairs)
         if now == mark:
             break

@@ -8,10 +8,12 @@
    at least SHALLOW values. Candidates thus grow with the classes, never with a group's square.
 3. Candidates whose whole signatures agree in at least ROUGH of the values join into regions. A
    region holds all classes that may be linked; in it, links are decided on full sets.
-4. A region of more than REGION classes is too much for one task. It is cut into blocks by size of
-   set and hash, and every two blocks whose sets can be similar enough are compared by a task of
-   their own. So each pair of a region is decided at every size, at a cost that grows with the
-   square of a large region.
+4. A region of more than REGION classes is too much for one task. Bands hold its sets of similar
+   size, so that links stay in a band or lead to the next one. First all of its classes, in blocks,
+   are compared with HUBS hubs of each band around them; near copies of one text mostly join there.
+   Then every class outside the largest component so found is compared with all classes of the
+   bands around it, block by block. So each pair of a region is decided, or its ends are joined
+   already. The first step grows with the region, the second with the region times what is left.
 5. Links join into components.
 
 A document's set: distinct `width`-word shingles of the lower-cased (A-Z) text; with fewer words,
@@ -27,20 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.llm import bpe
-from larchgraph.llm.common import partitions, stored
+from larchgraph.llm.common import dropped, partitions, stored
 from larchgraph.llm.components import components
 from larchgraph.llm.token_counts import by_bytes
 
 WIDTH, PERCENT = 4, 80
 TREES, DEPTH, SHALLOW, NEAR, ROUGH = 16, 12, 3, 4, 0.55
-#: Classes, and shingles, of a region, or of two blocks of a larger one, that one task decides.
-REGION, REGION_SHINGLES = 4096, 3_000_000
-#: Bytes of text worked on at once, and classes of small regions that share a task.
-CHUNK, TOGETHER = 1_000_000, 4000
+#: Classes, and shingles, of a region, or of two blocks of a larger one, that one task decides; hubs of a band.
+REGION, REGION_SHINGLES, HUBS = 1024, 1_000_000, 8
+#: Bytes of text worked on at once; classes, and shingles, of small regions that share a task.
+CHUNK, TOGETHER, TOGETHER_SHINGLES = 1_000_000, 2000, 1_000_000
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -171,7 +174,7 @@ def _walk(near: int, shallow: int, depth: int, tell_edges: bool):
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of neighbouring classes in some tree."""
+    """Distinct pairs (a, b) of neighbouring classes in some tree, written."""
     kind = classes.schema["rep"].dataType.simpleString()
     rows = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.select("tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key"), F.col("rep").alias("a"))
@@ -183,7 +186,9 @@ def candidates(classes: DataFrame) -> DataFrame:
     ends = found.filter("tree is not null").select("tree", "key", "a").repartition(1).sortWithinPartitions(*order)
     across = ends.mapInArrow(_walk(NEAR, SHALLOW, DEPTH, False), schema)
     pairs = found.filter("tree is null").unionByName(across).filter("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    dropped(found)
+    return pairs
 
 
 def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -232,75 +237,119 @@ def exact_links(h: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | N
 
 def _decide(width: int, percent: int):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("part", "ascending"), ("rep", "ascending")])
-        h, n = shingles(t.column("text").combine_chunks(), width)
-        ends = np.cumsum(n)
-        part, side = t.column("part").to_numpy(), t.column("side").to_numpy()
+        t = t.sort_by([("part", "ascending"), ("rep", "ascending")]).combine_chunks()
+        part, side, rep = t.column("part").to_numpy(), t.column("side").to_numpy(), t.column("rep").combine_chunks()
         edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        low = []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = exact_links(h[ends[a] - n[a] : ends[b - 1]], n[a:b], percent, None if side[a] < 0 else side[a:b])
-            low.append(own + a)
-        low = np.concatenate(low)
-        rows = np.flatnonzero(low != np.arange(len(low)))
-        rep = t.column("rep").combine_chunks()
-        return pa.table({"a": rep.take(pa.array(low[rows])), "b": rep.take(pa.array(rows))})
+        size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(t.column("text")), 0).to_numpy())])
+        a, b = [], []
+        at = 0
+        while at < len(edges) - 1:  # whole parts, up to CHUNK bytes of text at once
+            upto = max(at + 1, int(np.searchsorted(size[edges], size[edges[at]] + CHUNK, "right")) - 1)
+            first = int(edges[at])
+            h, n = shingles(t.column("text").slice(first, int(edges[upto]) - first).combine_chunks(), width)
+            ends = np.cumsum(n)
+            for lo, hi in zip((edges[at:upto] - first).tolist(), (edges[at + 1 : upto + 1] - first).tolist(), strict=True):
+                own = side[first + lo : first + hi]
+                low = exact_links(h[ends[lo] - n[lo] : ends[hi - 1]], n[lo:hi], percent, None if own[0] < 0 else own)
+                rows = np.flatnonzero(low != np.arange(hi - lo))
+                a.append(first + lo + low[rows])
+                b.append(first + lo + rows)
+            at = upto
+        return pa.table({"a": rep.take(pa.array(np.concatenate(a))), "b": rep.take(pa.array(np.concatenate(b)))})
 
     return run
 
 
-def _parts(members: DataFrame, percent: int) -> DataFrame:
-    """(rep, part, side, alone): what is decided together. Small regions are one part each, of side
-    -1. In large ones a band holds the sets of similar size, so that links stay in a band or lead
-    to the next one; bands are cut into blocks by hash. A part is one block (side -1), or two of
-    a band or of neighbouring bands (sides 0 and 1); it is alone in its group."""
-    size = members.groupBy("region").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+def _blocks() -> Column:
+    """Blocks of at most half of what one task decides, of n classes with s shingles."""
+    return F.ceil(2 * F.greatest(F.col("n") / REGION, F.col("s") / REGION_SHINGLES)).cast("int")
+
+
+def _load(members: DataFrame, *by: str) -> DataFrame:
+    return members.groupBy(*by).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+
+
+def _around(band: Column) -> Column:
+    return F.explode(F.array(band - 1, band, band + 1))
+
+
+def _sized(members: DataFrame, percent: int) -> DataFrame:
+    """members with their region's size, n and s, whether it is large, and the band of their set's."""
+    size = _load(members, "region")
     size = size.withColumn("large", (F.col("n") > REGION) | (F.col("s") > REGION_SHINGLES) & (F.col("n") > 2))
-    members = stored(members.join(size.select("region", "large"), "region"))
-    small = members.filter("not large").select("rep", F.xxhash64("region").alias("part"), F.lit(-1).alias("side"), F.lit(False).alias("alone"))
-    if not members.filter("large").limit(1).count():
-        return small
     # a band is a little wider than the ratio of linked sizes: rounding cannot lead past the next one
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(max(100 / percent, 1.05) * 1.001)))
-    large = members.filter("large").select("rep", "region", "n_shingles", band.alias("band"))
-    load = large.groupBy("region", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    load = load.withColumn("blocks", F.ceil(2 * F.greatest(F.col("n") / REGION, F.col("s") / REGION_SHINGLES)).cast("int"))
-    ranked = Window.partitionBy("region").orderBy("band")  # as many rows as bands
-    beside = lambda by, at: F.when(at("band").over(ranked) == F.col("band") + by, at("blocks").over(ranked))
-    load = load.withColumn("above", F.coalesce(beside(1, F.lead), F.lit(0))).withColumn("below", F.coalesce(beside(-1, F.lag), F.lit(0)))
-    large = large.join(load.select("region", "band", "blocks", "above", "below"), ["region", "band"])
-    large = large.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    upto = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda j: j < F.col(n))
-    i, b = F.col("i"), F.col("band")
-
-    def pair(low, x, high, y, side):
-        return F.struct(low.alias("low"), x.alias("x"), high.alias("high"), y.alias("y"), side.cast("int").alias("side"))
-
-    own = F.transform(upto("blocks"), lambda j: pair(b, F.least(i, j), b, F.greatest(i, j), F.when(i == j, -1).when(i < j, 0).otherwise(1)))
-    over = F.transform(upto("above"), lambda j: pair(b, i, b + 1, j, F.lit(0)))
-    under = F.transform(upto("below"), lambda j: pair(b - 1, j, b, i, F.lit(1)))
-    dealt = large.select("rep", "region", F.explode(F.concat(own, over, under)).alias("p"))
-    part = F.xxhash64("region", "p.low", "p.x", "p.high", "p.y")
-    return small.unionByName(dealt.select("rep", part.alias("part"), F.col("p.side").alias("side"), F.lit(True).alias("alone")))
+    return members.join(size, "region").withColumn("band", band)
+
+
+def _first_parts(members: DataFrame) -> DataFrame:
+    """(rep, part, side, alone): what is decided together. A small region is one part, of side -1;
+    a part of a large one is a block (side 1) with the hubs of the bands around it (side 0)."""
+    alone = (F.col("s") > TOGETHER_SHINGLES / 8) | (F.col("n") > TOGETHER / 8)
+    small = members.filter("not large").select("rep", F.xxhash64("region").alias("part"), F.lit(-1).alias("side"), alone.alias("alone"))
+    large = members.filter("large").select("rep", "region", "band", "n_shingles")
+    load = _load(large, "region", "band").select("region", "band", _blocks().alias("blocks"))
+    part = F.xxhash64("region", "band", "block").alias("part")
+    dealt = large.join(load, ["region", "band"]).withColumn("block", _block("blocks"))
+    hubs = large.groupBy("region", "band").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep"))["rep"] for k in range(HUBS)])).alias("hubs"))
+    hubs = hubs.select("region", F.explode("hubs").alias("rep"), _around(F.col("band")).alias("band")).join(load, ["region", "band"])
+    hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = lambda df, side: df.select("rep", part, F.lit(side).alias("side"), F.lit(True).alias("alone"))
+    return small.unionByName(row(dealt, 1)).unionByName(row(hubs, 0))
+
+
+def _second_parts(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Parts of large regions: a block of the classes outside the region's largest component, by
+    found(node, component) (side 0), and a block of all classes of the bands around (side 1)."""
+    large = members.filter("large").select("rep", "region", "band", "n_shingles")
+    label = large.join(found, F.col("rep") == F.col("node"), "left").select("rep", "region", "band", "n_shingles", F.coalesce("component", "rep").alias("label"))
+    top = label.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+    rest = stored(label.join(top, "region").filter("label <> top").select("rep", "region", "band", "n_shingles"))
+    load = lambda df, name, band: _load(df, "region", "band").select("region", F.col("band").alias(band), _blocks().alias(name))
+    ours, theirs = load(rest, "ours", "band"), load(large, "theirs", "near")
+    met = ours.withColumn("near", _around(F.col("band"))).join(theirs, ["region", "near"])  # as many rows as bands, three times
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = F.xxhash64("region", "band", "i", "near", "j")
+    row = lambda df, side: df.select("rep", part.alias("part"), F.lit(side).alias("side"), F.lit(True).alias("alone"))
+    left = rest.join(met, ["region", "band"]).withColumn("i", _block("ours")).withColumn("j", every("theirs"))
+    right = large.select("rep", "region", F.col("band").alias("near")).join(met, ["region", "near"]).withColumn("j", _block("theirs")).withColumn("i", every("ours"))
+    return row(left, 0).unionByName(row(right, 1))
+
+
+def _decided(df: DataFrame, parts: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(a, b): links inside the parts, as many as join what they join; written."""
+    parts = stored(parts)
+    n = parts.filter("not alone").count()
+    together = F.pmod(F.xxhash64("part"), F.lit(max(partitions(df.sparkSession), -(-n // TOGETHER))))
+    dealt = parts.withColumn("bucket", F.when(F.col("alone"), F.col("part")).otherwise(together)).drop("alone")
+    # parts grow with the input: both sides are sorted and merged at every size, none is broadcast
+    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).hint("merge")
+    kind = df.schema[key].dataType.simpleString()
+    links = stored(dealt.join(texts, "rep").groupBy("bucket").applyInArrow(_decide(width, percent), f"a {kind}, b {kind}"))
+    dropped(parts)
+    return links
 
 
 def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(node, component) of the classes that are linked with another."""
-    spark = df.sparkSession
     pairs = candidates(classes)
     sig = lambda side: classes.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"))
     rough = pairs.join(sig("a"), "a").join(sig("b"), "b").filter(F.pandas_udf(_agreement, "double")("sig_a", "sig_b") >= ROUGH).select("a", "b")
     regions = components(rough).withColumnsRenamed({"node": "rep", "component": "region"})
-    members = regions.join(classes.select("rep", "n_shingles"), "rep")
-    parts = stored(_parts(members, percent))
-    n = parts.filter("not alone").count()
-    together = F.pmod(F.xxhash64("part"), F.lit(max(partitions(spark), -(-n // TOGETHER))))
-    parts = parts.withColumn("bucket", F.when(F.col("alone"), F.col("part")).otherwise(together)).drop("alone")
-    # parts grow with the input: both sides are sorted and merged at every size, none is broadcast
-    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).hint("merge")
-    jobs = parts.join(texts, "rep")
-    kind = classes.schema["rep"].dataType.simpleString()
-    return components(jobs.groupBy("bucket").applyInArrow(_decide(width, percent), f"a {kind}, b {kind}"))
+    members = stored(_sized(regions.join(classes.select("rep", "n_shingles"), "rep"), percent))
+    dropped(pairs)
+    links = _decided(df, _first_parts(members), key, text, width, percent)
+    found = components(links)
+    if members.filter("large").limit(1).count():
+        more = _decided(df, _second_parts(members, found), key, text, width, percent)
+        found = components(links.unionByName(more))
+        dropped(more)
+    dropped(members, links)
+    return found
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -309,6 +358,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     named = sigs.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     found = linked(df, classes, key, text, width, percent)
+    # signatures are no longer needed: what remains is a few numbers for each row
+    sigs, wide = stored(sigs.drop("sig")), sigs
+    classes, old = stored(classes.drop("sig")), classes
+    dropped(wide, old)
     known = classes.select("n_shingles", "f1", "f2", "rep").join(found, F.col("rep") == F.col("node"), "left")
     known = known.select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("_found"))
     out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(known, ["n_shingles", "f1", "f2"], "left")
