@@ -9,7 +9,9 @@ words that a copy gives are the demand between the moments at which it begins an
 
 Nulls: a null text has size 0; a null source is a source of its own, ordered last. Documents of
 size 0 are taken 0 times. Repeated rows are mixed as rows of their own. An empty table mixes to
-an empty one. Sources without words have target 0. Extra columns pass through.
+an empty one. Sources without words have target 0. Extra columns pass through, whatever their
+names; only size, source_size, target, taken and start are replaced, and copy and position in a
+curriculum.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larchgraph.llm.common import SPACE, stored
+from larchgraph.llm.common import SPACE, fresh, partitions, stored
 
 WEIGHTS = (5, 2, 1)
 #: By place in the weights' cycle; positive ones come early.
 TILTS = (0.5, 0.0, -0.5)
 SHARE, MOST = 1.5, 2.0
-#: Buckets of a source's shuffled order; prefix sums cross them through a small table.
+#: The fewest buckets of a source's shuffled order; prefix sums cross them through a small table.
+#: There are as many as two for each shuffle partition; results do not depend on their number.
 BUCKETS = 256
 
 
@@ -57,32 +60,30 @@ def targets(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     return ranked.select("source", "source_size", target.alias("target"), (F.col("_rank") % len(weights)).alias("_schedule"))
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, buckets: int = BUCKETS) -> DataFrame:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, buckets: int = 0) -> DataFrame:
     """df with size, source_size, target, taken and start (words of the source before this row)."""
     df = df.drop("size", "source_size", "target", "taken", "start", "_schedule").withColumn("size", size_of(F.col(text)))
-    return _taken(df, targets(df, weights, share, most), key, text, buckets)
+    return _taken(df, targets(df, weights, share, most), key, text, buckets or max(BUCKETS, 2 * partitions(df.sparkSession)))
 
 
 def _taken(df: DataFrame, goal: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    df = df.withColumn("_order", order).withColumn("_tie", F.xxhash64(F.col(text)))
-    df = df.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int"))
-    sums = df.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    same = lambda a, b: a.eqNullSafe(b)
-    g = goal.select(F.col("source").alias("_s"), "source_size", "target", "_schedule")
-    starts = sums.join(g, same(sums["source"], g["_s"])).select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_from", "source_size", "target", "_schedule")
-    own = Window.partitionBy("source", "_bucket").orderBy("_order", "_tie", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_upto", F.sum("size").over(own))
-    df = df.join(starts, same(df["source"], starts["_s"]) & (df["_bucket"] == starts["_b"]))
-    df = df.withColumn("start", F.col("_from") + F.col("_upto") - F.col("size"))
+    order, tie, bucket, upto, s, b, before = fresh(df, "order", "tie", "bucket", "upto", "of_source", "of_bucket", "before")
+    df = df.withColumn(order, F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))).withColumn(tie, F.xxhash64(F.col(text)))
+    df = df.withColumn(bucket, F.floor(F.conv(F.substring(order, 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
+    sums = df.groupBy("source", bucket).agg(F.sum("size").alias("n"))
+    sofar = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias(s), F.col(bucket).alias(b), F.coalesce(F.sum("n").over(sofar), F.lit(0)).alias(before))
+    starts = sums.join(goal, F.col(s).eqNullSafe(F.col("source"))).drop("source")
+    own = Window.partitionBy("source", bucket).orderBy(order, tie, key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn(upto, F.sum("size").over(own))
+    df = df.join(starts, F.col("source").eqNullSafe(F.col(s)) & (F.col(bucket) == F.col(b)))
+    df = df.withColumn("start", F.col(before) + F.col(upto) - F.col("size"))
     # whole passes over the source, then a pass that ends at the target, inside one document
     full = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     rest = F.round(F.col("target") - full * F.col("source_size")).cast("long")
     extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
     df = df.withColumn("taken", (full * F.col("size") + extra).cast("long"))
-    return df.drop("_s", "_b", "_bucket", "_from", "_upto", "_order", "_tie")
+    return df.drop(order, tie, bucket, upto, s, b, before)
 
 
 def _due(at: Column, target: Column, tilt: Column) -> Column:
@@ -101,38 +102,37 @@ def _tilt(tilts: tuple[float, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in tilts]), (F.col("_schedule") % len(tilts) + 1).cast("int"))
 
 
-def curriculum(mixed: DataFrame, tilts: tuple[float, ...] = TILTS) -> DataFrame:
+def curriculum(mixed: DataFrame, tilts: tuple[float, ...] = TILTS, key: str = "doc_id") -> DataFrame:
     """The training order of what mix() took: a row for each copy, with copy and position.
 
     Copies are whole: the last pass takes a document whose larger part lies before the target.
     Ends range-sorted by position, ties by document and copy."""
     copies = F.when(F.col("size") > 0, F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.col("size"))).otherwise(0).cast("int")
-    df = mixed.withColumn("_copies", copies).filter("_copies > 0")
-    df = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    df = mixed.drop("copy", "position").filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     middle = F.col("copy") * F.col("source_size") + F.col("start") + F.col("size") / 2
     df = df.withColumn("position", _due(middle, F.col("target"), _tilt(tilts)))
-    return df.drop("_copies").orderBy("position", "doc_id", "copy")
+    return df.orderBy("position", key, "copy")
 
 
-def exact_curriculum(mixed: DataFrame, tilts: tuple[float, ...] = TILTS) -> DataFrame:
+def exact_curriculum(mixed: DataFrame, tilts: tuple[float, ...] = TILTS, key: str = "doc_id") -> DataFrame:
     """Like curriculum(), to a word: the last copy of a source ends at the target, and `words` tells
     what each copy gives. Documents of which nothing is due stay, last, with null copy and words."""
     passes = F.ceil((F.round("target").cast("long") - F.col("start")) / F.greatest(F.col("source_size"), F.lit(1))).cast("int")
     due = F.when((F.col("size") > 0) & (passes > 0), F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1))
-    df = mixed.drop("taken").withColumn("copy", F.explode_outer(due))
+    df = mixed.drop("taken", "position", "words").withColumn("copy", F.explode_outer(due))
     begin = F.col("copy") * F.col("source_size") + F.col("start")
     moment = lambda at: _due(at, F.col("target"), _tilt(tilts))
     upto = lambda at: _demand(moment(at), F.col("target"), _tilt(tilts))
     df = df.withColumn("words", upto(begin + F.col("size")) - upto(begin))
     df = df.withColumn("position", F.when(F.col("copy").isNotNull(), moment(begin + F.col("words") / 2)))
-    return df.orderBy(F.col("position").asc_nulls_last(), "doc_id", "copy")
+    return df.orderBy(F.col("position").asc_nulls_last(), key, "copy")
 
 
 def dealt(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each row of mixed, in training order: taken is the sum of its copies in the exact
     curriculum, which is written as it is sorted, and position the first of theirs."""
     row = [key, "source", "start", "size", "source_size", "target"]
-    order = stored(exact_curriculum(mixed.select(*row, "_schedule")))
+    order = stored(exact_curriculum(mixed.select(*row, "_schedule"), key=key))
     # rows with words differ in source or start
     due = order.filter("copy is not null").groupBy(*row).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
     rest = order.filter("copy is null").select(*row, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position"))

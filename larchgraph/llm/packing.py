@@ -1,10 +1,11 @@
 """Operator 6: packing by best-fit decreasing with a segment tree over remaining capacity.
 
 Documents are tokenized whole and closed by an end id. A document longer than a window is first
-cut into full windows; what is left is packed whole. Rests are dealt into groups by a hash, of
-about `GROUP` rests whatever the input, and each group packs its own, longest first: a segment
-tree over remaining capacities finds the tightest open window that a rest fits. A group holds
-only lengths and keys. Rests fill windows up to a small part of one window for each group.
+cut into full windows; what is left is packed whole. Documents are dealt into groups of about
+`GROUP` whatever the input, by a hash or, where they stand in a training order, by consecutive
+places; each group packs its own, longest first: a segment tree over remaining capacities finds
+the tightest open window that a rest fits. A group holds only lengths and keys. Rests fill windows
+up to a small part of one window for each group.
 
 A null or empty text is its end id alone. Repeated rows are packed as rows of their own. An empty
 table gives no pieces. Columns besides the key and the text are ignored.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.llm import bpe
@@ -93,9 +94,11 @@ def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, sums[place[1:]] - sums[place[:-1]]
 
 
-def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
-    """The full windows of every document and its rest: doc_id, start, length, ids_crc32, doc_tokens."""
+def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, group: Column | None = None) -> DataFrame:
+    """The full windows of every document and its rest: doc_id, start, length, ids_crc32, doc_tokens,
+    and the document's `_group`, if that is given."""
     kind = df.schema[key].dataType.simpleString()
+    group = F.lit(0) if group is None else group
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,13 +111,14 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
                     for at in range(0, n + 1, window):
                         piece = own[at : at + window]
                         row.append(k), start.append(at), length.append(len(piece)), crc.append(zlib.crc32(piece.tobytes())), whole.append(n + 1)
+                own_key, own_group = (part.column(c).take(pa.array(row, pa.int64())) for c in ("key", "group"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole))],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                    [own_key, *(pa.array(x, pa.int64()) for x in (start, length, crc, whole)), own_group], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_group"]
                 )
         bpe.forget(_state)
 
-    return df.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(run, PIECE.format(kind))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), group.cast("long").alias("group"))
+    return rows.mapInArrow(run, PIECE.format(kind) + ", _group bigint")
 
 
 class Windows:
@@ -168,19 +172,31 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
     return sequence, offset
 
 
-def pack(df: DataFrame, path: str, documents: int, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, group: int = GROUP) -> DataFrame:
-    """The pieces of all documents with sequence_id and offset. documents: how many rows df has."""
-    cut = pieces(df, path, key, text, window, end)
-    groups = max(1, -(-documents // group))
-    # a full window goes with the rests: it opens a window and fills it
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
-    kind = df.schema[key].dataType.simpleString()
+def _packed(dealt: DataFrame, window: int) -> DataFrame:
+    """Best fit inside each `_group`; sequences are numbered from _group * 2 ** 32 on."""
 
     def run(rests: pa.Table) -> pa.Table:
         rests = rests.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         own, offset = best_fit(rests.column("length").to_numpy(), window)
-        sequence = rests.column("_group").to_numpy().astype(np.int64) * (1 << 32) + own
-        rests = rests.drop_columns(["_group"])
-        return rests.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        sequence = rests.column("_group").to_numpy() * (1 << 32) + own
+        return rests.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
+    kind = dealt.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("_group").applyInArrow(run, PIECE.format(kind) + ", sequence_id bigint, offset bigint")
+
+
+def pack(df: DataFrame, path: str, documents: int, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, group: int = GROUP) -> DataFrame:
+    """The pieces of all documents with sequence_id and offset. documents: how many rows df has."""
+    groups = max(1, -(-documents // group))
+    # a full window goes with the rests: it opens a window and fills it
+    dealt = pieces(df, path, key, text, window, end)
+    return _packed(dealt.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))), window)
+
+
+def pack_in_order(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, group: int = GROUP) -> DataFrame:
+    """Like pack(), of a table that was written in training order, as files part-00000 and so on:
+    about `group` consecutive documents are packed together, and sequence ids rise with the order
+    from group to group (in files of up to 2048 groups). df must be read from those files."""
+    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"), F.lit(0))
+    place = F.pmod(F.floor(F.col("_metadata.row_index") / group), F.lit(1 << 11))
+    return _packed(pieces(df, path, key, text, window, end, part * (1 << 11) + place), window)

@@ -126,9 +126,17 @@ def _whole_cut(measured: DataFrame, labels: DataFrame, weights: np.ndarray, key:
     return (_ranked(rows, bad) + _ranked(rows, min(bad + 1, n))) / 2
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """key and _features of the rows with a label to learn from, written."""
+    known = known_labels(labels, key, label).select("_key").distinct()
+    texts = docs.select(key, text)
+    return stored(features(texts.join(known, texts[key] == known["_key"], "left_semi"), text).select(key, "_features"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, measured: bool = False) -> tuple[np.ndarray, float]:
-    """(weights, cut). measured: docs have `_features` already, as of features()."""
-    known = docs.select(key, "_features") if measured else stored(features(docs.select(key, text), text).select(key, "_features"))
+    """(weights, cut). measured: docs have `_features` already, as of features(); else only labelled
+    texts are measured here."""
+    known = docs.select(key, "_features") if measured else _labelled(docs, labels, key, text, label)
     rows = training_rows(known, labels, key, label, sample).select("_key", "_label", "_features").orderBy("_key", "_label").collect()
     if not rows:
         return np.zeros(len(FEATURES)), 0.0
