@@ -2,14 +2,20 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from larchgraph.llm import components, jpeg, line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, queries, sharding, token_counts, url_filter
@@ -88,19 +94,160 @@ def test_jpeg_colour_with_subsampling():
     assert im.status == "ok" and thumb.tolist() == [[168, 176], [160, 160]]
 
 
+def plain_dc(blob):
+    """The quantised DC values of a grey baseline image, bit by bit."""
+    at, tables, interval = 2, {}, 0
+    while True:
+        kind, n = blob[at + 1], int.from_bytes(blob[at + 2 : at + 4], "big")
+        body, at = blob[at + 4 : at + 2 + n], at + 2 + n
+        if kind == 0xC4:
+            while body:
+                counts, symbols = body[1:17], body[17 : 17 + sum(body[1:17])]
+                code, table, left = 0, {}, list(symbols)
+                for length, m in enumerate(counts, 1):
+                    for _ in range(m):
+                        table[length, code] = left.pop(0)
+                        code += 1
+                    code <<= 1
+                tables[body[0]], body = table, body[17 + len(symbols) :]
+        elif kind == 0xC0:
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        elif kind == 0xDD:
+            interval = int.from_bytes(body, "big")
+        elif kind == 0xDA:
+            break
+    parts = re.split(rb"\xff[\xd0-\xd7]", blob[at:-2].replace(b"\xff\x00", b"\xff\x00\x00")) if interval else [blob[at:-2]]
+    out, total = [], (width + 7) // 8 * ((height + 7) // 8)
+    for part in parts:
+        data = part.replace(b"\xff\x00\x00", b"\xff")
+        bits, p, dc = "".join(f"{b:08b}" for b in data), 0, 0
+
+        def symbol(table):
+            nonlocal p
+            code = length = 0
+            while (length, code) not in table:
+                code, length, p = code << 1 | int(bits[p]), length + 1, p + 1
+            return table[length, code]
+
+        def value(size):
+            nonlocal p
+            if not size:
+                return 0
+            raw, p = int(bits[p : p + size], 2), p + size
+            return raw if raw >> (size - 1) else raw - (1 << size) + 1
+
+        for _ in range(min(interval or total, total - len(out))):
+            dc += value(symbol(tables[0]))
+            out.append(dc)
+            k = 1
+            while k < 64:
+                s = symbol(tables[16])
+                if not s & 15 and s >> 4 < 15:
+                    break
+                k += (s >> 4) + 1
+                value(s & 15)
+    return out, width, height
+
+
+def test_jpeg_against_a_plain_decoder():
+    rng = np.random.default_rng(9)
+    payloads = [media.padded(x) for x in (b"", b"abc" * 50, "ünï".encode() * 400, rng.integers(0, 256, 3000, np.uint8).tobytes(), bytes([255] * 700))]
+    for blob, (im, thumb, _) in zip(media.to_media(payloads), jpeg.decode(media.to_media(payloads)), strict=True):
+        dc, width, height = plain_dc(blob)
+        pixels = np.clip(np.rint(np.array(dc) / 8) + 128, 0, 255).astype(np.uint8).reshape(height // 8, width // 8)
+        assert (im.width, im.height) == (width, height) and (thumb == pixels).all()
+
+
+def test_jpeg_slices_do_not_show(monkeypatch):
+    rng = np.random.default_rng(4)
+    payloads = [media.padded(rng.integers(0, 256, n, np.uint8).tobytes()) for n in (1, 700, 20_000, 3, 64 * 16, 9000)]
+    want = media.to_media(payloads)
+    monkeypatch.setattr(jpeg, "SLICE_BLOCKS", 16)
+    monkeypatch.setattr(jpeg, "SLICE_BYTES", 500)
+    assert media.to_media(payloads) == want
+    assert [b for _, _, b in media.from_media(want)] == payloads
+
+
+def test_media_of_a_very_long_text_in_little_memory():
+    """20 MB of text within 1 GB, in a process of its own."""
+    code = """
+import resource, sys
+sys.path.insert(0, {root!r})
+from larchgraph.llm import media
+body = ("long text with a few words, " * 750_000).encode()
+resource.setrlimit(resource.RLIMIT_AS, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024 + (3 << 30), -1))
+payload = media.padded(body)
+assert media.from_media(media.to_media([payload]))[0][2] == payload
+print(len(body), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code.format(root=str(Path(__file__).resolve().parents[2]))], capture_output=True, text=True, timeout=300, check=True)
+    size, used = map(int, out.stdout.split())
+    assert size > 20_000_000 and used < 1000
+
+
+def grey_scan(diffs):
+    """A scan of blocks that have DC differences alone, in the fixed tables."""
+    dc = {s: (c, n) for s, c, n in jpeg.canonical(*jpeg.DC_TABLE)}
+    c0, n0 = next((c, n) for s, c, n in jpeg.canonical(*jpeg.AC_TABLE) if s == 0)
+    bits = ""
+    for diff in diffs:
+        size = abs(diff).bit_length()
+        c, n = dc[size]
+        bits += f"{c:0{n}b}" + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "") + f"{c0:0{n0}b}"
+    bits += "1" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def colour_image(sampling, *scans):
+    tables = b"".join(bytes([k, *c, *s]) for k, (c, s) in ((0, jpeg.DC_TABLE), (0x10, jpeg.AC_TABLE)))
+    seg = jpeg._segment
+    frame = bytes([8, 0, 16, 0, 24, 3, 1, sampling, 0, 2, 0x11, 0, 3, 0x11, 0])
+    head = b"\xff\xd8" + seg(0xDB, bytes([0, *[8] * 64])) + seg(0xC0, frame) + seg(0xC4, tables)
+    return head + b"".join(seg(0xDA, bytes([len(ids), *[x for i in ids for x in (i, 0)], 0, 63, 0])) + grey_scan(diffs) for ids, diffs in scans) + b"\xff\xd9"
+
+
+def test_jpeg_with_a_scan_for_each_component():
+    """24 x 16 pixels, 4:2:0: luminance has 3 x 2 blocks in its own scan, before or after the others."""
+    light, blue, red = ([1], [8, 8, 8, 8, 8, 8]), ([2], [1, 1]), ([3], [2, 2])
+    for scans in ((light, blue, red), (blue, red, light)):
+        [(im, thumb, _)] = jpeg.decode([colour_image(0x22, *scans)])
+        assert im.status == "ok" and thumb.tolist() == [[136, 144, 152], [160, 168, 176]]
+    assert [im.status for im, _, _ in jpeg.decode([colour_image(0x22, blue, red)])] == ["damaged"]
+
+
+@pytest.mark.parametrize("sampling", [0x00, 0x20, 0x02, 0x51, 0xFF])
+def test_jpeg_with_bad_sampling(sampling):
+    blob = colour_image(sampling, ([1, 2, 3], [0] * 12))
+    assert [im.status for im, _, _ in jpeg.decode([blob, blob[:-9]])] == ["damaged"] * 2
+
+
+def test_jpeg_headers_that_lie():
+    blob = bytearray(colour_image(0x22, ([1], [0] * 6)))
+    at = blob.index(b"\xff\xc0") + 5
+    blob[at : at + 4] = b"\xea\x60\xea\x60"
+    assert jpeg.decode([bytes(blob)])[0][0].status == "damaged"
+    rng = np.random.default_rng(1)
+    whole = media.to_media([media.padded(b"some text " * 30)])[0]
+    for _ in range(300):  # any bytes give a status
+        hurt = bytearray(whole)
+        for i in rng.integers(0, len(hurt), 4):
+            hurt[i] = rng.integers(0, 256)
+        assert jpeg.decode([bytes(hurt)])[0][0].status in ("ok", "damaged", "not baseline", "not jpeg")
+
+
 def test_thumbnails_of_a_column(spark):
     df = media.text_media(docs(spark, ["abc", "b" * 300])).select("doc_id", "media").union(spark.createDataFrame([(9, None), (10, bytearray(b"zz"))], "doc_id bigint, media binary"))
     got = {r["doc_id"]: r for r in media.thumbnails(df, "doc_id", "media").collect()}
     assert (got[0]["width"], got[0]["status"], got[9]["status"], got[10]["status"], got[10]["thumb_hash"]) == (8, "ok", "null", "not jpeg", None)
 
 
-def rule_of(url):
+def rule_of(url, rules=url_filter.RULES):
     if url is None or "://" not in url:
         return "", "", None, None
     rest = url.split("://", 1)[1]
     host = re.split(r"[/?#]", rest)[0].translate(LOWER)
     path = re.split(r"[?#]", rest[len(host) :])[0]
-    best = max((r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda r: len(r.name), default=None)
+    best = max((r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda r: (len(r.name), r.name), default=None)
     return host, path, best and best.name, best and best.verdict
 
 
@@ -115,15 +262,106 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def plain_verdicts(urls, rules):
+    """The tree by plain loops: (template, purity, verdict) of each url."""
+    depth = max([4, *(len([x for x in r.path.split("/") if x]) + 1 for r in rules)])
+
+    def shape(x):
+        stem, ending = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", x).groups()
+        if re.fullmatch("[0-9]+", stem):
+            stem = "{n}"
+        elif re.search("[0-9]", stem) and re.fullmatch("[0-9A-Fa-f-]{8,}", stem):
+            stem = "{hex}"
+        elif len(re.findall("[0-9]", stem)) >= 3 or len(stem) > 40:
+            stem = "{mix}"
+        return stem + (ending or "")
+
+    pages = []
+    for u in urls:
+        host, path, _, verdict = rule_of(u, rules)
+        seg = [x for x in path.split("/") if x]
+        seg = [shape(x) for x in seg[:depth]] + (["**"] if len(seg) > depth else [])
+        pages.append([host, seg, verdict, ""])
+    for level in range(depth + 1):
+        parents = defaultdict(lambda: defaultdict(list))
+        for p in pages:
+            parents[p[0], p[3]][p[1][level] if level < len(p[1]) else ""].append(p)
+        for kinds in parents.values():
+            total, branch = sum(map(len, kinds.values())), defaultdict(list)
+            for seg, own in kinds.items():
+                branch["*" if seg and len(kinds) > 20 and len(own) < total * 0.05 else seg] += own
+            stat = {}
+            for seg, own in branch.items():
+                b, m = sum(p[2] == "block" for p in own), sum(p[2] is not None for p in own)
+                stat[seg] = (b, m, sum(max(len(p[1]) - level - 1, 0) for p in own) / len(own))
+            known = sorted((x for x in branch if stat[x][1]), key=lambda x: (stat[x][0] / stat[x][1], x))
+            groups, last = {}, None
+            for x in known:
+                b, m, _ = stat[x]
+                if last is not None:
+                    lb, lm, _ = stat[last]
+                    pooled = (b + lb + 1) / (m + lm + 2)
+                    apart = abs(b / m - lb / lm) > 2 * (pooled * (1 - pooled) * (1 / m + 1 / lm)) ** 0.5
+                    groups[x] = groups[last] + apart
+                else:
+                    groups[x] = 1
+                last = x
+            for x in branch:
+                if not stat[x][1] and known:
+                    groups[x] = groups[min(known, key=lambda k: (abs(stat[k][2] - stat[x][2]), -stat[k][1], k))]
+            for x, own in branch.items():
+                members = [y for y in branch if groups.get(y) == groups.get(x)] if x in groups else [x]
+                name = "/~" + min(members) if len(members) > 1 else "/" + x if x else ""
+                for p in own:
+                    p.append(name)
+        for p in pages:
+            p[3] += p.pop()
+    count = defaultdict(lambda: [0, 0])
+    for host, _, verdict, template in pages:
+        count[host, template][0] += verdict == "block"
+        count[host, template][1] += verdict is not None
+    out = []
+    for host, _, verdict, template in pages:
+        b, m = count[host, template]
+        purity = (b + 2) / (m + 4)
+        out.append((template, round(purity, 9), verdict or ("block" if purity >= 0.8 else "allow")))
+    return out
+
+
+def judged(spark, urls, rules=url_filter.RULES):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rows = {r["page_id"]: (r["template"], round(r["purity"], 9), r["verdict"]) for r in url_filter.judge(pages, rules=rules).collect()}
+    return [rows[i] for i in range(len(urls))]
+
+
+def test_url_tree_against_plain(spark):
+    """Every verdict, template and purity of the given pages, and of paths of many forms."""
+    given = [r["url"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    want = plain_verdicts(given, url_filter.RULES)
+    assert judged(spark, given) == want
+    free = [w[2] for u, w in zip(given, want, strict=True) if rule_of(u)[3] is None]
+    assert "block" in free and "allow" in free  # labels reach pages that no rule fits
+    rng = random.Random(3)
+    rules = (url_filter.Rule("block", "h.com", "/a/b/c/d/e/"), url_filter.Rule("allow", "h.com", "/a/b/c/d/f/"), url_filter.Rule("block", "h.com", "/q"), url_filter.Rule("allow", "h.com", "/r/x"))
+    words = ["a", "b", "c", "d", "e", "f", "q", "r", "x", "17", "a1b2c3", "deadbeef01", "p.html", *(f"slug-{chr(97 + i)}" for i in range(26))]
+    urls = [f"http://{rng.choice(['h.com', 'm.h.com', 'o.org'])}/" + "/".join(["a/b/c/d/" + rng.choice("efg")] * rng.randint(0, 1) + rng.choices(words, k=rng.randint(0, 5))) for _ in range(1500)] + [None, "", "x"]
+    assert judged(spark, urls, rules) == plain_verdicts(urls, rules)
+
+
 def test_url_templates(spark):
-    """Slugs are generalised, a labelled branch is rejected, its unlabelled siblings are not."""
+    """Slugs are generalised, and unlabelled slugs share their verdict."""
     rules = (url_filter.Rule("block", "h.com", "/ads/a"), url_filter.Rule("allow", "h.com", "/news/a"))
     urls = [f"http://h.com/ads/{x}{i}" for x in "ab" for i in ("slug", "thing", "word")] * 4 + [f"http://h.com/news/{a}{b}x" for a in "abcdef" for b in "ghijklm"] * 2
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
-    rows = url_filter.judge(pages, rules=rules).collect()
-    assert {r["template"] for r in rows if "/news/" in r["path"]} == {"/news/*"}
-    assert {r["verdict"] for r in rows if "/news/" in r["path"]} == {"allow"}
-    assert {r["verdict"] for r in rows if r["path"].startswith("/ads/a")} == {"block"}
+    rows = dict(zip(urls, judged(spark, urls, rules), strict=True))
+    assert {t for u, (t, _, _) in rows.items() if "/news/" in u} == {"/news/*"}
+    assert {v for u, (_, _, v) in rows.items() if "/news/" in u} == {"allow"}
+    assert {v for u, (_, _, v) in rows.items() if "/ads/" in u} == {"block"}
+
+
+def test_url_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "http://h.com/a", "x"), (1, "http://h.com/a", "y"), (None, None, None)], "page_id bigint, url string, template string")
+    rows = url_filter.judge(pages).collect()
+    assert len(rows) == 3 and all(r["verdict"] == "allow" for r in rows) and url_filter.deep_enough(url_filter.RULES) == 4
 
 
 def test_sharding_laws(spark):
@@ -137,15 +375,90 @@ def test_sharding_laws(spark):
     assert max(map(len, by.values())) < 1.3 * min(map(len, by.values()))
 
 
-def test_sharding_weight_change_stays_in_its_subtree(spark):
+def plain_place(key, tree):
+    """The shard of a key by the law of the descent, with numbers from the same hash."""
+
+    def u(use, number):
+        h = xxhash.xxh64_intdigest(key.encode(), 42)
+        for x in (use, number):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+        return ((h >> 11) + 0.5) / 2**53
+
+    time = lambda use, number, rate: -math.log(u(use, number)) / rate
+    best = None
+    for region in sorted({s.region for s in tree if s.weight}):
+        own = [s for s in tree if s.region == region]
+        racks = defaultdict(list)
+        for s in own:
+            racks[s.rack].append(s)
+        t = time(sharding.REGION, region, sum(s.room for s in own))
+        rack = min(racks, key=lambda k: time(sharding.RACK, k, sum(s.room for s in racks[k]))) if len(racks) > 1 else min(racks)
+        at = min(racks[rack], key=lambda s: time(sharding.PLACE, s.shard, s.room))
+        found = [(t, at.shard)]
+        if at.weight < at.room and u(sharding.ACCEPT, at.shard) >= at.weight / at.room:
+            found = [(t + time(sharding.AGAIN, s.shard, min(s.weight, s.room)), s.shard) for s in own if s.weight]
+        found += [(time(sharding.BEYOND, s.shard, s.weight - s.room), s.shard) for s in own if s.weight > s.room]
+        best = min(found) if best is None else min(best, min(found))
+    return best[1]
+
+
+ODD_TREE = [sharding.Shard(0, 0, 0, 2.5), sharding.Shard(0, 0, 1, 0.3), sharding.Shard(0, 1, 2, 0.0), sharding.Shard(1, 2, 3, 1.5, 1.5), sharding.Shard(1, 3, 4, 4.0, 2.0), sharding.Shard(2, 4, 5, 0.0), sharding.Shard(3, 5, 6, 1.0)]
+
+
+@pytest.mark.parametrize("tree", [sharding.layout(40), sharding.layout(41), sharding.layout(3), ODD_TREE], ids=["40", "41", "3", "odd"])
+def test_sharding_against_plain(spark, tree):
+    rows = sharding.shards(spark.range(3000).select(F.concat(F.lit("ké"), "id").alias("k")), "k", tree).collect()
+    assert all(r["shard"] == plain_place(r["k"], tree) for r in rows)
+    weight = {s.shard: s.weight for s in tree}
+    got = Counter(r["shard"] for r in rows)
+    for shard, w in weight.items():
+        want = 3000 * w / sum(weight.values())
+        assert abs(got[shard] - want) <= 5 * want**0.5
+
+
+@pytest.mark.parametrize("n", [1, 4, 10, 13, 40, 44])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n):
+    rows = sharding.shards(spark.range(4000).withColumnRenamed("id", "k"), "k", sharding.layout(n), sharding.layout(n + 1)).collect()
+    assert all(r["grown_shard"] in (r["shard"], n) for r in rows) and any(r["grown_shard"] == n for r in rows)
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.4, 3.0])
+def test_sharding_weight_change_stays_in_its_shard(spark, weight):
     tree = sharding.layout(20)
-    heavy = [s._replace(weight=3.0) if s.shard == 7 else s for s in tree]
-    rows = sharding.shards(spark.range(5000).withColumnRenamed("id", "k"), "k", tree, heavy).collect()
-    assert all(r["grown_shard"] in (r["shard"], 7) for r in rows) and any(r["grown_shard"] != r["shard"] for r in rows)
+    other = [s._replace(weight=weight) if s.shard == 7 else s for s in tree]
+    rows = sharding.shards(spark.range(5000).withColumnRenamed("id", "k"), "k", tree, other).collect()
+    moved = [r for r in rows if r["grown_shard"] != r["shard"]]
+    assert moved and all(7 in (r["grown_shard"], r["shard"]) and (r["grown_shard"] == 7) == (weight > 1) for r in moved)
     share = sum(r["grown_shard"] == 7 for r in rows) / len(rows)
-    assert abs(share - 3 / 22) < 0.03
-    with pytest.raises(ValueError):
-        sharding.place(F.col("k"), [])
+    assert abs(share - weight / (19 + weight)) < 0.03
+    for bad in ([], sharding.layout(3)[:1] + [sharding.Shard(0, 0, 1, -1.0)], [sharding.Shard(0, 0, 0, 0.0)]):
+        with pytest.raises(ValueError):
+            sharding.place(F.col("k"), bad)
+
+
+def test_op3_rows(spark):
+    """Sizes, checksums and slots of the smallest table, by plain counting."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op3_sharding(spark, SF).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        body = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(body) + 16, zlib.crc32(body), "key")
+        assert (r["shard"], r["grown_shard"]) == tuple(plain_place(str(r["doc_id"]), sharding.layout(n)) for n in (40, 41))
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == len(texts) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_numbers_of_odd_rows(spark):
+    """Repeated rows, null groups and clashing names keep every column and get gapless numbers."""
+    df = spark.createDataFrame([(i % 3 or None, i // 4, "x", "y") for i in range(40)], "by int, k int, part string, row string").withColumn("slot", F.lit("old"))
+    rows = sharding.numbered(df, "by", ["k"], "slot", rows=10**7).collect()
+    assert {(r["part"], r["row"]) for r in rows} == {("x", "y")} and len(rows) == 40
+    for by in (None, 1, 2):
+        own = sorted(r["slot"] for r in rows if r["by"] == by)
+        assert own == list(range(len(own)))
+    empty = sharding.shards(docs(spark, []), "doc_id", sharding.layout(4), sharding.layout(5))
+    assert empty.count() == 0 and sharding.numbered(empty, "shard", ["doc_id"], "slot").count() == 0
 
 
 def test_odd_rows_through_sharding_and_mixing(spark):
