@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last
 of documents; each is written and read again before the next. `run` applies them to documents.
 SQL cannot express the stages (a fitted model, token merges), so ORACLE_SQL is None and the tests
 hold `run` against plain versions of each stage.
+
+A null text counts as empty everywhere; line dedup turns it into an empty one. A null doc_id is a
+document like others that near-dedup never removes; a null source is a source of its own. Rows equal
+in doc_id and text count once from near-dedup on. Mixing drops texts without words. An empty table
+gives no pieces; without labels of both kinds all documents are kept.
 """
 
 from __future__ import annotations
@@ -23,9 +28,8 @@ LINE_DOCS, LINE_CHARS = 10, 1
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts good."""
-    docs = stored(pairwise_quality.features(docs.select(*COLUMNS)))
-    model = pairwise_quality.learn(docs, table(spark, sf_dir, "labels"), measured=True)
-    return pairwise_quality.scored(docs, model, measured=True).filter("predicted = 1").select(*COLUMNS)
+    model = pairwise_quality.learn(docs, table(spark, sf_dir, "labels"))
+    return pairwise_quality.scored(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +39,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    found = near_dedup.near_duplicates(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates: the one with the least id, once."""
+    found = stored(near_dedup.near_duplicates(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).select("doc_id", "kept"))
+    gone = found.filter("not kept").select("doc_id").distinct()
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not again.limit(1).count():
+        return left.select(*COLUMNS)
+    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +56,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces. A document that the mix takes twice is packed twice."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), docs.count())
+    """The packed pieces, in the training order in which the mix was written. A document that the
+    mix takes twice is packed twice."""
+    return packing.pack_in_order(docs, tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
