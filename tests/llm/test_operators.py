@@ -523,6 +523,21 @@ def test_exact_curriculum_of_odd_rows(spark):
     assert mixing.dealt(mixing.mix(docs(spark, []))).count() == 0
 
 
+def test_mixing_keeps_the_callers_columns(spark):
+    names = ("order", "tie", "bucket", "upto", "before", "_copies", "of_source")
+    df = spark.createDataFrame([(f"k{i}", "two words", "s", *names) for i in range(9)], f"k string, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    mixed = mixing.mix(df, key="k")
+    rows = mixing.curriculum(mixed, key="k").collect()
+    assert len(rows) == 14 and {tuple(r[n] for n in names) for r in rows} == {names}
+    assert mixing.dealt(mixed, key="k").count() == 9
+
+
+def test_mixing_does_not_depend_on_buckets(spark):
+    df = docs(spark, ["w " * (i % 9) for i in range(200)], sources=["a" if i % 3 else "b" for i in range(200)])
+    cols = ("doc_id", "start", "taken")
+    assert collected(mixing.mix(df, buckets=3), *cols) == collected(mixing.mix(df, buckets=5000), *cols)
+
+
 def sets_of(texts, width):
     out = []
     for t in texts:
@@ -604,7 +619,7 @@ def isolated_pairs(n, pairs):
 
 def test_isolated_pairs_in_a_large_region(spark, monkeypatch):
     """No link is lost in a region above the limit, where no chain repairs it."""
-    monkeypatch.setattr(near_dedup, "REGION", 20)
+    monkeypatch.setattr(near_dedup, "REGION", 40)
     texts = isolated_pairs(260, 130)
     want = components_of(sets_of(texts, 4), list(range(len(texts))), 80)
     assert max(Counter(want.values()).values()) == 2 and len(set(want.values())) == 260
@@ -614,15 +629,46 @@ def test_isolated_pairs_in_a_large_region(spark, monkeypatch):
 
 @pytest.mark.parametrize("percent", [50, 80, 100])
 def test_links_between_bands_of_size(spark, monkeypatch, percent):
-    """Sets of many sizes, each nested in the next, around every border of 100 * small = percent * large."""
+    """Around every border of 100 * small = percent * large, each pair with an end outside the
+    largest component meets, and each class meets hubs of its band and of those around it."""
     monkeypatch.setattr(near_dedup, "REGION", 4)
     ids = list(range(1, 90))
-    members = spark.createDataFrame([(i, 0, i) for i in ids], "rep bigint, region bigint, n_shingles bigint")
-    met = defaultdict(list)
-    for r in near_dedup._parts(members, percent).collect():
-        met[r["part"]].append((r["rep"], r["side"]))
-    pairs = Counter(tuple(sorted((x, y))) for rows in met.values() for (x, a), (y, b) in itertools.combinations(rows, 2) if a == -1 or a != b)
-    assert all(pairs[x, y] == 1 for x, y in itertools.combinations(ids, 2) if 100 * x >= percent * y) and set(pairs.values()) == {1}
+    members = near_dedup._sized(spark.createDataFrame([(i, 0, i) for i in ids], "rep bigint, region bigint, n_shingles bigint"), percent).cache()
+    band = {r["rep"]: r["band"] for r in members.collect()}
+    joined = set(range(30, 50))
+    found = spark.createDataFrame([(i, 30) for i in joined], "node bigint, component bigint")
+
+    def met(parts):
+        by, pairs = defaultdict(list), set()
+        for r in parts.collect():
+            by[r["part"]].append((r["rep"], r["side"]))
+        for rows in by.values():
+            assert sum(side for _, side in rows) <= 12  # blocks are cut by hash
+            pairs |= {tuple(sorted((x, y))) for x, a in rows for y, b in rows if a == 0 and b == 1}
+        return pairs
+
+    second = met(near_dedup._second_parts(members, found))
+    assert all((x, y) in second for x, y in itertools.combinations(ids, 2) if 100 * x >= percent * y and not {x, y} <= joined)
+    first = met(near_dedup._first_parts(members))
+    assert all(any(tuple(sorted((x, y))) in first for y in ids if abs(band[x] - band[y]) <= 1) for x in ids)
+
+
+def test_a_region_far_above_the_limit(spark, monkeypatch):
+    """A hundred times what one task decides: one large group, and texts that hubs do not reach."""
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for k in range(440):
+        own = list(base)
+        for _ in range(rng.choice((1, 1, 1, 2, 2, 3, 4, 8))):
+            own[rng.randrange(100)] = f"v{k}"
+        texts.append(" ".join(own))
+    want = components_of(sets_of(texts, 4), list(range(len(texts))), 80)
+    sizes = Counter(want.values())
+    assert len(set(texts)) > 400 and max(sizes.values()) > 300 and len(sizes) > 5
+    got = near_dedup.near_duplicates(docs(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
 def test_near_duplicates_odd_rows(spark):
@@ -647,6 +693,55 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def plain_features(t):
+    t = t or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    n_words, chars, symbols, dup, repeats = measures(t)
+    n, chars = max(n_words, 1), max(chars, 1)
+    stops = sum(x.translate(LOWER) in quality_rules.STOP_WORDS for x in w)
+    return [
+        min(symbols / n, 3), sum("A" <= c <= "Z" for c in t) / chars, min(t.count("!") / n, 3), min(t.count("|") / n, 1), sum("0" <= c <= "9" for c in t) / chars, repeats / n,
+        dup / max(len(lines), 1), stops / n, min(sum(map(len, w)) / n / 10, 3), min(math.log1p(n_words / max(len(lines), 1)) / 5, 3), float(n_words < 10), math.log1p(n_words) / 10,
+    ]
+
+
+def test_quality_features_against_plain(spark):
+    texts = ODD + ["A!! b| c1\nA!! b| c1\n\nthe the THE", " ".join("abc"[i % 3] for i in range(50))]
+    rows = pairwise_quality.features(docs(spark, texts)).collect()
+    assert len(pairwise_quality.FEATURES) == 12
+    for r in rows:
+        assert np.allclose(r["_features"], plain_features(texts[r["doc_id"]]), atol=1e-12), texts[r["doc_id"]]
+
+
+def test_op5_rows_against_plain(spark):
+    """Features, fit and cut by plain numpy: gradient descent on the pairs' logistic loss."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    known = sorted(i for i in labels if labels[i] in (0, 1) and zlib.crc32(str(i).encode()) % 5 and i in texts)
+    x, y = np.array([plain_features(texts[i]) for i in known]), np.array([labels[i] for i in known])
+    rng = np.random.default_rng(5)
+    good, bad = x[y == 1], x[y == 0]
+    d = good[rng.integers(len(good), size=60_000)] - bad[rng.integers(len(bad), size=60_000)]
+    weights, _ = pairwise_quality.fit(x, y)
+    slope = d.T @ (1 / (1 + np.exp(-d @ weights)) - 1) / len(d) + 1e-3 * weights
+    assert np.abs(slope).max() < 1e-6  # the loss is convex: this is its minimum
+    ranked = np.sort(x @ weights)
+    k = int((y == 0).sum())
+    cut = (ranked[k - 1] + ranked[k]) / 2
+    for r in queries.op5_quality_classifier(spark, SF).collect():
+        utility = np.clip(np.dot(plain_features(texts[r["doc_id"]]), weights) - cut + math.log(0.3 / 0.7), -30, 30)
+        score = 1 / (1 + math.exp(-utility))
+        assert abs(score - r["score"]) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_quality_classifier_of_empty_tables(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    none = docs(spark, []).select("doc_id", "text")
+    assert pairwise_quality.scored(none, pairwise_quality.learn(none, labels)).count() == 0
+    some = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    assert pairwise_quality.scored(none, pairwise_quality.learn(none, some)).count() == 0
+
+
 def test_quality_classifier_without_both_labels(spark):
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id bigint, quality int")
     model = pairwise_quality.learn(odd(spark).select("doc_id", "text"), labels)
@@ -727,6 +822,22 @@ def test_packing_of_the_smallest_table(spark):
     assert len(seq) <= total // 2048 + 2
 
 
+def test_packing_in_training_order(spark, tmp_path):
+    """Groups are consecutive documents of the written order, and sequence ids rise with it."""
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices("ab cd ef gh".split(), k=rng.randint(0, 700))) for i in range(300)}
+    order = sorted(texts, key=lambda i: zlib.crc32(b"%d" % i))
+    at = {i: k for k, i in enumerate(order)}
+    spark.createDataFrame([(i, texts[i], at[i]) for i in texts], "doc_id bigint, text string, at int").orderBy("at").drop("at").write.parquet(str(tmp_path / "t"))
+    rows = packing.pack_in_order(spark.read.parquet(str(tmp_path / "t")), queries.tokenizer("word_bpe_49k.json"), group=40).collect()
+    check_packed(rows, texts)
+    spans = defaultdict(list)
+    for r in rows:
+        spans[r["sequence_id"] >> 32].append(at[r["doc_id"]])
+    groups = [spans[g] for g in sorted(spans)]
+    assert len(groups) >= 8 and all(max(a) < min(b) for a, b in itertools.pairwise(groups)) and all(len(set(g)) <= 40 for g in groups)
+
+
 def test_best_fit_is_tightest_first():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 65, 500)
@@ -762,6 +873,7 @@ def test_token_counts_equal_the_library(spark, batch):
 def test_token_count_rows(spark):
     rows = {r["doc_id"]: r for r in token_counts.token_counts(odd(spark), queries.tokenizer("byte_bpe_50k.json")).collect()}
     assert len(rows) == len(ODD) and (rows[0]["n_tokens"], rows[0]["n_bytes"]) == (0, 0) and rows[7]["over_limit"]
+    assert token_counts.token_counts(docs(spark, []), queries.tokenizer("byte_bpe_50k.json")).count() == 0
 
 
 def drop_lines(rows, min_docs, min_chars, keep):
@@ -789,6 +901,55 @@ def test_line_dedup_against_plain(spark, keep, min_docs, min_chars):
     assert collected(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(drop_lines(list(enumerate(texts)), min_docs, min_chars, keep), key=repr)
 
 
+@pytest.mark.parametrize("rows", [3, 50, 100_000])
+@pytest.mark.parametrize("held", [5, 100_000])
+def test_line_stream_in_batches(monkeypatch, rows, held):
+    """However a sorted partition is batched, lines told to drop and the open ones are the same."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rng = random.Random(rows)
+    lines = sorted({(k, 0, rng.randrange(6 if k % 3 else 40), rng.randrange(30), 0) for k in range(12) for _ in range(rng.choice((1, 4, 60)))}, key=lambda r: r[:4])
+    t = pa.table({n: pa.array([r[i] for r in lines], pa.int32() if n == "pos" else pa.int64()) for i, n in enumerate(("h1", "h2", "doc", "pos", "body"))})
+    t = t.select(["h1", "h2", "doc", "body", "pos"])
+    out = pa.Table.from_batches(list(line_dedup._stream(5)(iter(t.to_batches(rows))))).to_pylist()
+    docs_of, first = defaultdict(set), {}
+    for k, _, d, p, _ in lines:
+        docs_of[k].add(d)
+        first[k] = min(first.get(k, (d, p)), (d, p))
+    counted = {r["h1"]: r for r in out if r["kind"] == line_dedup.COUNT}
+    ends = {lines[0][0], lines[-1][0]}
+    assert ends <= set(counted) and (held == 5 or ends == set(counted))
+    assert all(len(docs_of[k]) == r["n_docs"] and (r["doc"], r["pos"]) == first[k] for k, r in counted.items())
+    dropped = {(r["h1"], r["doc"], r["pos"], r["first"]) for r in out if r["kind"] == line_dedup.DROP}
+    opened = {(r["h1"], r["doc"], r["pos"]) for r in out if r["kind"] == line_dedup.OPEN}
+    told = {x[:3] for x in dropped} | opened
+    for k, _, d, p, _ in lines:
+        often = len(docs_of[k]) >= 5
+        assert ((k, d, p) in told) == (often or k in counted and (k, d, p) in opened or k in ends), (k, d, p)
+        if (k, d, p) in {x[:3] for x in dropped}:
+            assert often and (k, d, p, first[k] == (d, p)) in dropped
+    assert len(told) == len(dropped) + len(opened) and lines[0][0] not in {x[0] for x in dropped}
+
+
+def test_line_stream_holds_little():
+    """One key over many batches passes through: no more than a few batches are held."""
+    held = []
+
+    def batches():
+        for i in range(300):
+            held.append(pa.total_allocated_bytes())
+            n = 10_000
+            yield pa.record_batch({"h1": np.full(n, 7), "h2": np.full(n, 7), "doc": np.arange(i * n, (i + 1) * n), "body": np.zeros(n, np.int64), "pos": np.zeros(n, np.int32)})
+
+    assert sum(b.num_rows for b in line_dedup._stream(10)(batches())) == 3_000_001
+    assert max(held) - held[0] < 20_000_000
+
+
+def test_line_dedup_keeps_the_callers_columns(spark):
+    df = spark.createDataFrame([(i, "x\nhot", "a", "b", "c", "d") for i in range(4)], "doc_id int, text string, doc string, body string, bitmap string, own_body string")
+    rows = line_dedup.cleaned(df, 3).collect()
+    assert {(r["doc"], r["body"], r["bitmap"], r["own_body"], r["text"], r["n_dropped"]) for r in rows} == {("a", "b", "c", "d", "", 2)}
+
+
 def test_line_dedup_odd_rows(spark):
     df = odd(spark).union(docs(spark, ["same text here now", "other"], [9, 9]))
     rows = line_dedup.cleaned(df, 2).collect()
@@ -817,6 +978,7 @@ def test_quality_rules_against_plain(spark):
     for r in rows:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == measures(texts[r["doc_id"]])
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["base_failed"] and r["kept"])
+    assert quality_rules.judge(docs(spark, [])).count() == 0
 
 
 def test_filter_on_a_verdict_stays_linear(spark):
