@@ -146,8 +146,10 @@ def duplicates(df: DataFrame, min_docs: int, min_chars: int = 1, keep: str = "no
     found = stored(ranged.mapInArrow(_stream(min_docs), _FOUND.format(df.schema[key].dataType.simpleString())))
     drop = found.filter(F.col("kind") == DROP).select("doc", "body", "pos", "first")
     line = F.struct("doc", "pos", "body")
-    # two keys for each partition, and one for every HELD lines at most
-    counts = found.filter(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min(line).alias("head")).filter(F.col("n_docs") >= min_docs)
+    # two keys for each partition, and one for every HELD lines at most; written, so that its size is
+    # known: while it is small it is broadcast, and the lines of a frequent key stay where they are
+    counts = found.filter(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min(line).alias("head"))
+    counts = stored(counts.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "head"))
     known = found.filter(F.col("kind") == OPEN).select("h1", "h2", "doc", "body", "pos").join(counts, ["h1", "h2"])
     drop = drop.unionByName(known.select("doc", "body", "pos", line.eqNullSafe(F.col("head")).alias("first")))
     if keep == "first":
