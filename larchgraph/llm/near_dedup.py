@@ -11,9 +11,9 @@
 4. A region of more than REGION classes is too much for one task. Bands hold its sets of similar
    size, so that links stay in a band or lead to the next one. First all of its classes, in blocks,
    are compared with HUBS hubs of each band around them; near copies of one text mostly join there.
-   Then every class outside the largest component so found is compared with all classes of the
-   bands around it, block by block. So each pair of a region is decided, or its ends are joined
-   already. The first step grows with the region, the second with the region times what is left.
+   Then every class that the region's most frequent hub has not joined is compared with all classes
+   of the bands around it, block by block. So each pair of a region is decided, or its ends are
+   joined already. The first step grows with the region, the second with the region times what is left.
 5. Links join into components.
 
 A document's set: distinct `width`-word shingles of the lower-cased (A-Z) text; with fewer words,
@@ -41,7 +41,7 @@ from larchgraph.llm.token_counts import by_bytes
 WIDTH, PERCENT = 4, 80
 TREES, DEPTH, SHALLOW, NEAR, ROUGH = 16, 12, 3, 4, 0.55
 #: Classes, and shingles, of a region, or of two blocks of a larger one, that one task decides; hubs of a band.
-REGION, REGION_SHINGLES, HUBS = 1024, 1_000_000, 8
+REGION, REGION_SHINGLES, HUBS = 400, 1_000_000, 8
 #: Bytes of text worked on at once; classes, and shingles, of small regions that share a task.
 CHUNK, TOGETHER, TOGETHER_SHINGLES = 1_000_000, 2000, 1_000_000
 
@@ -251,6 +251,11 @@ def _decide(width: int, percent: int):
             for lo, hi in zip((edges[at:upto] - first).tolist(), (edges[at + 1 : upto + 1] - first).tolist(), strict=True):
                 own = side[first + lo : first + hi]
                 low = exact_links(h[ends[lo] - n[lo] : ends[hi - 1]], n[lo:hi], percent, None if own[0] < 0 else own)
+                if own[0] >= 0:  # what a hub has joined is told as its own links
+                    hubs = np.flatnonzero(own == 0)[::-1]
+                    center = np.arange(hi - lo)
+                    center[low[hubs]] = hubs
+                    low = center[low]
                 rows = np.flatnonzero(low != np.arange(hi - lo))
                 a.append(first + lo + low[rows])
                 b.append(first + lo + rows)
@@ -302,13 +307,14 @@ def _first_parts(members: DataFrame) -> DataFrame:
     return small.unionByName(row(dealt, 1)).unionByName(row(hubs, 0))
 
 
-def _second_parts(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Parts of large regions: a block of the classes outside the region's largest component, by
-    found(node, component) (side 0), and a block of all classes of the bands around (side 1)."""
+def _second_parts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Parts of large regions: a block of the classes that are not linked with the region's most
+    frequent hub, by links(a, b) (side 0), and a block of all classes of the bands around (side 1)."""
     large = members.filter("large").select("rep", "region", "band", "n_shingles")
-    label = large.join(found, F.col("rep") == F.col("node"), "left").select("rep", "region", "band", "n_shingles", F.coalesce("component", "rep").alias("label"))
-    top = label.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-    rest = stored(label.join(top, "region").filter("label <> top").select("rep", "region", "band", "n_shingles"))
+    joined = large.join(links.select(F.col("b").alias("rep"), "a").distinct(), "rep")
+    top = joined.groupBy("region", "a").count().groupBy("region").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+    near = joined.join(top, ["region", "a"]).select("rep").unionByName(top.select(F.col("a").alias("rep"))).distinct()
+    rest = stored(large.join(near, "rep", "left_anti").select("rep", "region", "band", "n_shingles"))
     load = lambda df, name, band: _load(df, "region", "band").select("region", F.col("band").alias(band), _blocks().alias(name))
     ours, theirs = load(rest, "ours", "band"), load(large, "theirs", "near")
     met = ours.withColumn("near", _around(F.col("band"))).join(theirs, ["region", "near"])  # as many rows as bands, three times
@@ -343,11 +349,12 @@ def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, p
     members = stored(_sized(regions.join(classes.select("rep", "n_shingles"), "rep"), percent))
     dropped(pairs)
     links = _decided(df, _first_parts(members), key, text, width, percent)
-    found = components(links)
     if members.filter("large").limit(1).count():
-        more = _decided(df, _second_parts(members, found), key, text, width, percent)
+        more = _decided(df, _second_parts(members, links), key, text, width, percent)
         found = components(links.unionByName(more))
         dropped(more)
+    else:
+        found = components(links)
     dropped(members, links)
     return found
 
