@@ -636,7 +636,7 @@ def test_links_between_bands_of_size(spark, monkeypatch, percent):
     members = near_dedup._sized(spark.createDataFrame([(i, 0, i) for i in ids], "rep bigint, region bigint, n_shingles bigint"), percent).cache()
     band = {r["rep"]: r["band"] for r in members.collect()}
     joined = set(range(30, 50))
-    found = spark.createDataFrame([(i, 30) for i in joined], "node bigint, component bigint")
+    links = spark.createDataFrame([(30, i) for i in joined] + [(1, i) for i in range(2, 9)], "a bigint, b bigint")
 
     def met(parts):
         by, pairs = defaultdict(list), set()
@@ -647,7 +647,7 @@ def test_links_between_bands_of_size(spark, monkeypatch, percent):
             pairs |= {tuple(sorted((x, y))) for x, a in rows for y, b in rows if a == 0 and b == 1}
         return pairs
 
-    second = met(near_dedup._second_parts(members, found))
+    second = met(near_dedup._second_parts(members, links))
     assert all((x, y) in second for x, y in itertools.combinations(ids, 2) if 100 * x >= percent * y and not {x, y} <= joined)
     first = met(near_dedup._first_parts(members))
     assert all(any(tuple(sorted((x, y))) in first for y in ids if abs(band[x] - band[y]) <= 1) for x in ids)
