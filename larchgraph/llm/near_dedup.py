@@ -326,16 +326,15 @@ def _second_parts(members: DataFrame, links: DataFrame) -> DataFrame:
     return row(left, 0).unionByName(row(right, 1))
 
 
-def _decided(df: DataFrame, parts: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(a, b): links inside the parts, as many as join what they join; written."""
+def _decided(texts: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links inside the parts, as many as join what they join; written. texts: rep, text."""
     parts = stored(parts)
     n = parts.filter("not alone").count()
-    together = F.pmod(F.xxhash64("part"), F.lit(max(partitions(df.sparkSession), -(-n // TOGETHER))))
+    together = F.pmod(F.xxhash64("part"), F.lit(max(partitions(texts.sparkSession), -(-n // TOGETHER))))
     dealt = parts.withColumn("bucket", F.when(F.col("alone"), F.col("part")).otherwise(together)).drop("alone")
+    kind = texts.schema["rep"].dataType.simpleString()
     # parts grow with the input: both sides are sorted and merged at every size, none is broadcast
-    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).hint("merge")
-    kind = df.schema[key].dataType.simpleString()
-    links = stored(dealt.join(texts, "rep").groupBy("bucket").applyInArrow(_decide(width, percent), f"a {kind}, b {kind}"))
+    links = stored(dealt.join(texts.hint("merge"), "rep").groupBy("bucket").applyInArrow(_decide(width, percent), f"a {kind}, b {kind}"))
     dropped(parts)
     return links
 
@@ -348,14 +347,16 @@ def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, p
     regions = components(rough).withColumnsRenamed({"node": "rep", "component": "region"})
     members = stored(_sized(regions.join(classes.select("rep", "n_shingles"), "rep"), percent))
     dropped(pairs)
-    links = _decided(df, _first_parts(members), key, text, width, percent)
+    # all texts are shuffled once; those in regions are kept, and only they are read again
+    texts = stored(df.select(F.col(key).alias("rep"), F.col(text).alias("text")).hint("merge").join(members.select("rep"), "rep"))
+    links = _decided(texts, _first_parts(members), width, percent)
     if members.filter("large").limit(1).count():
-        more = _decided(df, _second_parts(members, links), key, text, width, percent)
+        more = _decided(texts, _second_parts(members, links), width, percent)
         found = components(links.unionByName(more))
         dropped(more)
     else:
         found = components(links)
-    dropped(members, links)
+    dropped(members, links, texts)
     return found
 
 
