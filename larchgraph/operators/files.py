@@ -3,7 +3,7 @@ files(project_id, path, exports, shebang, parse_error) and imports(project_id, p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
@@ -72,19 +72,41 @@ def file_graph(files: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFra
     df = df.withColumn("in_cycle", F.col("_self") | F.col("_cyc"))
     entry = P.entry_reason(F.col("path"), F.col("shebang")).isNotNull()
     df = df.withColumn("kind", F.when(entry, "entry").when(F.col("imported_by") == 0, "orphan").otherwise("normal"))
-    return df.withColumn("label", label(df)).drop("_self", "_cyc"), marked
+    return labelled(df).drop("_self", "_cyc"), marked
 
 
-def label(df: DataFrame):
-    """The base name, or folder/base name where a project has it more than once."""
-    base = P.basename(F.col("path"))
-    many = F.count("*").over(Window.partitionBy("project_id", base)) > 1
+def labelled(df: DataFrame) -> DataFrame:
+    """df with label: the base name, or folder/base name where a project has it more than once. Names
+    are counted before the join, so a name of very many files is one row."""
+    df = df.withColumn("_base", P.basename(F.col("path")))
+    many = df.groupBy("project_id", "_base").count().filter("count > 1").select("project_id", "_base", F.lit(True).alias("_many"))
     parent = P.basename(P.dir_of(F.col("path")))
-    return F.when(many & (parent != ""), F.concat(parent, F.lit("/"), base)).otherwise(base)
+    label = F.when(F.col("_many") & (parent != ""), F.concat(parent, F.lit("/"), "_base")).otherwise(F.col("_base"))
+    return df.join(many, ["project_id", "_base"], "left").withColumn("label", label).drop("_base", "_many")
+
+
+def graph_order(nodes: DataFrame) -> DataFrame:
+    return nodes.orderBy("project_id", F.desc("in_cycle"), F.desc("imported_by"), F.collate("path", "UNICODE"))
+
+
+def edge_order(edges: DataFrame) -> DataFrame:
+    return edges.orderBy("project_id", F.collate("src", "UNICODE"), F.collate("dst", "UNICODE"))
+
+
+def graph_summary(nodes: DataFrame, edges: DataFrame, imports: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """(project_id, files, edges, cycles, files_in_cycle, entries, orphans, unresolved_imports)."""
+    per = nodes.groupBy("project_id").agg(
+        F.count("*").alias("files"), F.count_if("in_cycle").alias("files_in_cycle"), F.count_if(F.col("kind") == "entry").alias("entries"), F.count_if(F.col("kind") == "orphan").alias("orphans")
+    )
+    n = edges.groupBy("project_id").agg(F.count("*").alias("edges"))
+    lost = unresolved.groupBy("project_id").agg(F.count("*").alias("unresolved_imports"))
+    out = per.join(n, "project_id", "left").join(file_cycles(nodes, edges, imports), "project_id", "left").join(lost, "project_id", "left").fillna(0)
+    return out.select("project_id", "files", "edges", "cycles", "files_in_cycle", "entries", "orphans", "unresolved_imports")
 
 
 def file_cycles(nodes: DataFrame, edges: DataFrame, imports: DataFrame) -> DataFrame:
-    own = imports.filter("path = target").select("project_id", F.col("path").alias("src"), F.col("target").alias("dst"))
+    good = imports.join(nodes.filter("not parse_error").select(*KEY), KEY, "left_semi") if "parse_error" in nodes.columns else imports
+    own = good.filter("path = target").select("project_id", F.col("path").alias("src"), F.col("target").alias("dst"))
     comp = G.scc(edges.select(*G.PAIR))
     return G.cycle_count(edges.select(*G.PAIR).unionByName(own), comp)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larchgraph.functions.tables import stored
+from larchgraph.functions.tables import dropped, stored
 
 PAIR = ["project_id", "src", "dst"]
 NODE = ["project_id", "id"]
@@ -103,19 +103,25 @@ def _scc_spread(edges: DataFrame) -> DataFrame:
     left, done = stored(edges), []
     ids = lambda e, c: e.select("project_id", F.col(c).alias("id"))
     every = stored(ids(left, "src").unionByName(ids(left, "dst")).distinct())
+
+    def after(new: DataFrame, old: DataFrame) -> DataFrame:
+        """new, written; old is done with."""
+        out = stored(new)
+        dropped(old)
+        return out
+
     while True:
         before = -1
         while (now := left.count()) != before:  # trim: both ends need an edge in and an edge out
-            before = now
-            inner = ids(left, "src").intersect(ids(left, "dst"))
+            before, inner, rest = now, ids(left, "src").intersect(ids(left, "dst")), left
             for side in ("src", "dst"):
-                left = left.join(inner.withColumnRenamed("id", side), ["project_id", side], "left_semi").select(*PAIR)
-            left = stored(left)
+                rest = rest.join(inner.withColumnRenamed("id", side), ["project_id", side], "left_semi").select(*PAIR)
+            left = after(rest, left)
         if not now:
             break
-        colour, last = ids(left, "src").distinct().withColumn("c", F.col("id")), None
+        colour, last = stored(ids(left, "src").distinct().withColumn("c", F.col("id"))), None
         while True:
-            colour = stored(_spread(_spread(colour, left, "src", "dst"), left, "src", "dst"))
+            colour = after(_spread(_spread(colour, left, "src", "dst"), left, "src", "dst"), colour)
             mark = colour.agg(F.sum(F.xxhash64("project_id", "id", "c").cast("decimal(38,0)"))).first()[0]
             if mark == last:
                 break
@@ -126,12 +132,13 @@ def _scc_spread(edges: DataFrame) -> DataFrame:
         found, size = stored(colour.filter("id = c")), -1
         while (n := found.count()) != size:
             size = n
-            found = stored(_spread(_spread(found, same, "src", "dst"), same, "src", "dst"))
+            found = after(_spread(_spread(found, same, "src", "dst"), same, "src", "dst"), found)
         done.append(found)
-        gone = found.select(*NODE)
+        gone, rest = found.select(*NODE), left
         for side in ("src", "dst"):
-            left = left.join(gone.withColumnRenamed("id", side), ["project_id", side], "left_anti").select(*PAIR)
-        left = stored(left)
+            rest = rest.join(gone.withColumnRenamed("id", side), ["project_id", side], "left_anti").select(*PAIR)
+        left = after(rest, left)
+        dropped(colour, same)
     out = every.withColumn("scc", F.col("id"))
     if done:
         marks = done[0]
@@ -217,19 +224,26 @@ def neighbours(edges: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def trace(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(project_id, start, id, depth): nodes within `depth` calls of each start, by breadth."""
-    e = edges.select(*PAIR).distinct()
-    seen = stored(starts.select("project_id", F.col("id").alias("start"), "id", F.lit(0).alias("depth")))
-    frontier = seen
+    """(project_id, start, id, depth): nodes within `depth` calls of each start, by breadth. Every
+    depth's new nodes are written once."""
+    e = stored(edges.select(*PAIR).distinct())
+    frontier = seen = stored(starts.select("project_id", F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
     for d in range(1, depth + 1):
         step = frontier.select("project_id", "start", F.col("id").alias("src")).join(e, ["project_id", "src"]).select("project_id", "start", F.col("dst").alias("id")).distinct()
         frontier = stored(step.join(seen, ["project_id", "start", "id"], "left_anti").withColumn("depth", F.lit(d)))
         if not frontier.limit(1).count():
             break
-        seen = stored(seen.unionByName(frontier.select(*seen.columns)))
+        seen = seen.unionByName(frontier.select(*seen.columns))
+    dropped(e)
     return seen
 
 
+def trace_edges(edges: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
+    """(project_id, start, src, dst): the edges that a trace of this depth has walked."""
+    near = reached.filter(F.col("depth") < depth).select("project_id", "start", F.col("id").alias("src"))
+    return near.join(edges.select(*PAIR).distinct(), ["project_id", "src"]).select("project_id", "start", "src", "dst")
+
+
 def trace_order(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(project_id, start, step, id, depth, revisit): preorder of a bounded walk, in each start's own
     subgraph; `revisit` says that the node was met before, anywhere."""
@@ -262,16 +276,64 @@ def trace_order(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return near.groupBy("project_id", "start").applyInArrow(run, f"project_id {kinds['project_id']}, start {kinds['id']}, step int, id {kinds['id']}, depth int, revisit boolean")
 
 
-def layers(nodes: DataFrame, marked: DataFrame) -> DataFrame:
-    """(project_id, id, layer): the longest path to each node over edges that are in no cycle."""
-    e = stored(marked.filter("not cycle").select(*PAIR))
+def _layers_in_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Layers of whole projects, each in one task: nodes leave when all that lead to them have."""
+    kinds = dict(nodes.dtypes)
+    rows = nodes.select("project_id", F.col("id").alias("src"), F.lit(None).cast(kinds["id"]).alias("dst")).unionByName(edges.select(*PAIR))
+
+    def run(t: pa.Table) -> pa.Table:
+        out: dict = {}
+        waits: dict = {}
+        for a, b in zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True):
+            out.setdefault(a, [])
+            waits.setdefault(a, 0)
+            if b is not None:
+                out.setdefault(b, [])
+                out[a].append(b)
+                waits[b] = waits.get(b, 0) + 1
+        layer = dict.fromkeys(out, 0)
+        ready = [x for x, n in waits.items() if not n]
+        while ready:
+            x = ready.pop()
+            for y in out[x]:
+                layer[y] = max(layer[y], layer[x] + 1)
+                waits[y] -= 1
+                if not waits[y]:
+                    ready.append(y)
+        ids = pa.array(list(layer), t.schema.field("src").type)
+        return pa.table({"project_id": pa.repeat(t.column("project_id")[0], len(ids)), "id": ids, "layer": pa.array(list(layer.values()), pa.int32())})
+
+    return rows.groupBy("project_id").applyInArrow(run, f"project_id {kinds['project_id']}, id {kinds['id']}, layer int")
+
+
+def _layers_spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rounds over the nodes whose layer has risen: each sends one more than its own along its edges."""
     layer = stored(nodes.select(*NODE, F.lit(0).alias("layer")))
-    last = -1
-    while (mark := layer.agg(F.sum("layer")).first()[0]) != last:
-        last = mark
-        up = layer.join(e.withColumnRenamed("src", "id"), NODE).select("project_id", F.col("dst").alias("id"), (F.col("layer") + 1).alias("layer"))
-        layer = stored(layer.unionByName(up).groupBy(*NODE).agg(F.max("layer").alias("layer")))
-    return layer
+    risen = layer
+    while True:
+        sent = risen.join(edges.withColumnRenamed("src", "id"), NODE).groupBy("project_id", F.col("dst").alias("id")).agg(F.max(F.col("layer") + 1).alias("up"))
+        now = stored(layer.join(sent, NODE, "left").select(*NODE, F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.coalesce("up", F.lit(0)) > F.col("layer")).alias("risen")))
+        dropped(layer)
+        layer, risen = now.drop("risen"), now.filter("risen").drop("risen")
+        layer.__dict__["stored_at"] = now.__dict__["stored_at"]
+        if not risen.limit(1).count():
+            return layer
+
+
+def layers(nodes: DataFrame, marked: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(project_id, id, layer): the longest path to each node over edges that are in no cycle.
+
+    Projects of up to in_task edges and nodes are each solved in one task; larger ones in rounds, as
+    many as the longest path has edges."""
+    n = nodes.select(*NODE).distinct()
+    e = stored(marked.filter("not cycle").select(*PAIR))
+    size = n.select("project_id").unionByName(e.select("project_id")).groupBy("project_id").count()
+    large = size.filter(F.col("count") > in_task).select("project_id")
+    if not large.limit(1).count():
+        return _layers_in_task(n, e)
+    large = stored(large)
+    part = lambda df, how: df.join(large, "project_id", how)
+    return _layers_in_task(part(n, "left_anti"), part(e, "left_anti")).unionByName(_layers_spread(part(n, "left_semi"), part(e, "left_semi")))
 
 
 def layout(scored_nodes: DataFrame, layer: DataFrame) -> DataFrame:
@@ -299,3 +361,37 @@ def baseline_delta(before: DataFrame, now: DataFrame) -> DataFrame:
         *NODE, F.col("old_level").isNull().alias("is_new"), (F.col("complexity") - F.col("old_complexity")).cast("bigint").alias("d_complexity"),
         (F.col("score") - F.col("old_score")).cast("bigint").alias("d_score"), "old_level", "level",
     )
+
+
+def dimmed(nodes: DataFrame, focus_file: str | None = None, traced: DataFrame | None = None) -> DataFrame:
+    """nodes with `dimmed`: outside the focused file, or outside a trace(project_id, id), where given."""
+    df = nodes.withColumn("dimmed", F.col("file") != focus_file if focus_file else F.lit(False))
+    if traced is None:
+        return df
+    inside = traced.select(*NODE).distinct().withColumn("_in", F.lit(True))
+    return df.join(inside, NODE, "left").withColumn("dimmed", F.col("dimmed") | F.col("_in").isNull()).drop("_in")
+
+
+def dimmed_edges(edges: DataFrame, shown: DataFrame) -> DataFrame:
+    """edges with `dimmed`: an end of theirs is, by dimmed(nodes)."""
+    bright = shown.filter("not dimmed").select(*NODE)
+    e = edges
+    for side in ("src", "dst"):
+        e = e.join(bright.withColumnRenamed("id", side).withColumn(f"_{side}", F.lit(True)), ["project_id", side], "left")
+    return e.withColumn("dimmed", F.col("_src").isNull() | F.col("_dst").isNull()).drop("_src", "_dst")
+
+
+def file_colours(nodes: DataFrame, palette: int = 8) -> DataFrame:
+    """(project_id, file, colour): a project's files in order, each with a place in the palette."""
+    files = nodes.select("project_id", "file").distinct()
+    return files.withColumn("colour", ((F.row_number().over(Window.partitionBy("project_id").orderBy("file")) - 1) % palette).cast("int"))
+
+
+def panel(scored_nodes: DataFrame) -> DataFrame:
+    """(project_id, hot, warn, any_cycle) for the side panel."""
+    return scored_nodes.groupBy("project_id").agg(F.count_if(F.col("level") == "hot").alias("hot"), F.count_if(F.col("level") == "warn").alias("warn"), F.bool_or("in_cycle").alias("any_cycle"))
+
+
+def resolutions(edges: DataFrame) -> DataFrame:
+    """(project_id, resolution, n): how edges were resolved; those without a word are `by-name`."""
+    return edges.groupBy("project_id", F.coalesce("resolution", F.lit("by-name")).alias("resolution")).agg(F.count("*").alias("n"))

@@ -1,12 +1,14 @@
 """What a deletion breaks. Changes are rows (change_id, project_id, kind, target): many are
-simulated in one job, each on its own copy of its project's graph."""
+simulated in one job. Only what a change touches is worked out again: neighbours of what goes, and
+the cycles that it was part of."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
+from larchgraph.functions.tables import stored
 from larchgraph.operators import graph as G
 
 
@@ -32,12 +34,19 @@ def _touching(gone: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def broken_callers(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(change_id, project_id, id, lost, fan_out_before, fan_out_after, file)."""
-    hit = _touching(gone, edges).groupBy("change_id", "project_id", F.col("src").alias("id")).agg(F.count("*").alias("lost"))
+    """(change_id, project_id, id, lost, callees, fan_out_before, fan_out_after, file): callees are the
+    names of what a caller loses, in order."""
+    names = F.array_sort(F.collect_set(P.function_name(F.col("dst").cast("string")))).alias("callees")
+    hit = _touching(gone, edges).groupBy("change_id", "project_id", F.col("src").alias("id")).agg(F.count("*").alias("lost"), names)
     fans = G.degrees(nodes, edges).select("project_id", "id", "file", F.col("fan_out").alias("fan_out_before"))
     return hit.join(fans, ["project_id", "id"]).withColumn("fan_out_after", F.col("fan_out_before") - F.col("lost"))
 
 
+def by_loss(broken: DataFrame) -> DataFrame:
+    """Broken callers, those that lose most first."""
+    return broken.orderBy("change_id", F.desc("lost"), "id")
+
+
 def shadow(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each change's remaining graph, with change_id as the project."""
     projects = gone.select("change_id", "project_id").distinct()
@@ -49,13 +58,18 @@ def shadow(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFra
     return rename(left), rename(e).select(*G.PAIR)
 
 
+def _lost_callers(gone: DataFrame, edges: DataFrame) -> DataFrame:
+    """(change_id, project_id, id, lost_in): callers that nodes which stay lose."""
+    out = edges.select(*G.PAIR).distinct().join(gone.withColumnRenamed("id", "src"), ["project_id", "src"])
+    out = out.join(gone.withColumnRenamed("id", "dst"), ["change_id", "project_id", "dst"], "left_anti")
+    return out.groupBy("change_id", "project_id", F.col("dst").alias("id")).agg(F.count("*").alias("lost_in"))
+
+
 def newly_orphaned(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(change_id, id): called before, by nobody that is left, and not removed itself."""
-    n, e = shadow(gone, nodes, edges)
-    after = G.degrees(n, e).select(F.col("project_id").alias("change_id"), "id", F.col("fan_in").alias("after"))
-    before = G.degrees(nodes, edges).filter("fan_in > 0").select("project_id", "id")
-    was = before.join(gone.select("change_id", "project_id").distinct(), "project_id")
-    return was.join(after.filter("after = 0"), ["change_id", "id"]).select("change_id", "id")
+    e = G.known_edges(nodes, edges)
+    before = e.groupBy("project_id", F.col("dst").alias("id")).agg(F.count("*").alias("fan_in"))
+    return _lost_callers(gone, e).join(before, ["project_id", "id"]).filter("fan_in = lost_in").select("change_id", "id")
 
 
 def affected_tests(broken: DataFrame) -> DataFrame:
@@ -63,12 +77,71 @@ def affected_tests(broken: DataFrame) -> DataFrame:
     return broken.filter(P.is_test(F.col("file"))).select("change_id", "file").distinct()
 
 
+def _cycles_left(gone: DataFrame, before: DataFrame, edges: DataFrame, comp: DataFrame) -> DataFrame:
+    """(change_id, project_id, id, still): the nodes that stay of every cycle that a change touches,
+    and whether they are in a cycle yet. Only those cycles are searched again."""
+    big = comp.join(before.filter("in_cycle").select(*G.NODE), G.NODE, "left_semi")
+    touched = gone.join(big, G.NODE).select("change_id", "project_id", "scc").distinct()
+    members = touched.join(big, ["project_id", "scc"]).join(gone, ["change_id", "project_id", "id"], "left_anti")
+    e = edges
+    for side in ("src", "dst"):
+        e = e.join(big.select("project_id", F.col("id").alias(side), F.col("scc").alias(f"_{side}")), ["project_id", side])
+    e = e.filter("_src = _dst").select(*G.PAIR, F.col("_src").alias("scc")).join(touched, ["project_id", "scc"])
+    for side in ("src", "dst"):
+        e = e.join(gone.withColumnRenamed("id", side), ["change_id", "project_id", side], "left_anti")
+    # a change's part of a component is a graph of its own
+    e = stored(e.select(F.struct("change_id", "project_id", "scc").alias("k"), "src", "dst").select(F.to_json("k").alias("project_id"), "src", "dst"))
+    cyc = G.in_cycles(e, G.scc(e)).withColumnRenamed("project_id", "_k")
+    members = members.withColumn("_k", F.to_json(F.struct("change_id", "project_id", "scc")))
+    return members.join(cyc.withColumn("still", F.lit(True)), ["_k", "id"], "left").select("change_id", "project_id", "id", F.coalesce("still", F.lit(False)).alias("still"))
+
+
 def metric_delta(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(change_id, functions, in_cycle and flagged, each before and after)."""
-    count = lambda s, side: s.groupBy("project_id").agg(
-        F.count("*").alias(f"functions_{side}"), F.count_if("in_cycle").alias(f"in_cycle_{side}"), F.count_if(F.col("level") != "ok").alias(f"flagged_{side}")
+    """(change_id, functions, in_cycle and flagged, each before and after): a project's counts, and
+    for each change the difference that its touched nodes make."""
+    gone, e = stored(gone), stored(G.known_edges(nodes, edges))
+    comp = stored(G.scc(e))
+    before = stored(G.scored(nodes, e).select(*G.NODE, "complexity", "fan_in", "fan_out", "in_cycle", "level"))
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    whole = before.groupBy("project_id").agg(F.count("*").alias("functions_before"), F.count_if("in_cycle").alias("in_cycle_before"), F.count_if(F.col("level") != "ok").alias("flagged_before"))
+    lost_out = _touching(gone, e).groupBy("change_id", "project_id", F.col("src").alias("id")).agg(F.count("*").alias("lost_out"))
+    cycles = _cycles_left(gone, before, e, comp)
+    touched = gone.withColumn("gone", F.lit(True))
+    for part in (_lost_callers(gone, e), lost_out, cycles):
+        touched = touched.join(part, ["change_id", "project_id", "id"], "full_outer")
+    t = touched.join(before, G.NODE).fillna(0, ["lost_in", "lost_out"]).withColumn("stays", F.col("gone").isNull())
+    after = F.coalesce("still", "in_cycle")
+    flagged = after | (F.col("complexity") >= 10) | (F.col("fan_out") - F.col("lost_out") >= 5) | (F.col("fan_in") - F.col("lost_in") >= 5)
+    change = t.groupBy("change_id", "project_id").agg(
+        F.sum(flag(~F.col("stays"))).alias("_f"), F.sum(flag(F.col("in_cycle")) - flag(F.col("stays") & after)).alias("_c"), F.sum(flag(F.col("level") != "ok") - flag(F.col("stays") & flagged)).alias("_l")
+    )
+    out = change.join(whole, "project_id")
+    counts = [(F.col(f"{n}_before") - F.col(c)).alias(f"{n}_after") for n, c in (("functions", "_f"), ("in_cycle", "_c"), ("flagged", "_l"))]
+    return out.select("change_id", "functions_before", "in_cycle_before", "flagged_before", *counts)
+
+
+def _few(df: DataFrame, n: int, order: list) -> DataFrame:
+    """(change_id, names, n): the names of the first n rows of each change, and how many rows there are."""
+    w = Window.partitionBy("change_id").orderBy(*order)
+    first = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    listed = first.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("_r", P.function_name(F.col("id").cast("string")).alias("name")))).alias("l"))
+    return df.groupBy("change_id").agg(F.count("*").alias("n")).join(listed, "change_id").select("change_id", "n", F.transform("l", lambda x: x["name"]).alias("names"))
+
+
+def summary_lines(found: DataFrame, broken: DataFrame, orphaned: DataFrame, tests: DataFrame, delta: DataFrame) -> DataFrame:
+    """(change_id, line, text): a short report of each change of outcomes(); lists show their first five."""
+    some = lambda names, n: F.concat(F.array_join(names, ", "), F.when(n > 5, "\u2026").otherwise(""))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    b = _few(broken, 5, [F.desc("lost"), "id"]).select("change_id", F.col("n").alias("bn"), some(F.col("names"), F.col("n")).alias("b"))
+    o = _few(orphaned, 5, ["id"]).select("change_id", F.col("n").alias("on"), some(F.col("names"), F.col("n")).alias("o"))
+    t = tests.groupBy("change_id").agg(F.count("*").alias("tn"))
+    df = found.join(b, "change_id", "left").join(o, "change_id", "left").join(t, "change_id", "left").join(delta, "change_id", "left")
+    lines = F.array(
+        F.when(~F.col("found"), text("target not found")).otherwise(text("removed functions: ", F.col("n_removed"))),
+        F.when(F.col("found"), F.when(F.col("bn").isNull(), text("no caller breaks")).otherwise(text("broken callers: ", F.col("bn"), ": ", F.col("b")))),
+        F.when(F.col("on").isNotNull(), text("without callers now: ", F.col("on"), ": ", F.col("o"))),
+        F.when(F.col("tn").isNotNull(), text("test files concerned: ", F.col("tn"))),
+        F.when(F.col("found"), text("functions in cycles: ", F.col("in_cycle_before"), " to ", F.col("in_cycle_after"))),
+        F.when(F.col("found"), text("flagged functions: ", F.col("flagged_before"), " to ", F.col("flagged_after"))),
     )
-    before = count(G.scored(nodes, edges), "before")
-    after = count(G.scored(*shadow(gone, nodes, edges)), "after").withColumnRenamed("project_id", "change_id")
-    pairs = gone.select("change_id", "project_id").distinct().join(before, "project_id")
-    return pairs.join(after, "change_id", "left").fillna(0).drop("project_id")
+    return df.select("change_id", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("line", "text"))

@@ -1,20 +1,27 @@
 """Before/after verification: facts of two snapshots, nine checks, an overall status, digests.
 
 facts(snapshot_id, kind, key) holds what each snapshot has: function, cycle-function, hotspot,
-file, cycle-file, unresolved and parse-error. files(snapshot_id, path, content) is the text.
+file, script (a file that can be analysed), cycle-file, unresolved and parse-error.
+files(snapshot_id, path, content) is the text.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larchgraph.functions import paths as P
 from larchgraph.functions.tables import stored
 
 EVIDENCE = 50
+#: Paths of a digest's range, as hex digits of the path's own digest.
+RANGE_DIGITS = 4
+#: Names of limits in policy files.
+LIMITS = {"maxNewUnresolvedImports": "max_new_unresolved", "maxNewFilesInCycles": "max_new_file_cycles", "maxNewFunctionsInCycles": "max_new_function_cycles", "maxNewHotspots": "max_new_hotspots"}
 
 
 @dataclass(frozen=True)
@@ -32,16 +39,32 @@ class Policy:
     text: str = field(init=False, default="")
 
     def __post_init__(self):
-        clean = lambda xs: tuple(sorted({x.strip() for x in xs if x.strip()}))
-        for f in ("allow_files", "allow_functions", "preserve_files", "preserve_functions"):
-            object.__setattr__(self, f, clean(getattr(self, f)))
-        limits = {k: getattr(self, k) for k in ("max_new_unresolved", "max_new_file_cycles", "max_new_function_cycles", "max_new_hotspots")}
+        path = lambda x: re.sub("^/", "", re.sub(r"^\./", "", x.strip().replace("\\", "/")))
+        fid = lambda x: path(x.split("#", 1)[0]) + "#" + x.strip().split("#", 1)[1] if "#" in x else x.strip()
+        for f, normal in (("allow_files", path), ("allow_functions", fid), ("preserve_files", path), ("preserve_functions", fid)):
+            object.__setattr__(self, f, tuple(sorted({normal(x) for x in getattr(self, f) if normal(x)})))
+        object.__setattr__(self, "name", self.name.strip() or "unnamed-change")
+        limits = {k: getattr(self, k) for k in LIMITS.values()}
         for k, v in limits.items():
             if not isinstance(v, int) or isinstance(v, bool) or v < 0:
                 raise ValueError(f"{k} must be a non-negative integer")
         lists = {f: list(getattr(self, f)) for f in ("allow_files", "allow_functions", "preserve_files", "preserve_functions")}
         object.__setattr__(self, "text", json.dumps({"name": self.name, **lists, **limits}, separators=(",", ":"), ensure_ascii=False))
 
+    @classmethod
+    def from_json(cls, data: dict) -> Policy:
+        """A policy of the nested shape of policy files: name, allow, preserve, limits. Parts that are
+        missing have their defaults; what is no object, list of texts or number is an error."""
+        part = lambda name: data.get(name) or {}
+        if not isinstance(data, dict) or any(not isinstance(part(n), dict) for n in ("allow", "preserve", "limits")):
+            raise ValueError("a policy is an object with the objects allow, preserve and limits")
+        lists = {"allow_files": part("allow").get("removedFiles"), "allow_functions": part("allow").get("removedFunctions"), "preserve_files": part("preserve").get("files"), "preserve_functions": part("preserve").get("functions")}
+        for k, v in lists.items():
+            if v is not None and (not isinstance(v, list) or any(not isinstance(x, str) for x in v)):
+                raise ValueError(f"{k} must be a list of texts")
+        limits = {LIMITS[k]: v for k, v in part("limits").items() if k in LIMITS and v is not None}
+        return cls(name=str(data.get("name") or ""), **{k: tuple(v or ()) for k, v in lists.items()}, **limits)
+
 
 #: Each check: what makes it fail (kind of evidence), and whether incomplete snapshots leave it open.
 CHECKS = (
@@ -81,7 +104,7 @@ def evidence(facts: DataFrame, policy: Policy) -> DataFrame:
     new = d.filter("change = 'added' and kind in ('unresolved', 'cycle-file', 'cycle-function', 'hotspot')")
     out = new.select(F.concat(F.lit("new-"), "kind").alias("what"), "key")
     allowed = _listed(spark, "file", policy.allow_files).unionByName(_listed(spark, "function", policy.allow_functions))
-    lost = d.filter("change = 'removed' and kind in ('file', 'function')").join(F.broadcast(allowed), ["kind", "key"], "left_anti")
+    lost = d.filter("change = 'removed' and kind in ('file', 'function')").join(allowed, ["kind", "key"], "left_anti")
     out = out.unionByName(lost.select(F.concat(F.lit("undeclared-"), "kind").alias("what"), "key"))
     wanted = _listed(spark, "file", policy.preserve_files).unionByName(_listed(spark, "function", policy.preserve_functions))
     after = facts.filter("snapshot_id = 'after'").select("kind", "key")
@@ -96,8 +119,8 @@ def sample(values: Column, limit: int = EVIDENCE) -> Column:
 
 
 def completeness(facts: DataFrame) -> DataFrame:
-    """One row, complete: both snapshots have files and no parse error."""
-    has = lambda s: F.coalesce(F.max((F.col("snapshot_id") == s) & (F.col("kind") == "file")), F.lit(False))
+    """One row, complete: both snapshots have files that can be analysed, and no parse error."""
+    has = lambda s: F.coalesce(F.max((F.col("snapshot_id") == s) & (F.col("kind") == "script")), F.lit(False))
     broken = F.coalesce(F.max(F.col("kind") == "parse-error"), F.lit(False))
     return facts.agg((has("before") & has("after") & ~broken).alias("complete"))
 
@@ -139,12 +162,44 @@ def _gate(df: DataFrame, mode: str, allow_unknown: bool) -> DataFrame:
     return df.select(F.lit(mode).alias("mode"), passed.alias("passed"), F.when(passed, 0).otherwise(1).alias("exit_code"), "errors", "unknowns")
 
 
+def ranged_digest(rows: DataFrame, by: list[str], path: str, entry: Column) -> DataFrame:
+    """by and `digest`: sha256 over the entries of each group in path order, in two steps: entries of a
+    range of path digests, then the at most 16 ** RANGE_DIGITS ranges. No task gathers a whole group."""
+    entries = rows.select(*by, F.substring(F.sha2(F.col(path), 256), 1, RANGE_DIGITS).alias("_range"), F.col(path).alias("_p"), entry.alias("_e"))
+    ordered = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["e"]), "")
+    ranges = entries.groupBy(*by, "_range").agg(F.sha2(ordered(F.struct(F.col("_p"), F.col("_e").alias("e"))), 256).alias("_d"))
+    return ranges.groupBy(*by).agg(F.sha2(ordered(F.struct("_range", F.col("_d").alias("e"))), 256).alias("digest"))
+
+
 def files_digest(files: DataFrame, by: str = "snapshot_id") -> DataFrame:
-    """(by, digest): sha256 over the files' digests in path order. Only (path, digest) pairs are
-    gathered for a snapshot, never contents."""
-    one = files.select(by, "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("d"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "d"))), lambda x: F.concat(x["path"], F.lit("\u0000"), x["d"], F.lit("\u0000"))), "")
-    return one.groupBy(by).agg(F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("digest"))
+    """(by, digest) over the files' paths and contents."""
+    one = F.concat("path", F.lit("\u0000"), F.sha2(F.coalesce("content", F.lit("")), 256), F.lit("\u0000"))
+    return ranged_digest(files, [by], "path", one).withColumn("digest", F.concat(F.lit("sha256:"), "digest"))
+
+
+def canonical(files: DataFrame) -> DataFrame:
+    """files with normal paths; an empty path, or one that a snapshot has twice, is an error."""
+    df = files.withColumn("path", P.normal_path(P.trimmed(F.coalesce("path", F.lit("")))))
+    wrong = df.groupBy("snapshot_id", "path").count().filter("path = '' or count > 1").orderBy("snapshot_id", "path").first()
+    if wrong:
+        raise ValueError(f"empty path in snapshot {wrong[0]}" if not wrong[1] else f"snapshot {wrong[0]} has the path {wrong[1]} more than once")
+    return df
+
+
+def unsupported(files: DataFrame) -> DataFrame:
+    """(path): files of either snapshot that the analysis does not read, in order."""
+    return files.filter(~F.col("path").rlike(P.SCRIPT_NAME)).select("path").distinct().orderBy(F.collate("path", "UNICODE"))
+
+
+def limitations(files: DataFrame, limit: int = EVIDENCE) -> DataFrame:
+    """(line, text): what a certificate does not say, and the files that it does not analyse."""
+    out = unsupported(files)
+    first = out.limit(limit).agg(F.array_join(F.sort_array(F.collect_list("path")), ", ").alias("some"))
+    n = out.agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") > limit, F.concat(F.lit(", ... "), (F.col("n") - limit).cast("string"), F.lit(" more"))).otherwise("")
+    said = F.when(F.col("n") > 0, F.concat(F.lit("In the digests and the diff, but not in the graphs: "), "some", more))
+    lines = F.array(F.lit("Static structure only: equal behaviour is not shown."), F.lit("A renamed or moved function counts as one removed and one added."), said)
+    return first.crossJoin(n).select(F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("line", "text"))
 
 
 def fingerprint(files: DataFrame, policy: Policy) -> DataFrame:

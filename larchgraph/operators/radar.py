@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
-from larchgraph.functions.tables import stored
+from larchgraph.functions.tables import dropped, stored
 from larchgraph.operators.policy import _gate
 
 
@@ -74,33 +74,105 @@ def drift(clients: DataFrame, routes: DataFrame, matched: DataFrame) -> DataFram
     return df.select("project_id", "client_id", "route_id", F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
+def covered_by(routes: DataFrame, observations: DataFrame) -> DataFrame:
+    """(project_id, id, observation_id, file, line): the test observations that reach each route."""
+    hit = matches(observations, routes).filter("method_ok").select("project_id", F.col("route_id").alias("id"), F.col("client_id").alias("observation_id"))
+    seen = observations.select("project_id", F.col("id").alias("observation_id"), "file", "line")
+    return hit.join(seen, ["project_id", "observation_id"]).select("project_id", "id", "observation_id", "file", "line")
+
+
 def coverage(routes: DataFrame, observations: DataFrame) -> DataFrame:
     """(project_id, id, n_tests): test observations of each route; 0 is a warning."""
     hit = matches(observations, routes).filter("method_ok").groupBy("project_id", F.col("route_id").alias("id")).agg(F.count("*").alias("n_tests"))
     return routes.select("project_id", "id").join(hit, ["project_id", "id"], "left").fillna(0, ["n_tests"])
 
 
-def mount_prefixes(mounts: DataFrame, depth: int = 64) -> DataFrame:
+def untested(covered: DataFrame) -> DataFrame:
+    """Issues of routes that no test observation reaches, from coverage()."""
+    return covered.filter("n_tests = 0").select("project_id", "id", F.lit("route-without-test").alias("kind"), F.lit("warning").alias("severity"), F.lit(0).cast("bigint").alias("candidates"))
+
+
+def drift_issues(drifted: DataFrame) -> DataFrame:
+    """Issues of matched pairs that disagree, from drift(): one for each pair and kind."""
+    return drifted.select("project_id", F.col("client_id").alias("id"), "kind", F.lit("error").alias("severity"), F.lit(1).cast("bigint").alias("candidates"))
+
+
+def summary(projects: DataFrame, clients: DataFrame, routes: DataFrame, matched: DataFrame, issues: DataFrame, covered: DataFrame, unknown: DataFrame) -> DataFrame:
+    """The thirteen counters of each project of projects(project_id)."""
+    per = lambda df, **aggs: df.groupBy("project_id").agg(*[v.alias(k) for k, v in aggs.items()])
+    is_ = lambda kind: F.count_if(F.col("kind") == kind)
+    parts = (
+        per(clients, client_calls=F.count("*")), per(routes, server_routes=F.count("*")), per(matched.filter("method_ok"), matches=F.count("*")),
+        per(
+            issues, missing_routes=is_("missing-route"), method_mismatches=is_("method-mismatch"), request_schema_mismatches=is_("request-schema-mismatch"),
+            response_schema_mismatches=is_("response-schema-mismatch"), missing_auth=is_("missing-auth"), status_mismatches=is_("status-mismatch"), no_local_consumers=is_("no-local-consumer"),
+        ),
+        per(covered, routes_with_tests=F.count_if(F.col("n_tests") > 0), routes_without_tests=F.count_if(F.col("n_tests") == 0)), per(unknown, unknowns=F.count("*")),
+    )
+    df = projects.select("project_id").distinct()
+    for part in parts:
+        df = df.join(part, "project_id", "left")
+    return df.fillna(0)
+
+
+def by_severity(issues: DataFrame) -> DataFrame:
+    """(project_id, severity, kind, n): the issues' partition."""
+    return issues.groupBy("project_id", "severity", "kind").agg(F.count("*").alias("n"))
+
+
+def _icu(c: str):
+    return F.collate(c, "UNICODE")
+
+
+def endpoint_order(endpoints: DataFrame) -> DataFrame:
+    return endpoints.orderBy("project_id", _icu("file"), "line", _icu("method"), _icu("path"), "id")
+
+
+def issue_order(issues: DataFrame) -> DataFrame:
+    return issues.orderBy("project_id", _icu("kind"), _icu("id"))
+
+
+def match_order(matched: DataFrame) -> DataFrame:
+    return matched.orderBy("project_id", _icu("client_id"), _icu("route_id"))
+
+
+def unknown_order(unknown: DataFrame) -> DataFrame:
+    return unknown.orderBy("project_id", _icu("file"), "line", _icu("expression"))
+
+
+def mount_prefixes(mounts: DataFrame) -> DataFrame:
     """(project_id, receiver, prefix): every prefix under which a receiver is reached. Mounts are
-    project_id, parent, child, prefix; receivers that nothing mounts start at /. A chain does not
-    come back to a receiver that it has been through."""
-    roots = mounts.select("project_id", F.col("parent").alias("receiver")).distinct().join(mounts.select("project_id", F.col("child").alias("receiver")).distinct(), ["project_id", "receiver"], "left_anti")
-    found = stored(roots.select("project_id", "receiver", F.lit("/").alias("prefix"), F.array("receiver").alias("seen")))
-    frontier = found
-    m = mounts.select("project_id", F.col("parent").alias("receiver"), "child", F.col("prefix").alias("_p")).distinct()
-    for _ in range(depth):
-        step = frontier.join(m, ["project_id", "receiver"]).filter(~F.array_contains("seen", F.col("child")))
-        frontier = stored(step.select("project_id", F.col("child").alias("receiver"), P.join_http(F.col("prefix"), F.col("_p")).alias("prefix"), F.concat("seen", F.array("child")).alias("seen")))
-        if not frontier.limit(1).count():
-            break
-        found = stored(found.unionByName(frontier))
-    return found.select("project_id", "receiver", "prefix").distinct()
-
-
-def mounted(drafts: DataFrame, prefixes: DataFrame) -> DataFrame:
+    project_id, parent, child, prefix.
+
+    From every receiver the mounts are climbed, one step for all at once, until none is left: a
+    climb ends at a receiver that nothing mounts, or at one that it has been through, which counts as
+    such. So cycles without a root have prefixes too, and climbs are as long as mounts are nested."""
+    ends = lambda c: mounts.select("project_id", F.col(c).alias("receiver"))
+    every = ends("parent").unionByName(ends("child")).distinct()
+    up = stored(mounts.select("project_id", F.col("child").alias("at"), "parent", F.col("prefix").alias("_p")).distinct())
+    inner = stored(ends("child").distinct())
+    roots = every.join(inner, ["project_id", "receiver"], "left_anti").select("project_id", "receiver", F.lit("/").alias("prefix"))
+    found = [stored(roots)]
+    frontier = stored(inner.select("project_id", "receiver", F.col("receiver").alias("at"), F.lit("/").alias("prefix"), F.array("receiver").alias("seen")))
+    while frontier.limit(1).count():
+        step = frontier.join(up, ["project_id", "at"]).withColumn("prefix", P.join_http(F.col("_p"), F.col("prefix")))
+        met = F.array_contains("seen", F.col("parent"))
+        step = step.join(inner.select("project_id", F.col("receiver").alias("parent"), F.lit(True).alias("mounted")), ["project_id", "parent"], "left").withColumn("over", met | F.col("mounted").isNull())
+        step = stored(step.select("project_id", "receiver", F.col("parent").alias("at"), "prefix", F.concat("seen", F.array("parent")).alias("seen"), "over"))
+        found.append(stored(step.filter("over").select("project_id", "receiver", "prefix").distinct()))
+        after = stored(step.filter("not over").drop("over"))
+        dropped(frontier, step)
+        frontier = after
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def mounted(drafts: DataFrame, prefixes: DataFrame, path: str = "path") -> DataFrame:
     """Route drafts (with receiver and path) at each of their prefixes; unmounted ones stay as they are."""
     df = drafts.join(prefixes, ["project_id", "receiver"], "left")
-    return df.withColumn("path", P.join_http(F.coalesce("prefix", F.lit("/")), F.col("path"))).drop("prefix")
+    return df.withColumn(path, P.join_http(F.coalesce("prefix", F.lit("/")), F.col(path))).drop("prefix")
 
 
 def radar_gate(issues: DataFrame, n_unknown: DataFrame, allow_unknown: bool = False) -> DataFrame:

@@ -151,10 +151,10 @@ def simulate_delete(spark, d):
     return I.outcomes(changes, gone)
 
 
-@query(f"WITH {V.WEEKLY}, {_CHANGES} SELECT h.change_id, h.id, h.lost, (SELECT count(*) FROM edges e WHERE e.project_id = h.project_id AND e.src = h.id) AS fan_out_before, (SELECT count(*) FROM edges e WHERE e.project_id = h.project_id AND e.src = h.id) - h.lost AS fan_out_after FROM hit h")
+@query(f"WITH {V.WEEKLY}, {_CHANGES} SELECT h.change_id, h.id, h.lost, (SELECT array_to_string(list(CAST(e.dst AS VARCHAR) ORDER BY CAST(e.dst AS VARCHAR)), ',') FROM edges e JOIN gone g ON g.change_id = h.change_id AND g.id = e.dst WHERE e.project_id = h.project_id AND e.src = h.id) AS callees, (SELECT count(*) FROM edges e WHERE e.project_id = h.project_id AND e.src = h.id) AS fan_out_before, (SELECT count(*) FROM edges e WHERE e.project_id = h.project_id AND e.src = h.id) - h.lost AS fan_out_after FROM hit h")
 def broken_callers(spark, d):
     _, gone, nodes, edges = _simulation(spark, d)
-    return I.broken_callers(gone, nodes, edges).select("change_id", "id", "lost", "fan_out_before", "fan_out_after")
+    return I.broken_callers(gone, nodes, edges).select("change_id", "id", "lost", F.array_join("callees", ",").alias("callees"), "fan_out_before", "fan_out_after")
 
 
 @query(f"WITH {V.WEEKLY}, {_CHANGES} SELECT DISTINCT h.change_id, n.file FROM hit h JOIN nodes n ON n.project_id = h.project_id AND n.id = h.id WHERE regexp_matches(n.file, '\\.(test|spec)\\.[cm]?[jt]sx?$')")
@@ -183,7 +183,7 @@ def metric_delta(spark, d):
 POLICY = PO.Policy(name="hand-over", allow_functions=("3", "6", "9", "12"), preserve_functions=("15", "18", "999999"), preserve_files=("src/f1.ts",), max_new_hotspots=1000, max_new_function_cycles=3)
 _FACTS = f"""{V.SNAPSHOTS}, {V.components_sql()}, {V.scored_sql()},
 facts AS (SELECT project_id AS snapshot_id, 'function' AS kind, CAST(id AS VARCHAR) AS key FROM scored UNION SELECT project_id, 'cycle-function', CAST(id AS VARCHAR) FROM scored WHERE in_cycle UNION SELECT project_id, 'hotspot', CAST(id AS VARCHAR) FROM scored WHERE level <> 'ok'
- UNION SELECT project_id, 'file', file FROM scored UNION SELECT project_id, 'cycle-file', file FROM scored WHERE in_cycle UNION SELECT project_id, 'unresolved', CAST(id AS VARCHAR) FROM scored WHERE fan_out = 0),
+ UNION SELECT project_id, 'file', file FROM scored UNION SELECT project_id, 'script', file FROM scored UNION SELECT project_id, 'cycle-file', file FROM scored WHERE in_cycle UNION SELECT project_id, 'unresolved', CAST(id AS VARCHAR) FROM scored WHERE fan_out = 0),
 deltas AS (SELECT kind, key, CASE WHEN bool_or(snapshot_id = 'after') THEN 'added' ELSE 'removed' END AS change FROM facts GROUP BY kind, key HAVING count(*) = 1),
 ev AS (SELECT 'new-' || kind AS what, key FROM deltas WHERE change = 'added' AND kind IN ('unresolved', 'cycle-file', 'cycle-function', 'hotspot') UNION ALL SELECT 'undeclared-' || kind, key FROM deltas WHERE change = 'removed' AND (kind = 'file' OR kind = 'function' AND key NOT IN ('3', '6', '9', '12'))
  UNION ALL SELECT 'lost-' || k, v FROM (VALUES ('function', '15'), ('function', '18'), ('function', '999999'), ('file', 'src/f1.ts')) t(k, v) WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.snapshot_id = 'after' AND f.kind = k AND f.key = v)),
@@ -197,7 +197,7 @@ def _facts(spark, d):
     fact = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
     kinds = F.array(
         fact("function", key), F.when(F.col("in_cycle"), fact("cycle-function", key)), F.when(F.col("level") != "ok", fact("hotspot", key)),
-        fact("file", F.col("file")), F.when(F.col("in_cycle"), fact("cycle-file", F.col("file"))), F.when(F.col("fan_out") == 0, fact("unresolved", key)),
+        fact("file", F.col("file")), fact("script", F.col("file")), F.when(F.col("in_cycle"), fact("cycle-file", F.col("file"))), F.when(F.col("fan_out") == 0, fact("unresolved", key)),
     )
     return s.select(F.col("project_id").alias("snapshot_id"), F.inline(F.filter(kinds, lambda x: x.isNotNull()))).distinct()
 
@@ -238,7 +238,8 @@ def snapshot_diff(spark, d):
     return PO.snapshot_diff(_snap_files(spark, d))
 
 
-_DIGESTS = f"{_SNAPFILES}, dg AS (SELECT snapshot_id, 'sha256:' || sha256(string_agg(path || chr(0) || sha256(content) || chr(0), '' ORDER BY path)) AS digest FROM sf GROUP BY 1)"
+_DIGESTS = f"""{_SNAPFILES}, rg AS (SELECT snapshot_id, substr(sha256(path), 1, 4) AS r, sha256(string_agg(path || chr(0) || sha256(content) || chr(0), '' ORDER BY path)) AS d FROM sf GROUP BY ALL),
+dg AS (SELECT snapshot_id, 'sha256:' || sha256(string_agg(d, '' ORDER BY r)) AS digest FROM rg GROUP BY 1)"""
 
 
 @query(f"WITH {_DIGESTS} SELECT * FROM dg")
@@ -317,8 +318,9 @@ def radar_gate(spark, d):
 _MOUNTS = """mounts AS (SELECT DISTINCT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, '/' || lower(r_name) AS prefix FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT DISTINCT 'n' || s_nationkey, 's' || s_suppkey, '/supplier' FROM supplier UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey, '/back' FROM supplier WHERE s_suppkey % 10 = 0)"""
 
 
-@query(f"""WITH RECURSIVE {_MOUNTS}, walk AS (SELECT DISTINCT parent AS receiver, '/' AS prefix, [parent] AS seen FROM mounts WHERE parent NOT IN (SELECT child FROM mounts)
- UNION ALL SELECT m.child, CASE WHEN w.prefix = '/' THEN m.prefix ELSE w.prefix || m.prefix END, list_append(w.seen, m.child) FROM walk w JOIN mounts m ON m.parent = w.receiver WHERE NOT list_contains(w.seen, m.child)) SELECT DISTINCT receiver, prefix FROM walk""")
+@query(f"""WITH RECURSIVE {_MOUNTS}, walk AS (SELECT DISTINCT child AS receiver, child AS at, '/' AS prefix, [child] AS seen, false AS over FROM mounts
+ UNION ALL SELECT w.receiver, m.parent, CASE WHEN w.prefix = '/' THEN m.prefix ELSE m.prefix || w.prefix END, list_append(w.seen, m.parent), list_contains(w.seen, m.parent) OR m.parent NOT IN (SELECT child FROM mounts) FROM walk w JOIN mounts m ON m.child = w.at WHERE NOT w.over)
+ SELECT DISTINCT receiver, prefix FROM walk WHERE over UNION SELECT parent, '/' FROM mounts WHERE parent NOT IN (SELECT child FROM mounts)""")
 def mount_prefixes(spark, d):
     t = lambda n: table(spark, d, n)
     name = lambda p, c: F.concat(F.lit(p), c)
@@ -332,11 +334,11 @@ def mount_prefixes(spark, d):
 # --- guarded joins -----------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT DISTINCT p_brand AS scope, p_name AS name, p_partkey AS target FROM part), pr AS (SELECT l_orderkey, l_linenumber, p_brand AS scope, p_name AS name FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 1) JOIN part ON p_partkey = l_partkey),
+@query("""WITH c AS (SELECT DISTINCT p_brand AS scope, p_name AS name, p_partkey AS target FROM part), pr AS (SELECT l_orderkey, l_linenumber, p_brand AS scope, p_name AS name FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey),
 n AS (SELECT scope, name, count(*) AS n, min(target) AS t FROM c GROUP BY ALL), f AS (SELECT name, count(*) AS n, min(target) AS t FROM c GROUP BY ALL) SELECT l_orderkey, l_linenumber, CASE WHEN n.n = 1 THEN n.t ELSE f.t END AS target, CASE WHEN n.n = 1 THEN 'same-file' ELSE 'exact' END AS resolution FROM pr LEFT JOIN n USING (scope, name) JOIN f USING (name) WHERE n.n = 1 OR f.n = 1""")
 def unique_match_join(spark, d):
     part = table(spark, d, "part").select(F.col("p_brand").alias("scope"), F.col("p_name").alias("name"), F.col("p_partkey").alias("target"))
-    lines = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target")).distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target")).distinct()
     probes = lines.join(part, "target").select("l_orderkey", "l_linenumber", "scope", "name")
     return J.unique_match(probes, part, ["l_orderkey", "l_linenumber"], "name", "target")
 
@@ -388,7 +390,8 @@ def payload_validation(spark, d):
     return S.validate(pages.select(F.col("page_id").alias("ordinal"), windows_path.alias("path"), F.when(F.col("page_id") % 13 > 0, F.col("html")).alias("content")))
 
 
-@query("SELECT regexp_extract(url, '://([^/]*)', 1) AS name, sha1(regexp_extract(url, '://([^/]*)', 1) || chr(0) || string_agg(url, '|' ORDER BY url)) AS signature FROM pages GROUP BY 1")
+@query("""WITH p AS (SELECT DISTINCT regexp_extract(url, '://([^/]*)', 1) AS name, url FROM pages), r AS (SELECT name, substr(sha256(url), 1, 4) AS r, sha256(string_agg(url || '|', '' ORDER BY url)) AS d FROM p GROUP BY ALL)
+ SELECT name, sha1(name || chr(0) || sha256(string_agg(d, '' ORDER BY r))) AS signature FROM r GROUP BY name""")
 def project_signature(spark, d):
     return S.signature(table(spark, d, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("name"), F.col("url").alias("path")))
 

@@ -97,6 +97,15 @@ def trace_bfs(spark, d):
     return G.trace(edges, _starts(edges), 4)
 
 
+_WALK = """adj AS (SELECT DISTINCT project_id, src, dst FROM edges), near AS (SELECT project_id, id AS start, id, 0 AS depth FROM starts UNION SELECT w.project_id, w.start, e.dst, w.depth + 1 FROM near w JOIN adj e ON e.project_id = w.project_id AND e.src = w.id WHERE w.depth < 4)"""
+
+
+@query(f"WITH RECURSIVE {V.WEEKLY}, {_START}, {_WALK} SELECT DISTINCT n.project_id, n.start, e.src, e.dst FROM (SELECT project_id, start, id, min(depth) AS depth FROM near GROUP BY ALL) n JOIN adj e ON e.project_id = n.project_id AND e.src = n.id WHERE n.depth < 4")
+def trace_edges(spark, d):
+    edges = V.weekly(spark, d)[1]
+    return G.trace_edges(edges, G.trace(edges, _starts(edges), 4), 4)
+
+
 @query()
 def trace_dfs(spark, d):
     edges = V.weekly(spark, d)[1]
@@ -140,3 +149,24 @@ def baseline_delta(spark, d):
     s = G.scored(*V.snapshots(spark, d)).drop("issues")
     before = s.filter("project_id = 'before'").withColumn("project_id", F.lit("p"))
     return G.baseline_delta(before, s.filter("project_id = 'after'").withColumn("project_id", F.lit("p"))).drop("project_id")
+
+
+@query(f"WITH {V.WEEKLY} SELECT project_id, id, file <> 'src/f1.ts' AS dimmed FROM nodes")
+def dimmed_nodes(spark, d):
+    return G.dimmed(V.weekly(spark, d)[0], "src/f1.ts").select("project_id", "id", "dimmed")
+
+
+@query(f"WITH {V.WEEKLY} SELECT e.project_id, e.src, e.dst, NOT (a.file = 'src/f1.ts' AND b.file = 'src/f1.ts') AS dimmed FROM edges e JOIN nodes a ON a.project_id = e.project_id AND a.id = e.src JOIN nodes b ON b.project_id = e.project_id AND b.id = e.dst")
+def dimmed_edges(spark, d):
+    nodes, edges = V.weekly(spark, d)
+    return G.dimmed_edges(edges, G.dimmed(nodes, "src/f1.ts"))
+
+
+@query(f"WITH {V.WEEKLY} SELECT project_id, file, CAST((row_number() OVER (PARTITION BY project_id ORDER BY file) - 1) % 4 AS INT) AS colour FROM (SELECT DISTINCT project_id, file FROM nodes)")
+def file_colours(spark, d):
+    return G.file_colours(V.weekly(spark, d)[0], 4)
+
+
+@query(f"WITH RECURSIVE {V.WEEKLY_SCORED} SELECT project_id, count(*) FILTER (level = 'hot') AS hot, count(*) FILTER (level = 'warn') AS warn, bool_or(in_cycle) AS any_cycle FROM scored GROUP BY ALL")
+def panel(spark, d):
+    return G.panel(G.scored(*V.weekly(spark, d)))

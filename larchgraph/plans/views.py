@@ -22,28 +22,34 @@ def _nodes(edges: DataFrame) -> DataFrame:
     )
 
 
-def _steps(events: DataFrame, project, dense: bool) -> DataFrame:
-    w = Window.partitionBy("project_id").orderBy("ts", "event_id")
-    steps = events.withColumn("project_id", project).withColumn("dst", F.lead("user_id").over(w))
-    steps = steps.filter("event_type = 'error' and dst is not null").filter(F.lit(dense) | (F.col("user_id") % 3 == 0))
+def _steps(events: DataFrame, project) -> DataFrame:
+    """Errors with the user of the project's next event. The next one is looked for inside the hour,
+    and for an hour's last event among the hours' first ones, one row each; so no project is sorted
+    in one task."""
+    order = F.struct("ts", "event_id")
+    e = events.select(project.alias("project_id"), F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "user_id", "event_type", "value")
+    hours = e.groupBy("project_id", "hour").agg(F.min_by("user_id", order).alias("first"))
+    later = hours.select("project_id", "hour", F.lead("first").over(Window.partitionBy("project_id").orderBy("hour")).alias("later"))
+    inside = e.withColumn("next", F.lead("user_id").over(Window.partitionBy("project_id", "hour").orderBy("ts", "event_id")))
+    steps = inside.join(later, ["project_id", "hour"]).withColumn("dst", F.coalesce("next", "later")).filter("event_type = 'error' and dst is not null")
     kind = F.when(F.col("dst") == F.col("user_id"), "recursive").when(F.col("value") > 20, "async").otherwise("call")
     return steps.select("project_id", F.col("user_id").alias("src"), "dst", kind.alias("kind"), "ts", "event_id")
 
 
-def weekly_calls(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    return _steps(table(spark, sf_dir, "events"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"), dense)
+def weekly_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(table(spark, sf_dir, "events"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
 
 
-def weekly(spark: SparkSession, sf_dir: str, dense: bool = False) -> tuple[DataFrame, DataFrame]:
-    edges = weekly_calls(spark, sf_dir, dense).select("project_id", "src", "dst").distinct()
+def weekly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = weekly_calls(spark, sf_dir).select("project_id", "src", "dst").distinct()
     return _nodes(edges), edges
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two projects, `before` and `after`, of the same events but for a tenth each."""
-    events = table(spark, sf_dir, "events").filter("user_id < 300")
-    before = _steps(events.filter("event_id % 10 < 9"), F.lit("before"), False)
-    after = _steps(events.filter("event_id % 10 > 0"), F.lit("after"), False)
+    events = table(spark, sf_dir, "events")
+    before = _steps(events.filter("event_id % 10 < 9"), F.lit("before"))
+    after = _steps(events.filter("event_id % 10 > 0"), F.lit("after"))
     edges = before.unionByName(after).select("project_id", "src", "dst").distinct()
     return _nodes(edges), edges
 
@@ -52,11 +58,11 @@ _NODES = """nodes AS (SELECT project_id, id, 'user' || id AS name, CASE WHEN id
  CAST(1 + id % 15 AS INT) AS complexity FROM (SELECT project_id, src AS id FROM edges UNION SELECT project_id, dst FROM edges))"""
 
 WEEKLY = f"""steps AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS project_id, user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('week', ts) ORDER BY ts, event_id) AS dst, event_type, value, ts, event_id FROM events),
-calls AS (SELECT project_id, src, dst, CASE WHEN src = dst THEN 'recursive' WHEN value > 20 THEN 'async' ELSE 'call' END AS kind, ts, event_id FROM steps WHERE event_type = 'error' AND dst IS NOT NULL AND src % 3 = 0),
+calls AS (SELECT project_id, src, dst, CASE WHEN src = dst THEN 'recursive' WHEN value > 20 THEN 'async' ELSE 'call' END AS kind, ts, event_id FROM steps WHERE event_type = 'error' AND dst IS NOT NULL),
 edges AS (SELECT DISTINCT project_id, src, dst FROM calls), {_NODES}"""
 
-_SNAP = "SELECT '{p}' AS project_id, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type FROM events WHERE user_id < 300 AND event_id % 10 {cut}"
-SNAPSHOTS = f"""edges AS (SELECT DISTINCT project_id, src, dst FROM ({_SNAP.format(p='before', cut='< 9')} UNION ALL {_SNAP.format(p='after', cut='> 0')}) WHERE event_type = 'error' AND dst IS NOT NULL AND src % 3 = 0), {_NODES}"""
+_SNAP = "SELECT '{p}' AS project_id, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type FROM events WHERE event_id % 10 {cut}"
+SNAPSHOTS = f"""edges AS (SELECT DISTINCT project_id, src, dst FROM ({_SNAP.format(p='before', cut='< 9')} UNION ALL {_SNAP.format(p='after', cut='> 0')}) WHERE event_type = 'error' AND dst IS NOT NULL), {_NODES}"""
 
 
 def components_sql(edges: str = "edges", prefix: str = "") -> str:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
+from larchgraph.operators.policy import ranged_digest
 
 # Limits of one project.
 MAX_FILES, MAX_TOTAL, MAX_FILE, MAX_PATH = 1500, 40 * 1024 * 1024, 800_000, 2048
@@ -19,18 +20,57 @@ class LimitError(ValueError):
         self.code, self.status = code, status
 
 
-def read_tree(spark: SparkSession, root: str, project_id: str = "p") -> DataFrame:
-    """Source files under a folder: paths relative to it, ignored folders, declarations and files
-    over MAX_FILE bytes left out. Any store that Spark reads will do."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    raw = raw.filter(F.col("length") <= MAX_FILE)
+def _below(root: str) -> Column:
     at = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    path = F.substring(at, F.length(F.lit(base)) + 1, F.length(at))
-    df = raw.select(F.lit(project_id).alias("project_id"), path.alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return F.substring(at, F.length(F.lit(base)) + 1, F.length(at))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(at, path, bytes) of the source files under a folder that are small enough: no content is read,
+    and ignored folders and declarations are left out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    df = raw.filter(F.col("length") <= MAX_FILE).select(F.col("path").alias("at"), _below(root).alias("path"), F.col("length").alias("bytes"))
     return df.filter(P.is_source(F.col("path")) & ~P.is_ignored(F.col("path")))
 
 
+def read_tree(spark: SparkSession, root: str, project_id: str = "p", on_limit: str = "error") -> DataFrame:
+    """Source files under a folder, with paths relative to it, in path order. Any store that Spark
+    reads will do. The listing comes first; only files that are kept are opened.
+
+    A tree over MAX_FILES files or MAX_TOTAL bytes is a LimitError, or, with on_limit="truncate", is
+    read as far as the limits go."""
+    found = listing(spark, root).orderBy("path").limit(MAX_FILES + 1).collect()
+    if len(found) > MAX_FILES and on_limit == "error":
+        raise LimitError("tooManyFiles")
+    kept, total = [], 0
+    for r in found[:MAX_FILES]:
+        if total + r["bytes"] > MAX_TOTAL:
+            if on_limit == "error":
+                raise LimitError("projectTooLarge")
+            break
+        total += r["bytes"]
+        kept.append(r["at"])
+    schema = "project_id string, path string, content string"
+    if not kept:
+        return spark.createDataFrame([], schema)
+    raw = spark.read.format("binaryFile").load(kept)
+    df = raw.select(F.lit(project_id).alias("project_id"), _below(root).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return df.orderBy("path")
+
+
+def source_files(spark: SparkSession, files: DataFrame | None = None, path: str | None = None, root: str | None = None, project_id: str = "p") -> DataFrame:
+    """Given files win, then a path, then the root that the session was started with."""
+    if files is not None and files.limit(1).count():
+        return check_limits(files)
+    if not (path or root):
+        raise ValueError("files or a path are needed")
+    df = read_tree(spark, path or root, project_id)
+    if not df.limit(1).count():
+        raise ValueError(f"no source files under {path or root}")
+    return df
+
+
 def check_limits(files: DataFrame) -> DataFrame:
     """files, or a LimitError where a project has too many files or bytes."""
     per = files.groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("b"))
@@ -56,17 +96,18 @@ def validate(payload: DataFrame) -> DataFrame:
     path = F.trim(F.translate(F.col("path"), "\\", "/"))
     df = payload.select("ordinal", path.alias("path"), "content")
     bad = F.col("path").isNull() | F.col("content").isNull() | (F.col("path") == "") | F.col("path").contains("\u0000") | (F.length("path") > MAX_PATH)
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("ordinal"))
-    df = df.withColumn("_nth", nth)
-    code = F.when(bad, "invalidFiles").when(F.col("_nth") > 1, "duplicateFilePath").when(F.octet_length("content") > MAX_FILE, "sourceFileTooLarge")
+    # the first of equal paths is found by an aggregate: a path of very many rows is one row
+    firsts = df.filter("path is not null").groupBy("path").agg(F.min("ordinal").alias("_first"))
+    df = df.join(firsts, "path", "left")
+    code = F.when(bad, "invalidFiles").when(F.col("_first") < F.col("ordinal"), "duplicateFilePath").when(F.octet_length("content") > MAX_FILE, "sourceFileTooLarge")
     return df.select("ordinal", "path", code.alias("code"))
 
 
 def signature(projects: DataFrame) -> DataFrame:
-    """(name, signature) of projects(name, path): sha1 of the name and the distinct paths in order;
+    """(name, signature) of projects(name, path): sha1 of the name and a digest of the distinct paths;
     contents do not count."""
-    paths = F.array_join(F.sort_array(F.collect_set("path")), "|")
-    return projects.groupBy("name").agg(F.sha1(F.concat(F.col("name"), F.lit("\u0000"), paths)).alias("signature"))
+    paths = ranged_digest(projects.select("name", "path").distinct(), ["name"], "path", F.concat("path", F.lit("|")))
+    return paths.select("name", F.sha1(F.concat(F.col("name"), F.lit("\u0000"), "digest")).alias("signature"))
 
 
 def upsert(saved: DataFrame, new: DataFrame) -> DataFrame:
@@ -85,3 +126,7 @@ def listed(saved: DataFrame) -> DataFrame:
 
 def deleted(saved: DataFrame, ids: list[str]) -> DataFrame:
     return saved.filter(~F.col("id").isin(*ids))
+
+
+def lookup(saved: DataFrame, project_id: str) -> DataFrame:
+    return saved.filter(F.col("id") == project_id)
