@@ -1,9 +1,9 @@
 """Definitions and call sites of source files, one Arrow pass over source_files(project_id, path, content).
 
-Each row says what one file shows by itself: `def` and `call` facts, and a `file` fact with exports,
-shebang and parse errors. What a call refers to is settled by joins, in operators.resolve. Python
+Each row says what one file shows by itself: `def`, `call` and `import` facts, and a `file` fact with
+exports, shebang, lines and parse errors. What a call refers to is settled by joins, in operators.resolve. Python
 is read with the standard library's syntax tree; languages with braces by patterns over text whose
-comments and strings are blanked out. Both are helpers for one file; Spark spreads the files.
+comments and literals are blanked out. Both are helpers for one file; Spark spreads the files.
 """
 
 from __future__ import annotations
@@ -16,34 +16,46 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larchgraph.extract import text
+
 SCHEMA = (
     "project_id string, path string, lang string, fact string, pos int, line int, name string, owner string, display string, complexity int, body string, "
-    "caller int, receiver string, bound_module string, bound_name string, level int, awaited boolean, exports int, shebang boolean, parse_error boolean"
+    "caller int, receiver string, bound_module string, bound_name string, level int, awaited boolean, exports int, shebang boolean, parse_error boolean, loc int"
 )
 FIELDS = [x.split() for x in SCHEMA.split(", ")]
 ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 
-# Languages by file ending, and the words that add a branch in each.
+# Languages by file ending, and the words that add a branch in each. A loop with its
+# condition at the end has one `while`; a word after a dot is a name.
 LANGUAGES = {
     "python": "py pyi", "java": "java", "go": "go", "c": "c h", "cpp": "cpp cc cxx hpp hh hxx", "csharp": "cs", "js": "cjs mjs js jsx ts tsx",
 }
+#: Scripts whose imports count, but whose functions do not.
+IMPORTS_ONLY = ("mts", "cts")
 BRANCHES = {
-    "java": r"\b(?:if|for|while|do|catch)\b|\b(?:case\b[^:>]*|default\s*):(?!:)|\?(?![.>,])",
-    "go": r"\b(?:if|for|case)\b",
-    "c": r"\b(?:if|for|while|do|case|default)\b|\?",
-    "cpp": r"\b(?:if|for|while|do|case|default|catch)\b|\?",
-    "csharp": r"\b(?:if|for|foreach|while|do|case|default|catch)\b|\?(?![.?\[>,])(?=[^;]*:)",
-    "js": r"\b(?:if|for|while|do|case|catch)\b|&&|\|\||\?(?![.?:,)])(?<!\?\?)",
+    "java": r"(?<![.$])\b(?:if|for|while|catch)\b|\b(?:case\b[^:>]*|default\s*):(?!:)|\?(?![.>,])",
+    "go": r"(?<![.$])\b(?:if|for|case)\b",
+    "c": r"(?<![.$])\b(?:if|for|while|case|default)\b|\?",
+    "cpp": r"(?<![.$])\b(?:if|for|while|case|default|catch)\b|\?",
+    "csharp": r"(?<![.$])\b(?:if|for|foreach|while|case|default|catch)\b|\?(?![.?\[>,])(?=[^;]*:)",
+    "js": r"(?<![.$])\b(?:if|for|while|case|catch)\b(?!\s*:)|&&|\|\||\?(?![.?:,)])(?<!\?\?)",
 }
 ENDINGS = {e: lang for lang, es in LANGUAGES.items() for e in es.split()}
-_KEYWORDS = set("if for while switch catch return function new typeof await else do case super sizeof delete throw using lock foreach func go defer select when synchronized import require".split())
-_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+#: Words before a parenthesis that are no names, unless they stand after a dot.
+_COMMON = set("if for while switch catch return new else do case super sizeof throw".split())
+_KEYWORDS = {lang: _COMMON | set(words.split()) for lang, words in {
+    "js": "function typeof await delete import require void yield", "java": "synchronized", "go": "func go defer select", "c": "", "cpp": "delete", "csharp": "foreach lock using when typeof nameof await",
+}.items()}
 _CLASS = re.compile(r"\b(?:class|interface|enum|record|struct)\s+(\w+)[^{;]*\{")
+_GENERIC = r"(?:<[^<>()]*(?:<[^<>()]*>[^<>()]*)*>\s*)?"
 _JS_DEFS = (
     re.compile(r"\bfunction\s*\*?\s*(?P<name>\w+)\s*(?:<[^>{]*>)?\([^{]*?\)[^{;]*\{"),
-    re.compile(r"\b(?:const|let|var)\s+(?P<name>\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b[^{]*\{|(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|\w+)\s*(?::[^=;{]+)?=>\s*\{?)"),
-    re.compile(r"(?:^|[{};,])\s*(?:(?:public|private|protected|static|async|override|readonly)\s+)*(?P<name>\w+)\s*\((?:[^(){}]|\([^()]*\))*\)\s*(?::[^{;=]+)?\{"),
+    re.compile(r"\b(?:const|let|var)\s+(?P<name>\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b[^{]*\{|(?:" + _GENERIC + r"\([^()]*(?:\([^()]*\)[^()]*)*\)|\w+)\s*(?::[^=;{]+)?=>\s*\{?)"),
+    re.compile(r"(?:^|[{};,])\s*(?:(?:public|private|protected|static|async|override|readonly)\s+)*\*?\s*(?P<name>\w+)\s*" + _GENERIC + r"\((?:[^(){}]|\([^()]*\))*\)\s*(?::[^{;=]+)?\{"),
 )
+_ANONYMOUS = re.compile(r"=>\s*\{?|\bfunction\b\s*\*?\s*\([^{]*?\)[^{;]*\{")
+_IMPORT = re.compile(r"(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)(['\"])([^'\"\n]+)\1")
+_EXPORT = re.compile(r"^\s*export\b(?:\s*\{([^}]*)\})?(?!\s*\*)", re.M)
 _GO_DEF = re.compile(r"\bfunc\s*(?:\(\s*(?P<self>\w+)?\s*\*?(?P<owner>\w+)\s*\)\s*)?(?P<name>\w+)\s*\([^{]*?\)[^{;]*\{")
 _C_DEF = re.compile(r"(?:^|[;{}\]>*&\s])(?P<name>~?\w+(?:::~?\w+)*)\s*\([^(){};]*\)\s*(?:const|override|noexcept|final|throws\s+[\w\s,.]+)?\s*\{")
 _CALL = re.compile(r"(?:(?P<recv>[\w.\]\)]+(?:(?:\.|->|::)\w+)*)\s*(?P<sep>\?\.|\.|->|::)\s*)?(?P<name>\w+)\s*\(")
@@ -115,39 +127,61 @@ def _spans(code: str) -> dict[int, int]:
     return out
 
 
-def _braces(source: str, lang: str) -> tuple[list[dict], int]:
-    code = _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-    close = _spans(code)
+def _functions(code: str, lang: str, close: dict[int, int]) -> list[dict]:
+    """The definitions, by where their bodies begin."""
     lines = [m.start() for m in re.finditer("\n", code)]
-    line_of = lambda at: bisect_right(lines, at - 1) + 1
     classes = [(m.end() - 1, close[m.end() - 1], m[1]) for m in _CLASS.finditer(code)]
     owner_at = lambda at: max(((a, n) for a, b, n in classes if a < at < b), default=(0, None))[1]
     found: dict[int, dict] = {}
     for pattern in _JS_DEFS if lang == "js" else (_GO_DEF,) if lang == "go" else (_C_DEF,):
         for m in pattern.finditer(code):
             at, name = m.start("name"), m["name"].split("::")[-1]
-            if name in _KEYWORDS or at in found or code[:at].rstrip().endswith((".", " new", "=new", "(new", "return")):
+            method = lang == "js" and pattern is _JS_DEFS[2]
+            if name in _KEYWORDS[lang] or at in found or method and name == "constructor" or code[:at].rstrip().endswith((".", " new", "=new", "(new", "return")):
                 continue
             begin = m.end() - 1
-            if code[begin] == "{":
-                end = close[begin]
-            else:  # an arrow's expression
-                stop = re.compile(r"[;\n]").search(code, m.end())
-                end = stop.start() if stop else len(code)
-            method = lang == "js" and pattern is _JS_DEFS[2]
+            bare = code[begin] != "{"  # an arrow's expression
+            end = text.expression_end(code, m.end()) if bare else close[begin]
             owner = (m["owner"] if lang == "go" else owner_at(at)) if lang != "js" or method else None
-            found[at] = {"fact": "def", "pos": at, "line": line_of(at), "name": name, "owner": owner, "display": f"{owner}.{name}" if owner else name, "begin": begin, "end": end, "self": m["self"] if lang == "go" else None}
-    defs = sorted(found.values(), key=lambda d: d["begin"])
+            found[at] = {
+                "fact": "def", "pos": at, "line": bisect_right(lines, at - 1) + 1, "name": name, "owner": owner, "display": f"{owner}.{name}" if owner else name,
+                "begin": begin, "end": end, "self": m["self"] if lang == "go" else None, "bare": bare,
+            }
+    return sorted(found.values(), key=lambda d: d["begin"])
+
+
+def _complexity(code: str, lang: str, d: dict, inner: list[tuple[int, int]]) -> int:
+    """1 and the branches of the body, without functions inside it. What an arrow's expression is
+    itself does not count."""
+    body = code[d["begin"] : d["end"]]
+    for a, b in inner:
+        if d["begin"] < a and b <= d["end"] and b > a:
+            body = body[: a - d["begin"]] + text.blank(body[a - d["begin"] : b - d["begin"]]) + body[b - d["begin"] :]
+    n = 1 + len(re.findall(BRANCHES[lang], body))
+    if d["bare"]:
+        flat, last = body, None
+        while flat != last:
+            flat, last = re.sub(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "", flat), flat
+        n -= bool(re.search(r"&&|\|\||\?(?![.?:,)])(?<!\?\?)", flat))
+    return n
+
+
+def _braces(source: str, lang: str) -> tuple[list[dict], int]:
+    code = text.script(source)[0] if lang == "js" else text.plain(source)
+    close = _spans(code)
+    defs = _functions(code, lang, close)
+    inner = [(d["pos"], d["end"]) for d in defs]
+    if lang == "js":
+        for m in _ANONYMOUS.finditer(code):
+            inner.append((m.start(), close[m.end() - 1] if m[0].endswith("{") else text.expression_end(code, m.end())))
     for d in defs:
-        text = code[d["begin"] : d["end"]]
-        for inner in defs:
-            if d["begin"] < inner["pos"] and inner["end"] <= d["end"]:
-                text = text[: inner["pos"] - d["begin"]] + " " * (inner["end"] - inner["pos"]) + text[inner["end"] - d["begin"] :]
-        d["complexity"], d["body"] = 1 + len(re.findall(BRANCHES[lang], text)), source[d["begin"] : d["end"]]
+        d["complexity"], d["body"] = _complexity(code, lang, d, inner), source[d["begin"] : d["end"]]
     out = list(defs)
+    lines = [m.start() for m in re.finditer("\n", code)]
+    named = {d["pos"] for d in defs}
     for m in _CALL.finditer(code):
         at, name = m.start("name"), m["name"]
-        if name in _KEYWORDS or at in found or re.search(r"\bnew\s+[\w.]*$", code[: m.start("name")]) or code[: m.start()].endswith("func "):
+        if not m["recv"] and name in _KEYWORDS[lang] or at in named or re.search(r"\bnew\s+[\w.]*$", code[: m.start("name")]) or code[: m.start()].endswith("func "):
             continue
         inside = [d for d in defs if d["begin"] <= at < d["end"]]
         if inside and (lang != "c" or not m["recv"]) and not (lang == "cpp" and m["sep"] == "::"):
@@ -158,21 +192,27 @@ def _braces(source: str, lang: str) -> tuple[list[dict], int]:
             elif receiver and receiver.startswith(("this.", "self.")):
                 receiver = receiver[5:]
             awaited = bool(re.search(r"\bawait\s+[\w.]*$", code[: m.start("name")]))
-            out.append({"fact": "call", "pos": at, "line": line_of(at), "caller": d["pos"], "owner": d["owner"], "name": name, "receiver": receiver, "awaited": awaited})
-    return out, len(re.findall(r"^\s*export\b", code, re.M)) if lang == "js" else 0
+            out.append({"fact": "call", "pos": at, "line": bisect_right(lines, at - 1) + 1, "caller": d["pos"], "owner": d["owner"], "name": name, "receiver": receiver, "awaited": awaited})
+    if lang != "js":
+        return out, 0
+    # a specifier counts where its word is code
+    out += [{"fact": "import", "pos": m.start(), "line": bisect_right(lines, m.start() - 1) + 1, "name": m[2]} for m in _IMPORT.finditer(source) if code[m.start()] == source[m.start()]]
+    return out, sum(len([x for x in m[1].split(",") if x.strip()]) if m[1] is not None else 1 for m in _EXPORT.finditer(code))
 
 
 def facts_of(path: str, content: str) -> list[dict]:
     """The facts of one file; a file that cannot be read has its `file` fact alone, with parse_error."""
-    lang = ENDINGS.get(path.rsplit(".", 1)[-1].lower())
-    file = {"fact": "file", "lang": lang, "shebang": content.startswith("#!"), "parse_error": False, "exports": 0}
-    if lang is None:
+    ending = path.rsplit(".", 1)[-1].lower()
+    lang = ENDINGS.get(ending)
+    loc = content.count("\n") + 1 if content else 0
+    file = {"fact": "file", "lang": lang, "shebang": content.startswith("#!"), "parse_error": False, "exports": 0, "loc": loc}
+    if lang is None and ending not in IMPORTS_ONLY:
         return [file]
     try:
-        rows, file["exports"] = _python(content) if lang == "python" else _braces(content, lang)
+        rows, file["exports"] = _python(content) if lang == "python" else _braces(content, lang or "js")
     except (SyntaxError, ValueError, RecursionError, KeyError):
         return [file | {"parse_error": True}]
-    return [file, *({"lang": lang} | r for r in rows)]
+    return [file, *({"lang": lang} | r for r in rows if lang or r["fact"] == "import")]
 
 
 def extract(source_files: DataFrame) -> DataFrame:

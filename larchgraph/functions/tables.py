@@ -42,3 +42,13 @@ def dropped(*tables: DataFrame) -> None:
         if path := t.__dict__.pop("stored_at", None):
             at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of this name in the shared folder: written if it is not there, else read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/kept-{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -48,6 +48,36 @@ def test_complexity():
     assert of("a.js", "function f(a) { if (a && a.b || 1) { for (;;) {} } return a ? 1 : 2; }") == {"f": 6}
 
 
+def test_complexity_of_loops_callbacks_and_expressions():
+    of = lambda path, code: {r["display"]: r["complexity"] for r in X.facts_of(path, code) if r["fact"] == "def"}
+    assert of("a.js", "function f() { do { x(); } while (a); p.catch(h); }") == {"f": 2}
+    assert of("A.java", "class A { int f(int x) { do { x--; } while (x > 0); while (x > 1) { } return x; } }") == {"A.f": 3}
+    assert of("a.js", "function f() { return xs.map(x => x ? 1 : 2).filter(function (y) { if (y) { } return y && 1; }); }") == {"f": 1}
+    assert of("a.js", "const f = a => a ? 1 : (b && c);\nconst g = a => a && b || c;\nconst h = () =>\n  a\n  .b(c || d);\nconst k = 1;") == {"f": 2, "g": 2, "h": 2}
+    assert of("a.ts", "const f = async <T,>(a: T): Promise<T> => { if (a) { } return a; };\nclass A { constructor(x) { if (x) { } } get y() { return 1; } *z() { } }") == {"f": 2, "A.z": 1}
+    assert of("a.js", "function f() { if (/[{]\\{/.test(s) || a / b / c) { } return `if ${x ? 1 : 2} while`; }") == {"f": 4}
+    assert of("a.cpp", "class X { int go(int a) { return a; } int select(int b) { return b; } };") == {"X.go": 1, "X.select": 1}
+
+
+def test_calls_in_template_holes_and_after_dots():
+    calls = [(r["name"], r["receiver"]) for r in X.facts_of("a.js", "function f() { return `a${g(1)} b ${h({ a: k() })} c()`; db.delete(1); p.catch(e); delete(x); }") if r["fact"] == "call"]
+    assert calls == [("g", None), ("h", None), ("k", None), ("delete", "db"), ("catch", "p")]
+
+
+def test_imports_are_code_only():
+    of = lambda path, code: [r["name"] for r in X.facts_of(path, code) if r["fact"] == "import"]
+    source = "import a from './a'; // from './no'\nexport * from './b';\nconst s = \"from './no'\"; /* require('./no') */ require('./c'); import('./d');\nimport './e';"
+    assert of("x.ts", source) == of("x.mts", source) == ["./a", "./b", "./c", "./d", "./e"]
+    file = X.facts_of("x.ts", "#!/usr/bin/env node\nexport const a = 1;\nexport { b, c as d };\nexport default 1;")[0]
+    assert (file["exports"], file["shebang"], file["loc"], file["parse_error"]) == (4, True, 4, False)
+    assert [f["fact"] for f in X.facts_of("x.mts", "function f() {}")] == ["file"]
+
+
+@pytest.mark.parametrize("code", ["f(`${", "/* open", "`a${`b${c}`}`", "x = {", "const r = /\\{/;", "if (a) { } // }"])
+def test_scripts_that_close_or_not(code):
+    assert X.facts_of("a.js", code)[0]["parse_error"] == (code in ("f(`${", "/* open", "x = {"))
+
+
 def test_parse_errors_and_odd_files(spark):
     df = spark.createDataFrame([("p", "a.py", "def ("), ("p", "b.js", "function f() {"), ("p", "c.txt", "x"), ("p", "d.py", None), ("p", None, "x"), ("p", "e.js", "#!/x\nexport const a = 1;")], "project_id string, path string, content string")
     got = {r["path"]: (r["parse_error"], r["shebang"], r["exports"]) for r in X.extract(df).filter("fact = 'file'").collect()}
