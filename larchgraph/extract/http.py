@@ -274,7 +274,7 @@ def _route_calls(rows: DataFrame) -> DataFrame:
     """Route calls of known receivers, with url (null where it is no literal)."""
     held = receivers(rows)
     known = bindings(rows, held).select(*KEY, F.col("name").alias("_name"), F.col("key").alias("receiver_key"))
-    chain = r"^([\w$]+)\.route\(([\s\S]*)\)$"
+    chain = r"^([\w$]+)\.route\(([^()]*(?:\([^()]*\)[^()]*)*)\)$"
     chained = F.col("receiver").rlike(chain)
     c = _calls(rows).filter(F.col("verb").isin(*VERBS, "all")).withColumn("_name", F.when(chained, F.regexp_extract("receiver", chain, 1)).otherwise(F.col("receiver")))
     c = c.join(known, [*KEY, "_name"]).filter(chained | (F.size("args") >= 2))
