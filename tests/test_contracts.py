@@ -26,6 +26,17 @@ def test_relative_join(spark):
 def test_http_path(spark):
     rows = [(x, "") for x in ("", "/", " a//b/ ", "https://h.com/x/?q#f", "https://h.com", "HTTP://h/a\\b", "/p?x", "p#y", None)]
     assert values(spark, lambda a, b: P.http_path(a), *rows) == ["/", "/", "/a/b", "/x", "/", "/a/b", "/p", "/p", None]
+    rows = [(x, "") for x in ("\t/a\n", "http://h/a/./b/../c/", "https://u:p@h:80/x", "http://", "http://a b/x", "https://h:port/", "http://[::1]:8/y", "/a/../b")]
+    assert values(spark, lambda a, b: P.http_path(a), *rows) == ["/a", "/a/c", "/x", None, None, None, "/y", "/a/../b"]
+
+
+def test_names_and_labels(spark):
+    assert values(spark, lambda a, b: P.function_name(a), ("a.ts#b#c", ""), ("plain", "")) == ["b#c", "plain"]
+    assert values(spark, lambda a, b: P.function_id(a), (" ./a\\b.ts#f ", ""), ("f", "")) == ["a/b.ts#f", "f"]
+    assert values(spark, lambda a, b: P.short_text(a, 5), ("a  \n b", ""), ("abcdefg", "")) == ["a b", "ab\u2026"]
+    assert values(spark, lambda a, b: P.clean_label(a, "none", 4), ("\x01a\nbcdef ", ""), (" \t", ""), (None, "")) == ["a bc", "none", "none"]
+    assert values(spark, lambda a, b: P.local_path(a, "/home/x"), ("/home/x/a.ts", ""), ("C:\\b.ts", ""), ("./c.ts", "")) == ["a.ts", "b.ts", "c.ts"]
+    assert values(spark, lambda a, b: P.module_path(a), ("/a/b/", ""), ("./c", "")) == ["a/b", "c"]
 
 
 def test_paths_match(spark):
@@ -67,7 +78,7 @@ def test_file_graph(spark):
 
 
 def facts(spark, before, after):
-    rows = [("before", k, v) for k, v in before] + [("after", k, v) for k, v in after]
+    rows = [(side, k, v) for side, every in (("before", before), ("after", after)) for x, v in every for k in ((x, "script") if x == "file" else (x,))]
     return spark.createDataFrame(rows, "snapshot_id string, kind string, key string")
 
 
@@ -138,9 +149,19 @@ def test_contract_radar(spark):
 def test_mounts(spark):
     mounts = spark.createDataFrame([("p", "app", "api", "/api"), ("p", "api", "users", "/users"), ("p", "users", "api", "/loop"), ("p", "app", "users", "/")], "project_id string, parent string, child string, prefix string")
     got = {(r["receiver"], r["prefix"]) for r in R.mount_prefixes(mounts).collect()}
-    assert got == {("app", "/"), ("api", "/api"), ("users", "/api/users"), ("users", "/"), ("api", "/loop")}
+    # a climb that comes back to where it was ends there, as at a root
+    assert got == {("app", "/"), ("api", "/api"), ("api", "/loop"), ("api", "/users/loop"), ("users", "/api/users"), ("users", "/"), ("users", "/loop/users")}
     drafts = spark.createDataFrame([("p", "users", "/:id"), ("p", "other", "/x")], "project_id string, receiver string, path string")
-    assert {r["path"] for r in R.mounted(drafts, R.mount_prefixes(mounts)).collect()} == {"/api/users/:id", "/:id", "/x"}
+    assert {r["path"] for r in R.mounted(drafts, R.mount_prefixes(mounts)).collect()} == {"/api/users/:id", "/:id", "/loop/users/:id", "/x"}
+
+
+def test_mounts_without_a_root_or_an_end(spark):
+    """A cycle that nothing else mounts has prefixes too, and a chain of a hundred keeps them all."""
+    chain = [("p", f"r{i}", f"r{i + 1}", f"/{i}") for i in range(100)]
+    mounts = spark.createDataFrame([("q", "a", "b", "/b"), ("q", "b", "a", "/a"), *chain], "project_id string, parent string, child string, prefix string")
+    got = {(r["receiver"], r["prefix"]) for r in R.mount_prefixes(mounts).collect()}
+    assert {x for x in got if x[0] in "ab"} == {("a", "/b/a"), ("b", "/a/b")}
+    assert ("r100", "".join(f"/{i}" for i in range(100))) in got and len(got) == 103
 
 
 def test_unique_ids(spark):

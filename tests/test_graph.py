@@ -67,6 +67,39 @@ def test_trace_order_flags_what_was_seen(spark):
     assert [(r["id"], r["depth"], r["revisit"]) for r in rows] == [("a", 0, False), ("b", 1, False), ("d", 2, False), ("c", 1, False), ("d", 2, True)]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_layer_strategies_agree(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(70)) if a < b}
+    nodes = spark.createDataFrame([("p", i) for i in range(31)], "project_id string, id int")
+    marked = spark.createDataFrame([("p", a, b, False) for a, b in pairs] + [("p", 3, 3, True)], "project_id string, src int, dst int, cycle boolean")
+    want = dict.fromkeys(range(31), 0)
+    for a, b in sorted(pairs):  # sources in order: a graph over a < b
+        want[b] = max(want[b], want[a] + 1)
+    for in_task in (1000, 0):
+        assert {r["id"]: r["layer"] for r in G.layers(nodes, marked, in_task).collect()} == want
+
+
+def test_metric_delta_equals_scoring_the_rest(spark):
+    """Touched nodes alone give the counts of the whole remaining graph."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(3):
+        rows += [(f"p{k}", rng.randrange(14), rng.randrange(14)) for _ in range(rng.choice((14, 26)))]
+    nodes = spark.createDataFrame([(f"p{k}", i, f"f{i % 3}.js", rng.choice((1, 9, 10, 12))) for k in range(3) for i in range(14)], "project_id string, id int, file string, complexity int")
+    edges = spark.createDataFrame(rows, "project_id string, src int, dst int")
+    changes = [(f"p{k}/{i}", f"p{k}", "delete-function", str(i)) for k in range(3) for i in range(0, 14, 4)] + [(f"p{k}/f", f"p{k}", "delete-file", "f1.js") for k in range(3)]
+    gone = I.removed(spark.createDataFrame(changes, "change_id string, project_id string, kind string, target string"), nodes).cache()
+    left, rest = I.shadow(gone, nodes, edges)
+    after = {r["project_id"]: (r["n"], r["c"], r["l"]) for r in G.scored(left, rest).groupBy("project_id").agg(F.count("*").alias("n"), F.count_if("in_cycle").alias("c"), F.count_if(F.col("level") != "ok").alias("l")).collect()}
+    got = {r["change_id"]: (r["functions_after"], r["in_cycle_after"], r["flagged_after"]) for r in I.metric_delta(gone, nodes, edges).collect()}
+    assert got == after and len(got) == len(changes)
+    fans = {(r["project_id"], r["id"]): r["fan_in"] for r in G.degrees(left, rest).collect()}
+    before = {(r["project_id"], r["id"]): r["fan_in"] for r in G.degrees(nodes, edges).collect()}
+    want = {(c, i) for (c, i), n in fans.items() if not n and before[c.split("/")[0], i]}
+    assert {(r["change_id"], r["id"]) for r in I.newly_orphaned(gone, nodes, edges).collect()} == want
+
+
 def test_empty_graph(spark):
     nodes, edges = frames(spark, [("a", "b")])
     assert G.scored(nodes.limit(0), edges.limit(0)).count() == 0
