@@ -25,6 +25,8 @@ from larchgraph.llm.common import UPPER, stored
 SAMPLE, PAIRS, FOLDS, CUT, RIDGE = 2000, 60_000, 5, 0.3, 1e-3
 #: Bins of a histogram that narrows a quantile.
 BINS = 1000
+#: Labelled ids that are broadcast to the texts; more are merged with them, at the cost of a shuffle of all texts.
+BROADCAST = 1_000_000
 FEATURES = ("symbols", "upper", "shouts", "pipes", "digits", "repeats", "dup_lines", "stops", "word_length", "line_length", "few_words", "length")
 
 
@@ -128,7 +130,8 @@ def _whole_cut(measured: DataFrame, labels: DataFrame, weights: np.ndarray, key:
 
 def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """key and _features of the rows with a label to learn from, written."""
-    known = known_labels(labels, key, label).select("_key").distinct()
+    known = stored(known_labels(labels, key, label).select("_key").distinct())
+    known = F.broadcast(known) if known.count() <= BROADCAST else known.hint("merge")
     texts = docs.select(key, text)
     return stored(features(texts.join(known, texts[key] == known["_key"], "left_semi"), text).select(key, "_features"))
 
