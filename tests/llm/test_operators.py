@@ -749,13 +749,16 @@ def test_quality_classifier_without_both_labels(spark):
     assert len(rows) == len(ODD) and {(r["score"], r["predicted"]) for r in rows} == {(0.5, 1)}
 
 
-def test_quality_cut_covers_all_labelled_rows(spark):
+def test_quality_cut_covers_all_labelled_rows(spark, monkeypatch):
     """The cut has the whole labels' share of bad rows, however few rows the weights are fitted on."""
     rng = np.random.default_rng(8)
     texts = [" ".join("!!" if rng.random() < (0.3 if i % 7 == 0 else 0.2) else rng.choice(["the", "word", "of", "longer"]) for _ in range(30)) for i in range(350)]
     df = docs(spark, texts).select("doc_id", "text")
     labels = spark.createDataFrame([(i, int(i % 7 != 0)) for i in range(350)], "doc_id bigint, quality int")
     weights, cut = pairwise_quality.learn(df, labels, sample=20)
+    monkeypatch.setattr(pairwise_quality, "BROADCAST", 0)
+    merged = pairwise_quality.learn(df, labels, sample=20)
+    assert np.array_equal(merged[0], weights) and merged[1] == cut
     rows = pairwise_quality.features(df).filter(~pairwise_quality.held_out("doc_id")).collect()
     utility = np.array([sum(x * w for x, w in zip(r["_features"], weights.tolist())) for r in rows])
     want = pairwise_quality._cut(utility, np.array([int(r["doc_id"] % 7 != 0) for r in rows]))
