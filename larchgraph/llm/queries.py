@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchgraph.llm import line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
+from larchgraph.llm import fill_in_middle, line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
 from larchgraph.llm.common import stored, table
 
 SHARDS = 40
@@ -77,6 +77,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle.fill_in_middle(docs)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +104,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "pipeline": pipeline,
 }
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -133,9 +144,17 @@ t AS (SELECT source, n, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM
 c AS (SELECT d.*, t.n, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o) - size AS BIGINT) AS start FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, n AS source_size, CAST(target AS DOUBLE) AS target, CAST(floor(target / greatest(n, 1)) * size + greatest(0, least(size, round(target - floor(target / greatest(n, 1)) * n) - start)) AS BIGINT) AS taken FROM c"""
 
+_FIM = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w FROM documents),
+n AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS y,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(w[1:least(x, y)], '') AS a, array_to_string(w[least(x, y)+1:greatest(x, y)], '') AS b, array_to_string(w[greatest(x, y)+1:], '') AS c FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || c || '<P>' || a || '<M>' || b ELSE '<P>' || a || '<S>' || c || '<M>' || b END) AS output_sha256, sha256(CASE form WHEN 'plain' THEN t ELSE a || b || c END) AS restored_sha256 FROM p"""
+
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": _NEAR,
     "op7_mixing": _MIX,
     "op9_line_dedup": _LINES,
     "op10_quality_rules": _QUALITY,
+    "op11_fill_in_middle": _FIM,
 }
