@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchgraph.llm import fill_in_middle, line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
+from larchgraph.llm import embedding_dedup, fill_in_middle, line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
 from larchgraph.llm.common import stored, table
 
 SHARDS = 40
@@ -87,6 +87,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +109,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "pipeline": pipeline,
 }
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -151,10 +156,19 @@ p AS (SELECT *, array_to_string(w[1:least(x, y)], '') AS a, array_to_string(w[le
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || c || '<P>' || a || '<M>' || b ELSE '<P>' || a || '<S>' || c || '<M>' || b END) AS output_sha256, sha256(CASE form WHEN 'plain' THEN t ELSE a || b || c END) AS restored_sha256 FROM p"""
 
+_VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
+
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": _NEAR,
     "op7_mixing": _MIX,
     "op9_line_dedup": _LINES,
     "op10_quality_rules": _QUALITY,
     "op11_fill_in_middle": _FIM,
+    "op12_embedding_near_dedup": _VECTORS,
 }
