@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchgraph.llm import embedding_dedup, fill_in_middle, line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
+from larchgraph.llm import conversation_repair, embedding_dedup, fill_in_middle, line_dedup, media, mixing, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_counts, url_filter
 from larchgraph.llm.common import stored, table
 
 SHARDS = 40
@@ -91,6 +91,13 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows, edits = conversation_repair.repair(conversation_repair.damaged(turns), copies="copies")
+    conversations = turns.select(F.col("conv_id").alias("conv")).distinct()
+    return conversation_repair.reports(rows, edits, conversations).withColumnRenamed("conv", "conv_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,6 +117,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -164,6 +172,31 @@ r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l
 c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
 
+#: crc32 by a fold over bits; costs backwards, row by row, from each state (b0 nothing yet, bs, bu, ba); letters forwards.
+_REPAIR = f"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(k) + 1), lambda i: [ord(k[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END)), 4294967295::BIGINT) % 20 AS c FROM t),
+d AS (SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE c WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE c <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, {_WS}) AS bare FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN bare[-1] IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault, role[1] AS r FROM o),
+q AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+ FROM (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM f) GROUP BY conv_id),
+b AS (SELECT conv_id, n + 1 AS i, 0 AS b0, 4 AS bs, 2 AS bu, 0 AS ba FROM q
+ UNION ALL SELECT conv_id, i, least(x0, 2 + least(xu, 2 + xa)), least(xs, 2 + least(xu, 2 + xa)), least(xu, 2 + least(xa, 2 + xu)), least(xa, 2 + xu) FROM
+ (SELECT b.conv_id, f.i, least(3 + b0, u, z + CASE r WHEN 'u' THEN bu WHEN 's' THEN bs ELSE 1000000 END) AS x0, least(3 + bs, u, z + CASE r WHEN 'u' THEN bu ELSE 1000000 END) AS xs, least(3 + bu, 2 + z + ba, z + CASE r WHEN 'a' THEN ba ELSE 1000000 END) AS xu, least(3 + ba, u, z + CASE r WHEN 'u' THEN bu ELSE 1000000 END) AS xa
+  FROM b JOIN (SELECT *, CASE fault WHEN 3 THEN 1 WHEN 0 THEN 0 ELSE 1000000 END AS z FROM f) f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1, LATERAL (SELECT 2 + z + bu AS u))),
+w AS (SELECT conv_id, i, b0, bs, bu, ba, lead(b0) OVER p AS n0, lead(bs) OVER p AS ns, lead(bu) OVER p AS nu, lead(ba) OVER p AS na FROM b WINDOW p AS (PARTITION BY conv_id ORDER BY i)),
+g AS (SELECT w.*, f.role, f.text, f.r, CASE f.fault WHEN 3 THEN 1 WHEN 0 THEN 0 ELSE 1000000 END AS z FROM w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i),
+e AS (SELECT conv_id, 1::BIGINT AS i, '0' AS s, '' AS audit, []::VARCHAR[] AS said, 0 AS step FROM q
+ UNION ALL SELECT conv_id, CASE WHEN x = 'I' THEN i ELSE i + 1 END, CASE WHEN x = 'D' THEN s WHEN x = 'K' THEN r WHEN s = 'u' THEN 'a' ELSE 'u' END, audit || x,
+  CASE x WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE s WHEN 'u' THEN 'assistant:' ELSE 'user:' END || CASE x WHEN 'R' THEN text ELSE '' END) END, step + 1 FROM
+  (SELECT e.*, g.role, g.text, g.r, CASE WHEN g.role IS NOT NULL AND 3 + after = cost THEN 'D' WHEN 2 + other = cost THEN 'I' WHEN g.role IS NULL THEN NULL
+     WHEN z + CASE WHEN r = 'u' AND e.s <> 'u' THEN nu WHEN r = 'a' AND e.s = 'u' THEN na WHEN r = 's' AND e.s = '0' THEN ns ELSE 1000000 END = cost THEN 'K' ELSE 'R' END AS x
+   FROM e JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i,
+   LATERAL (SELECT CASE e.s WHEN '0' THEN b0 WHEN 's' THEN bs WHEN 'u' THEN bu ELSE ba END AS cost, CASE e.s WHEN '0' THEN n0 WHEN 's' THEN ns WHEN 'u' THEN nu ELSE na END AS after, CASE e.s WHEN 'u' THEN ba ELSE bu END AS other)) WHERE x IS NOT NULL),
+l AS (SELECT conv_id, arg_max(audit, step) AS audit, sha256(array_to_string(arg_max(said, step), chr(10))) AS repaired_sha256 FROM e GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(b0 AS BIGINT), 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = 1"""
+
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": _NEAR,
     "op7_mixing": _MIX,
@@ -171,4 +204,5 @@ ORACLES: dict[str, str] = {
     "op10_quality_rules": _QUALITY,
     "op11_fill_in_middle": _FIM,
     "op12_embedding_near_dedup": _VECTORS,
+    "op13_conversation_repair": _REPAIR,
 }
