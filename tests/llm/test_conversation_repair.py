@@ -131,6 +131,7 @@ def test_query_against_a_plain_damage(spark, tmp_path):
     rng = random.Random(3)
     turns = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["Hello there.", "What?! is", None, "ok"]) ) for c in range(40) for t in range(rng.randrange(1, 9))]
     turns += [(None, None, "user", "x."), (77, None, None, None)]
+    turns += [(c, 0, "user", "gone.") for c in range(1000, 1100) if zlib.crc32(f"{c}:0".encode()) % 20 == 0]
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     hurt = {}
     for c, t, role, text in turns:
@@ -141,4 +142,4 @@ def test_query_against_a_plain_damage(spark, tmp_path):
         hurt.setdefault(c, []).extend([(t, role, text)] * (0 if draw == 0 else 2 if draw == 3 else 1))
     got = {r["conv_id"]: (r["gaps"], r["blank"], r["duplicate"], r["truncated"], r["illegal"], r["cost"], r["audit"], r["repaired_sha256"]) for r in queries.op13_conversation_repair(spark, str(tmp_path)).collect()}
     assert got == {c: plain(rows)[0] for c, rows in hurt.items()}
-    assert () not in hurt.values() and any(not rows for rows in hurt.values())
+    assert any(not rows for rows in hurt.values())
