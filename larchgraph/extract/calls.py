@@ -1,6 +1,6 @@
 """Call expressions of scripts with their arguments, one Arrow pass over source_files.
 
-Each row says what stands in one file: `call` rows, exported names, `class` and `method` rows with
+Each row says what stands in one file: `call` rows, exported names, `link` rows (see links), `class` and `method` rows with
 decorators, and a `file` row with the text without comments. Who a receiver is and what a call means is settled by joins and
 column functions, in extract.http.
 """
@@ -14,7 +14,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larchgraph.extract import definitions as D
 from larchgraph.extract import text as T
+from larchgraph.extract.links import links_of
+from larchgraph.extract.nesting import Nesting, checked
 
 ARGUMENT = "struct<kind:string,text:string,names:array<string>,props:map<string,string>,first:int,last:int>"
 SCHEMA = (
@@ -37,21 +40,9 @@ _ASSIGNED = re.compile(r"(?:const|let|var)\s+([\w$]+)\s*(?::[^=;]+)?=\s*(?:await
 _AFTER_DECORATORS = re.compile(r"\s*(?:(?:export|default|abstract|public|private|protected|static|async|readonly|override)\s+)*(?:class\s+(?P<class>[\w$]+)[^{]*(?P<open>\{)|(?P<method>[\w$]+)\s*\()")
 
 
-def _pairs(code: str) -> dict[int, int]:
+def _pairs(tree: Nesting) -> dict[int, int]:
     """Each bracket's partner."""
-    out: dict[int, int] = {}
-    stack: list[int] = []
-    for m in re.finditer(r"[()\[\]{}]", code):
-        if m[0] in "([{":
-            stack.append(m.start())
-        elif not stack or code[stack[-1]] + m[0] not in ("()", "[]", "{}"):
-            raise SyntaxError("unbalanced bracket")
-        else:
-            out[m.start()], out[stack[-1]] = stack[-1], m.start()
-            stack.pop()
-    if stack:
-        raise SyntaxError("unclosed bracket")
-    return out
+    return dict(zip(tree.opens, tree.closes, strict=True)) | tree.opened
 
 
 def _split(code: str, pair: dict[int, int], a: int, b: int) -> list[tuple[int, int]]:
@@ -118,7 +109,8 @@ def calls_of(source: str) -> list[dict]:
     """The rows of one file, or its `file` row with parse_error."""
     try:
         code, text = T.script(source)
-        pair = _pairs(code)
+        tree = checked(code)
+        pair = _pairs(tree)
     except SyntaxError:
         return [{"fact": "file", "text": "", "parse_error": True}]
     lines = [m.start() for m in re.finditer("\n", code)]
@@ -147,6 +139,7 @@ def calls_of(source: str) -> list[dict]:
         rows.append(row)
     for m in re.finditer(r"\bexport\s+(?:async\s+)?(?:function\s*\*?|const|let|var)\s+([\w$]+)", code):
         rows.append({"fact": "export", "pos": m.start(), "line": line(m.start()), "name": m[1]})
+    rows += [{"fact": "link", "pos": x["pos"], "line": line(x["pos"]), "name": x["name"], "receiver": x["spec"], "assigned": x["symbol"], "scope": x["kind"]} for x in links_of(code, text, tree, D.classes(tree, "js"))]
     run: dict[str, str] = {}
     end = start = 0
     for m in re.finditer(r"@([\w$.]+)\s*(\()?", code):

@@ -2,8 +2,9 @@
 
 Each row says what one file shows by itself: `def`, `call` and `import` facts, and a `file` fact with
 exports, shebang, lines and parse errors. What a call refers to is settled by joins, in operators.resolve. Python
-is read with the standard library's syntax tree; languages with braces by patterns over text whose
-comments and literals are blanked out. Both are helpers for one file; Spark spreads the files.
+is read with the standard library's syntax tree; languages with braces by walks along the nesting of
+text whose comments and literals are blanked out (definitions, nesting). Both are helpers for one file, in
+time that grows with its length; Spark spreads the files. A script also tells `link` facts: what its names stand for.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larchgraph.extract import definitions as D
 from larchgraph.extract import text
+from larchgraph.extract.links import links_of
+from larchgraph.extract.nesting import Nesting, checked
 
 SCHEMA = (
     "project_id string, path string, lang string, fact string, pos int, line int, name string, owner string, display string, complexity int, body string, "
-    "caller int, receiver string, bound_module string, bound_name string, level int, awaited boolean, exports int, shebang boolean, parse_error boolean, loc int"
+    "caller int, receiver string, bound_module string, bound_name string, level int, target int, awaited boolean, exports int, shebang boolean, parse_error boolean, loc int"
 )
 FIELDS = [x.split() for x in SCHEMA.split(", ")]
 ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
@@ -41,24 +45,19 @@ BRANCHES = {
     "js": r"(?<![.$])\b(?:if|for|while|case|catch)\b(?!\s*:)|&&|\|\||\?(?![.?:,)])(?<!\?\?)",
 }
 ENDINGS = {e: lang for lang, es in LANGUAGES.items() for e in es.split()}
-#: Words before a parenthesis that are no names, unless they stand after a dot.
+#: Words before a parenthesis that are no calls, unless they stand after a dot.
 _COMMON = set("if for while switch catch return new else do case super sizeof throw".split())
 _KEYWORDS = {lang: _COMMON | set(words.split()) for lang, words in {
     "js": "function typeof await delete import require void yield", "java": "synchronized", "go": "func go defer select", "c": "", "cpp": "delete", "csharp": "foreach lock using when typeof nameof await",
 }.items()}
-_CLASS = re.compile(r"\b(?:class|interface|enum|record|struct)\s+(\w+)[^{;]*\{")
-_GENERIC = r"(?:<[^<>()]*(?:<[^<>()]*>[^<>()]*)*>\s*)?"
-_JS_DEFS = (
-    re.compile(r"\bfunction\s*\*?\s*(?P<name>\w+)\s*(?:<[^>{]*>)?\([^{]*?\)[^{;]*\{"),
-    re.compile(r"\b(?:const|let|var)\s+(?P<name>\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b[^{]*\{|(?:" + _GENERIC + r"\([^()]*(?:\([^()]*\)[^()]*)*\)|\w+)\s*(?::[^=;{]+)?=>\s*\{?)"),
-    re.compile(r"(?:^|[{};,])\s*(?:(?:public|private|protected|static|async|override|readonly)\s+)*\*?\s*(?P<name>\w+)\s*" + _GENERIC + r"\((?:[^(){}]|\([^()]*\))*\)\s*(?::[^{;=]+)?\{"),
-)
-_ANONYMOUS = re.compile(r"=>\s*\{?|\bfunction\b\s*\*?\s*\([^{]*?\)[^{;]*\{")
 _IMPORT = re.compile(r"(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)(['\"])([^'\"\n]+)\1")
 _EXPORT = re.compile(r"^\s*export\b(?:\s*\{([^}]*)\})?(?!\s*\*)", re.M)
-_GO_DEF = re.compile(r"\bfunc\s*(?:\(\s*(?P<self>\w+)?\s*\*?(?P<owner>\w+)\s*\)\s*)?(?P<name>\w+)\s*\([^{]*?\)[^{;]*\{")
-_C_DEF = re.compile(r"(?:^|[;{}\]>*&\s])(?P<name>~?\w+(?:::~?\w+)*)\s*\([^(){};]*\)\s*(?:const|override|noexcept|final|throws\s+[\w\s,.]+)?\s*\{")
 _CALL = re.compile(r"(?:(?P<recv>[\w.\]\)]+(?:(?:\.|->|::)\w+)*)\s*(?P<sep>\?\.|\.|->|::)\s*)?(?P<name>\w+)\s*\(")
+_SCRIPT_CALL = re.compile(r"(?:(?P<recv>[\w$#.\]\)]+)\s*(?P<sep>\?\.|\.)\s*)?(?P<name>[\w$#]+)\s*(?:<[^<>()=;{}]*(?:<[^<>()=;{}]*>[^<>()=;{}]*)*>)?\(")
+#: What an arrow's expression may be itself.
+_OPERATOR = re.compile(r"&&|\|\||(?<!\?)\?(?![.?:,)])")
+#: How far back the words before a call are looked for.
+_BACK = 200
 
 
 def _python(source: str) -> tuple[list[dict], int]:
@@ -114,89 +113,132 @@ def _python(source: str) -> tuple[list[dict], int]:
     return out, 0
 
 
-def _spans(code: str) -> dict[int, int]:
-    """Where each brace closes."""
-    stack, out = [], {}
-    for m in re.finditer(r"[{}]", code):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            out[stack.pop()] = m.end()
-    if stack:
-        raise SyntaxError("unclosed brace")
-    return out
+class _Sweep:
+    """The innermost of nested stretches (start, end, what) around places that are asked in order."""
 
+    def __init__(self, stretches: list[tuple[int, int, object]]):
+        self.todo = sorted(stretches, key=lambda x: (x[0], -x[1]))
+        self.next, self.open = 0, []
 
-def _functions(code: str, lang: str, close: dict[int, int]) -> list[dict]:
-    """The definitions, by where their bodies begin."""
-    lines = [m.start() for m in re.finditer("\n", code)]
-    classes = [(m.end() - 1, close[m.end() - 1], m[1]) for m in _CLASS.finditer(code)]
-    owner_at = lambda at: max(((a, n) for a, b, n in classes if a < at < b), default=(0, None))[1]
-    found: dict[int, dict] = {}
-    for pattern in _JS_DEFS if lang == "js" else (_GO_DEF,) if lang == "go" else (_C_DEF,):
-        for m in pattern.finditer(code):
-            at, name = m.start("name"), m["name"].split("::")[-1]
-            method = lang == "js" and pattern is _JS_DEFS[2]
-            if name in _KEYWORDS[lang] or at in found or method and name == "constructor" or code[:at].rstrip().endswith((".", " new", "=new", "(new", "return")):
-                continue
-            begin = m.end() - 1
-            bare = code[begin] != "{"  # an arrow's expression
-            end = text.expression_end(code, m.end()) if bare else close[begin]
-            owner = (m["owner"] if lang == "go" else owner_at(at)) if lang != "js" or method else None
-            found[at] = {
-                "fact": "def", "pos": at, "line": bisect_right(lines, at - 1) + 1, "name": name, "owner": owner, "display": f"{owner}.{name}" if owner else name,
-                "begin": begin, "end": end, "self": m["self"] if lang == "go" else None, "bare": bare,
-            }
-    return sorted(found.values(), key=lambda d: d["begin"])
-
-
-def _complexity(code: str, lang: str, d: dict, inner: list[tuple[int, int]]) -> int:
-    """1 and the branches of the body, without functions inside it. What an arrow's expression is
+    def at(self, place: int) -> object | None:
+        while self.next < len(self.todo) and self.todo[self.next][0] <= place:
+            while self.open and self.open[-1][1] <= self.todo[self.next][0]:
+                self.open.pop()
+            self.open.append(self.todo[self.next])
+            self.next += 1
+        while self.open and self.open[-1][1] <= place:
+            self.open.pop()
+        return self.open[-1][2] if self.open else None
+
+
+def _complexities(code: str, lang: str, tree: Nesting, found: D.Found) -> None:
+    """1 and the branches of each body, without functions inside it. What an arrow's expression is
     itself does not count."""
-    body = code[d["begin"] : d["end"]]
-    for a, b in inner:
-        if d["begin"] < a and b <= d["end"] and b > a:
-            body = body[: a - d["begin"]] + text.blank(body[a - d["begin"] : b - d["begin"]]) + body[b - d["begin"] :]
-    n = 1 + len(re.findall(BRANCHES[lang], body))
-    if d["bare"]:
-        flat, last = body, None
-        while flat != last:
-            flat, last = re.sub(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "", flat), flat
-        n -= bool(re.search(r"&&|\|\||\?(?![.?:,)])(?<!\?\?)", flat))
-    return n
+    by_begin = {d["begin"]: d for d in found.defs}
+    for d in found.defs:
+        d["complexity"] = 1
+    sweep = _Sweep([(start, end, begin) for start, begin, end in found.spans])
+    roots: set[int] = set()
+    for m in re.finditer(BRANCHES[lang], code):
+        begin = sweep.at(m.start())
+        d = by_begin.get(begin)
+        if d and m.start() >= begin:
+            d["complexity"] += 1
+            if d["bare"] and begin not in roots and _OPERATOR.match(code, m.start()) and tree.around(m.start()) == tree.around(begin):
+                roots.add(begin)
+                d["complexity"] -= 1
+
+
+class _Scopes:
+    """What names stand for inside one script: functions, aliases, and what hides them."""
+
+    def __init__(self, code: str, tree: Nesting, found: D.Found):
+        self.code, self.tree, self.params = code, tree, found.params
+        self.names: dict[tuple[int, str], object] = {}
+        for m in re.finditer(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;\n]+)?(?:=\s*(new\s+)?([A-Za-z_$][\w$]*)\s*(?=;|,|\n|\(|$))?", code):
+            scope = self.scope(m.start())
+            if scope >= 0:  # of the file's own level, links tell
+                whole = m[3] and (m[2] or code[m.end() : m.end() + 1] != "(")
+                self.names.setdefault((scope, m[1]), ("name", m[3]) if whole else None)
+        for d in found.defs:
+            if d.get("lexical"):
+                self.names[self.scope(d["pos"]), d["name"]] = d["pos"]
+        self.hidden = {begin: set(re.findall(r"[A-Za-z_$][\w$]*", code[a : b + 1])) for begin, (a, b) in found.params.items()}
+        self.bare = _Sweep([(begin, end, begin) for _, begin, end in found.spans if code[begin : begin + 1] != "{"])
+
+    def scope(self, at: int) -> int:
+        """The opening of the innermost braces around a place, or -1."""
+        i = self.tree.around(at)
+        while i >= 0 and self.code[self.tree.opens[i]] != "{":
+            i = self.tree.parent[i]
+        return self.tree.opens[i] if i >= 0 else -1
+
+    def find(self, name: str, at: int) -> tuple[int | None, str | None]:
+        """(the function, the file's own name) that a name at a place stands for; places in order."""
+        arrow = self.bare.at(at)
+        scope = self.scope(at)
+        for _ in range(20):  # aliases of aliases
+            while scope >= 0:
+                if arrow is not None and arrow > scope and name in self.hidden.get(arrow, ()):
+                    return None, None
+                if (scope, name) in self.names:
+                    break
+                if name in self.hidden.get(scope, ()):
+                    return None, None
+                scope = self.scope(scope)
+            else:
+                if arrow is not None and name in self.hidden.get(arrow, ()):
+                    return None, None
+            hit = self.names.get((scope, name), name if scope < 0 else None)
+            if isinstance(hit, int):
+                return hit, name if scope < 0 else None
+            if isinstance(hit, tuple) and hit[1] != name:
+                name = hit[1]
+                continue
+            return None, hit if isinstance(hit, str) else None
+        return None, None
 
 
 def _braces(source: str, lang: str) -> tuple[list[dict], int]:
-    code = text.script(source)[0] if lang == "js" else text.plain(source)
-    close = _spans(code)
-    defs = _functions(code, lang, close)
-    inner = [(d["pos"], d["end"]) for d in defs]
-    if lang == "js":
-        for m in _ANONYMOUS.finditer(code):
-            inner.append((m.start(), close[m.end() - 1] if m[0].endswith("{") else text.expression_end(code, m.end())))
+    code, bare_text = text.script(source) if lang == "js" else (text.plain(source), source)
+    tree = checked(code) if lang == "js" else Nesting(code)
+    found = D.found(tree, lang)
+    defs = found.defs
+    lines = [m.start() for m in re.finditer("\n", code)]
+    line = lambda at: bisect_right(lines, at - 1) + 1
+    _complexities(code, lang, tree, found)
     for d in defs:
-        d["complexity"], d["body"] = _complexity(code, lang, d, inner), source[d["begin"] : d["end"]]
+        d["line"], d["body"] = line(d["pos"]), source[d["begin"] : d["end"]]
     out = list(defs)
-    lines = [m.start() for m in re.finditer("\n", code)]
     named = {d["pos"] for d in defs}
-    for m in _CALL.finditer(code):
+    scopes = _Scopes(code, tree, found) if lang == "js" else None
+    bodies = _Sweep([(d["begin"], d["end"], d) for d in defs])
+    within = _Sweep([(a, b, n) for a, b, n, _ in found.classes])
+    for m in (_SCRIPT_CALL if lang == "js" else _CALL).finditer(code):
         at, name = m.start("name"), m["name"]
-        if not m["recv"] and name in _KEYWORDS[lang] or at in named or re.search(r"\bnew\s+[\w.]*$", code[: m.start("name")]) or code[: m.start()].endswith("func "):
+        back = code[max(0, at - _BACK) : at]
+        if not m["recv"] and name in _KEYWORDS[lang] or at in named or re.search(r"\bnew\s+[\w.]*$", back) or code[max(0, m.start() - 5) : m.start()] == "func ":
             continue
-        inside = [d for d in defs if d["begin"] <= at < d["end"]]
-        if inside and (lang != "c" or not m["recv"]) and not (lang == "cpp" and m["sep"] == "::"):
-            d = inside[-1]
+        d = bodies.at(at)
+        if d and (lang != "c" or not m["recv"]) and not (lang == "cpp" and m["sep"] == "::"):
             receiver = m["recv"].replace("->", ".").replace("::", ".") if m["recv"] else None
             if receiver and receiver == d["self"] or receiver in ("this", "self"):
                 receiver = "this"
             elif receiver and receiver.startswith(("this.", "self.")):
                 receiver = receiver[5:]
-            awaited = bool(re.search(r"\bawait\s+[\w.]*$", code[: m.start("name")]))
-            out.append({"fact": "call", "pos": at, "line": bisect_right(lines, at - 1) + 1, "caller": d["pos"], "owner": d["owner"], "name": name, "receiver": receiver, "awaited": awaited})
+            row = {"fact": "call", "pos": at, "line": line(at), "caller": d["pos"], "owner": d["owner"], "name": name, "receiver": receiver, "awaited": bool(re.search(r"\bawait\s+[\w.]*$", back))}
+            if scopes:
+                row["owner"] = within.at(at)
+                if receiver is None:
+                    row["target"], row["bound_name"] = scopes.find(name, at)
+                elif receiver != "this" and re.fullmatch(r"[A-Za-z_$][\w$]*", receiver):
+                    row["bound_name"] = scopes.find(receiver, at)[1]
+            out.append(row)
     if lang != "js":
         return out, 0
     # a specifier counts where its word is code
-    out += [{"fact": "import", "pos": m.start(), "line": bisect_right(lines, m.start() - 1) + 1, "name": m[2]} for m in _IMPORT.finditer(source) if code[m.start()] == source[m.start()]]
+    out += [{"fact": "import", "pos": m.start(), "line": line(m.start()), "name": m[2]} for m in _IMPORT.finditer(source) if code[m.start()] == source[m.start()]]
+    out += [{"fact": "link", "pos": x["pos"], "name": x["name"], "owner": x["kind"], "bound_module": x["spec"], "bound_name": x["symbol"]} for x in links_of(code, bare_text, tree, found.classes)]
     return out, sum(len([x for x in m[1].split(",") if x.strip()]) if m[1] is not None else 1 for m in _EXPORT.finditer(code))
 
 

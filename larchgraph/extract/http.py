@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larchgraph.extract import calls as C
 from larchgraph.functions import paths as P
 from larchgraph.functions.tables import stored
+from larchgraph.operators import names as N
 from larchgraph.operators import radar as R
 
 # HTTP verbs, the words that make a middleware an authentication check, and decorators.
@@ -178,6 +179,10 @@ def observations(rows: DataFrame) -> DataFrame:
 
 def receivers(rows: DataFrame) -> DataFrame:
     """(project_id, path, var, framework): variables and parameters that hold an application or router."""
+    return _once(rows, "receivers", lambda: _receivers(rows))
+
+
+def _receivers(rows: DataFrame) -> DataFrame:
     made = _calls(rows).filter("assigned is not null and name in ('express', 'Router', 'fastify')")
     made = made.select(*KEY, F.col("assigned").alias("var"), F.when(F.col("name") == "fastify", "fastify").otherwise("express").alias("framework"))
     typed = _found(rows, TYPED, ["var", "type"]).select(*KEY, "var", F.when(F.col("type").contains("Fastify") | (F.lower("var") == "fastify"), "fastify").otherwise("express").alias("framework"))
@@ -185,45 +190,45 @@ def receivers(rows: DataFrame) -> DataFrame:
     return made.unionByName(typed).unionByName(bare).groupBy(*KEY, "var").agg(F.max("framework").alias("framework"))
 
 
-def imports(rows: DataFrame) -> DataFrame:
-    """(project_id, path, name, target, symbol): names bound to another file's export; the default
-    export's symbol is `default`."""
-    source = r"\s*from\s*['\"]([^'\"]+)['\"]"
-    default = _found(rows, r"\bimport\s+([\w$]+)\s*(?:,\s*\{[^}]*\})?" + source, ["name", "spec"]).withColumn("symbol", F.lit("default"))
-    required = _found(rows, r"\b(?:const|let|var)\s+([\w$]+)\s*=\s*require\s*\(\s*['\"]([^'\"]+)['\"]", ["name", "spec"]).withColumn("symbol", F.lit("default"))
-    part = F.explode(F.split("list", ",")).alias("part")
-    named = _found(rows, r"\bimport\s*(?:[\w$]+\s*,\s*)?\{([^}]*)\}" + source, ["list", "spec"]).select(*KEY, part, "spec")
-    taken = _found(rows, r"\b(?:const|let|var)\s*\{([^}]*)\}\s*=\s*require\s*\(\s*['\"]([^'\"]+)['\"]", ["list", "spec"]).select(*KEY, part, "spec")
-    renamed = r"^\s*([\w$]+)(?:\s+as\s+|\s*:\s*)?([\w$]*)\s*$"
-    some = named.unionByName(taken).select(*KEY, F.regexp_extract("part", renamed, 1).alias("symbol"), F.regexp_extract("part", renamed, 2).alias("as"), "spec").filter("symbol <> ''")
-    some = some.select(*KEY, F.coalesce(F.nullif("as", F.lit("")), "symbol").alias("name"), "spec", "symbol")
-    bound = default.unionByName(required).unionByName(some).filter(P.is_relative(F.col("spec")))
-    tried = bound.withColumn("_base", P.join_relative(F.col("path"), F.col("spec")))
-    tried = tried.select(*KEY, "name", "symbol", F.posexplode(F.concat(*[F.array(F.concat("_base", F.lit(s))) for s in P.SUFFIXES])).alias("_n", "target"))
-    there = rows.filter("fact = 'file'").select("project_id", F.col("path").alias("target"))
-    return tried.join(there, ["project_id", "target"]).groupBy(*KEY, "name").agg(F.min_by(F.struct("target", "symbol"), "_n").alias("t")).select(*KEY, "name", "t.target", "t.symbol")
-
-
-def _exported(rows: DataFrame) -> DataFrame:
-    """(project_id, target, symbol, var): exports of a file that name a variable of it otherwise."""
-    default = _found(rows, r"(?:\bexport\s+default\s+|\bmodule\.exports\s*=\s*)([\w$]+)\s*(?:;|\n|$)", ["var"]).withColumn("symbol", F.lit("default"))
-    renamed = _found(rows, r"\bexport\s*\{([^}]*)\}", ["list"]).select(*KEY, F.explode(F.split("list", ",")).alias("part"))
-    renamed = renamed.select(*KEY, F.regexp_extract("part", r"^\s*([\w$]+)\s+as\s+([\w$]+)\s*$", 1).alias("var"), F.regexp_extract("part", r"^\s*([\w$]+)\s+as\s+([\w$]+)\s*$", 2).alias("symbol")).filter("var <> ''")
-    return default.unionByName(renamed).select("project_id", F.col("path").alias("target"), "symbol", "var").dropDuplicates(["project_id", "target", "symbol"])
+def links(rows: DataFrame) -> DataFrame:
+    """The links of scripts among the rows, as operators.names reads them."""
+    return rows.filter("fact = 'link'").select(*KEY, F.col("scope").alias("kind"), "pos", "name", F.col("receiver").alias("spec"), F.col("assigned").alias("symbol"))
+
+
+def _once(rows: DataFrame, name: str, make) -> DataFrame:
+    """What several parts read of the same rows: made once, and written."""
+    made = rows.__dict__.setdefault("_made", {})
+    if name not in made:
+        made[name] = stored(make())
+    return made[name]
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """Where the names of each file lead; a whole module leads to its default export."""
+
+    def make() -> DataFrame:
+        found = N.ends(links(rows), rows.filter("fact = 'file'").select(*KEY).distinct())
+        whole = found.withColumn("_e", F.split("end", "\u0001")).filter("_e[0] = 'M'").select("project_id", F.col("node").alias("_from"), N.node("E", F.col("_e")[1], F.lit("default")).alias("node"))
+        on = N.at_end(whole, "node", found).select("project_id", F.col("_from").alias("node"), F.concat_ws("\u0001", "kind", "at", "of").alias("end"))
+        return found.filter(~F.col("end").startswith("M")).unionByName(on)
+
+    return _once(rows, "ends", make)
 
 
 def _bound(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """(project_id, path, name, key): names of a file that stand for a key of keys(project_id, path,
-    name, key), of the file itself or imported."""
-    far = imports(rows).join(_exported(rows), ["project_id", "target", "symbol"], "left")
-    there = keys.select("project_id", F.col("path").alias("target"), F.col("name").alias("_var"), "key")
-    far = far.withColumn("_var", F.coalesce("var", "symbol")).join(there, ["project_id", "target", "_var"]).select(*KEY, "name", "key")
+    name, key), of the file itself or over imports, re-exports and aliases of any length. A default export
+    without a name has the name `default`."""
+    led = _ends(rows).filter(F.col("node").startswith("L")).select("project_id", F.split("node", "\u0001").alias("_n"), F.split("end", "\u0001").alias("_e"))
+    led = led.select("project_id", F.col("_n")[1].alias("path"), F.col("_n")[2].alias("name"), F.col("_e")[1].alias("at"), F.col("_e")[2].alias("of"))
+    there = keys.select("project_id", F.col("path").alias("at"), F.col("name").alias("of"), "key")
+    far = led.join(there, ["project_id", "at", "of"]).select(*KEY, "name", "key")
     return keys.select(*KEY, "name", "key").unionByName(far.join(keys.select(*KEY, "name"), [*KEY, "name"], "left_anti"))
 
 
 def bindings(rows: DataFrame, held: DataFrame) -> DataFrame:
     """(project_id, path, name, key): what receiver, path#variable, a name stands for."""
-    return _bound(rows, held.select(*KEY, F.col("var").alias("name"), F.concat_ws("#", "path", "var").alias("key")))
+    return _once(rows, "bindings", lambda: _bound(rows, held.select(*KEY, F.col("var").alias("name"), F.concat_ws("#", "path", "var").alias("key"))))
 
 
 def plugins(rows: DataFrame, held: DataFrame) -> DataFrame:
@@ -242,7 +247,7 @@ def _mount_rows(rows: DataFrame) -> DataFrame:
     """Mount calls of known parents, with child (null where it is not found), prefix and `told`:
     whether a missing child is worth a row of unknowns."""
     held = receivers(rows)
-    known = stored(bindings(rows, held))
+    known = bindings(rows, held)
     parents = known.select(*KEY, F.col("name").alias("receiver"), F.col("key").alias("parent"))
     calls = _calls(rows).filter("name in ('use', 'register')").join(parents, [*KEY, "receiver"])
     url = _argument_url(0)

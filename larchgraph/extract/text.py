@@ -73,24 +73,3 @@ def script(source: str) -> tuple[str, str]:
     if holes:
         raise SyntaxError("unclosed template")
     return "".join(code), "".join(text)
-
-
-def expression_end(code: str, at: int) -> int:
-    """Where the expression that starts at `at` ends: before a comma, semicolon or closing bracket
-    of its own depth, or a line break that nothing carries on."""
-    depth, i = 0, at
-    while i < len(code):
-        c = code[i]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            if not depth:
-                return i
-            depth -= 1
-        elif not depth:
-            if c in ",;":
-                return i
-            if c == "\n" and code[at:i].strip() and not re.match(r"\s*[.?:&|+*/=<>-]", code[i:]) and not re.search(r"[.?:&|+*/=<>,(-]\s*\Z", code[max(at, i - 20) : i]):
-                return i
-        i += 1
-    return i

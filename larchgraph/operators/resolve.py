@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
+from larchgraph.functions.tables import stored
+from larchgraph.operators import names as N
 from larchgraph.operators.joins import unique_ids
 
 CALL = ["project_id", "path", "pos"]
@@ -43,22 +45,60 @@ def _only(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.when(F.count_distinct("dst") == 1, F.min("dst")).alias("dst"))
 
 
+def links(facts: DataFrame) -> DataFrame:
+    """The links of scripts among the facts, as operators.names reads them."""
+    return facts.filter("fact = 'link'").select("project_id", "path", F.col("owner").alias("kind"), "pos", "name", F.col("bound_module").alias("spec"), F.col("bound_name").alias("symbol"))
+
+
+def script_calls(facts: DataFrame, c: DataFrame, target: DataFrame) -> DataFrame:
+    """(CALL, dst) of the calls c of scripts. A name stands for what its scope says, over imports,
+    re-exports and aliases of any length; `this` and a class or its instance for the class's method, or
+    for that of a class which it extends. A call that names nothing known goes to the project's only
+    function of the name, else to the first one of its file; methods do not count there."""
+    mine = target.filter("t_lang = 'js'")
+    link = stored(links(facts))
+    files = facts.filter("fact = 'file'").select("project_id", "path").distinct()
+    away = c.filter("bound_name is not null").select(*CALL, "name", "receiver", N.node("L", "path", "bound_name").alias("node"))
+    found = N.ends(link, files)
+    # ns.f(): ns leads to a module, whose export f is looked up in turn
+    led = stored(N.at_end(away, "node", found))
+    members = led.filter("kind = 'M' and receiver is not null").select(*CALL, N.node("E", "at", "name").alias("node"))
+    if members.limit(1).count():
+        more = N.ends(link, files, members)
+        led = led.filter("kind <> 'M' or receiver is null").drop("node").unionByName(N.at_end(members.withColumns({"name": F.lit(None).cast("string"), "receiver": F.lit(None).cast("string")}), "node", more).drop("node"))
+    whole = led.filter("kind = 'M' and receiver is null").select(*CALL, "name", "receiver", N.node("E", "at", F.lit("default")).alias("node"))
+    led = led.filter("kind <> 'M'").select(*CALL, "name", "receiver", "kind", "at", "of").unionByName(N.at_end(whole, "node", found).select(*CALL, "name", "receiver", "kind", "at", "of"))
+    plain = mine.filter("t_owner is null").groupBy("project_id", "t_path", "t_name").agg(F.min_by("dst", "t_pos").alias("dst"))
+    place = [F.col("at") == F.col("t_path"), F.col("of") == F.col("t_name"), led["project_id"] == plain["project_id"]]
+    named = led.filter("receiver is null and kind <> 'M'").join(plain, place).select(*[led[k] for k in CALL], "dst")
+    # methods: of the class that `this` or the receiver's name stands for, or of a class above it
+    methods = mine.filter("t_owner is not null").groupBy("project_id", F.col("t_path").alias("b"), F.col("t_owner").alias("_class"), F.col("t_name").alias("name")).agg(F.min_by("dst", "t_pos").alias("dst"))
+    methods = methods.select("project_id", N.node("L", "b", "_class").alias("b"), "name", "dst")
+    own = c.filter("receiver = 'this' and owner is not null").select(*CALL, "name", N.node("L", "path", "owner").alias("a"))
+    own = own.unionByName(led.filter("receiver is not null and kind = 'L'").select(*CALL, "name", N.node("L", "at", "of").alias("a")))
+    based = N.at_end(link.filter("kind = 'base'").select("project_id", N.node("L", "path", "name").alias("a"), N.node("L", "path", "symbol").alias("node")), "node", found)
+    above = N.closure(based.filter("kind = 'L'").select("project_id", "a", N.node("L", "at", "of").alias("b"), F.lit(0).alias("n")))
+    up = own.select(*CALL, "name", "a", F.col("a").alias("b"), F.lit(0).alias("_steps")).unionByName(own.join(above, ["project_id", "a"]).select(*CALL, "name", "a", "b", F.size("way").alias("_steps")))
+    method = up.join(methods, ["project_id", "b", "name"]).groupBy(*CALL).agg(F.min_by("dst", F.struct("_steps", "dst")).alias("dst"))
+    sure = named.unionByName(method.select(*CALL, "dst")).groupBy(*CALL).agg(F.min("dst").alias("far"))
+    here = mine.select("project_id", F.col("t_path").alias("path"), F.col("t_pos").alias("target"), F.col("dst").alias("near"))
+    anywhere = mine.groupBy("project_id", F.col("t_display").alias("name")).agg(F.when(F.count("*") == 1, F.min("dst")).alias("only"))
+    first = mine.groupBy("project_id", F.col("t_path").alias("path"), F.col("t_display").alias("name")).agg(F.min_by("dst", "t_pos").alias("first"))
+    out = c.join(here, ["project_id", "path", "target"], "left").join(sure, CALL, "left").join(anywhere, ["project_id", "name"], "left").join(first, ["project_id", "path", "name"], "left")
+    return out.select(*CALL, F.coalesce("near", "far", "only", "first").alias("dst"))
+
+
 def calls(facts: DataFrame) -> DataFrame:
     """(project_id, src, dst, kind, resolution, pos) of every call that is resolved."""
     fns = functions(facts)
-    c = facts.filter("fact = 'call'").select(*CALL, "lang", "caller", "owner", "name", "receiver", "bound_module", "bound_name", "level", "awaited")
+    c = facts.filter("fact = 'call'").select(*CALL, "lang", "caller", "owner", "name", "receiver", "bound_module", "bound_name", "level", "target", "awaited")
     src = fns.select("project_id", F.col("file").alias("path"), F.col("pos").alias("caller"), F.col("id").alias("src"))
     c = c.join(src, ["project_id", "path", "caller"])
     target = fns.select("project_id", F.col("file").alias("t_path"), F.col("name").alias("t_name"), F.col("display").alias("t_display"), F.col("owner").alias("t_owner"), F.col("lang").alias("t_lang"), F.col("pos").alias("t_pos"), F.col("id").alias("dst"))
     js, py = F.col("lang") == "js", F.col("lang") == "python"
     own = F.coalesce(F.col("receiver").isin("this", "self"), F.lit(False))
 
-    # scripts: the file's own function, else the project's only one of the name, else the file's first
-    names = target.filter("t_lang = 'js'").groupBy("project_id", F.col("t_name").alias("name")).agg(F.when(F.count("*") == 1, F.min("dst")).alias("anywhere"))
-    here = target.filter("t_lang = 'js'").groupBy("project_id", F.col("t_path").alias("path"), F.col("t_name").alias("name")).agg(F.min_by("dst", "t_pos").alias("here"), F.min_by("dst", F.when(F.col("t_owner").isNull(), F.col("t_pos"))).alias("plain"))
-    a = c.filter(js).join(names, ["project_id", "name"], "left").join(here, ["project_id", "path", "name"], "left")
-    plain = F.when(F.col("receiver").isNull(), F.col("plain"))
-    a = a.select(*CALL, F.coalesce(plain, "anywhere", "here").alias("dst"), F.lit(None).cast("string").alias("resolution"))
+    a = script_calls(facts, c.filter(js), target).withColumn("resolution", F.lit(None).cast("string"))
 
     # other languages: Owner.name or receiver.name, the file's only one, else the only one at all
     other = c.filter(~js & ~py)

@@ -1,5 +1,7 @@
 """Source files to call graphs: small projects with known edges and complexities."""
 
+import time
+
 import pytest
 
 from larchgraph.extract import facts as X
@@ -35,6 +37,86 @@ CASES = [
 ]
 
 
+FORMS = {
+    # path: (source, {display: complexity})
+    "destructured.js": ("function f({ a, b } = {}) { if (a) { g(b); } }", {"f": 2}),
+    "component.tsx": ("export function App({ title }: Props) { return h(title) || null; }", {"App": 2}),
+    "object_type.ts": ("function f(): { a: number } { if (a) g(); }\nconst k = (): { b: string }[] => { for (;;) {} };", {"f": 2, "k": 2}),
+    "named.js": ("const a = function named() { b(); }; call(function other() { if (x) {} });", {"a": 1}),
+    "methods.ts": ("class A<T extends { x: number }> extends B<T> { #p() {} get v() { return 1; } static async *z<U>(a: U): Promise<U[]> { return q(a); } constructor(a) { if (a) {} } w = () => 1; @D({ k: 1 }) m?(): void { } }", {"A.#p": 1, "A.z": 1, "A.m": 1}),
+    "objects.js": ("const o = { m() { q(); }, async n({ z }) { w(); }, get g() { return 1; }, p: (a) => a };\nmodule.exports = { r(a) { return a ? 1 : 2; } };", {"m": 1, "n": 1, "r": 2}),
+    "types.ts": ("const f: (a: number) => void = (a) => { g(a); }, h = <T,>(x: T): x is Y => x && k(x);\nfunction ov(a: string): void;\nfunction ov(a) { return function inner() { if (b) {} }; }", {"f": 1, "h": 1, "ov": 1}),
+    "anonymous.js": ("export default class { run() { if (a) {} } }\nexport default function () { if (a) {} }", {"run": 2}),
+    "curried.js": ("const a = x => y => x ? y : 1;\nconst b = async x => { await a(x)(1); }\nconst c = useCallback(() => { if (x) {} }, [x]);", {"a": 1, "b": 1}),
+    "g.go": ("package m\nfunc Map[T any](xs []T, f func(T) int) map[string]struct{} { for range xs { f(1) }; return nil }\nfunc (s *S[T]) M() (int, error) { s.M() }\nfunc (S) N() { }\nfunc x() func(int) error { return func(a int) error { if a > 1 { y() }; return nil } }\ntype I interface { Q(a int) }", {"Map": 2, "S.M": 1, "S.N": 1, "x": 2}),
+    "c.cs": ("class C { void M<T>() where T : class, new() { N(); } int X() => 1; int N() { return X() + this.X(); } C(int a) : base(a) { N(); } int? Q(int x) => x > 1 ? N() : 2; List<int> L(int a = F(1)) { return xs.Select(x => F(x)); } public override string ToString() => $\"{a}\"; }", {"C.M": 1, "C.X": 1, "C.N": 1, "C.C": 1, "C.Q": 2, "C.L": 1, "C.ToString": 1}),
+    "x.cpp": ("X::X(int a) : a_(a), b_{a} { go(); }\nauto f(int a) -> std::vector<int> { return g(a); }\nclass Y { public: Y(int b) noexcept : b_(b) { } ~Y() { } template<class T> T get() const override { if (b_) { } return h(); } };\nint main() { if (a) { f(1); } else if (b) { } return 0; }\nnamespace n { static int* q(const char* s) { return 0; } }", {"X": 1, "f": 1, "Y.Y": 1, "Y.~Y": 1, "Y.get": 2, "main": 3, "q": 1}),
+    "A.java": ("class A { <T extends B> T m(List<T> x) throws E, F { return n(x); } A(int q) { this.m(q); } Runnable r = () -> { m(1); }; record P(int x) { int y() { return x; } } enum K { A, B; int v() { return 1; } } @Override public int[] w(int[] a) { if (a != null) { } return a; } abstract void z(); Object o = new Object() { public String toString() { return s(); } }; }", {"A.m": 1, "A.A": 1, "P.y": 1, "K.v": 1, "A.w": 2, "A.toString": 1}),
+    "a.c": ("static inline int add(int a, int (*f)(int)) { return f(a) ? 1 : 2; }\nstruct s *make(void) { while (1) { } }\nint decl(int a);\nvoid attr(void) __attribute__((noinline)) { add(1, g); }", {"add": 2, "make": 2, "attr": 1}),
+}
+
+
+@pytest.mark.parametrize("path", FORMS)
+def test_everyday_forms(path):
+    source, want = FORMS[path]
+    facts = X.facts_of(path, source)
+    assert not facts[0]["parse_error"]
+    assert {r["display"]: r["complexity"] for r in facts if r["fact"] == "def"} == want
+
+
+@pytest.mark.parametrize("code", ["function (", "f(]", "const = 1;", "if (a { }", "x) {", "a = { b: [1, 2 };", "async function (a) { }"])
+def test_scripts_that_cannot_be_read(code):
+    from larchgraph.extract import calls
+
+    assert X.facts_of("a.ts", code)[0]["parse_error"] and calls.calls_of(code)[0]["parse_error"]
+    fine = "export default function (a) { }\nconst f = function () { }, g = [function () { }];"
+    assert not X.facts_of("a.ts", fine)[0]["parse_error"] and not calls.calls_of(fine)[0]["parse_error"]
+
+
+def test_extraction_grows_with_a_files_length():
+    """A bundled script of 800 KB takes seconds; twice the text about twice the time."""
+    source = "".join(f"function f{i}(a, {{ b }}) {{ if (a && b) {{ return g{i}(a); }} return xs.map(x => x ? h(x) : 1); }}\n" for i in range(9000))
+    took = []
+    for part in (source[: source.index("\n", len(source) // 4)], source):
+        began = time.time()
+        X.facts_of("a.js", part)
+        took.append(time.time() - began)
+    assert len(source) > 750_000 and took[1] < 12 and took[1] < 9 * took[0]
+
+
+def test_names_over_files(spark):
+    """Imports, re-exports, stars, aliases and default exports, against a second function of each name."""
+    chain = {f"c{i}.js": f"export {{ n{i - 1} as n{i} }} from './c{i - 1}';" if i % 3 else f"import {{ n{i - 1} }} from './c{i - 1}';\nconst n{i} = n{i - 1};\nexport {{ n{i} }};" for i in range(1, 20)}
+    files = chain | {
+        "c0.js": "export function n0() {}", "other.js": "export function run() {}\nexport function deep() {}\nfunction n0() {}\nfunction other() {}\nfunction dflt() {}\nfunction cjs() {}",
+        "a.js": "export function run() {}\nexport default function dflt() {}",
+        "one.js": "import { run } from './a';\nfunction first() { run(); }",
+        "two.js": "import { run as other } from './a';\nfunction second() { other(); }",
+        "three.js": "import * as ns from './a';\nfunction third() { ns.run(); }",
+        "four.js": "import d from './a';\nfunction fourth() { d(); }",
+        "s1.js": "export * from './s2';\nexport * from './c19';", "s2.js": "export * from './s3';", "s3.js": "export * from './s1';\nexport function deep() {}",
+        "five.js": "import { deep, n19 } from './s1';\nfunction fifth() { deep(); n19(); }",
+        "loop1.js": "export { q } from './loop2';", "loop2.js": "export { q } from './loop1';", "six.js": "import { q } from './loop1';\nfunction sixth() { q(); }",
+        "cjs.js": "function cjs() {}\nmodule.exports = { cjs, named: cjs };", "seven.js": "const { named } = require('./cjs');\nconst m = require('./cjs');\nfunction seventh() { named(); m.cjs(); }",
+        "whole.js": "function only() {}\nmodule.exports = only;", "nine.js": "const w = require('./whole');\nfunction ninth2() { w(); }\nfunction only() {}",
+        "eight.js": "import { run } from './a';\nfunction eighth(run) { run(); }\nfunction ninth() { const go = run; go(); }",
+    }
+    found = {(a.split("#")[1], b) for a, b in graph(spark, files)[1]}
+    assert found == {
+        ("first", "a.js#run"), ("second", "a.js#run"), ("third", "a.js#run"), ("fourth", "a.js#dflt"), ("fifth", "s3.js#deep"), ("fifth", "c0.js#n0"),
+        ("seventh", "cjs.js#cjs"), ("ninth", "a.js#run"), ("ninth2", "whole.js#only"),
+    }
+
+
+def test_this_and_classes(spark):
+    files = {
+        "a.js": "export class A { m() {} n() { this.m(); } k() { this.up(); } }\nclass B { m() {} n() { const f = () => this.m(); f(); } }\nA.prototype;",
+        "b.js": "import { A } from './a';\nclass C extends A { o() { this.m(); } static s() {} up() {} }\nclass D extends C { p() { this.m(); this.up(); D.s(); C.s(); } }\nfunction u() { const a = new A(); a.n(); unknown.m(); }\nconst d = new D();\nfunction v() { d.p(); d.o(); }",
+    }
+    found = {(a.split("#")[1], b.split("#")[1]) for a, b in graph(spark, files)[1]}
+    assert found == {("A.n", "A.m"), ("B.n", "f"), ("f", "B.m"), ("C.o", "A.m"), ("D.p", "A.m"), ("D.p", "C.up"), ("D.p", "C.s"), ("u", "A.n"), ("v", "D.p"), ("v", "C.o")}
+
+
 @pytest.mark.parametrize("k", range(len(CASES)))
 def test_edges(spark, k):
     files, want = CASES[k]
