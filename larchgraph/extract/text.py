@@ -42,9 +42,12 @@ def script(source: str) -> tuple[str, str]:
         found = _TEMPLATE.match(source, start)
         if not found:
             raise SyntaxError("unclosed template")
-        put(found.end(), False)
-        if found[1] == "${":
+        if found[1] == "${":  # a hole's braces stay
+            put(found.end() - 1, False)
+            put(found.end(), True)
             holes.append(0)
+        else:
+            put(found.end(), False)
 
     while m := _MARK.search(source, at):
         put(m.start(), True)
@@ -58,7 +61,8 @@ def script(source: str) -> tuple[str, str]:
             template(at + 1)
         elif token == "}" and holes and not holes[-1]:
             holes.pop()
-            template(at + 1)
+            put(at + 1, True)
+            template(at)
         elif token in "{}":
             if holes:
                 holes[-1] += 1 if token == "{" else -1
