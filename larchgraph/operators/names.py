@@ -8,6 +8,7 @@ a circle end nowhere. `export *` is first closed over files, shortest way first,
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from larchgraph.functions.tables import dropped, stored
 
 #: Between the parts of a node; no path or name has it.
 _SEP = "\u0001"
+#: Links of a project that one task follows; more are followed by rounds on Spark, with the same result.
+IN_TASK = 200_000
 
 
 def node(kind: str, path: Column | str, name: Column | str) -> Column:
@@ -36,8 +39,6 @@ def closure(edges: DataFrame) -> DataFrame:
     """(project_id, a, b, way): b can be reached from a; way is the least of the shortest ways, as the
     numbers of its edges. edges: project_id, a, b, n. Circles end; written."""
     best = lambda df: df.filter("a <> b").groupBy("project_id", "a", "b").agg(F.min(F.struct(F.size("way").alias("steps"), "way"))["way"].alias("way"))
-    if not edges.limit(1).count():
-        return edges.sparkSession.createDataFrame([], "project_id string, a string, b string, way array<int>")
     now = stored(best(edges.select("project_id", "a", "b", F.array(F.col("n").cast("int")).alias("way"))))
     size = now.count()
     while size:
@@ -70,11 +71,39 @@ def jumped(pointers: DataFrame) -> DataFrame:
     return out
 
 
-def ends(links: DataFrame, files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def _followed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The ends of one project's pointers, and of the exported names that are asked for over its stars."""
+    stars: dict[str, list[str]] = {}
+    for a, b in rows[rows.what == "star"].sort_values("n")[["node", "next"]].itertuples(index=False):
+        stars.setdefault(a, []).append(b)
+    pointer = dict(rows[rows.what == "pointer"][["node", "next"]].itertuples(index=False))
+    wanted = {n for n in [*pointer.values(), *rows[rows.what == "asked"].node] if n not in pointer}
+    for name in wanted:  # the nearest file that exports the name; of equally near ones the first by stars
+        kind, path, symbol = [*name.split(_SEP), "", ""][:3]
+        seen, front = {path}, [path] if kind == "E" and symbol != "default" else []
+        while front:
+            front = [b for a in front for b in stars.get(a, ()) if b not in seen and not seen.add(b)]
+            hit = next((n for b in front if (n := _SEP.join(("E", b, symbol))) in pointer), None)
+            if hit:
+                pointer[name] = hit
+                break
+    end: dict[str, str | None] = {}
+    for start in pointer:
+        path, at = [], start
+        while at in pointer and at not in end:
+            path.append(at)
+            end[at] = None  # of a circle, unless an end is found
+            at = pointer[at]
+        last = end[at] if at in end else at
+        for n in path:
+            end[n] = last
+    found = [(n, e) for n, e in end.items() if e is not None]
+    return pd.DataFrame({"project_id": rows.project_id.iloc[0], "node": [n for n, _ in found], "end": [e for _, e in found]}, dtype=object)
+
+
+def ends(links: DataFrame, files: DataFrame, asked: DataFrame | None = None, in_task: int = IN_TASK) -> DataFrame:
     """(project_id, node, end) of names that lead elsewhere; written. links: project_id, path, kind, pos,
     name, spec, symbol (see extract.links); asked(project_id, node): exported names to look up besides."""
-    if not links.limit(1).count():
-        return links.sparkSession.createDataFrame([], "project_id string, node string, end string")
     symbol = F.when(F.col("symbol") == "*", node("M", "target", F.lit(""))).otherwise(node("E", "target", "symbol"))
     far = targets(links.filter("kind in ('import', 'reexport')"), files)
     far = far.select("project_id", "path", "pos", F.when(F.col("kind") == "import", node("L", "path", "name")).otherwise(node("E", "path", "name")).alias("node"), symbol.alias("next"))
@@ -83,6 +112,16 @@ def ends(links: DataFrame, files: DataFrame, asked: DataFrame | None = None) ->
     own = stored(far.unionByName(near).groupBy("project_id", "path", "node").agg(F.min_by("next", F.struct("pos", "next")).alias("next")))
     stars = targets(links.filter("kind = 'star'"), files).select("project_id", F.col("path").alias("a"), F.col("target").alias("b"), F.col("pos").alias("n"))
     pointers = own.select("project_id", "node", "next")
+    most = own.groupBy("project_id").count().agg(F.max("count")).first()[0]
+    if not most:
+        return links.sparkSession.createDataFrame([], "project_id string, node string, end string")
+    if most <= in_task:
+        row = lambda df, what, n: df.select("project_id", F.lit(what).alias("what"), F.col(n[0]).alias("node"), (F.col(n[1]) if n[1] else F.lit(None).cast("string")).alias("next"), (F.col(n[2]) if n[2] else F.lit(0)).cast("int").alias("n"))
+        rows = row(pointers, "pointer", ("node", "next", None)).unionByName(row(stars, "star", ("a", "b", "n")))
+        rows = rows.unionByName(row(asked.distinct(), "asked", ("node", None, None))) if asked is not None else rows
+        out = stored(rows.groupBy("project_id").applyInPandas(_followed, "project_id string, node string, end string"))
+        dropped(own)
+        return out
     reach = None
     if stars.limit(1).count():
         reach = closure(stars)
