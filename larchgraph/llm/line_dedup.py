@@ -2,7 +2,8 @@
 
 Lines go out as (128-bit key hash, document, position), never as text. They are range-partitioned
 by (hash, document) and sorted there by position too, so a frequent line spreads over as many
-partitions as it needs while one document's copies of a line stay together. One stream over each
+partitions as it needs while one document's copies of a line stay together. A document's name in
+that order is its key and its text's hash. One stream over each
 partition counts a line's documents and finds its first occurrence; it tells lines as it meets
 them and holds at most HELD of one that is still rare. Only a partition's first and last line can
 run on into a neighbour; what is open about them, and about a rare line that is longer than HELD,
@@ -13,8 +14,8 @@ A line's key is the line without white space at both ends, A-Z lower-cased. A li
 if its key has at least min_chars code points and occurs in at least min_docs documents. keep
 says what stays of it: "none", or "first", its first line by document and position.
 
-Null and empty texts are one empty line. A document is a row; rows with equal key and equal text
-count as one document and share a bitmap. Extra columns pass through `cleaned`, whatever their
+Null and empty texts are one empty line. A document is a key and a text: rows that are equal in both
+count as one document and share a bitmap; rows of one key, null too, with other texts are others. Extra columns pass through `cleaned`, whatever their
 names; only n_lines, n_dropped and kept_sha256 are replaced.
 """
 
@@ -92,12 +93,13 @@ def _stream(min_docs: int):
             h1, h2 = t.column("h1").to_numpy(), t.column("h2").to_numpy()
             doc = batch.column(batch.schema.get_field_index("doc"))
             codes = doc.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            body = t.column("body").to_numpy()
             fresh_key = np.ones(len(t), bool)
             fresh_key[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             fresh_key[0] = (int(h1[0]), int(h2[0])) != key
             new_doc = fresh_key.copy()
-            new_doc[1:] |= codes[1:] != codes[:-1]
-            new_doc[0] |= doc[0].as_py() != last_doc
+            new_doc[1:] |= (codes[1:] != codes[:-1]) | (body[1:] != body[:-1])
+            new_doc[0] |= (doc[0].as_py(), int(body[0])) != last_doc
             starts = np.unique(np.append(0, np.flatnonzero(fresh_key)))
             n = np.add.reduceat(new_doc.astype(np.int64), starts)
             ends = np.append(starts[1:], len(t))
@@ -125,7 +127,7 @@ def _stream(min_docs: int):
                 a = int(starts[-1])
                 held, loose, docs, head = [], opening, int(n[-1]), t.slice(a, 1)
                 yield from told(t.slice(a), True)
-            key, last_doc = (int(h1[-1]), int(h2[-1])), doc[-1].as_py()
+            key, last_doc = (int(h1[-1]), int(h2[-1])), (doc[-1].as_py(), int(body[-1]))
         if key is not None:
             for part in held:
                 yield from rows(part, OPEN)
@@ -142,10 +144,10 @@ def duplicates(df: DataFrame, min_docs: int, min_chars: int = 1, keep: str = "no
     lines = df.select(F.col(key).alias("doc"), _body(F.col(text)).alias("body"), F.posexplode(line_keys(F.col(text))).alias("pos", "k"))
     lines = lines.filter(F.length("k") >= min_chars)
     lines = lines.select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k", F.lit(2)).alias("h2"), "doc", "body", "pos")
-    ranged = lines.repartitionByRange(partitions(spark), "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos", "body")
+    ranged = lines.repartitionByRange(partitions(spark), "h1", "h2", "doc", "body").sortWithinPartitions("h1", "h2", "doc", "body", "pos")
     found = stored(ranged.mapInArrow(_stream(min_docs), _FOUND.format(df.schema[key].dataType.simpleString())))
     drop = found.filter(F.col("kind") == DROP).select("doc", "body", "pos", "first")
-    line = F.struct("doc", "pos", "body")
+    line = F.struct("doc", "body", "pos")
     # two keys for each partition, and one for every HELD lines at most; written, so that its size is
     # known: while it is small it is broadcast, and the lines of a frequent key stay where they are
     counts = found.filter(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min(line).alias("head"))

@@ -61,7 +61,8 @@ def targets(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, buckets: int = 0) -> DataFrame:
-    """df with size, source_size, target, taken and start (words of the source before this row)."""
+    """df with size, source_size, target, taken, start (words of the source before this row) and
+    _schedule; columns of the caller with these names are replaced."""
     df = df.drop("size", "source_size", "target", "taken", "start", "_schedule").withColumn("size", size_of(F.col(text)))
     return _taken(df, targets(df, weights, share, most), key, text, buckets or max(BUCKETS, 2 * partitions(df.sparkSession)))
 

@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larchgraph.llm import bpe
+from larchgraph.llm.common import fresh, stored
 from larchgraph.llm.token_counts import by_bytes
 
 WINDOW, END = 2048, 1
@@ -173,7 +174,9 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
 
 
 def _packed(dealt: DataFrame, window: int) -> DataFrame:
-    """Best fit inside each `_group`; sequences are numbered from _group * 2 ** 32 on."""
+    """Best fit of the pieces below a window inside each `_group`; full windows are sequences as they
+    are. Sequences of a group are numbered from _group * 2 ** 32 on, its full windows after 2 ** 31 others."""
+    dealt = stored(dealt)
 
     def run(rests: pa.Table) -> pa.Table:
         rests = rests.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -182,21 +185,31 @@ def _packed(dealt: DataFrame, window: int) -> DataFrame:
         return rests.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     kind = dealt.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("_group").applyInArrow(run, PIECE.format(kind) + ", sequence_id bigint, offset bigint")
+    rests = dealt.filter(F.col("length") < window).groupBy("_group").applyInArrow(run, PIECE.format(kind) + ", sequence_id bigint, offset bigint")
+    nth = F.row_number().over(Window.partitionBy("_group").orderBy("doc_id", "start", "ids_crc32"))
+    full = dealt.filter(F.col("length") == window).withColumn("sequence_id", F.col("_group") * (1 << 32) + (1 << 31) - 1 + nth).withColumn("offset", F.lit(0).cast("bigint"))
+    return rests.unionByName(full.drop("_group"))
 
 
 def pack(df: DataFrame, path: str, documents: int, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, group: int = GROUP) -> DataFrame:
-    """The pieces of all documents with sequence_id and offset. documents: how many rows df has."""
+    """The pieces of all documents with sequence_id and offset. documents: how many rows df has. A
+    group has about `group` documents, each with one piece below a window at most; repeated rows are dealt by
+    their place, not by what they hold, so they spread."""
     groups = max(1, -(-documents // group))
-    # a full window goes with the rests: it opens a window and fills it
     dealt = pieces(df, path, key, text, window, end)
-    return _packed(dealt.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))), window)
+    place = F.monotonically_increasing_id()
+    return _packed(dealt.withColumn("_group", F.pmod(F.xxhash64(place), F.lit(groups))), window)
 
 
 def pack_in_order(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, group: int = GROUP) -> DataFrame:
     """Like pack(), of a table that was written in training order, as files part-00000 and so on:
     about `group` consecutive documents are packed together, and sequence ids rise with the order
-    from group to group (in files of up to 2048 groups). df must be read from those files."""
+    from group to group. df must be read from those files; the driver sums a number for each file."""
     part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"), F.lit(0))
-    place = F.pmod(F.floor(F.col("_metadata.row_index") / group), F.lit(1 << 11))
-    return _packed(pieces(df, path, key, text, window, end, part * (1 << 11) + place), window)
+    own, in_file, begin = fresh(df, "_part", "_place", "_begin")
+    df = df.withColumn(own, part).withColumn(in_file, F.floor(F.col("_metadata.row_index") / group))
+    sizes = df.groupBy(own).agg((F.max(in_file) + 1).alias("n")).orderBy(own).collect()
+    before = np.cumsum([0, *[r["n"] for r in sizes]]).tolist()
+    starts = df.sparkSession.createDataFrame([(r[own], n) for r, n in zip(sizes, before, strict=False)], f"`{own}` bigint, `{begin}` bigint")
+    df = df.join(F.broadcast(starts), own)  # a row for each file
+    return _packed(pieces(df, path, key, text, window, end, F.col(begin) + F.col(in_file)), window)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.llm import quality_rules
-from larchgraph.llm.common import UPPER, stored
+from larchgraph.llm.common import UPPER, fresh, stored
 
 SAMPLE, PAIRS, FOLDS, CUT, RIDGE = 2000, 60_000, 5, 0.3, 1e-3
 #: Bins of a histogram that narrows a quantile.
@@ -36,7 +36,10 @@ def held_out(key: str) -> Column:
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """df with an array `_features` of doubles, in the order of FEATURES."""
-    df = quality_rules.measure(df.drop("_features"), text)
+    df = df.drop("_features")
+    mine = [c for c in df.columns if c != text and (c in quality_rules.MEASURES or c.startswith("_qr_"))]
+    held = dict(zip(mine, fresh(df, *[f"_own_{i}" for i in range(len(mine))]), strict=True))
+    df = quality_rules.measure(df.withColumnsRenamed(held), text)
     body = F.coalesce(F.col(text), F.lit(""))
     of = lambda chars: F.length(body) - F.length(F.translate(body, chars, ""))
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
@@ -55,7 +58,8 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         "few_words": (F.col("n_words") < 10).cast("double"),
         "length": F.log1p(F.col("n_words")) / 10,
     }
-    return df.withColumn("_features", F.array(*[values[k].cast("double") for k in FEATURES])).drop(*quality_rules.MEASURES)
+    df = df.withColumn("_features", F.array(*[values[k].cast("double") for k in FEATURES]))
+    return df.drop(*quality_rules.MEASURES).withColumnsRenamed({b: a for a, b in held.items()})
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> tuple[np.ndarray, float]:

@@ -994,3 +994,40 @@ def test_filter_on_a_verdict_stays_linear(spark):
 def test_oracles(spark, name):
     assert oracle.compare(spark, name, queries.QUERIES[name], queries.ORACLES[name], SF) == ""
 
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    """A document is a key and a text: null and repeated ids count as often as their texts differ."""
+    for ids in ([7] * 12, [None] * 12, list(range(12)), [1, 2] * 6):
+        df = docs(spark, [f"shared\nown {i}" for i in range(12)], ids)
+        assert {(r["n_lines"], r["n_dropped"]) for r in line_dedup.cleaned(df, 10).collect()} == {(2, 1)}
+    same = docs(spark, ["shared\nown"] * 12, [7] * 12)
+    assert {(r["n_lines"], r["n_dropped"]) for r in line_dedup.cleaned(same, 10).collect()} == {(2, 0)}
+
+
+def test_packing_spreads_repeated_rows_and_skips_full_windows(spark):
+    path = queries.tokenizer("word_bpe_49k.json")
+    long = "stone river house green " * 3000
+    texts = ["a few words here"] * 300 + [long] * 40 + [None]
+    df = docs(spark, texts, [1] * 300 + [2] * 40 + [3])
+    rows = packing.pack(df, path, len(texts), group=50).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in rows if r["doc_id"] == 1)
+    assert len(groups) == 7 and max(groups.values()) < 120
+    full = [r for r in rows if r["length"] == packing.WINDOW]
+    assert len(full) == 40 * (len([r for r in rows if r["doc_id"] == 2]) // 40 - 1) and len({r["sequence_id"] for r in full}) == len(full)
+    other = {r["sequence_id"] for r in rows if r["length"] < packing.WINDOW}
+    assert not other & {r["sequence_id"] for r in full} and all(r["offset"] == 0 for r in full)
+
+
+def test_groups_in_order_do_not_wrap(spark, tmp_path):
+    path = queries.tokenizer("word_bpe_49k.json")
+    spark.range(5000).selectExpr("id as doc_id", "'one two' as text").repartition(1).sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/a")
+    rows = packing.pack_in_order(spark.read.parquet(f"{tmp_path}/a"), path, group=2).collect()
+    assert len({r["sequence_id"] >> 32 for r in rows}) == 2500
+    assert all((r["sequence_id"] >> 32) == r["doc_id"] // 2 for r in rows)
+
+
+def test_quality_features_keep_the_callers_columns(spark):
+    df = docs(spark, ["The stone and the river.", None]).withColumn("n_words", F.lit("mine")).withColumn("_qr_w", F.lit(7)).withColumn("_own_0", F.lit(8))
+    rows = pairwise_quality.scored(df, (np.ones(len(pairwise_quality.FEATURES)), 0.1)).collect()
+    assert {(r["n_words"], r["_qr_w"], r["_own_0"]) for r in rows} == {("mine", 7, 8)}
