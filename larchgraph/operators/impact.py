@@ -129,7 +129,8 @@ def _few(df: DataFrame, n: int, order: list) -> DataFrame:
 
 
 def summary_lines(found: DataFrame, broken: DataFrame, orphaned: DataFrame, tests: DataFrame, delta: DataFrame) -> DataFrame:
-    """(change_id, line, text): a short report of each change of outcomes(); lists show their first five."""
+    """(change_id, line, text): a short report of each change of outcomes(); lists show their first five,
+    and the calls that the three callers with the largest losses keep are told."""
     some = lambda names, n: F.concat(F.array_join(names, ", "), F.when(n > 5, "\u2026").otherwise(""))
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     b = _few(broken, 5, [F.desc("lost"), "id"]).select("change_id", F.col("n").alias("bn"), some(F.col("names"), F.col("n")).alias("b"))
@@ -144,4 +145,9 @@ def summary_lines(found: DataFrame, broken: DataFrame, orphaned: DataFrame, test
         F.when(F.col("found"), text("functions in cycles: ", F.col("in_cycle_before"), " to ", F.col("in_cycle_after"))),
         F.when(F.col("found"), text("flagged functions: ", F.col("flagged_before"), " to ", F.col("flagged_after"))),
     )
+    calls = text("calls of ", P.function_name(F.col("id").cast("string")), ": ", F.col("fan_out_before"), " to ", F.col("fan_out_after"))
+    ranked = broken.withColumn("_r", F.row_number().over(Window.partitionBy("change_id").orderBy(F.desc("lost"), "id")))
+    top = ranked.filter("_r <= 3 and fan_out_before <> fan_out_after").groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("_r", calls.alias("said")))).alias("_fans"))
+    df = df.join(top, "change_id", "left")
+    lines = F.concat(lines, F.coalesce(F.transform("_fans", lambda x: x["said"]), F.array().cast("array<string>")))
     return df.select("change_id", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("line", "text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larchgraph.operators import running as R
+
 
 def unique_match(probes: DataFrame, candidates: DataFrame, key: list[str], name: str, target: str) -> DataFrame:
     """key, target, resolution: the one candidate of a name in the probe's own scope (`same-file`),
@@ -51,12 +53,18 @@ def first_match(probes: DataFrame, known: DataFrame, key: list[str], base: str,
     return tried.join(known.select(path).distinct(), path).groupBy(*key).agg(F.min_by(path, "_n").alias(path))
 
 
-def unique_ids(rows: DataFrame, scope: list[str], base: str, line: str, order: list[str]) -> DataFrame:
-    """rows with `uid`: base, then base@line for a later one, then base@line-2 and so on."""
-    nth = F.row_number().over(Window.partitionBy(*scope, base).orderBy(*order))
-    df = rows.withColumn("_nth", nth)
-    again = F.row_number().over(Window.partitionBy(*scope, base, line, F.col("_nth") > 1).orderBy(*order))
+def unique_ids(rows: DataFrame, scope: list[str], base: str, line: str, order: list[str], bounded: bool = False) -> DataFrame:
+    """rows with `uid`: base, then base@line for a later one, then base@line-2 and so on. A base is
+    numbered by running sums over ranges, so that no task sorts all of it; bounded says that a scope is
+    small, a file's definitions say, and is sorted as it is."""
+
+    def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+        if bounded:
+            return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        return R.numbered(df, by, order, name)
+
+    df = numbered(rows, [*scope, base], "_nth").withColumn("_later", F.col("_nth") > 1)
+    df = numbered(df, [*scope, base, line, "_later"], "_again")
     at = F.concat(F.col(base), F.lit("@"), F.col(line))
-    return df.withColumn("_again", again).withColumn(
-        "uid", F.when(F.col("_nth") == 1, F.col(base)).when(F.col("_again") == 1, at).otherwise(F.concat(at, F.lit("-"), F.col("_again")))
-    ).drop("_nth", "_again")
+    uid = F.when(~F.col("_later"), F.col(base)).when(F.col("_again") == 1, at).otherwise(F.concat(at, F.lit("-"), F.col("_again")))
+    return df.withColumn("uid", uid).drop("_nth", "_again", "_later")

@@ -68,7 +68,7 @@ class Policy:
 
 #: Each check: what makes it fail (kind of evidence), and whether incomplete snapshots leave it open.
 CHECKS = (
-    ("analysis-complete", None, None, True),
+    ("analysis-complete", "unreadable", None, True),
     ("removed-files-declared", "undeclared-file", None, False),
     ("removed-functions-declared", "undeclared-function", None, True),
     ("preserved-files-exist", "lost-file", None, False),
@@ -106,6 +106,8 @@ def evidence(facts: DataFrame, policy: Policy) -> DataFrame:
     allowed = _listed(spark, "file", policy.allow_files).unionByName(_listed(spark, "function", policy.allow_functions))
     lost = d.filter("change = 'removed' and kind in ('file', 'function')").join(allowed, ["kind", "key"], "left_anti")
     out = out.unionByName(lost.select(F.concat(F.lit("undeclared-"), "kind").alias("what"), "key"))
+    broken = facts.filter("kind = 'parse-error'").select(F.lit("unreadable").alias("what"), F.concat("snapshot_id", F.lit(": "), "key").alias("key"))
+    out = out.unionByName(broken)
     wanted = _listed(spark, "file", policy.preserve_files).unionByName(_listed(spark, "function", policy.preserve_functions))
     after = facts.filter("snapshot_id = 'after'").select("kind", "key")
     missing = wanted.join(after, ["kind", "key"], "left_anti")

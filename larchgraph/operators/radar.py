@@ -5,11 +5,14 @@ endpoints: project_id, id, method, path, request_fields, response_fields, status
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
 from larchgraph.functions.tables import dropped, stored
+from larchgraph.operators import graph as G
 from larchgraph.operators.policy import _gate
 
 
@@ -140,33 +143,59 @@ def unknown_order(unknown: DataFrame) -> DataFrame:
     return unknown.orderBy("project_id", _icu("file"), "line", _icu("expression"))
 
 
+def _loops(mounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mounts in circles, climbed from each of their receivers to where the climb leaves the circle or
+    meets itself: (the mounts that lead to each receiver from outside its circle, with the whole prefix;
+    the prefixes of climbs that met themselves). Written."""
+    inner = mounts.filter("_circle = _own").select("project_id", F.col("child").alias("at"), "parent", F.col("prefix").alias("_p"))
+    outer = mounts.filter("_own is not null and not _circle <=> _own").select("project_id", F.col("child").alias("at"), F.col("parent").alias("_from"), F.col("prefix").alias("_p"))
+    starts = mounts.filter("_own is not null").select("project_id", F.col("child").alias("receiver")).distinct()
+    front = stored(starts.select("project_id", "receiver", F.col("receiver").alias("at"), F.lit("/").alias("prefix"), F.array("receiver").alias("seen")))
+    left, met = [], []
+    while front.limit(1).count():
+        left.append(stored(front.join(outer, ["project_id", "at"]).select("project_id", F.col("_from").alias("parent"), F.col("receiver").alias("child"), P.join_http(F.col("_p"), F.col("prefix")).alias("prefix")).distinct()))
+        step = front.join(inner, ["project_id", "at"]).withColumn("prefix", P.join_http(F.col("_p"), F.col("prefix")))
+        step = stored(step.select("project_id", "receiver", F.col("parent").alias("at"), "prefix", "seen", F.array_contains("seen", F.col("parent")).alias("over")).distinct())
+        met.append(stored(step.filter("over").select("project_id", "receiver", "prefix").distinct()))
+        new = stored(step.filter("not over").select("project_id", "receiver", "at", "prefix", F.concat("seen", F.array("at")).alias("seen")))
+        dropped(front, step)
+        front = new
+    every = lambda parts, like: reduce(DataFrame.unionByName, parts, like).distinct()
+    empty = mounts.limit(0)
+    return every(left, empty.select("project_id", "parent", "child", "prefix")), every(met, empty.select("project_id", F.col("child").alias("receiver"), "prefix"))
+
+
 def mount_prefixes(mounts: DataFrame) -> DataFrame:
     """(project_id, receiver, prefix): every prefix under which a receiver is reached. Mounts are
     project_id, parent, child, prefix.
 
-    From every receiver the mounts are climbed, one step for all at once, until none is left: a
-    climb ends at a receiver that nothing mounts, or at one that it has been through, which counts as
-    such. So cycles without a root have prefixes too, and climbs are as long as mounts are nested."""
-    ends = lambda c: mounts.select("project_id", F.col(c).alias("receiver"))
-    every = ends("parent").unionByName(ends("child")).distinct()
-    up = stored(mounts.select("project_id", F.col("child").alias("at"), "parent", F.col("prefix").alias("_p")).distinct())
-    inner = stored(ends("child").distinct())
-    roots = every.join(inner, ["project_id", "receiver"], "left_anti").select("project_id", "receiver", F.lit("/").alias("prefix"))
-    found = [stored(roots)]
-    frontier = stored(inner.select("project_id", "receiver", F.col("receiver").alias("at"), F.lit("/").alias("prefix"), F.array("receiver").alias("seen")))
-    while frontier.limit(1).count():
-        step = frontier.join(up, ["project_id", "at"]).withColumn("prefix", P.join_http(F.col("_p"), F.col("prefix")))
-        met = F.array_contains("seen", F.col("parent"))
-        step = step.join(inner.select("project_id", F.col("receiver").alias("parent"), F.lit(True).alias("mounted")), ["project_id", "parent"], "left").withColumn("over", met | F.col("mounted").isNull())
-        step = stored(step.select("project_id", "receiver", F.col("parent").alias("at"), "prefix", F.concat("seen", F.array("parent")).alias("seen"), "over"))
-        found.append(stored(step.filter("over").select("project_id", "receiver", "prefix").distinct()))
-        after = stored(step.filter("not over").drop("over"))
-        dropped(frontier, step)
-        frontier = after
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    Prefixes go down from the receivers that nothing mounts, round by round, and only what the last round
+    has found goes on; ways that give a receiver the same prefix are one from there, so stacked
+    diamonds stay small. A receiver in a circle is climbed from inside the circle first, once through each
+    receiver: a climb ends where it meets itself, which counts as a start, and where it leaves the circle
+    it is a mount from there. What is left has no circle, so rounds are as many as mounts are nested."""
+    every = mounts.select("project_id", F.col("parent").alias("receiver")).unionByName(mounts.select("project_id", F.col("child").alias("receiver"))).distinct()
+    edges = stored(mounts.select("project_id", "parent", "child", "prefix").distinct())
+    circles = G.scc(edges.select("project_id", F.col("parent").alias("src"), F.col("child").alias("dst")))
+    pairs = edges.select("project_id", F.col("parent").alias("src"), F.col("child").alias("dst")).distinct()
+    within = G.in_cycles(pairs, circles)
+    known = stored(circles.join(within, ["project_id", "id"], "left_semi").select("project_id", "id", "scc"))
+    side = lambda df, c, name: df.join(known.select("project_id", F.col("id").alias(c), F.col("scc").alias(name)), ["project_id", c], "left")
+    marked = stored(side(side(edges, "parent", "_circle"), "child", "_own"))
+    plain = marked.filter("_own is null").select("project_id", "parent", "child", "prefix")
+    roots = every.join(edges.select("project_id", F.col("child").alias("receiver")).distinct(), ["project_id", "receiver"], "left_anti").select("project_id", "receiver", F.lit("/").alias("prefix"))
+    if known.limit(1).count():
+        through, met = _loops(marked)
+        plain, roots = plain.unionByName(through), roots.unionByName(met)
+    down = stored(plain.select("project_id", F.col("parent").alias("receiver"), "child", F.col("prefix").alias("_p")).distinct())
+    front = stored(roots.distinct())
+    parts = [front]
+    while front.limit(1).count():
+        step = front.join(down, ["project_id", "receiver"]).select("project_id", F.col("child").alias("receiver"), P.join_http(F.col("prefix"), F.col("_p")).alias("prefix")).distinct()
+        front = stored(step)
+        parts.append(front)
+    dropped(edges, known, marked, down)
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def mounted(drafts: DataFrame, prefixes: DataFrame, path: str = "path") -> DataFrame:

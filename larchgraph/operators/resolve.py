@@ -19,7 +19,7 @@ CALL = ["project_id", "path", "pos"]
 def functions(facts: DataFrame) -> DataFrame:
     """(project_id, id, name, file, line, complexity, and what resolution reads) of all definitions."""
     defs = facts.filter("fact = 'def'").withColumn("_base", F.concat("path", F.lit("#"), "display"))
-    df = unique_ids(defs, ["project_id", "path"], "_base", "line", ["pos"])
+    df = unique_ids(defs, ["project_id", "path"], "_base", "line", ["pos"], bounded=True)
     return df.select("project_id", F.col("uid").alias("id"), "name", F.col("path").alias("file"), "line", "complexity", "body", "owner", "display", "lang", "pos")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larchgraph.functions import paths as P
 from larchgraph.functions.tables import table
 from larchgraph.operators import files as FI
+from larchgraph.operators import hash_tree as HT
 from larchgraph.operators import graph as G
 from larchgraph.operators import impact as I
 from larchgraph.operators import joins as J
@@ -183,7 +184,7 @@ def metric_delta(spark, d):
 POLICY = PO.Policy(name="hand-over", allow_functions=("3", "6", "9", "12"), preserve_functions=("15", "18", "999999"), preserve_files=("src/f1.ts",), max_new_hotspots=1000, max_new_function_cycles=3)
 _FACTS = f"""{V.SNAPSHOTS}, {V.components_sql()}, {V.scored_sql()},
 facts AS (SELECT project_id AS snapshot_id, 'function' AS kind, CAST(id AS VARCHAR) AS key FROM scored UNION SELECT project_id, 'cycle-function', CAST(id AS VARCHAR) FROM scored WHERE in_cycle UNION SELECT project_id, 'hotspot', CAST(id AS VARCHAR) FROM scored WHERE level <> 'ok'
- UNION SELECT project_id, 'file', file FROM scored UNION SELECT project_id, 'script', file FROM scored UNION SELECT project_id, 'cycle-file', file FROM scored WHERE in_cycle UNION SELECT project_id, 'unresolved', CAST(id AS VARCHAR) FROM scored WHERE fan_out = 0),
+ UNION SELECT project_id, 'file', file FROM scored UNION SELECT project_id, 'script', file FROM scored UNION SELECT project_id, 'cycle-file', file FROM scored WHERE in_cycle UNION SELECT project_id, 'unresolved', CAST(id AS VARCHAR) FROM scored WHERE fan_out % 13 = 0),
 deltas AS (SELECT kind, key, CASE WHEN bool_or(snapshot_id = 'after') THEN 'added' ELSE 'removed' END AS change FROM facts GROUP BY kind, key HAVING count(*) = 1),
 ev AS (SELECT 'new-' || kind AS what, key FROM deltas WHERE change = 'added' AND kind IN ('unresolved', 'cycle-file', 'cycle-function', 'hotspot') UNION ALL SELECT 'undeclared-' || kind, key FROM deltas WHERE change = 'removed' AND (kind = 'file' OR kind = 'function' AND key NOT IN ('3', '6', '9', '12'))
  UNION ALL SELECT 'lost-' || k, v FROM (VALUES ('function', '15'), ('function', '18'), ('function', '999999'), ('file', 'src/f1.ts')) t(k, v) WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.snapshot_id = 'after' AND f.kind = k AND f.key = v)),
@@ -197,7 +198,7 @@ def _facts(spark, d):
     fact = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
     kinds = F.array(
         fact("function", key), F.when(F.col("in_cycle"), fact("cycle-function", key)), F.when(F.col("level") != "ok", fact("hotspot", key)),
-        fact("file", F.col("file")), fact("script", F.col("file")), F.when(F.col("in_cycle"), fact("cycle-file", F.col("file"))), F.when(F.col("fan_out") == 0, fact("unresolved", key)),
+        fact("file", F.col("file")), fact("script", F.col("file")), F.when(F.col("in_cycle"), fact("cycle-file", F.col("file"))), F.when(F.col("fan_out") % 13 == 0, fact("unresolved", key)),
     )
     return s.select(F.col("project_id").alias("snapshot_id"), F.inline(F.filter(kinds, lambda x: x.isNotNull()))).distinct()
 
@@ -218,6 +219,15 @@ def overall_status(spark, d):
     return PO.overall(PO.checks(_facts(spark, d), POLICY))
 
 
+@query(f"""WITH RECURSIVE {_FACTS} SELECT id, CASE WHEN id IN ('removed-files-declared', 'preserved-files-exist') THEN status ELSE 'unknown' END AS status, CASE id WHEN 'analysis-complete' THEN 2 ELSE n END AS n, CASE id WHEN 'analysis-complete' THEN 'after: src/f2.ts,before: src/f3.ts' END AS evidence FROM checks""")
+def incomplete_checks(spark, d):
+    """The checks where a file of each snapshot cannot be read: those that need the graph stay open."""
+    facts = _facts(spark, d)
+    broken = spark.createDataFrame([("after", "parse-error", "src/f2.ts"), ("before", "parse-error", "src/f3.ts")], facts.schema)
+    df = PO.checks(facts.unionByName(broken), POLICY, limit=3)
+    return df.select("id", "status", "n", F.when(F.col("id") == "analysis-complete", F.array_join("evidence", ",")).alias("evidence"))
+
+
 @query(f"WITH RECURSIVE {_FACTS} SELECT 'change' AS mode, count(*) FILTER (status = 'fail') = 0 AS passed, CAST(count(*) FILTER (status = 'fail') > 0 AS INT) AS exit_code, count(*) FILTER (status = 'fail') AS errors, 0::BIGINT AS unknowns FROM checks")
 def change_gate(spark, d):
     return PO.change_gate(PO.checks(_facts(spark, d), POLICY))
@@ -238,6 +248,28 @@ def snapshot_diff(spark, d):
     return PO.snapshot_diff(_snap_files(spark, d))
 
 
+@query(f"WITH {_SNAPFILES}, b AS (SELECT * FROM sf WHERE snapshot_id = 'before'), a AS (SELECT * FROM sf WHERE snapshot_id = 'after') SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM b FULL JOIN a ON a.path = b.path WHERE a.content IS DISTINCT FROM b.content")
+def snapshot_tree_diff(spark, d):
+    files = _snap_files(spark, d)
+    depth = HT.depth_for(files.count() // 2, 16)
+    before, after = (HT.tree(files.filter(F.col("snapshot_id") == s), depth) for s in ("before", "after"))
+    return HT.diff(before, after)
+
+
+@query(f"""WITH {_SNAPFILES}, l2 AS (SELECT snapshot_id, substr(sha256(path), 1, 2) AS p, sha256(string_agg(path || chr(0) || sha256(content) || chr(0), '' ORDER BY path)) AS d FROM sf GROUP BY ALL),
+l1 AS (SELECT snapshot_id, p[1] AS p, sha256(string_agg(d, '' ORDER BY l2.p)) AS d FROM l2 GROUP BY ALL), l0 AS (SELECT snapshot_id, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM l1 GROUP BY 1)
+SELECT * FROM l0 UNION ALL SELECT 'updated', digest FROM l0 WHERE snapshot_id = 'after'""")
+def snapshot_tree_roots(spark, d):
+    """Roots of both snapshots, and of the first one's tree after the changes that lead to the second."""
+    files = _snap_files(spark, d)
+    side = {s: files.filter(F.col("snapshot_id") == s).drop("snapshot_id") for s in ("before", "after")}
+    trees = {s: HT.tree(f, 2) for s, f in side.items()}
+    changes = HT.diff(trees["before"], trees["after"]).join(side["after"], "path", "left").select("path", "content", (F.col("change") == "removed").alias("removed"))
+    trees["updated"] = HT.updated(trees["before"], changes)
+    roots = [t.root().select(F.lit(s).alias("snapshot_id"), "digest") for s, t in trees.items()]
+    return roots[0].unionByName(roots[1]).unionByName(roots[2])
+
+
 _DIGESTS = f"""{_SNAPFILES}, rg AS (SELECT snapshot_id, substr(sha256(path), 1, 4) AS r, sha256(string_agg(path || chr(0) || sha256(content) || chr(0), '' ORDER BY path)) AS d FROM sf GROUP BY ALL),
 dg AS (SELECT snapshot_id, 'sha256:' || sha256(string_agg(d, '' ORDER BY r)) AS digest FROM rg GROUP BY 1)"""
 

@@ -7,18 +7,18 @@ events. DuckDB's text of a view stands beside its Spark form.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larchgraph.functions.tables import table
 
 
-def _nodes(edges: DataFrame) -> DataFrame:
+def _nodes(edges: DataFrame, file: Column | None = None) -> DataFrame:
     ends = edges.select("project_id", F.col("src").alias("id")).union(edges.select("project_id", F.col("dst").alias("id"))).distinct()
     k = F.col("id") % 7
     return ends.select(
         "project_id", "id", F.concat(F.lit("user"), "id").alias("name"),
-        F.when(k == 0, "tests/f0.test.ts").otherwise(F.concat(F.lit("src/f"), k, F.lit(".ts"))).alias("file"), (F.lit(1) + F.col("id") % 15).cast("int").alias("complexity"),
+        F.coalesce(file if file is not None else F.lit(None), F.when(k == 0, "tests/f0.test.ts").otherwise(F.concat(F.lit("src/f"), k, F.lit(".ts")))).alias("file"), (F.lit(1) + F.col("id") % 15).cast("int").alias("complexity"),
     )
 
 
@@ -46,12 +46,14 @@ def weekly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two projects, `before` and `after`, of the same events but for a tenth each."""
+    """Two projects, `before` and `after`. A tenth of the users is only in the one, a tenth only in the
+    other, a tenth has files of the snapshot's own, and a tenth of the events is missing from each."""
     events = table(spark, sf_dir, "events")
-    before = _steps(events.filter("event_id % 10 < 9"), F.lit("before"))
-    after = _steps(events.filter("event_id % 10 > 0"), F.lit("after"))
+    before = _steps(events.filter("event_id % 10 < 9 and user_id % 10 <> 8"), F.lit("before"))
+    after = _steps(events.filter("event_id % 10 > 0 and user_id % 10 <> 7"), F.lit("after"))
     edges = before.unionByName(after).select("project_id", "src", "dst").distinct()
-    return _nodes(edges), edges
+    own = F.when(F.col("id") % 10 == 3, F.concat(F.lit("src/"), "project_id", F.col("id") % 7, F.lit(".ts")))
+    return _nodes(edges, own), edges
 
 
 _NODES = """nodes AS (SELECT project_id, id, 'user' || id AS name, CASE WHEN id % 7 = 0 THEN 'tests/f0.test.ts' ELSE 'src/f' || (id % 7) || '.ts' END AS file,
@@ -61,8 +63,9 @@ WEEKLY = f"""steps AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS pr
 calls AS (SELECT project_id, src, dst, CASE WHEN src = dst THEN 'recursive' WHEN value > 20 THEN 'async' ELSE 'call' END AS kind, ts, event_id FROM steps WHERE event_type = 'error' AND dst IS NOT NULL),
 edges AS (SELECT DISTINCT project_id, src, dst FROM calls), {_NODES}"""
 
-_SNAP = "SELECT '{p}' AS project_id, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type FROM events WHERE event_id % 10 {cut}"
-SNAPSHOTS = f"""edges AS (SELECT DISTINCT project_id, src, dst FROM ({_SNAP.format(p='before', cut='< 9')} UNION ALL {_SNAP.format(p='after', cut='> 0')}) WHERE event_type = 'error' AND dst IS NOT NULL), {_NODES}"""
+_SNAP = "SELECT '{p}' AS project_id, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type FROM events WHERE event_id % 10 {cut} AND user_id % 10 <> {out}"
+_SNAP_NODES = _NODES.replace("CASE WHEN id % 7 = 0", "CASE WHEN id % 10 = 3 THEN 'src/' || project_id || (id % 7) || '.ts' WHEN id % 7 = 0")
+SNAPSHOTS = f"""edges AS (SELECT DISTINCT project_id, src, dst FROM ({_SNAP.format(p='before', cut='< 9', out=8)} UNION ALL {_SNAP.format(p='after', cut='> 0', out=7)}) WHERE event_type = 'error' AND dst IS NOT NULL), {_SNAP_NODES}"""
 
 
 def components_sql(edges: str = "edges", prefix: str = "") -> str:

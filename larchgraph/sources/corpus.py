@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
 from larchgraph.operators.policy import ranged_digest
+from larchgraph.operators.running import running_sums
 
 # Limits of one project.
 MAX_FILES, MAX_TOTAL, MAX_FILE, MAX_PATH = 1500, 40 * 1024 * 1024, 800_000, 2048
@@ -84,8 +85,7 @@ def check_limits(files: DataFrame) -> DataFrame:
 
 def running_limit(files: DataFrame, most_bytes: int = MAX_TOTAL, size: str = "bytes") -> DataFrame:
     """files, in path order, with `total` so far and `kept`: within the byte limit of the project."""
-    w = Window.partitionBy("project_id").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return files.withColumn("total", F.sum(size).over(w)).withColumn("kept", F.col("total") <= most_bytes)
+    return running_sums(files, ["project_id"], ["path"], {"total": F.col(size)}).withColumn("kept", F.col("total") <= most_bytes)
 
 
 def validate(payload: DataFrame) -> DataFrame:
@@ -112,12 +112,12 @@ def signature(projects: DataFrame) -> DataFrame:
 
 def upsert(saved: DataFrame, new: DataFrame) -> DataFrame:
     """One row for each signature: the latest, with the earliest created_at. Columns: id, signature,
-    created_at, updated_at and whatever else both have."""
+    created_at, updated_at and whatever else both have. Rows are aggregated before they are shuffled."""
     every = saved.unionByName(new)
-    w = Window.partitionBy("signature")
-    ranked = every.withColumn("_first", F.min("created_at").over(w)).withColumn("_oldest", F.min_by("id", F.struct("created_at", "id")).over(w))
-    ranked = ranked.withColumn("_n", F.row_number().over(w.orderBy(F.desc("updated_at"), F.desc("id"))))
-    return ranked.filter("_n = 1").withColumn("created_at", F.col("_first")).withColumn("id", F.col("_oldest")).drop("_first", "_oldest", "_n")
+    rest = [c for c in every.columns if c not in ("id", "signature", "created_at")]
+    latest = F.max_by(F.struct(*rest), F.struct("updated_at", "id")).alias("_latest")
+    found = every.groupBy("signature").agg(latest, F.min("created_at").alias("created_at"), F.min_by("id", F.struct("created_at", "id")).alias("id"))
+    return found.select(*[F.col(f"_latest.{c}").alias(c) if c in rest else F.col(c) for c in every.columns])
 
 
 def listed(saved: DataFrame) -> DataFrame:
