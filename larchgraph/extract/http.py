@@ -104,6 +104,10 @@ def _axios(rows: DataFrame) -> DataFrame:
 
 
 def _requests(rows: DataFrame) -> DataFrame:
+    return _once(rows, "requests", lambda: _requesting(rows))
+
+
+def _requesting(rows: DataFrame) -> DataFrame:
     """fetch and axios calls with framework, method, url and base; method or url is null where unknown."""
     c = _calls(rows)
     options = F.get("args", F.lit(1))
@@ -244,6 +248,10 @@ def plugins(rows: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _mount_rows(rows: DataFrame) -> DataFrame:
+    return _once(rows, "mounts", lambda: _mounting(rows))
+
+
+def _mounting(rows: DataFrame) -> DataFrame:
     """Mount calls of known parents, with child (null where it is not found), prefix and `told`:
     whether a missing child is worth a row of unknowns."""
     held = receivers(rows)
@@ -276,6 +284,10 @@ def mounts(rows: DataFrame) -> DataFrame:
 
 
 def _route_calls(rows: DataFrame) -> DataFrame:
+    return _once(rows, "routes", lambda: _routing(rows))
+
+
+def _routing(rows: DataFrame) -> DataFrame:
     """Route calls of known receivers, with url (null where it is no literal)."""
     held = receivers(rows)
     known = bindings(rows, held).select(*KEY, F.col("name").alias("_name"), F.col("key").alias("receiver_key"))
@@ -361,10 +373,14 @@ def controller_routes(rows: DataFrame) -> DataFrame:
 
 
 def routes(rows: DataFrame) -> DataFrame:
-    """All routes; those of receivers at every prefix under which these are mounted."""
+    """All routes; those of receivers at every prefix under which these are mounted. Of equal ids the
+    last stays: a controller's before a file's, a file's before a receiver's."""
     placed = R.mounted(route_drafts(rows).withColumn("receiver", F.col("receiver_key")), R.mount_prefixes(mounts(rows)), "http")
-    every = _endpoints(placed, "server").unionByName(file_routes(rows)).unionByName(controller_routes(rows))
-    return every.dropDuplicates(["project_id", "id"])
+    ranked = lambda df, n: df.withColumn("_rank", F.lit(n))
+    every = ranked(_endpoints(placed, "server"), 0).unionByName(ranked(file_routes(rows), 1)).unionByName(ranked(controller_routes(rows), 2))
+    rest = [c for c in ENDPOINT if c not in ("project_id", "id")]
+    last = every.groupBy("project_id", "id").agg(F.max_by(F.struct(*rest), F.struct("_rank", *rest)).alias("_last"))
+    return last.select("project_id", "id", "_last.*")
 
 
 # --- what is not known -----------------------------------------------------------------------------------

@@ -16,28 +16,47 @@ from larchgraph.operators import graph as G
 from larchgraph.operators.policy import _gate
 
 
-def path_pairs(clients: DataFrame, routes: DataFrame) -> DataFrame:
-    """(project_id, client_id, route_id) of every client path that fits a route's.
-
-    Routes are narrowed by equality before the pattern is tried: without * by how many segments
-    they have, with * by every length they can take; and, where both first segments are literal,
-    by those. Only the routes multiply, by the lengths that clients have."""
-    c = clients.select("project_id", F.col("id").alias("client_id"), P.segments(F.col("path")).alias("cs")).withColumn("n", F.size("cs"))
+def route_trie(routes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Routes as a trie relation: edges(project_id, node, segment, child) and ends(project_id, node,
+    route_id, open). A node is named by the segments that lead to it, a parameter by `:`; a route with * is
+    open: it ends at the node before and fits whatever follows there."""
     r = routes.select("project_id", F.col("id").alias("route_id"), P.segments(F.col("path")).alias("rs"))
     star = F.coalesce(F.array_position("rs", "*"), F.lit(0)).cast("int")
-    lengths = c.select("project_id", "n").distinct()
-    plain = r.filter(star == 0).withColumn("n", F.size("rs"))
-    open_ = r.filter(star > 0).join(lengths, "project_id").filter(F.col("n") >= star - 1)
-    routes_ = plain.unionByName(open_)
-    # literal first segments join on equality; the open ones carry an empty key of their own
-    free = lambda x: F.when(F.coalesce(F.get(x, F.lit(0)), F.lit(":")).rlike(r"^(:|\*)"), "").otherwise(F.get(x, F.lit(0)))
-    routes_ = routes_.withColumn("rk", free(F.col("rs")))
-    c = c.withColumn("ck", free(F.col("cs")))
-    literal = c.filter("ck <> ''").withColumn("rk", F.explode(F.array("ck", F.lit("")))).join(routes_, ["project_id", "n", "rk"])
-    any_ = c.filter("ck = ''").join(routes_.drop("rk"), ["project_id", "n"])
-    cols = ["project_id", "client_id", "route_id", "cs", "rs"]
-    both = literal.select(*cols).unionByName(any_.select(*cols))
-    return both.filter(P.paths_match(F.col("cs"), F.col("rs"))).select("project_id", "client_id", "route_id")
+    head = F.when(star > 0, F.slice("rs", 1, F.greatest(star - 1, F.lit(0)))).otherwise(F.col("rs"))
+    r = r.select("project_id", "route_id", (star > 0).alias("open"), F.transform(head, lambda x: F.when(x.startswith(":"), ":").otherwise(x)).alias("_h"))
+    ends = r.select("project_id", F.array_join("_h", "/").alias("node"), "route_id", "open")
+    heads = r.select("project_id", "_h").distinct().withColumn("_n", F.explode(F.when(F.size("_h") > 0, F.sequence(F.lit(1), F.size("_h")))))
+    part = lambda n: F.array_join(F.slice("_h", 1, n), "/")
+    edges = heads.select("project_id", part(F.col("_n") - 1).alias("node"), F.get("_h", F.col("_n") - 1).alias("segment"), part(F.col("_n")).alias("child"), F.col("_n").alias("depth")).distinct()
+    return edges, ends
+
+
+def trie_walk(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, path, node, whole): the nodes that each distinct path passes, and whether it ends
+    there. One segment is taken in a round, by equality with the children of the nodes reached: its own
+    child and the parameter's; a segment that is a parameter itself takes all children. Written."""
+    edges = stored(edges)
+    front = stored(paths.select("project_id", "path", P.segments(F.col("path")).alias("cs"), F.lit("").alias("node")).distinct())
+    passed, k = [front.select("project_id", "path", "node", (F.size("cs") == 0).alias("whole"))], 0
+    while front.filter(F.size("cs") > k).limit(1).count():
+        here = F.get("cs", F.lit(k))
+        child = edges.filter(F.col("depth") == k + 1).select("project_id", "node", "segment", "child")
+        live = front.filter(F.size("cs") > k)
+        one = live.filter(~here.startswith(":")).withColumn("segment", F.explode(F.array(here, F.lit(":")))).join(child, ["project_id", "node", "segment"])
+        any_ = live.filter(here.startswith(":")).join(child, ["project_id", "node"])
+        cols = ["project_id", "path", "cs", F.col("child").alias("node")]
+        front, k = stored(one.select(*cols).unionByName(any_.select(*cols))), k + 1
+        passed.append(front.select("project_id", "path", "node", (F.size("cs") == k).alias("whole")))
+    return reduce(DataFrame.unionByName, passed)
+
+
+def path_pairs(clients: DataFrame, routes: DataFrame) -> DataFrame:
+    """(project_id, client_id, route_id) of every client path that fits a route's: distinct paths walk the
+    routes' trie, so a path meets the routes that it fits and nodes on the way to them only."""
+    edges, ends = route_trie(routes)
+    passed = trie_walk(clients.select("project_id", "path").filter("path is not null"), edges)
+    fit = passed.join(ends, ["project_id", "node"]).filter("open or whole").select("project_id", "path", "route_id")
+    return clients.select("project_id", F.col("id").alias("client_id"), "path").join(fit, ["project_id", "path"]).select("project_id", "client_id", "route_id")
 
 
 def matches(clients: DataFrame, routes: DataFrame) -> DataFrame:

@@ -120,3 +120,37 @@ def test_stacked_diamonds_with_equal_prefixes_finish(spark):
     mounts.append(("n25", "end", "/api"))
     got = prefixes(spark, mounts)
     assert got["end"] == {"/api"} and all(v == {"/"} for k, v in got.items() if k != "end") and len(got) == 77
+
+
+def fits(client, route):
+    c, r = [x for x in client.split("/") if x], [x for x in route.split("/") if x]
+    if "*" in r:
+        r = r[: r.index("*")]
+        if len(c) < len(r):
+            return False
+    elif len(c) != len(r):
+        return False
+    return all(a == b or a.startswith(":") or b.startswith(":") for a, b in zip(c, r))
+
+
+def points(spark, paths):
+    return spark.createDataFrame([("p", str(i), x) for i, x in enumerate(paths)], "project_id string, id string, path string").repartition(3)
+
+
+def test_paths_walk_the_trie_to_the_routes_that_they_fit(spark):
+    rng = random.Random(8)
+    part = lambda kinds: "/" + "/".join(rng.choice(kinds) for _ in range(rng.randrange(0, 5)))
+    clients = [part(["a", "b", "c", ":x"]) for _ in range(60)] + ["/", "/a", "/a"]
+    routes = [part(["a", "b", ":id", ":other", "*"]) for _ in range(60)] + ["/", "/*", "/:x/*", "/a/*/b"]
+    got = {(r["client_id"], r["route_id"]) for r in R.path_pairs(points(spark, clients), points(spark, routes)).collect()}
+    assert got == {(str(i), str(j)) for i, c in enumerate(clients) for j, r in enumerate(routes) if fits(c, r)} and len(got) > 100
+    assert R.path_pairs(points(spark, clients), points(spark, ["/"]).limit(0)).count() == 0
+
+
+def test_routes_with_an_open_first_segment_do_not_meet_every_client(spark):
+    """10,000 routes that begin with a parameter: a client passes four nodes, not ten thousand routes."""
+    routes = points(spark, [f"/:tenant/r{i}/x" for i in range(10_000)])
+    clients = points(spark, [f"/acme/r{i * 11}/x" for i in range(500)])
+    edges, _ = R.route_trie(routes)
+    assert R.trie_walk(clients.select("project_id", "path"), edges).count() == 4 * 500
+    assert R.path_pairs(clients, routes).count() == 500
