@@ -12,6 +12,7 @@ from larchgraph.operators import graph as G
 from larchgraph.operators import impact as I
 from larchgraph.operators import joins as J
 from larchgraph.operators import policy as PO
+from larchgraph.operators import quantiles as QU
 from larchgraph.operators import radar as R
 from larchgraph.plans import views as V
 from larchgraph.sources import corpus as S
@@ -446,10 +447,9 @@ def extract_script_calls(spark, d):
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (k = n // 2 + 1) AS median, max(value) FILTER (k = CAST(ceil(0.95 * n) AS BIGINT)) AS p95 FROM r GROUP BY 1")
 def p95_median(spark, d):
-    """The upper median is the lower one from above."""
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.expr("-percentile_disc(0.5) within group (order by -value)").alias("median"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95")
-    )
+    """The upper median and the nearest rank."""
+    events = table(spark, d, "events")
+    return QU.quantiles(events, ["event_type"], "value", {"median": lambda n: F.floor(n / 2) + 1, "p95": lambda n: F.ceil(n * 0.95)})
 
 
 @query("SELECT user_id, array_to_string(list(DISTINCT event_type ORDER BY event_type)[1:3], ',') || CASE WHEN count(DISTINCT event_type) > 3 THEN ',... ' || (count(DISTINCT event_type) - 3) || ' more' ELSE '' END AS evidence FROM events GROUP BY 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larchgraph.operators import hash_tree as HT
 from larchgraph.operators import joins as J
 from larchgraph.operators import policy as PO
+from larchgraph.operators import quantiles as QU
 from larchgraph.operators import radar as R
 from larchgraph.operators import running as RS
 
@@ -154,3 +155,16 @@ def test_routes_with_an_open_first_segment_do_not_meet_every_client(spark):
     edges, _ = R.route_trie(routes)
     assert R.trie_walk(clients.select("project_id", "path"), edges).count() == 4 * 500
     assert R.path_pairs(clients, routes).count() == 500
+
+
+@pytest.mark.parametrize("bins", [1000, 3])
+def test_quantiles_by_narrowing(spark, bins):
+    rng = random.Random(9)
+    inf = float("inf")
+    groups = {"a": [rng.gauss(0, 1) for _ in range(999)], "b": [5.0] * 40, "c": [rng.choice([1e-300, 1.0, 1e300, -1e308, 1.7e308]) for _ in range(50)], "d": [inf, -inf, 1.0, 2.0, inf], None: [3.0, 1.0], "e": [7.5]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("f", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    got = {r["g"]: tuple(r)[1:] for r in QU.quantiles(df, ["g"], "x", {"low": lambda n: F.lit(0), "median": lambda n: F.floor(n / 2) + 1, "p95": lambda n: F.ceil(n * 0.95)}, bins).collect()}
+    at = lambda vs, k: sorted(vs)[k - 1]
+    assert got == {k: (min(vs), at(vs, len(vs) // 2 + 1), at(vs, -(-len(vs) * 95 // 100))) for k, vs in groups.items()}
