@@ -4,6 +4,8 @@ the cycles that it was part of."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from larchgraph.functions import paths as P
 from larchgraph.functions.tables import stored
 from larchgraph.operators import graph as G
 
+#: Changes whose bits are searched together.
+CHANGES = 1024
+
 
 def removed(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(change_id, project_id, id): the function itself, or all functions of the file."""
@@ -77,26 +82,155 @@ def affected_tests(broken: DataFrame) -> DataFrame:
     return broken.filter(P.is_test(F.col("file"))).select("change_id", "file").distinct()
 
 
-def _cycles_left(gone: DataFrame, before: DataFrame, edges: DataFrame, comp: DataFrame) -> DataFrame:
-    """(change_id, project_id, id, still): the nodes that stay of every cycle that a change touches,
-    and whether they are in a cycle yet. Only those cycles are searched again."""
+def _spread(start: dict[int, int], allowed: list[int], to: list[list[int]]) -> dict[int, int]:
+    """Bits carried along the arcs from `start`, at each node those that are allowed there."""
+    reach, todo = dict(start), list(start)
+    while todo:
+        u = todo.pop()
+        bits = reach[u]
+        for w in to[u]:
+            new = bits & allowed[w] & ~reach.get(w, 0)
+            if new:
+                reach[w] = reach.get(w, 0) | new
+                todo.append(w)
+    return reach
+
+
+def cycle_bits(n: int, arcs: list[tuple[int, int]], alive: list[int]) -> list[int]:
+    """For each of n nodes the bits with which it is in a cycle; an arc has the bits that both its ends
+    have. All bits are searched together: what has no arc in or out is trimmed, a pivot's forward and backward
+    reach give its component, and what only one of them, or neither, reaches is searched on by itself."""
+    out: list[list[int]] = [[] for _ in range(n)]
+    into: list[list[int]] = [[] for _ in range(n)]
+    looped = [0] * n
+    for u, w in arcs:
+        if u == w:
+            looped[u] = alive[u]
+        else:
+            out[u].append(w)
+            into[w].append(u)
+    found = list(looped)
+    work = [dict(enumerate(alive))]
+    while work:
+        part = {v: bits for v, bits in work.pop().items() if bits}
+        todo = set(part)
+        while todo:  # trim
+            v = todo.pop()
+            bits = part.get(v, 0)
+            if not bits:
+                continue
+            ahead = behind = 0
+            for w in out[v]:
+                ahead |= part.get(w, 0)
+            for w in into[v]:
+                behind |= part.get(w, 0)
+            if bits & ~(ahead & behind):
+                part[v] = bits & ahead & behind
+                todo.update(w for w in (*out[v], *into[v]) if part.get(w))
+        part = {v: bits for v, bits in part.items() if bits}
+        if not part:
+            continue
+        allowed = [0] * n
+        for v, bits in part.items():
+            allowed[v] = bits
+        # each bit has the pivot of the node with most bits that has it
+        pivots, left = {}, 0
+        for bits in part.values():
+            left |= bits
+        for v in sorted(part, key=lambda v: -part[v].bit_count()):
+            if mine := part[v] & left:
+                pivots[v] = mine
+                left &= ~mine
+        forward, backward = _spread(pivots, allowed, out), _spread(pivots, allowed, into)
+        rest: tuple[dict, dict, dict] = {}, {}, {}
+        for v, bits in part.items():
+            f, b = forward.get(v, 0), backward.get(v, 0)
+            found[v] |= f & b  # after trimming a pivot has an arc in and out; alone it is no cycle
+            for k, some in enumerate((f & ~b, b & ~f, bits & ~f & ~b)):
+                if some:
+                    rest[k][v] = some
+        for v, mine in pivots.items():  # a pivot that is its whole component is in no cycle
+            company = 0
+            for w in out[v]:
+                company |= forward.get(w, 0) & backward.get(w, 0)
+            alone = mine & ~company
+            if alone:
+                found[v] &= ~(alone & ~looped[v])
+        work += [r for r in rest if r]
+    return found
+
+
+def _left_in_task(t: pa.Table) -> pa.Table:
+    """(change_id, id): nodes of one component that a change takes out of every cycle. Rows are the
+    component's arcs (src, dst), and (change_id, src) of what a change removes."""
+    is_arc = np.array([x is None for x in t.column("change_id").to_pylist()])
+    src, dst, change = (t.column(c).to_pylist() for c in ("src", "dst", "change_id"))
+    ids = sorted({x for i in np.flatnonzero(is_arc) for x in (src[i], dst[i])})
+    number = {x: i for i, x in enumerate(ids)}
+    arcs = [(number[src[i]], number[dst[i]]) for i in np.flatnonzero(is_arc)]
+    gone: dict = {}
+    for i in np.flatnonzero(~is_arc):
+        gone.setdefault(change[i], set()).add(number[src[i]])
+    told, nodes = [], []
+    changes = sorted(gone)
+    for lo in range(0, len(changes), CHANGES):
+        some = changes[lo : lo + CHANGES]
+        full = (1 << len(some)) - 1
+        alive = [full] * len(ids)
+        for k, c in enumerate(some):
+            for v in gone[c]:
+                alive[v] &= ~(1 << k)
+        still = cycle_bits(len(ids), arcs, alive)
+        for v, bits in enumerate(still):
+            lost = alive[v] & ~bits
+            while lost:
+                k = (lost & -lost).bit_length() - 1
+                told.append(some[k])
+                nodes.append(ids[v])
+                lost &= lost - 1
+    schema = t.schema
+    return pa.table({"change_id": pa.array(told, schema.field("change_id").type), "id": pa.array(nodes, schema.field("src").type)})
+
+
+def _cycles_left(gone: DataFrame, before: DataFrame, edges: DataFrame, comp: DataFrame, in_task: int) -> DataFrame:
+    """(change_id, project_id, id, still): the nodes that a change takes out of every cycle, still being
+    false. A component of up to in_task arcs is searched once, in one task, for all the changes that touch it,
+    with a bit for each; of a larger one each change's part is a graph of its own on Spark."""
     big = comp.join(before.filter("in_cycle").select(*G.NODE), G.NODE, "left_semi")
-    touched = gone.join(big, G.NODE).select("change_id", "project_id", "scc").distinct()
-    members = touched.join(big, ["project_id", "scc"]).join(gone, ["change_id", "project_id", "id"], "left_anti")
+    touched = stored(gone.join(big, G.NODE).select("change_id", "project_id", "scc", "id"))
     e = edges
     for side in ("src", "dst"):
         e = e.join(big.select("project_id", F.col("id").alias(side), F.col("scc").alias(f"_{side}")), ["project_id", side])
-    e = e.filter("_src = _dst").select(*G.PAIR, F.col("_src").alias("scc")).join(touched, ["project_id", "scc"])
+    e = e.filter("_src = _dst").select(*G.PAIR, F.col("_src").alias("scc"))
+    e = stored(e.join(touched.select("project_id", "scc").distinct(), ["project_id", "scc"], "left_semi"))
+    large = e.groupBy("project_id", "scc").count().filter(F.col("count") > in_task).select("project_id", "scc")
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema} | {"change_id": gone.schema["change_id"].dataType.simpleString()}
+    small = lambda df: df.join(large, ["project_id", "scc"], "left_anti")
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows = small(e).select("project_id", "scc", none("change_id"), "src", "dst")
+    rows = rows.unionByName(small(touched).select("project_id", "scc", "change_id", F.col("id").alias("src"), none("dst")))
+    project = f"project_id {kinds['project_id']}, change_id {kinds['change_id']}, id {kinds['src']}"
+
+    def one(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        out = _left_in_task(t)
+        return out.add_column(0, "project_id", pa.array([key[0].as_py()] * len(out), t.schema.field("project_id").type))
+
+    lost = rows.groupBy("project_id", "scc").applyInArrow(one, project).select("change_id", "project_id", "id", F.lit(False).alias("still"))
+    if not large.limit(1).count():
+        return lost
+    changes = touched.join(large, ["project_id", "scc"]).select("change_id", "project_id", "scc").distinct()
+    members = changes.join(big, ["project_id", "scc"]).join(gone, ["change_id", "project_id", "id"], "left_anti")
+    e = e.join(changes, ["project_id", "scc"])
     for side in ("src", "dst"):
         e = e.join(gone.withColumnRenamed("id", side), ["change_id", "project_id", side], "left_anti")
-    # a change's part of a component is a graph of its own
     e = stored(e.select(F.struct("change_id", "project_id", "scc").alias("k"), "src", "dst").select(F.to_json("k").alias("project_id"), "src", "dst"))
     cyc = G.in_cycles(e, G.scc(e)).withColumnRenamed("project_id", "_k")
     members = members.withColumn("_k", F.to_json(F.struct("change_id", "project_id", "scc")))
-    return members.join(cyc.withColumn("still", F.lit(True)), ["_k", "id"], "left").select("change_id", "project_id", "id", F.coalesce("still", F.lit(False)).alias("still"))
+    out = members.join(cyc, ["_k", "id"], "left_anti").select("change_id", "project_id", "id", F.lit(False).alias("still"))
+    return lost.unionByName(out)
 
 
-def metric_delta(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def metric_delta(gone: DataFrame, nodes: DataFrame, edges: DataFrame, in_task: int = G.IN_TASK) -> DataFrame:
     """(change_id, functions, in_cycle and flagged, each before and after): a project's counts, and
     for each change the difference that its touched nodes make."""
     gone, e = stored(gone), stored(G.known_edges(nodes, edges))
@@ -105,7 +239,7 @@ def metric_delta(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     flag = lambda c: F.when(c, 1).otherwise(0)
     whole = before.groupBy("project_id").agg(F.count("*").alias("functions_before"), F.count_if("in_cycle").alias("in_cycle_before"), F.count_if(F.col("level") != "ok").alias("flagged_before"))
     lost_out = _touching(gone, e).groupBy("change_id", "project_id", F.col("src").alias("id")).agg(F.count("*").alias("lost_out"))
-    cycles = _cycles_left(gone, before, e, comp)
+    cycles = _cycles_left(gone, before, e, comp, in_task)
     touched = gone.withColumn("gone", F.lit(True))
     for part in (_lost_callers(gone, e), lost_out, cycles):
         touched = touched.join(part, ["change_id", "project_id", "id"], "full_outer")

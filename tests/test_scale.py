@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larchgraph.operators import hash_tree as HT
+from larchgraph.operators import impact as I
 from larchgraph.operators import joins as J
 from larchgraph.operators import policy as PO
 from larchgraph.operators import quantiles as QU
@@ -168,3 +169,45 @@ def test_quantiles_by_narrowing(spark, bins):
     got = {r["g"]: tuple(r)[1:] for r in QU.quantiles(df, ["g"], "x", {"low": lambda n: F.lit(0), "median": lambda n: F.floor(n / 2) + 1, "p95": lambda n: F.ceil(n * 0.95)}, bins).collect()}
     at = lambda vs, k: sorted(vs)[k - 1]
     assert got == {k: (min(vs), at(vs, len(vs) // 2 + 1), at(vs, -(-len(vs) * 95 // 100))) for k, vs in groups.items()}
+
+
+def in_cycles(n, arcs, gone):
+    """Nodes that reach themselves without the removed ones."""
+    on = {v: [w for u, w in arcs if u == v and w not in gone] for v in range(n) if v not in gone}
+    out = set()
+    for v in on:
+        seen, todo = set(), list(on[v])
+        while todo:
+            w = todo.pop()
+            if w not in seen:
+                seen.add(w)
+                todo += on[w]
+        out |= {v} & seen
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cycles_of_many_deletions_by_bits(seed):
+    rng = random.Random(seed)
+    n = rng.choice([1, 2, 5, 12, 25])
+    arcs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(int(n * rng.choice([0.8, 1.3, 2.5])) + 1)})
+    gone = [{rng.randrange(n) for _ in range(rng.randrange(0, 4))} for _ in range(70)]
+    alive = [sum(1 << k for k, g in enumerate(gone) if v not in g) for v in range(n)]
+    got = I.cycle_bits(n, arcs, alive)
+    for k, g in enumerate(gone):
+        assert {v for v in range(n) if got[v] >> k & 1} == in_cycles(n, arcs, g)
+
+
+def test_many_deletions_in_one_component_both_ways(spark):
+    """Deltas of bits and of copies are equal; a thousand changes of one component are one group of its arcs."""
+    rng = random.Random(3)
+    n = 60
+    arcs = sorted({(i, (i + 1) % n) for i in range(n)} | {(rng.randrange(n), rng.randrange(n)) for _ in range(40)} | {(n + 1, n + 2), (n + 2, n + 1), (n + 3, 0)})
+    edges = spark.createDataFrame([("p", a, b) for a, b in arcs], "project_id string, src bigint, dst bigint")
+    nodes = spark.createDataFrame([("p", i, f"f{i % 5}.ts", i % 14) for i in range(n + 5)], "project_id string, id bigint, file string, complexity int")
+    gone = spark.createDataFrame([(k, "p", v) for k in range(40) for v in {rng.randrange(n + 5) for _ in range(rng.randrange(1, 4))}], "change_id int, project_id string, id bigint")
+    one, two = (sorted(map(tuple, I.metric_delta(gone, nodes, edges, in_task=t).collect())) for t in (200_000, 0))
+    assert one == two and len(one) == 40 and len({r[5] for r in one}) > 3
+    many = spark.range(1000).selectExpr("cast(id as int) as change_id", "'p' as project_id", f"id % {n} as id")
+    rows = {r["change_id"]: r["in_cycle_after"] for r in I.metric_delta(many, nodes, edges).collect()}
+    assert len(rows) == 1000 and all(rows[k] == len(in_cycles(n + 5, arcs, {k % n})) for k in range(0, 1000, 37))
