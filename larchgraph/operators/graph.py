@@ -6,6 +6,8 @@ key. Edges count once for each ordered pair; those with an unknown end are ignor
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -224,18 +226,31 @@ def neighbours(edges: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def trace(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(project_id, start, id, depth): nodes within `depth` calls of each start, by breadth. Every
-    depth's new nodes are written once."""
+    """(project_id, start, id, depth): nodes within `depth` calls of each start, by breadth.
+
+    Starts are searched 64 together: a node has one row for each 64 starts, whose bits say which of
+    them have reached it; a depth's bits are joined by `or` and lose those that came before. Every depth's new
+    bits are written once, and told apart at the end only."""
     e = stored(edges.select(*PAIR).distinct())
-    frontier = seen = stored(starts.select("project_id", F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
+    place = F.monotonically_increasing_id()
+    known = stored(starts.select(*NODE).distinct().withColumn("_n", place))
+    known = known.select(*NODE, F.shiftright("_n", 6).alias("_set"), F.col("_n").bitwiseAND(63).cast("int").alias("_bit"))
+    one = known.select(*NODE, "_set", F.expr("shiftleft(1L, _bit)").alias("bits"))
+    key = ["project_id", "_set", "id"]
+    frontier = stored(one.groupBy(*key).agg(F.bit_or("bits").alias("bits")))
+    parts = [frontier.withColumn("depth", F.lit(0))]
     for d in range(1, depth + 1):
-        step = frontier.select("project_id", "start", F.col("id").alias("src")).join(e, ["project_id", "src"]).select("project_id", "start", F.col("dst").alias("id")).distinct()
-        frontier = stored(step.join(seen, ["project_id", "start", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        step = frontier.withColumnRenamed("id", "src").join(e, ["project_id", "src"]).groupBy("project_id", "_set", F.col("dst").alias("id")).agg(F.bit_or("bits").alias("bits"))
+        seen = reduce(DataFrame.unionByName, [p.select(*key, F.col("bits").alias("_seen")) for p in parts]).groupBy(*key).agg(F.bit_or("_seen").alias("_seen"))
+        new = step.join(seen, key, "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("bigint")))))
+        frontier = stored(new.filter("bits <> 0").select(*key, "bits"))
         if not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier.select(*seen.columns))
+        parts.append(frontier.withColumn("depth", F.lit(d)))
     dropped(e)
-    return seen
+    bits = F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1) = 1)")
+    every = reduce(DataFrame.unionByName, parts).select(*key, "depth", F.explode(bits).alias("_bit"))
+    return every.join(known.withColumnRenamed("id", "start"), ["project_id", "_set", "_bit"]).select("project_id", "start", "id", "depth")
 
 
 def trace_edges(edges: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
@@ -306,25 +321,50 @@ def _layers_in_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("project_id").applyInArrow(run, f"project_id {kinds['project_id']}, id {kinds['id']}, layer int")
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """(project_id, id, head, steps): nodes with one edge in and one out, and how far behind the last node
+    that is not one of them each stands. Pointers are doubled, so rounds follow the logarithm of a
+    chain's length; written."""
+    ins = edges.groupBy("project_id", F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("head")).filter("n = 1")
+    outs = edges.groupBy("project_id", F.col("src").alias("id")).count().filter("count = 1").select(*NODE)
+    now = stored(ins.join(outs, NODE, "left_semi").select(*NODE, "head", F.lit(1).alias("steps"), F.lit(False).alias("done")))
+    while now.filter("not done").limit(1).count():
+        on = now.select("project_id", F.col("id").alias("head"), F.col("head").alias("_on"), F.col("steps").alias("_more"))
+        new = now.join(on, ["project_id", "head"], "left")
+        new = stored(new.select(*NODE, F.coalesce("_on", "head").alias("head"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), F.col("_on").isNull().alias("done")))
+        dropped(now)
+        now = new
+    return now
+
+
 def _layers_spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rounds over the nodes whose layer has risen: each sends one more than its own along its edges."""
-    layer = stored(nodes.select(*NODE, F.lit(0).alias("layer")))
+    """Rounds over the nodes whose layer has risen: each sends its own and the edge's length along its
+    edges. Chains are contracted to one edge of their length first, and their nodes placed at the end."""
+    inner = _chains(edges)
+    long = edges.join(inner.select("project_id", F.col("id").alias("dst")), ["project_id", "dst"], "left_anti")
+    long = long.join(inner.select("project_id", F.col("id").alias("src"), "head", "steps"), ["project_id", "src"], "left")
+    long = long.groupBy("project_id", F.coalesce("head", "src").alias("id"), "dst").agg(F.max(F.coalesce("steps", F.lit(0)) + 1).alias("long"))
+    long = stored(long)
+    layer = stored(nodes.select(*NODE).join(inner.select(*NODE), NODE, "left_anti").select(*NODE, F.lit(0).alias("layer")))
     risen = layer
     while True:
-        sent = risen.join(edges.withColumnRenamed("src", "id"), NODE).groupBy("project_id", F.col("dst").alias("id")).agg(F.max(F.col("layer") + 1).alias("up"))
+        sent = risen.join(long, NODE).groupBy("project_id", F.col("dst").alias("id")).agg(F.max(F.col("layer") + F.col("long")).alias("up"))
         now = stored(layer.join(sent, NODE, "left").select(*NODE, F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.coalesce("up", F.lit(0)) > F.col("layer")).alias("risen")))
         dropped(layer)
         layer, risen = now.drop("risen"), now.filter("risen").drop("risen")
         layer.__dict__["stored_at"] = now.__dict__["stored_at"]
         if not risen.limit(1).count():
-            return layer
+            break
+    heads = layer.select("project_id", F.col("id").alias("head"), F.col("layer").alias("_above"))
+    chained = inner.join(heads, ["project_id", "head"]).select(*NODE, (F.col("_above") + F.col("steps")).cast("int").alias("layer"))
+    return layer.unionByName(chained)
 
 
 def layers(nodes: DataFrame, marked: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """(project_id, id, layer): the longest path to each node over edges that are in no cycle.
 
     Projects of up to in_task edges and nodes are each solved in one task; larger ones in rounds, as
-    many as the longest path has edges."""
+    many as the longest path has edges once chains count as one."""
     n = nodes.select(*NODE).distinct()
     e = stored(marked.filter("not cycle").select(*PAIR))
     size = n.select("project_id").unionByName(e.select("project_id")).groupBy("project_id").count()

@@ -110,6 +110,13 @@ def signature(projects: DataFrame) -> DataFrame:
     return paths.select("name", F.sha1(F.concat(F.col("name"), F.lit("\u0000"), "digest")).alias("signature"))
 
 
+def stamped(projects: DataFrame) -> DataFrame:
+    """projects with created_at and updated_at: the query's own time, as ISO text in UTC. upsert() keeps
+    the earliest created_at of a signature and the latest updated_at."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return projects.withColumns({"created_at": now, "updated_at": now})
+
+
 def upsert(saved: DataFrame, new: DataFrame) -> DataFrame:
     """One row for each signature: the latest, with the earliest created_at. Columns: id, signature,
     created_at, updated_at and whatever else both have. Rows are aggregated before they are shuffled."""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larchgraph.operators import graph as G
 from larchgraph.operators import hash_tree as HT
 from larchgraph.operators import impact as I
 from larchgraph.operators import joins as J
@@ -14,6 +15,7 @@ from larchgraph.operators import policy as PO
 from larchgraph.operators import quantiles as QU
 from larchgraph.operators import radar as R
 from larchgraph.operators import running as RS
+from larchgraph.sources import corpus as S
 
 
 def plain_root(files, depth):
@@ -211,3 +213,56 @@ def test_many_deletions_in_one_component_both_ways(spark):
     many = spark.range(1000).selectExpr("cast(id as int) as change_id", "'p' as project_id", f"id % {n} as id")
     rows = {r["change_id"]: r["in_cycle_after"] for r in I.metric_delta(many, nodes, edges).collect()}
     assert len(rows) == 1000 and all(rows[k] == len(in_cycles(n + 5, arcs, {k % n})) for k in range(0, 1000, 37))
+
+
+def test_thousands_of_starts_are_traced_by_bits(spark):
+    rng = random.Random(5)
+    arcs = sorted({(rng.randrange(3000), rng.randrange(3000)) for _ in range(4500)})
+    on = {}
+    for a, b in arcs:
+        on.setdefault(a, []).append(b)
+    want = set()
+    for s in range(2500):
+        seen, front = {s: 0}, [s]
+        for d in range(1, 4):
+            front = [w for v in front for w in on.get(v, ()) if w not in seen and not seen.setdefault(w, 0) and (seen.__setitem__(w, d) or True)]
+        want |= {(s, v, d) for v, d in seen.items()}
+    edges = spark.createDataFrame([("p", a, b) for a, b in arcs], "project_id string, src bigint, dst bigint")
+    starts = spark.range(2500).selectExpr("'p' as project_id", "id")
+    got = [tuple(r)[1:] for r in G.trace(edges, starts.unionByName(starts), 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 nodes in a row, with a short cut and a branch: rounds follow the logarithm."""
+    n = 10_000
+    arcs = [(i, i + 1) for i in range(n - 1)] + [(0, n - 1), (5000, n + 1), (n + 2, n + 3)]
+    edges = spark.createDataFrame([("p", a, b, False) for a, b in arcs], "project_id string, src bigint, dst bigint, cycle boolean")
+    nodes = spark.range(n + 4).selectExpr("'p' as project_id", "id")
+    written, plain = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df: written.append(1) or plain(df))
+    got = {r["id"]: r["layer"] for r in G.layers(nodes, edges, in_task=0).collect()}
+    assert got == {i: i for i in range(n)} | {n: 0, n + 1: 5001, n + 2: 0, n + 3: 1}
+    assert len(written) <= 24
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_layers_with_chains_both_ways(spark, seed):
+    rng = random.Random(seed)
+    arcs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(55)})
+    edges = spark.createDataFrame([("p", a, b, False) for a, b in arcs], "project_id string, src bigint, dst bigint, cycle boolean")
+    nodes = spark.range(60).selectExpr("'p' as project_id", "id")
+    one, two = (sorted(map(tuple, G.layers(nodes, edges, in_task=t).collect())) for t in (1000, 0))
+    assert one == two
+
+
+def test_saved_projects_have_the_clocks_time(spark):
+    from datetime import UTC, datetime
+
+    began = datetime.now(UTC)
+    old = spark.createDataFrame([("1", "s", "2020-01-01T00:00:00.000Z", "2020-01-01T00:00:00.000Z")], "id string, signature string, created_at string, updated_at string")
+    new = S.stamped(spark.createDataFrame([("2", "s"), ("3", "t")], "id string, signature string")).select(*old.columns)
+    rows = {r["signature"]: r for r in S.upsert(old, new).collect()}
+    assert (rows["s"]["id"], rows["s"]["created_at"]) == ("1", "2020-01-01T00:00:00.000Z")
+    at = datetime.fromisoformat(rows["s"]["updated_at"])
+    assert -2 < (at - began).total_seconds() < 120 and rows["t"]["created_at"] == rows["t"]["updated_at"] == rows["s"]["updated_at"]
