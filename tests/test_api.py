@@ -71,7 +71,7 @@ def test_analysis_and_simulation(spark):
     d = s.delta.first()
     assert (d["functions_before"], d["functions_after"], d["in_cycle_before"], d["in_cycle_after"], d["flagged_after"]) == (4, 3, 2, 0, 0)
     text = [r["text"] for r in s.summary.filter("change_id = 'one'").orderBy("line").collect()]
-    assert text == ["removed functions: 1", "broken callers: 2: t, b", "without callers now: 2: b, c", "test files concerned: 1", "functions in cycles: 2 to 0", "flagged functions: 2 to 0"]
+    assert text == ["removed functions: 1", "broken callers: 2: t, b", "without callers now: 2: b, c", "test files concerned: 1", "functions in cycles: 2 to 0", "flagged functions: 2 to 0", "calls of t: 1 to 0", "calls of b: 1 to 0"]
     nodes, edges, summary = api.file_graph(df)
     got = summary.first().asDict()
     assert (got["files"], got["edges"], got["cycles"], got["entries"], got["orphans"], got["unresolved_imports"]) == (3, 1, 0, 1, 1, 1)
