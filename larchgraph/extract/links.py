@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 from larchgraph.extract.nesting import Nesting
 
-_SPEC = r"(['\"])([^'\"\n]+)\{}"
 _NAME = r"[A-Za-z_$][\w$]*"
 _IMPORT = re.compile(rf"\bimport\s+(?:type\s+)?(?:({_NAME})\s*,?\s*)?(?:\*\s*as\s+({_NAME})|\{{([^}}]*)\}})?\s*from\s*(['\"])([^'\"\n]+)\4")
 _REQUIRE = re.compile(rf"(?:\b(?:const|let|var)\s+({_NAME}|\{{[^}}]*\}})\s*(?::[^=;]+)?|\bimport\s+({_NAME})\s*)=\s*require\s*\(\s*(['\"])([^'\"\n]+)\3\s*\)(?:\s*\.\s*({_NAME}))?")
