@@ -8,13 +8,18 @@
    at least SHALLOW values. Candidates thus grow with the classes, never with a group's square.
 3. Candidates whose whole signatures agree in at least ROUGH of the values join into regions. A
    region holds all classes that may be linked; in it, links are decided on full sets.
-4. A region of more than REGION classes is too much for one task. Bands hold its sets of similar
-   size, so that links stay in a band or lead to the next one. First all of its classes, in blocks,
-   are compared with HUBS hubs of each band around them; near copies of one text mostly join there.
-   Then every class that the region's most frequent hub has not joined is compared with all classes
-   of the bands around it, block by block. So each pair of a region is decided, or its ends are
-   joined already. The first step grows with the region, the second with the region times what is left.
-5. Links join into components.
+4. A region of more than REGION classes is too much for one task. It is refined: its shingles are
+   ordered from rare to frequent, and of two linked sets of n and m shingles the n - ceil(0.8 n) + 1
+   first of one and the m - ceil(0.8 m) + 1 first of the other have one in common. Classes that chains
+   of such common first shingles join are the new regions, made by a star for each shingle, not by pairs;
+   a class of no star has no link. Pages that share a frame fall apart here. This goes on while it helps.
+5. What is still large has bands of sets of similar size, so that links stay in a band or lead to the
+   next one. First all of its classes, in blocks, are compared with HUBS hubs of each band around them;
+   near copies of one text mostly join there. Then every class that the region's most frequent hub has
+   not joined is compared with all classes of the bands around it, block by block. So each pair of a
+   region is decided, or its ends are joined already. The first step grows with the region, the second
+   with the region times what is left.
+6. Links join into components.
 
 A document's set: distinct `width`-word shingles of the lower-cased (A-Z) text; with fewer words,
 the whole sequence as one; null and word-less texts have none and are linked with nothing. Links:
@@ -30,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larchgraph.llm import bpe
@@ -65,6 +70,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: a polynomial in its bytes, from differences of running sums. Words are
+    worked on in runs of up to CHUNK bytes, so that a very long text needs no sums for all its bytes."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, first + CHUNK, "right")))
+        part = data[first : int(ends[upto - 1])]
+        power = np.full(len(part), _P, np.uint64)
+        power[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[part] * np.cumprod(power))])
+        power[1:] = _P_INVERSE
+        s, e = starts[at:upto] - first, ends[at:upto] - first
+        out[at:upto] = _mixed((sums[e] - sums[s]) * np.cumprod(power)[s] + (e - s).astype(np.uint64))
+        at = upto
+    return out
+
+
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct 64-bit shingle hashes of each text, end to end; how many each has)."""
     data, offsets = bpe.bytes_of(texts)
@@ -80,14 +104,7 @@ def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), none
-    # a word's hash: a polynomial in its bytes, from differences of running sums
-    power = np.full(len(data), _P, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * power)])
-    back = np.full(len(data), _P_INVERSE, np.uint64)
-    back[0] = 1
-    word = _mixed((sums[ends] - sums[starts]) * np.cumprod(back)[starts] + (ends - starts).astype(np.uint64))
+    word = _word_hashes(data, starts, ends)
     at = np.searchsorted(starts, offsets)
     n_words = np.diff(at)
     counts = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
@@ -235,6 +252,18 @@ def exact_links(h: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | N
     return label.astype(np.int64)
 
 
+def _by_slices(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What shingles() tells of all texts, of up to CHUNK bytes of text, or one text, at once."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())])
+    found = []
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK, "right")) - 1)
+        found.append(shingles(texts.slice(at, upto - at).combine_chunks(), width))
+        at = upto
+    return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+
+
 def _decide(width: int, percent: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("part", "ascending"), ("rep", "ascending")]).combine_chunks()
@@ -246,7 +275,7 @@ def _decide(width: int, percent: int):
         while at < len(edges) - 1:  # whole parts, up to CHUNK bytes of text at once
             upto = max(at + 1, int(np.searchsorted(size[edges], size[edges[at]] + CHUNK, "right")) - 1)
             first = int(edges[at])
-            h, n = shingles(t.column("text").slice(first, int(edges[upto]) - first).combine_chunks(), width)
+            h, n = _by_slices(t.column("text").slice(first, int(edges[upto]) - first), width)
             ends = np.cumsum(n)
             for lo, hi in zip((edges[at:upto] - first).tolist(), (edges[at + 1 : upto + 1] - first).tolist(), strict=True):
                 own = side[first + lo : first + hi]
@@ -291,11 +320,64 @@ def _sized(members: DataFrame, percent: int) -> DataFrame:
     return members.join(size, "region").withColumn("band", band)
 
 
+def _tokens(width: int):
+    """(rep, region, token): every shingle of (rep, region, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "text", CHUNK):
+                h, n = shingles(part.column("text"), width)
+                rows = np.repeat(np.arange(len(n)), n)
+                for at in range(0, len(h), CHUNK):
+                    own = pa.array(rows[at : at + CHUNK])
+                    token = pa.array(h[at : at + CHUNK].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([part.column("rep").take(own), part.column("region").take(own), token], ["rep", "region", "token"])
+
+    return run
+
+
+def _refined(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, region, n_shingles) of the classes of large regions that share first shingles with another.
+
+    Shingles of one class alone are never told: they only shorten what is first of the others. A shingle
+    of very many classes is counted before the shuffle, and is a key that a join may split."""
+    large = members.filter("large").select("rep", "region", "n_shingles")
+    kind = members.schema["rep"].dataType.simpleString()
+    tokens = texts.hint("merge").join(large.select("rep", "region"), "rep").select("rep", "region", "text")
+    tokens = tokens.mapInArrow(_tokens(width), f"rep {kind}, region {kind}, token bigint")
+    times = tokens.groupBy("region", "token").agg(F.count("*").alias("times")).filter("times > 1")
+    own = Window.partitionBy("rep", "region")
+    held = tokens.join(times, ["region", "token"]).withColumn("rank", F.row_number().over(own.orderBy("times", "token")))
+    held = held.withColumn("shared", F.count("*").over(own)).join(large, ["rep", "region"])
+    need = F.ceil(F.col("n_shingles") * percent / 100)
+    first = stored(held.filter(F.col("rank") <= F.col("shared") - need + 1).select("rep", "region", "token"))
+    heads = first.groupBy("region", "token").agg(F.min("rep").alias("head"))
+    edges = stored(first.join(heads, ["region", "token"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
+    found = stored(components(edges).withColumnsRenamed({"node": "rep", "component": "region"}).join(large.drop("region"), "rep"))
+    dropped(first, edges)
+    return found
+
+
+def _settled(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """members, written, with their large regions refined as long as that takes a tenth of their classes
+    out of large regions. How often does not change what is linked."""
+    n = members.filter("large").count()
+    while n:
+        finer = _refined(members, texts, width, percent)
+        small = members.filter("not large").select("rep", "region", "n_shingles")
+        members, old = stored(_sized(small.unionByName(finer), percent)), members
+        dropped(old, finer)
+        n, before = members.filter("large").count(), n
+        if 10 * n > 9 * before:
+            break
+    return members
+
+
 def _first_parts(members: DataFrame) -> DataFrame:
     """(rep, part, side, alone): what is decided together. A small region is one part, of side -1;
     a part of a large one is a block (side 1) with the hubs of the bands around it (side 0)."""
     alone = (F.col("s") > TOGETHER_SHINGLES / 8) | (F.col("n") > TOGETHER / 8)
-    small = members.filter("not large").select("rep", F.xxhash64("region").alias("part"), F.lit(-1).alias("side"), alone.alias("alone"))
+    small = members.filter("not large").select("rep", F.xxhash64("region").alias("part"), F.lit(-1).alias("side"), alone.alias("alone"), "n_shingles")
     large = members.filter("large").select("rep", "region", "band", "n_shingles")
     load = _load(large, "region", "band").select("region", "band", _blocks().alias("blocks"))
     part = F.xxhash64("region", "band", "block").alias("part")
@@ -303,7 +385,7 @@ def _first_parts(members: DataFrame) -> DataFrame:
     hubs = large.groupBy("region", "band").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep"))["rep"] for k in range(HUBS)])).alias("hubs"))
     hubs = hubs.select("region", F.explode("hubs").alias("rep"), _around(F.col("band")).alias("band")).join(load, ["region", "band"])
     hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    row = lambda df, side: df.select("rep", part, F.lit(side).alias("side"), F.lit(True).alias("alone"))
+    row = lambda df, side: df.select("rep", part, F.lit(side).alias("side"), F.lit(True).alias("alone"), F.lit(None).cast("bigint").alias("n_shingles"))
     return small.unionByName(row(dealt, 1)).unionByName(row(hubs, 0))
 
 
@@ -320,7 +402,7 @@ def _second_parts(members: DataFrame, links: DataFrame) -> DataFrame:
     met = ours.withColumn("near", _around(F.col("band"))).join(theirs, ["region", "near"])  # as many rows as bands, three times
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = F.xxhash64("region", "band", "i", "near", "j")
-    row = lambda df, side: df.select("rep", part.alias("part"), F.lit(side).alias("side"), F.lit(True).alias("alone"))
+    row = lambda df, side: df.select("rep", part.alias("part"), F.lit(side).alias("side"), F.lit(True).alias("alone"), F.lit(None).cast("bigint").alias("n_shingles"))
     left = rest.join(met, ["region", "band"]).withColumn("i", _block("ours")).withColumn("j", every("theirs"))
     right = large.select("rep", "region", F.col("band").alias("near")).join(met, ["region", "near"]).withColumn("j", _block("theirs")).withColumn("i", every("ours"))
     return row(left, 0).unionByName(row(right, 1))
@@ -329,9 +411,9 @@ def _second_parts(members: DataFrame, links: DataFrame) -> DataFrame:
 def _decided(texts: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links inside the parts, as many as join what they join; written. texts: rep, text."""
     parts = stored(parts)
-    n = parts.filter("not alone").count()
-    together = F.pmod(F.xxhash64("part"), F.lit(max(partitions(texts.sparkSession), -(-n // TOGETHER))))
-    dealt = parts.withColumn("bucket", F.when(F.col("alone"), F.col("part")).otherwise(together)).drop("alone")
+    n, s = parts.filter("not alone").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    together = F.pmod(F.xxhash64("part"), F.lit(max(partitions(texts.sparkSession), -(-n // TOGETHER), -(-s // TOGETHER_SHINGLES))))
+    dealt = parts.withColumn("bucket", F.when(F.col("alone"), F.col("part")).otherwise(together)).drop("alone", "n_shingles")
     kind = texts.schema["rep"].dataType.simpleString()
     # parts grow with the input: both sides are sorted and merged at every size, none is broadcast
     links = stored(dealt.join(texts.hint("merge"), "rep").groupBy("bucket").applyInArrow(_decide(width, percent), f"a {kind}, b {kind}"))
@@ -347,8 +429,10 @@ def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, p
     regions = components(rough).withColumnsRenamed({"node": "rep", "component": "region"})
     members = stored(_sized(regions.join(classes.select("rep", "n_shingles"), "rep"), percent))
     dropped(pairs)
-    # all texts are shuffled once; those in regions are kept, and only they are read again
-    texts = stored(df.select(F.col(key).alias("rep"), F.col(text).alias("text")).hint("merge").join(members.select("rep"), "rep"))
+    # all texts are shuffled once; those in regions are kept, one of repeated rows, and only they are read again
+    texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).hint("merge").join(members.select("rep"), "rep")
+    texts = stored(texts.groupBy("rep").agg(F.min("text").alias("text")))
+    members = _settled(members, texts, width, percent)
     links = _decided(texts, _first_parts(members), width, percent)
     if members.filter("large").limit(1).count():
         more = _decided(texts, _second_parts(members, links), width, percent)

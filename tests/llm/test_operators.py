@@ -671,6 +671,69 @@ def test_a_region_far_above_the_limit(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def framed(n, pairs):
+    """Texts that share a frame of 280 of 400 words, too little for a link; the first have a near copy."""
+    rng = random.Random(12)
+    frame = [f"f{i}" for i in range(280)]
+    texts = [frame + [f"d{k}w{i}" for i in range(120)] for k in range(n)]
+    for k in range(pairs):
+        own = list(texts[k])
+        for at in rng.sample(range(0, 400, 8), 5):
+            own[at] = f"p{k}x{at}"
+        texts.append(own)
+    return [" ".join(t) for t in texts]
+
+
+def test_a_crowd_in_one_frame_falls_apart(spark, monkeypatch):
+    """A large region below the threshold is refined to its planted pairs; nothing is left for blocks."""
+    monkeypatch.setattr(near_dedup, "REGION", 40)
+    seen = []
+    settled = near_dedup._settled
+
+    def told(members, *rest):
+        before = members.filter("large").count()
+        out = settled(members, *rest)
+        seen.append((before, out.filter("large").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_settled", told)
+    texts = framed(600, 60)
+    got = near_dedup.near_duplicates(docs(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == components_of(sets_of(texts, 4), list(range(len(texts))), 80)
+    before, large, left = seen[0]
+    assert before > 500 and large == 0 and left == 120
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_refined_regions_hold_all_links(spark, percent):
+    """Every pair of at least the similarity is in one refined region, and who is alone is in none."""
+    rng = random.Random(percent)
+    texts = []
+    for k in range(40):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(rng.randint(10, 80))]
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.choice((0, 0, 0, 1, 2))):
+                own[rng.randrange(len(own))] = f"z{rng.randrange(50)}"
+            texts.append(" ".join(own))
+    sets = sets_of(texts, 4)
+    rows = spark.createDataFrame([(i, 0, len(s), True) for i, s in enumerate(sets)], "rep bigint, region bigint, n_shingles bigint, large boolean")
+    both = spark.createDataFrame(list(enumerate(texts)), "rep bigint, text string")
+    region = {r["rep"]: r["region"] for r in near_dedup._refined(rows, both, 4, percent).collect()}
+    linked = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    assert len(linked) > 40 and all(region[i] == region[j] for i, j in linked)
+    assert min(Counter(region.values()).values()) > 1
+
+
+def test_hashes_of_words_do_not_depend_on_runs(monkeypatch):
+    texts = pa.array(["one two  three four five six", "x" * 300 + " tail of it", "", None, "a b"])
+    h, n = near_dedup.shingles(texts, 4)
+    monkeypatch.setattr(near_dedup, "CHUNK", 7)
+    again, m = near_dedup.shingles(texts, 4)
+    sliced, k = near_dedup._by_slices(pa.chunked_array([texts]), 4)
+    assert (h == again).all() and (h == sliced).all() and (n == m).all() and (n == k).all()
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark).union(docs(spark, ["same text here now"], [9]))).collect()
     by = defaultdict(set)
