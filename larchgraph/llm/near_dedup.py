@@ -8,17 +8,18 @@
    at least SHALLOW values. Candidates thus grow with the classes, never with a group's square.
 3. Candidates whose whole signatures agree in at least ROUGH of the values join into regions. A
    region holds all classes that may be linked; in it, links are decided on full sets.
-4. A region of more than REGION classes is too much for one task. It is refined: its shingles are
-   ordered from rare to frequent, and of two linked sets of n and m shingles the n - ceil(0.8 n) + 1
-   first of one and the m - ceil(0.8 m) + 1 first of the other have one in common. Classes that chains
-   of such common first shingles join are the new regions, made by a star for each shingle, not by pairs;
-   a class of no star has no link. Pages that share a frame fall apart here. This goes on while it helps.
-5. What is still large has bands of sets of similar size, so that links stay in a band or lead to the
-   next one. First all of its classes, in blocks, are compared with HUBS hubs of each band around them;
-   near copies of one text mostly join there. Then every class that the region's most frequent hub has
-   not joined is compared with all classes of the bands around it, block by block. So each pair of a
-   region is decided, or its ends are joined already. The first step grows with the region, the second
-   with the region times what is left.
+4. A region of more than REGION classes is too much for one task. Bands hold its sets of similar
+   size, so that links stay in a band or lead to the next one. First all of its classes, in blocks,
+   are compared with HUBS hubs of each band around them; near copies of one text mostly join there.
+   Then every class that the region's most frequent hub has not joined is compared with all classes
+   of the bands around it, block by block. So each pair of a region is decided, or its ends are
+   joined already. The first step grows with the region, the second with the region times what is left.
+5. If the second step would read texts more than SPREAD times, large regions are refined before it.
+   Their shingles are ordered from rare to frequent, and of two linked sets of n and m shingles the
+   n - ceil(0.8 n) + 1 first of one and the m - ceil(0.8 m) + 1 first of the other have one in common.
+   Classes that chains of such common first shingles join are the new regions, made by a star for each
+   shingle, not by pairs; a class of no star has no link. Pages that share a frame fall apart here.
+   All pairs are decided either way.
 6. Links join into components.
 
 A document's set: distinct `width`-word shingles of the lower-cased (A-Z) text; with fewer words,
@@ -30,6 +31,7 @@ Repeated rows share a component. Columns besides key and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -47,6 +49,8 @@ WIDTH, PERCENT = 4, 80
 TREES, DEPTH, SHALLOW, NEAR, ROUGH = 16, 12, 3, 4, 0.55
 #: Classes, and shingles, of a region, or of two blocks of a larger one, that one task decides; hubs of a band.
 REGION, REGION_SHINGLES, HUBS = 400, 1_000_000, 8
+#: How often a text of a large region may be read for its second step before the region is refined.
+SPREAD = 8
 #: Bytes of text worked on at once; classes, and shingles, of small regions that share a task.
 CHUNK, TOGETHER, TOGETHER_SHINGLES = 1_000_000, 2000, 1_000_000
 
@@ -358,21 +362,6 @@ def _refined(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return found
 
 
-def _settled(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """members, written, with their large regions refined as long as that takes a tenth of their classes
-    out of large regions. How often does not change what is linked."""
-    n = members.filter("large").count()
-    while n:
-        finer = _refined(members, texts, width, percent)
-        small = members.filter("not large").select("rep", "region", "n_shingles")
-        members, old = stored(_sized(small.unionByName(finer), percent)), members
-        dropped(old, finer)
-        n, before = members.filter("large").count(), n
-        if 10 * n > 9 * before:
-            break
-    return members
-
-
 def _first_parts(members: DataFrame) -> DataFrame:
     """(rep, part, side, alone): what is decided together. A small region is one part, of side -1;
     a part of a large one is a block (side 1) with the hubs of the bands around it (side 0)."""
@@ -389,17 +378,36 @@ def _first_parts(members: DataFrame) -> DataFrame:
     return small.unionByName(row(dealt, 1)).unionByName(row(hubs, 0))
 
 
-def _second_parts(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Parts of large regions: a block of the classes that are not linked with the region's most
-    frequent hub, by links(a, b) (side 0), and a block of all classes of the bands around (side 1)."""
+def _rest(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes of large regions that are not linked with the region's most frequent hub, by
+    links(a, b); written."""
     large = members.filter("large").select("rep", "region", "band", "n_shingles")
     joined = large.join(links.select(F.col("b").alias("rep"), "a").distinct(), "rep")
     top = joined.groupBy("region", "a").count().groupBy("region").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
     near = joined.join(top, ["region", "a"]).select("rep").unionByName(top.select(F.col("a").alias("rep"))).distinct()
-    rest = stored(large.join(near, "rep", "left_anti").select("rep", "region", "band", "n_shingles"))
-    load = lambda df, name, band: _load(df, "region", "band").select("region", F.col("band").alias(band), _blocks().alias(name))
-    ours, theirs = load(rest, "ours", "band"), load(large, "theirs", "near")
-    met = ours.withColumn("near", _around(F.col("band"))).join(theirs, ["region", "near"])  # as many rows as bands, three times
+    return stored(large.join(near, "rep", "left_anti").select("rep", "region", "band", "n_shingles"))
+
+
+def _met(members: DataFrame, rest: DataFrame) -> DataFrame:
+    """Bands of the rest with the bands of all classes around them, and how many blocks and classes
+    they have: as many rows as bands, three times."""
+    load = lambda df, side, band: _load(df, "region", "band").select("region", F.col("band").alias(band), _blocks().alias(side), F.col("n").alias(f"n_{side}"))
+    theirs = load(members.filter("large"), "theirs", "near")
+    return load(rest, "ours", "band").withColumn("near", _around(F.col("band"))).join(theirs, ["region", "near"])
+
+
+def _spread(members: DataFrame, rest: DataFrame) -> float:
+    """How often the second step would read a text of a large region."""
+    read = _met(members, rest).agg(F.sum(F.col("n_ours") * F.col("theirs") + F.col("n_theirs") * F.col("ours"))).first()[0]
+    return (read or 0) / max(1, members.filter("large").count())
+
+
+def _second_parts(members: DataFrame, links: DataFrame, rest: DataFrame | None = None) -> DataFrame:
+    """Parts of large regions: a block of the rest (side 0), and a block of all classes of the bands
+    around (side 1)."""
+    large = members.filter("large").select("rep", "region", "band", "n_shingles")
+    rest = _rest(members, links) if rest is None else rest
+    met = _met(members, rest).drop("n_ours", "n_theirs")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = F.xxhash64("region", "band", "i", "near", "j")
     row = lambda df, side: df.select("rep", part.alias("part"), F.lit(side).alias("side"), F.lit(True).alias("alone"), F.lit(None).cast("bigint").alias("n_shingles"))
@@ -432,15 +440,19 @@ def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, p
     # all texts are shuffled once; those in regions are kept, one of repeated rows, and only they are read again
     texts = df.select(F.col(key).alias("rep"), F.col(text).alias("text")).hint("merge").join(members.select("rep"), "rep")
     texts = stored(texts.groupBy("rep").agg(F.min("text").alias("text")))
-    members = _settled(members, texts, width, percent)
-    links = _decided(texts, _first_parts(members), width, percent)
+    links = [_decided(texts, _first_parts(members), width, percent)]
     if members.filter("large").limit(1).count():
-        more = _decided(texts, _second_parts(members, links), width, percent)
-        found = components(links.unionByName(more))
-        dropped(more)
-    else:
-        found = components(links)
-    dropped(members, links, texts)
+        rest = _rest(members, links[0])
+        if _spread(members, rest) > SPREAD:
+            finer = _refined(members, texts, width, percent)
+            members, old = stored(_sized(finer, percent)), members
+            dropped(old, finer, rest)
+            links.append(_decided(texts, _first_parts(members), width, percent))
+            rest = _rest(members, links[1])
+        links.append(_decided(texts, _second_parts(members, links[-1], rest), width, percent))
+        dropped(rest)
+    found = components(reduce(DataFrame.unionByName, links))
+    dropped(members, texts, *links)
     return found
 
 
