@@ -83,9 +83,9 @@ def check_limits(files: DataFrame) -> DataFrame:
     return files
 
 
-def running_limit(files: DataFrame, most_bytes: int = MAX_TOTAL, size: str = "bytes") -> DataFrame:
-    """files, in path order, with `total` so far and `kept`: within the byte limit of the project."""
-    return running_sums(files, ["project_id"], ["path"], {"total": F.col(size)}).withColumn("kept", F.col("total") <= most_bytes)
+def running_limit(files: DataFrame, most_bytes: int = MAX_TOTAL, size: str = "bytes", order: tuple[str, ...] = ("path",)) -> DataFrame:
+    """files, in path order, or one that also tells equal paths apart, with `total` so far and `kept`: within the byte limit of the project."""
+    return running_sums(files, ["project_id"], list(order), {"total": F.col(size)}).withColumn("kept", F.col("total") <= most_bytes)
 
 
 def validate(payload: DataFrame) -> DataFrame:
