@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larchgraph.functions.tables import stored
 from larchgraph.operators import graph as G
 from larchgraph.plans import views as V
 
@@ -125,8 +126,9 @@ def layers(spark, d):
 @query(f"WITH RECURSIVE {_LAYERS} SELECT project_id, id, layer, CAST(130 + 230 * layer AS INT) AS x, CAST(78 + 86 * (row_number() OVER (PARTITION BY project_id, layer ORDER BY score DESC, id) - 1) AS INT) AS y FROM scored JOIN layers USING (project_id, id)")
 def layered_layout(spark, d):
     nodes, edges = V.weekly(spark, d)
-    layer = G.layers(nodes, G.cycle_edges(edges, G.scc(edges)))
-    return G.layout(G.scored(nodes, edges), layer).select("project_id", "id", "layer", F.col("x").cast("int"), F.col("y").cast("int"))
+    comp = stored(G.scc(edges))
+    layer = G.layers(nodes, G.cycle_edges(edges, comp))
+    return G.layout(G.scored(nodes, edges, comp=comp), layer).select("project_id", "id", "layer", F.col("x").cast("int"), F.col("y").cast("int"))
 
 
 @query(f"WITH RECURSIVE {V.WEEKLY_SCORED} SELECT project_id, id, level FROM scored WHERE contains(lower(name || ' ' || file), 'f3.ts') AND level <> 'ok'")

@@ -99,6 +99,23 @@ def test_hash_trees_of_nothing_and_of_other_depths(spark):
         HT.diff(one, flat)
 
 
+def test_graph_rounds_send_no_side_of_a_join_through_the_driver(spark, monkeypatch):
+    plans, write = [], G.stored
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(G, "stored", lambda df: write(told(df)))
+    pairs = [(i, i + 1) for i in range(8)] + [(3, 1), (8, 6), (9, 0), (9, 9)]
+    edges = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, src bigint, dst bigint")
+    nodes = spark.createDataFrame([("p", i, "f", 1) for i in range(10)], "project_id string, id bigint, file string, complexity int")
+    comp = write(told(G._scc_spread(edges)))
+    assert {r["id"]: r["scc"] for r in comp.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 6, 9: 9}
+    marked = write(told(G.cycle_edges(edges, comp)))
+    layer = write(told(G._layers_spread(nodes, marked.filter("not cycle").select(*G.PAIR))))
+    assert {r["id"]: r["layer"] for r in layer.collect()} == {9: 0, 0: 1, 1: 2, 2: 0, 3: 0, 4: 1, 5: 2, 6: 3, 7: 0, 8: 0}
+    told(G.layout(G.scored(nodes, edges, comp=comp), layer))
+    told(G.baseline_delta(G.scored(nodes, edges, comp=comp), G.scored(nodes, edges, comp=comp)))
+    assert len(plans) > 15 and [p for p in plans if "Broadcast" in p] == []
+
+
 def test_running_sums_of_a_hot_key(spark):
     """One key has nearly all rows: they are summed in several partitions, and the sums are a window's."""
     rows = spark.range(20_000).selectExpr("if(id % 50 = 0, if(id % 100 = 0, null, 'b'), 'hot') as k", "id * 7919 % 20011 as o", "id % 13 as v").repartition(5)
