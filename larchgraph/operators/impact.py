@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
-from larchgraph.functions.tables import stored
+from larchgraph.functions.tables import dealt, stored
 from larchgraph.operators import graph as G
 
 #: Changes whose bits are searched together.
@@ -34,8 +34,8 @@ def outcomes(changes: DataFrame, gone: DataFrame) -> DataFrame:
 
 def _touching(gone: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges into what is removed, from what stays."""
-    into = edges.select(*G.PAIR).distinct().join(gone.withColumnRenamed("id", "dst"), ["project_id", "dst"])
-    return into.join(gone.withColumnRenamed("id", "src"), ["change_id", "project_id", "src"], "left_anti")
+    into = edges.select(*G.PAIR).distinct().join(dealt(gone.withColumnRenamed("id", "dst")), ["project_id", "dst"])
+    return into.join(dealt(gone.withColumnRenamed("id", "src")), ["change_id", "project_id", "src"], "left_anti")
 
 
 def broken_callers(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,15 +58,15 @@ def shadow(gone: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFra
     left = nodes.join(projects, "project_id").join(gone, ["change_id", "project_id", "id"], "left_anti")
     e = edges.select(*G.PAIR).distinct().join(projects, "project_id")
     for side in ("src", "dst"):
-        e = e.join(gone.withColumnRenamed("id", side), ["change_id", "project_id", side], "left_anti")
+        e = e.join(dealt(gone.withColumnRenamed("id", side)), ["change_id", "project_id", side], "left_anti")
     rename = lambda df: df.drop("project_id").withColumnRenamed("change_id", "project_id")
     return rename(left), rename(e).select(*G.PAIR)
 
 
 def _lost_callers(gone: DataFrame, edges: DataFrame) -> DataFrame:
     """(change_id, project_id, id, lost_in): callers that nodes which stay lose."""
-    out = edges.select(*G.PAIR).distinct().join(gone.withColumnRenamed("id", "src"), ["project_id", "src"])
-    out = out.join(gone.withColumnRenamed("id", "dst"), ["change_id", "project_id", "dst"], "left_anti")
+    out = edges.select(*G.PAIR).distinct().join(dealt(gone.withColumnRenamed("id", "src")), ["project_id", "src"])
+    out = out.join(dealt(gone.withColumnRenamed("id", "dst")), ["change_id", "project_id", "dst"], "left_anti")
     return out.groupBy("change_id", "project_id", F.col("dst").alias("id")).agg(F.count("*").alias("lost_in"))
 
 
@@ -196,11 +196,11 @@ def _cycles_left(gone: DataFrame, before: DataFrame, edges: DataFrame, comp: Dat
     """(change_id, project_id, id, still): the nodes that a change takes out of every cycle, still being
     false. A component of up to in_task arcs is searched once, in one task, for all the changes that touch it,
     with a bit for each; of a larger one each change's part is a graph of its own on Spark."""
-    big = comp.join(before.filter("in_cycle").select(*G.NODE), G.NODE, "left_semi")
-    touched = stored(gone.join(big, G.NODE).select("change_id", "project_id", "scc", "id"))
+    big = comp.join(dealt(before.filter("in_cycle").select(*G.NODE)), G.NODE, "left_semi")
+    touched = stored(gone.join(dealt(big), G.NODE).select("change_id", "project_id", "scc", "id"))
     e = edges
     for side in ("src", "dst"):
-        e = e.join(big.select("project_id", F.col("id").alias(side), F.col("scc").alias(f"_{side}")), ["project_id", side])
+        e = e.join(dealt(big.select("project_id", F.col("id").alias(side), F.col("scc").alias(f"_{side}"))), ["project_id", side])
     e = e.filter("_src = _dst").select(*G.PAIR, F.col("_src").alias("scc"))
     e = stored(e.join(touched.select("project_id", "scc").distinct(), ["project_id", "scc"], "left_semi"))
     large = e.groupBy("project_id", "scc").count().filter(F.col("count") > in_task).select("project_id", "scc")
@@ -219,14 +219,14 @@ def _cycles_left(gone: DataFrame, before: DataFrame, edges: DataFrame, comp: Dat
     if not large.limit(1).count():
         return lost
     changes = touched.join(large, ["project_id", "scc"]).select("change_id", "project_id", "scc").distinct()
-    members = changes.join(big, ["project_id", "scc"]).join(gone, ["change_id", "project_id", "id"], "left_anti")
+    members = changes.join(dealt(big), ["project_id", "scc"]).join(dealt(gone), ["change_id", "project_id", "id"], "left_anti")
     e = e.join(changes, ["project_id", "scc"])
     for side in ("src", "dst"):
-        e = e.join(gone.withColumnRenamed("id", side), ["change_id", "project_id", side], "left_anti")
+        e = e.join(dealt(gone.withColumnRenamed("id", side)), ["change_id", "project_id", side], "left_anti")
     e = stored(e.select(F.struct("change_id", "project_id", "scc").alias("k"), "src", "dst").select(F.to_json("k").alias("project_id"), "src", "dst"))
     cyc = G.in_cycles(e, G.scc(e)).withColumnRenamed("project_id", "_k")
     members = members.withColumn("_k", F.to_json(F.struct("change_id", "project_id", "scc")))
-    out = members.join(cyc, ["_k", "id"], "left_anti").select("change_id", "project_id", "id", F.lit(False).alias("still"))
+    out = members.join(dealt(cyc), ["_k", "id"], "left_anti").select("change_id", "project_id", "id", F.lit(False).alias("still"))
     return lost.unionByName(out)
 
 
@@ -235,15 +235,15 @@ def metric_delta(gone: DataFrame, nodes: DataFrame, edges: DataFrame, in_task: i
     for each change the difference that its touched nodes make."""
     gone, e = stored(gone), stored(G.known_edges(nodes, edges))
     comp = stored(G.scc(e))
-    before = stored(G.scored(nodes, e).select(*G.NODE, "complexity", "fan_in", "fan_out", "in_cycle", "level"))
+    before = stored(G.scored(nodes, e, comp=comp).select(*G.NODE, "complexity", "fan_in", "fan_out", "in_cycle", "level"))
     flag = lambda c: F.when(c, 1).otherwise(0)
     whole = before.groupBy("project_id").agg(F.count("*").alias("functions_before"), F.count_if("in_cycle").alias("in_cycle_before"), F.count_if(F.col("level") != "ok").alias("flagged_before"))
     lost_out = _touching(gone, e).groupBy("change_id", "project_id", F.col("src").alias("id")).agg(F.count("*").alias("lost_out"))
     cycles = _cycles_left(gone, before, e, comp, in_task)
     touched = gone.withColumn("gone", F.lit(True))
     for part in (_lost_callers(gone, e), lost_out, cycles):
-        touched = touched.join(part, ["change_id", "project_id", "id"], "full_outer")
-    t = touched.join(before, G.NODE).fillna(0, ["lost_in", "lost_out"]).withColumn("stays", F.col("gone").isNull())
+        touched = touched.join(dealt(part), ["change_id", "project_id", "id"], "full_outer")
+    t = touched.join(dealt(before), G.NODE).fillna(0, ["lost_in", "lost_out"]).withColumn("stays", F.col("gone").isNull())
     after = F.coalesce("still", "in_cycle")
     flagged = after | (F.col("complexity") >= 10) | (F.col("fan_out") - F.col("lost_out") >= 5) | (F.col("fan_in") - F.col("lost_in") >= 5)
     change = t.groupBy("change_id", "project_id").agg(
