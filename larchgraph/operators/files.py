@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larchgraph.functions import paths as P
+from larchgraph.functions.tables import dealt
 from larchgraph.operators import graph as G
 
 KEY = ["project_id", "path"]
@@ -18,16 +19,16 @@ def resolve(specs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = specs.filter(P.is_relative(F.col("spec"))).distinct().withColumn("_base", P.join_relative(F.col("path"), F.col("spec")))
     tried = wanted.select(*KEY, "spec", F.posexplode(F.concat(*[F.array(F.concat("_base", F.lit(s))) for s in P.SUFFIXES])).alias("_n", "target"))
     known = files.select("project_id", F.col("path").alias("target")).distinct()
-    found = tried.join(known, ["project_id", "target"]).groupBy(*KEY, "spec").agg(F.min_by("target", "_n").alias("target"))
-    lost = wanted.filter(~F.col("spec").rlike(P.ASSET_NAME)).join(found, [*KEY, "spec"], "left_anti").select(*KEY, "spec").distinct()
+    found = tried.join(dealt(known), ["project_id", "target"]).groupBy(*KEY, "spec").agg(F.min_by("target", "_n").alias("target"))
+    lost = wanted.filter(~F.col("spec").rlike(P.ASSET_NAME)).join(dealt(found), [*KEY, "spec"], "left_anti").select(*KEY, "spec").distinct()
     return found.select(*KEY, "target").distinct(), lost
 
 
 def _counts(imports: DataFrame, files: DataFrame) -> DataFrame:
-    good = imports.join(files.filter("not parse_error").select(*KEY), KEY, "left_semi").select(*KEY, "target").distinct()
+    good = imports.join(dealt(files.filter("not parse_error").select(*KEY)), KEY, "left_semi").select(*KEY, "target").distinct()
     into = good.groupBy("project_id", F.col("target").alias("path")).agg(F.count("*").alias("imported_by"))
     out = good.groupBy(*KEY).agg(F.count("*").alias("imports"))
-    return files.join(into, KEY, "left").join(out, KEY, "left").fillna(0, ["imported_by", "imports"])
+    return files.join(dealt(into), KEY, "left").join(dealt(out), KEY, "left").fillna(0, ["imported_by", "imports"])
 
 
 def health(files: DataFrame, imports: DataFrame, unresolved: DataFrame) -> DataFrame:
@@ -62,13 +63,13 @@ def health_summary(df: DataFrame) -> DataFrame:
 
 def file_graph(files: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). A file's import of itself is no edge, but puts the file in a cycle."""
-    good = imports.join(files.filter("not parse_error").select(*KEY), KEY, "left_semi").select("project_id", F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
+    good = imports.join(dealt(files.filter("not parse_error").select(*KEY)), KEY, "left_semi").select("project_id", F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
     own = good.filter("src = dst").select("project_id", F.col("src").alias("path")).withColumn("_self", F.lit(True))
     edges = good.filter("src <> dst")
     comp = G.scc(edges)
     marked = G.cycle_edges(edges, comp)
     cyc = G.in_cycles(edges, comp).withColumnRenamed("id", "path").withColumn("_cyc", F.lit(True))
-    df = _counts(edges.withColumnsRenamed({"src": "path", "dst": "target"}), files).join(own, KEY, "left").join(cyc, KEY, "left").fillna(False, ["_self", "_cyc"])
+    df = _counts(edges.withColumnsRenamed({"src": "path", "dst": "target"}), files).join(dealt(own), KEY, "left").join(dealt(cyc), KEY, "left").fillna(False, ["_self", "_cyc"])
     df = df.withColumn("in_cycle", F.col("_self") | F.col("_cyc"))
     entry = P.entry_reason(F.col("path"), F.col("shebang")).isNotNull()
     df = df.withColumn("kind", F.when(entry, "entry").when(F.col("imported_by") == 0, "orphan").otherwise("normal"))
@@ -105,7 +106,7 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, imports: DataFrame, unreso
 
 
 def file_cycles(nodes: DataFrame, edges: DataFrame, imports: DataFrame) -> DataFrame:
-    good = imports.join(nodes.filter("not parse_error").select(*KEY), KEY, "left_semi") if "parse_error" in nodes.columns else imports
+    good = imports.join(dealt(nodes.filter("not parse_error").select(*KEY)), KEY, "left_semi") if "parse_error" in nodes.columns else imports
     own = good.filter("path = target").select("project_id", F.col("path").alias("src"), F.col("target").alias("dst"))
     comp = G.scc(edges.select(*G.PAIR))
     return G.cycle_count(edges.select(*G.PAIR).unionByName(own), comp)

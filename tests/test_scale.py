@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larchgraph.operators import files as FI
 from larchgraph.operators import graph as G
 from larchgraph.operators import hash_tree as HT
 from larchgraph.operators import impact as I
@@ -116,6 +117,15 @@ def test_graph_rounds_send_no_side_of_a_join_through_the_driver(spark, monkeypat
     assert len(plans) > 15 and [p for p in plans if "Broadcast" in p] == []
 
 
+def test_file_joins_send_no_side_through_the_driver(spark):
+    files = spark.createDataFrame([("p", f"src/f{i}.ts", 1, False, False) for i in range(4)], "project_id string, path string, exports int, shebang boolean, parse_error boolean")
+    specs = spark.createDataFrame([("p", f"src/f{i}.ts", f"./f{i + 1}") for i in range(4)], "project_id string, path string, spec string")
+    found, lost = FI.resolve(specs, files)
+    assert found.count() == 3 and [tuple(r) for r in lost.collect()] == [("p", "src/f3.ts", "./f4")]
+    for df in (found, lost, FI._counts(found, files)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_sums_of_a_hot_key(spark):
     """One key has nearly all rows: they are summed in several partitions, and the sums are a window's."""
     rows = spark.range(20_000).selectExpr("if(id % 50 = 0, if(id % 100 = 0, null, 'b'), 'hot') as k", "id * 7919 % 20011 as o", "id % 13 as v").repartition(5)
