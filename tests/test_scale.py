@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import Window
@@ -16,6 +17,7 @@ from larchgraph.operators import policy as PO
 from larchgraph.operators import quantiles as QU
 from larchgraph.operators import radar as R
 from larchgraph.operators import running as RS
+from larchgraph.plans import views as V
 from larchgraph.sources import corpus as S
 
 
@@ -117,6 +119,23 @@ def test_graph_rounds_send_no_side_of_a_join_through_the_driver(spark, monkeypat
     assert len(plans) > 15 and [p for p in plans if "Broadcast" in p] == []
 
 
+def test_event_graphs_send_no_side_through_the_driver(spark, monkeypatch):
+    """The hours' first events, calls of projects and facts of a snapshot grow with the input. The edges are written
+    once, so that scores do not work them out again at each use."""
+    rows = [(i, datetime(2024, 1, 1 + i % 20, i % 24), i % 7, "error", float(i)) for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double")
+    monkeypatch.setattr(V, "table", lambda *_: events)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(V.weekly_calls(spark, ""))
+    for nodes, edges in (V.weekly(spark, ""), V.snapshots(spark, "")):
+        assert edges.count() > 0 and "Window" not in plan(nodes) + plan(edges)
+        assert "Broadcast" not in plan(G.overview(G.scored(nodes, edges), edges))
+    facts = spark.createDataFrame([("before", "function", "1"), ("after", "function", "2")], "snapshot_id string, kind string, key string")
+    found = PO.evidence(facts, PO.Policy(preserve_functions=("1", "2"), allow_functions=("3",)))
+    assert {tuple(r) for r in found.collect()} == {("undeclared-function", "1"), ("lost-function", "1")}
+    assert "Broadcast" not in plan(found)
+
+
 def test_file_joins_send_no_side_through_the_driver(spark):
     files = spark.createDataFrame([("p", f"src/f{i}.ts", 1, False, False) for i in range(4)], "project_id string, path string, exports int, shebang boolean, parse_error boolean")
     specs = spark.createDataFrame([("p", f"src/f{i}.ts", f"./f{i + 1}") for i in range(4)], "project_id string, path string, spec string")
