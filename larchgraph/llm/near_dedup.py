@@ -51,6 +51,8 @@ TREES, DEPTH, SHALLOW, NEAR, ROUGH = 16, 12, 3, 4, 0.55
 REGION, REGION_SHINGLES, HUBS = 400, 1_000_000, 8
 #: How often a text of a large region may be read for its second step before the region is refined.
 SPREAD = 8
+#: Pairs whose components are found in one task; more are found in rounds.
+FEW = 20_000
 #: Bytes of text worked on at once; classes, and shingles, of small regions that share a task.
 CHUNK, TOGETHER, TOGETHER_SHINGLES = 1_000_000, 2000, 1_000_000
 
@@ -357,7 +359,7 @@ def _refined(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     first = stored(held.filter(F.col("rank") <= F.col("shared") - need + 1).select("rep", "region", "token"))
     heads = first.groupBy("region", "token").agg(F.min("rep").alias("head"))
     edges = stored(first.join(heads, ["region", "token"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
-    found = stored(components(edges).withColumnsRenamed({"node": "rep", "component": "region"}).join(large.drop("region"), "rep"))
+    found = stored(components(edges, in_task=FEW).withColumnsRenamed({"node": "rep", "component": "region"}).join(large.drop("region"), "rep"))
     dropped(first, edges)
     return found
 
@@ -434,7 +436,7 @@ def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, p
     pairs = candidates(classes)
     sig = lambda side: classes.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"))
     rough = pairs.join(sig("a"), "a").join(sig("b"), "b").filter(F.pandas_udf(_agreement, "double")("sig_a", "sig_b") >= ROUGH).select("a", "b")
-    regions = components(rough).withColumnsRenamed({"node": "rep", "component": "region"})
+    regions = components(rough, in_task=FEW).withColumnsRenamed({"node": "rep", "component": "region"})
     members = stored(_sized(regions.join(classes.select("rep", "n_shingles"), "rep"), percent))
     dropped(pairs)
     # all texts are shuffled once; those in regions are kept, one of repeated rows, and only they are read again
@@ -451,7 +453,7 @@ def linked(df: DataFrame, classes: DataFrame, key: str, text: str, width: int, p
             rest = _rest(members, links[1])
         links.append(_decided(texts, _second_parts(members, links[-1], rest), width, percent))
         dropped(rest)
-    found = components(reduce(DataFrame.unionByName, links))
+    found = components(reduce(DataFrame.unionByName, links), in_task=FEW)
     dropped(members, texts, *links)
     return found
 

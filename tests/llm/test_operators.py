@@ -750,6 +750,20 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+def test_components_of_few_edges_are_finished_in_one_task(spark, monkeypatch):
+    """As of near-duplicates: few edges take one write and no round; more take rounds until few are left."""
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (201, 200), (202, 201)]
+    df = spark.createDataFrame([(None if a is None else f"{a:03}", f"{b:03}") for a, b in edges], "a string, b string").repartition(3)
+    written, plain = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda x: written.append(1) or plain(x))
+    want = {f"{i:03}": "000" for i in range(41)} | {f"{100 + i}": "100" for i in range(30)} | {f"{i}": "200" for i in (200, 201, 202)}
+    for limit, most in ((71, 1), (70, 99)):
+        written.clear()
+        got = components.components(df, in_task=limit).collect()
+        assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want) and 1 <= len(written) <= most
+    assert components.components(df.limit(0), in_task=70).count() == 0
+
+
 def test_quality_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op5_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
