@@ -119,6 +119,22 @@ def test_graph_rounds_send_no_side_of_a_join_through_the_driver(spark, monkeypat
     assert len(plans) > 15 and [p for p in plans if "Broadcast" in p] == []
 
 
+@pytest.mark.parametrize("in_task", [0, 300])
+def test_component_rounds_are_few_and_end_in_a_task(spark, monkeypatch, in_task):
+    """A project's large component is found first, along and against its edges together, and what is left of
+    the project is finished in one task; no side of a join goes through the driver."""
+    plans, write, rnd = [], G.stored, random.Random(5)
+    monkeypatch.setattr(G, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    large = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(900)]
+    large += [(i + d, i + 1 - d) for i in range(400, 460, 2) for d in (0, 1)] + [(i, i + 2) for i in range(400, 416, 2)]
+    sets = {"large": large, "small": [(1, 2), (2, 1), (2, 3), (4, 4)]}
+    edges = spark.createDataFrame([(p, f"n{a:03}", f"n{b:03}") for p, e in sets.items() for a, b in e], "project_id string, src string, dst string")
+    got = {(r["project_id"], r["id"]): r["scc"] for r in G.scc(edges, in_task).collect()}
+    assert got == {(p, f"n{x:03}"): f"n{c:03}" for p, e in sets.items() for x, c in G._tarjan(e).items()}
+    assert len({c for p, c in got.items() if p[0] == "large"}) > 30
+    assert [p for p in plans if "Broadcast" in p] == [] and len(plans) < (25 if in_task else 50)
+
+
 def test_event_graphs_send_no_side_through_the_driver(spark, monkeypatch):
     """The hours' first events, calls of projects and facts of a snapshot grow with the input. The edges are written
     once, so that scores do not work them out again at each use."""
