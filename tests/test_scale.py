@@ -135,6 +135,23 @@ def test_component_rounds_are_few_and_end_in_a_task(spark, monkeypatch, in_task)
     assert [p for p in plans if "Broadcast" in p] == [] and len(plans) < (25 if in_task else 50)
 
 
+@pytest.mark.parametrize("in_task", [0, 300])
+def test_components_with_long_chains_take_few_rounds(spark, monkeypatch, in_task):
+    """As copies of events at one time have: rounds follow the logarithm of a chain's length, not the length."""
+    arcs = [(i, i + 1) for i in range(700)] + [(700, 0), (350, 2000), (2000, 2001), (2001, 400)]  # a circle with a by-pass
+    arcs += [(3000 + i, 3000 + (i + 1) % 90) for i in range(90)]  # one that stands alone
+    arcs += [(10, 4000), *((i, i + 1) for i in range(4000, 4200)), (4200, 5000), (5000, 5001), (5001, 5000)]  # a chain between components
+    arcs += [(6000, 6001), (6001, 6002), (6002, 6000), (6000, 6003), (6003, 6000), (5999, 6000)]  # two circles that share a node
+    arcs += [(a + 7000, b + 7000) for i in range(20) for a, b in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))] + [(7060, 7000)]  # diamonds
+    edges = spark.createDataFrame([(p, a, b) for p in ("p", "q") for a, b in arcs] + [("r", 1, 2), ("r", 2, 1)], "project_id string, src bigint, dst bigint")
+    written, plain = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df: written.append(1) or plain(df))
+    got = {(r["project_id"], r["id"]): r["scc"] for r in G.scc(edges, in_task).collect()}
+    want = G._tarjan(arcs)
+    assert got == {(p, x): c for p in ("p", "q") for x, c in want.items()} | {("r", 1): 1, ("r", 2): 1}
+    assert len(written) < 60
+
+
 def test_event_graphs_send_no_side_through_the_driver(spark, monkeypatch):
     """The hours' first events, calls of projects and facts of a snapshot grow with the input. The edges are written
     once, so that scores do not work them out again at each use."""
